@@ -23,13 +23,11 @@ POOL = {
     "CSRank($vwap)": 0.4,
 }
 
-TRADE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
-
 BARS_SQL = """bars AS (
   SELECT l_suppkey AS symbol, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
-         first(l_extendedprice ORDER BY l_shipdate,l_orderkey,l_linenumber,l_partkey,l_quantity,l_extendedprice) / 1000.0 AS open,
+         first(l_extendedprice ORDER BY CAST(l_shipdate AS DATE), l_extendedprice) / 1000.0 AS open,
          max(l_extendedprice) / 1000.0 AS high, min(l_extendedprice) / 1000.0 AS low,
-         last(l_extendedprice ORDER BY l_shipdate,l_orderkey,l_linenumber,l_partkey,l_quantity,l_extendedprice) / 1000.0 AS close,
+         last(l_extendedprice ORDER BY CAST(l_shipdate AS DATE), l_extendedprice) / 1000.0 AS close,
          CAST(sum(l_quantity) AS DOUBLE) / 10.0 AS volume,
          CAST(sum(CAST(round(l_extendedprice*100) AS BIGINT) * CAST(l_quantity AS BIGINT)) AS DOUBLE)
            / (100000.0 * sum(l_quantity)) AS vwap
@@ -49,24 +47,29 @@ SESSION_SQL = """trades AS (
          CASE WHEN hour(ts) < 12 THEN 'AM' ELSE 'PM' END AS session,
          value AS price, CAST(props->>'k' AS BIGINT) AS k FROM events),
 session AS (
-  SELECT symbol, date, session, first(price ORDER BY ts, price) AS open, max(price) AS high, min(price) AS low,
-         last(price ORDER BY ts, price) AS close, CAST(sum(k) AS DOUBLE) AS volume,
+  SELECT symbol, date, session, first(price ORDER BY ts) AS open, max(price) AS high, min(price) AS low,
+         last(price ORDER BY ts) AS close, CAST(sum(k) AS DOUBLE) AS volume,
          CAST(sum(CAST(round(price*100) AS BIGINT) * k) AS DOUBLE) / nullif(100.0 * sum(k), 0) AS vwap
   FROM trades GROUP BY 1, 2, 3)"""
 
 
 def bars(spark: SparkSession, folder: str) -> DataFrame:
-    line = table(spark, folder, "lineitem").select(*TRADE_ORDER, F.col("l_suppkey").alias("symbol"))
-    line = line.withColumn("date", F.trunc("l_shipdate", "month"))
-    order = F.struct(*TRADE_ORDER)
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long") * F.col("l_quantity").cast("long")
-    return line.groupBy("symbol", "date").agg(
+    """First trade of the month is the cheapest of its first day, the last one the dearest of its last day.
+
+    Day and price are packed into one LONG, so the first and last price are kept by a hash aggregate; ordering
+    by a struct would make Spark sort every line item before it can combine.
+    """
+    line = table(spark, folder, "lineitem")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    order = F.unix_date(F.to_date("l_shipdate")).cast("long") * 1_000_000_000 + cents
+    value = F.sum(cents * F.col("l_quantity").cast("long")).cast("double")
+    return line.groupBy(F.col("l_suppkey").alias("symbol"), F.trunc("l_shipdate", "month").alias("date")).agg(
         (F.min_by("l_extendedprice", order) / 1000.0).alias("open"),
         (F.max("l_extendedprice") / 1000.0).alias("high"),
         (F.min("l_extendedprice") / 1000.0).alias("low"),
         (F.max_by("l_extendedprice", order) / 1000.0).alias("close"),
         (F.sum("l_quantity") / 10.0).alias("volume"),
-        (F.sum(cents).cast("double") / (F.lit(100000.0) * F.sum("l_quantity"))).alias("vwap"),
+        (value / (F.lit(100000.0) * F.sum("l_quantity"))).alias("vwap"),
     )
 
 
@@ -90,17 +93,15 @@ def trades(spark: SparkSession, folder: str) -> DataFrame:
 
 def session(spark: SparkSession, folder: str, symbol: str = "symbol") -> DataFrame:
     t = trades(spark, folder)
-    if symbol != "symbol":
-        t = t.withColumn("symbol", F.col(symbol))
-    cents = (F.round(F.col("price") * 100).cast("long") * F.col("k")).alias("cents")
+    cents = F.round(F.col("price") * 100).cast("long") * F.col("k")
     out = ohlcv(
-        t.withColumn("cents", cents),
+        t if symbol == "symbol" else t.withColumn("symbol", F.col(symbol)),
         ["symbol", "date", "session"],
-        F.struct("ts", "price"),
+        F.col("ts"),
         *["price"] * 4,
         volume="k",
+        extra=[F.try_divide(F.sum(cents).cast("double"), F.lit(100.0) * F.sum("k")).alias("exact")],
     )
-    exact = t.groupBy("symbol", "date", "session").agg(
-        F.try_divide(F.sum(cents).cast("double"), F.lit(100.0) * F.sum("k")).alias("vwap")
+    return out.select(
+        "symbol", "date", "session", "open", "high", "low", "close", F.col("volume").cast("double"), F.col("exact").alias("vwap")
     )
-    return out.drop("vwap").withColumn("volume", F.col("volume").cast("double")).join(exact, ["symbol", "date", "session"])

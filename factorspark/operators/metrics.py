@@ -21,6 +21,7 @@ from .scale import measured_side, position_in_group, small_side
 IC_STD_FLOOR = 1e-3  # fixed value: below this spread the covariance is not scaled
 WIDE_PAIRS = 12  # up to this many columns all pairs fit one aggregate
 ICIR_STD_FLOOR = 1e-6  # fixed value
+HELD_NUMBERS = 8_000_000  # doubles a task holds before it passes its partial sums on
 
 
 def forward_return(h: int = 20, close: str = "close") -> str:
@@ -136,14 +137,14 @@ def mutual_ic_daily(panel: Panel, cols: Sequence[str]) -> DataFrame:
             for i, j in pairs
         ]
         return agg.select("date", F.explode(F.array(*entries)).alias("_p")).select("date", "_p.*")
-    return _mutual_from_grams(gram_rows(z, cols))
+    return mutual_from_grams(gram_rows(z, cols))
 
 
 def gram_rows(z: Panel, cols: Sequence[str], salts: int = 16) -> DataFrame:
     """(date, i, j, n, dot): sums of products of normalised columns, i <= j, for many columns.
 
-    Rows are spread by (date, hash of the symbol), so a wide date is shared by ``salts`` tasks; each Arrow batch
-    is reduced to one K x K block per date before anything is shuffled again.
+    Rows are spread by (date, hash of the symbol), so a wide date is shared by ``salts`` tasks; each task sums
+    one K x K block per date before anything is shuffled again.
     """
     k = len(cols)
     upper = np.triu_indices(k)
@@ -153,10 +154,21 @@ def gram_rows(z: Panel, cols: Sequence[str], salts: int = 16) -> DataFrame:
     date_type = slim.schema["date"].dataType.simpleString()
 
     def blocks(batches):
+        held: dict = {}
+        limit = max(1, HELD_NUMBERS // len(upper[0]))
         for pdf in batches:
             for day, g in pdf.groupby("date", sort=False):
                 v = np.stack(g["v"].to_numpy())
-                yield pd.DataFrame({"date": [day], "n": [len(v)], "dots": [(v.T @ v)[upper]]})
+                n, dots = held.get(day, (0, 0.0))
+                held[day] = (n + len(v), dots + (v.T @ v)[upper])
+            if len(held) > limit:
+                yield emitted(held)
+                held = {}
+        if held:
+            yield emitted(held)
+
+    def emitted(held):
+        return pd.DataFrame({"date": list(held), "n": [n for n, _ in held.values()], "dots": [d for _, d in held.values()]})
 
     grams = slim.repartition("date", "_salt").mapInPandas(blocks, f"date {date_type}, n long, dots array<double>")
     names = F.array(*[F.struct(F.lit(int(i)).alias("i"), F.lit(int(j)).alias("j")) for i, j in zip(*upper, strict=True)])
@@ -168,7 +180,7 @@ def gram_rows(z: Panel, cols: Sequence[str], salts: int = 16) -> DataFrame:
     return summed.withColumn("_p", F.get(names, F.col("pos"))).select("date", "_p.i", "_p.j", "n", "dot")
 
 
-def _mutual_from_grams(grams: DataFrame) -> DataFrame:
+def mutual_from_grams(grams: DataFrame) -> DataFrame:
     """Means of normalised columns are 0, so the diagonal gives the variances."""
     diagonal = F.map_from_entries(
         F.collect_list(F.when(F.col("i") == F.col("j"), F.struct("i", F.sqrt(F.col("dot") / F.col("n")))))

@@ -73,8 +73,13 @@ def ohlcv(
     low="low",
     close="close",
     volume="volume",
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
-    """OHLCV and VWAP per key. Every aggregate combines map-side, so a hot symbol is reduced before the shuffle."""
+    """OHLCV and VWAP per key. Every aggregate combines map-side, so a hot symbol is reduced before the shuffle.
+
+    With ``order`` a single fixed-width column (a time) Spark keeps first and last in a hash aggregate; a struct
+    makes it sort all rows first.
+    """
     return df.groupBy(*keys).agg(
         F.min_by(open, order).alias("open"),
         F.max(high).alias("high"),
@@ -82,17 +87,22 @@ def ohlcv(
         F.max_by(close, order).alias("close"),
         F.sum(volume).alias("volume"),
         vwap(F.col(close), F.col(volume)).alias("vwap"),
+        *extra,
     )
 
 
+def _time_order(ts: str, unique: Sequence[str]) -> Column:
+    return F.struct(ts, *unique) if unique else F.col(ts)
+
+
 def session_bars(minute: DataFrame, ts: str = "datetime", unique: Sequence[str] = ()) -> DataFrame:
     """(symbol, date, session) bars. ``unique`` breaks ties between rows with the same time."""
     tagged = minute.withColumns({"date": F.to_date(ts), "session": session_of(F.col(ts))})
-    return ohlcv(tagged, ["symbol", "date", "session"], F.struct(ts, *unique))
+    return ohlcv(tagged, ["symbol", "date", "session"], _time_order(ts, unique))
 
 
 def daily_bars(intraday: DataFrame, ts: str = "datetime", unique: Sequence[str] = ()) -> DataFrame:
-    return ohlcv(intraday.withColumn("date", F.to_date(ts)), ["date", "symbol"], F.struct(ts, *unique))
+    return ohlcv(intraday.withColumn("date", F.to_date(ts)), ["date", "symbol"], _time_order(ts, unique))
 
 
 def with_session_close(df: DataFrame) -> DataFrame:

@@ -136,3 +136,21 @@ def group_percentiles(
         one = one.select(*by, F.array(*[F.col(f"_p{i}") for i in range(len(probs))]).alias(c))
         out = one if out is None else out.join(one, by, "full_outer")
     return out
+
+
+def running_total(df: DataFrame, order: Sequence[Column], value: str, name: str, rows: int | None = None) -> DataFrame:
+    """Running sum over the whole table in ``order`` (which must end in a unique key)."""
+    size = max_group_rows(df, []) if rows is None else rows
+    whole = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if size <= MAX_GROUP_ROWS:
+        return df.withColumn(name, F.sum(value).over(whole))
+    # Range partitions are even and fixed by the checkpoint: sum inside each, then add what lies before it.
+    part = cut(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = part.groupBy("_pid").agg(F.sum(value).alias("_t")).withColumn("_shift", F.coalesce(F.sum("_t").over(before), F.lit(0.0)))
+    inside = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        part.join(measured_side(shifts.select("_pid", "_shift")), "_pid")
+        .withColumn(name, F.sum(value).over(inside) + F.col("_shift"))
+        .drop("_pid", "_shift")
+    )
