@@ -1,6 +1,6 @@
 """All checked queries; importing this package registers them."""
 
-from . import factors
+from . import bars, factors, metrics, portfolios, programs
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "factors"]
+__all__ = ["ORACLES", "QUERIES", "bars", "factors", "metrics", "portfolios", "programs"]

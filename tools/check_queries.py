@@ -39,7 +39,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
 def normalise(df: pd.DataFrame) -> pd.DataFrame:
     for c in df.columns:
         if str(df[c].dtype).startswith("datetime"):
-            df[c] = df[c].astype(str).str.replace(" 00:00:00", "")
+            df[c] = df[c].astype(str).str.replace(" 00:00:00", "").replace("NaT", None)
         elif df[c].dtype == object:
             df[c] = df[c].map(lambda v: str(v) if hasattr(v, "isoformat") else v)
         elif str(df[c].dtype).startswith(("float", "Float")):
