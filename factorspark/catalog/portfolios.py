@@ -93,7 +93,7 @@ def longs(spark, folder):
 
 @query("long_only", f"WITH {LONG_SQL} SELECT date, symbol, rank, {q6('weight')} AS weight FROM longs")
 def long_only(spark, folder):
-    return longs(spark, folder)[1].withColumn("weight", r6("weight"))
+    return longs(spark, folder)[1].select("date", "symbol", "rank", r6("weight").alias("weight"))
 
 
 @query(
@@ -102,7 +102,7 @@ def long_only(spark, folder):
 SELECT date, symbol, {q6("CASE WHEN rank > n - k THEN -least(0.5 / k, 0.15) ELSE least(0.5 / k, 0.15) END")} AS weight FROM k WHERE k > 0 AND (rank > n - k OR rank <= k)""",
 )
 def long_short(spark, folder):
-    return G.long_short(scored(spark, folder), "score", 0.08).withColumn("weight", r6("weight"))
+    return G.long_short(scored(spark, folder), "score", 0.08).select("date", "symbol", r6("weight").alias("weight"))
 
 
 @query("rebalance_dates", "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(min(o_orderdate) AS DATE) AS date FROM orders GROUP BY 1")
@@ -130,14 +130,9 @@ MOVES_SQL = f"""{LONG_SQL}, moves AS (SELECT date_idx, symbol, sum(w) AS weight,
   (SELECT date_idx, symbol, weight AS w, weight AS d FROM longs UNION ALL SELECT date_idx + 1, symbol, 0.0, -weight FROM longs) GROUP BY 1, 2)"""
 
 
-def with_idx(spark, folder):
-    s, w = longs(spark, folder)
-    return s, w.join(F.broadcast(s.df.select("date", "date_idx").distinct()), "date")
-
-
 @query("portfolio_diff", f"WITH {MOVES_SQL} SELECT date_idx, symbol, {q6('weight')} AS weight, {q6('change')} AS change, CASE WHEN weight = 0 THEN 'sell' ELSE 'set' END AS action FROM moves WHERE date_idx IN (SELECT date_idx FROM longs)")
 def portfolio_diff(spark, folder):
-    out = G.portfolio_diff(with_idx(spark, folder)[1])
+    out = G.portfolio_diff(longs(spark, folder)[1])
     return out.select("date_idx", "symbol", r6("weight").alias("weight"), r6("change").alias("change"), "action")
 
 
@@ -149,7 +144,7 @@ rets AS (SELECT date_idx, gross, cost, gross - cost AS net FROM gross JOIN cost
 
 def net_returns(spark, folder):
 
-    s, w = with_idx(spark, folder)
+    w = longs(spark, folder)[1]
     r = add_factors(panel(spark, folder), {"ret": FORWARD}).df.select("symbol", "date_idx", "ret")
     return G.portfolio_returns(w, r)
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ship
 from .scale import MAX_BROADCAST_ROWS, average_rank, max_group_rows, measured_side, position_in_group, running_total
 
 LOG_EPS = 1e-15  # fixed value
@@ -246,6 +246,7 @@ def skyline(df: DataFrame, costs: Sequence[str], unique: str) -> DataFrame:
 
     Each batch first drops the rows that its own rows dominate; only survivors are compared with each other.
     """
+    ship(df.sparkSession)
     points = df.groupBy(*costs).agg(F.min(unique).alias(unique))
 
     def local(batches):

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ..plans.evaluate import add_factors
 from ..plans.formula import DEFAULT, FormulaOptions, Node
+from ..session import ship
 from .cross_section import rank_average, zscore
 from .panel import Panel
-from .scale import measured_side, position_in_group, small_side
+from .scale import measured_side, position_in_group, small_side, spread
 
 IC_STD_FLOOR = 1e-3  # fixed value: below this spread the covariance is not scaled
 WIDE_PAIRS = 12  # up to this many columns all pairs fit one aggregate
@@ -146,6 +147,7 @@ def gram_rows(z: Panel, cols: Sequence[str], salts: int = 16) -> DataFrame:
     Rows are spread by (date, hash of the symbol), so a wide date is shared by ``salts`` tasks; each task sums
     one K x K block per date before anything is shuffled again.
     """
+    ship(z.df.sparkSession)
     k = len(cols)
     upper = np.triu_indices(k)
     slim = z.df.select(
@@ -170,7 +172,7 @@ def gram_rows(z: Panel, cols: Sequence[str], salts: int = 16) -> DataFrame:
     def emitted(held):
         return pd.DataFrame({"date": list(held), "n": [n for n, _ in held.values()], "dots": [d for _, d in held.values()]})
 
-    grams = slim.repartition("date", "_salt").mapInPandas(blocks, f"date {date_type}, n long, dots array<double>")
+    grams = spread(slim, "date", "_salt").mapInPandas(blocks, f"date {date_type}, n long, dots array<double>")
     names = F.array(*[F.struct(F.lit(int(i)).alias("i"), F.lit(int(j)).alias("j")) for i, j in zip(*upper, strict=True)])
     summed = (
         grams.select("date", "n", F.posexplode("dots").alias("pos", "dot"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .cross_section import median_fill, zscore_guarded, zscore_sample
 from .metrics import combine
 from .panel import Panel
-from .scale import group_percentiles, max_group_rows, measured_side, position_in_group, small_side
+from .scale import MAX_GROUP_ROWS, group_percentiles, max_group_rows, measured_side, position_in_group, small_side
 
 # Screen and sizing limits.
 MIN_PRICE = 5.0
@@ -73,10 +73,19 @@ def screen_counts(df: DataFrame, price: str = "close", volume: str = "volume", b
     return df.groupBy(*by, screen_reason(F.col(price), F.col(volume)).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _sized(df: DataFrame, score: str, n_symbols: int | None, n_dates: int) -> DataFrame:
-    placed = ranked(df, score, n_symbols=n_symbols)
-    counts = df.filter(F.col(score).isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
-    return placed.join(small_side(counts, n_dates), "date")
+def _sized(panel: Panel, score: str) -> DataFrame:
+    """Ranked rows with the number ``_n`` of scored names of their date."""
+    valid = panel.df.filter(F.col(score).isNotNull())
+    if panel.n_symbols <= MAX_GROUP_ROWS:
+        day = Window.partitionBy("date")
+        place = F.row_number().over(day.orderBy(F.col(score).desc(), "symbol")).cast("long")
+        return valid.withColumns({"rank": place, "_n": F.count(F.lit(1)).over(day)})
+    counts = valid.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
+    return ranked(valid, score, n_symbols=panel.n_symbols).join(small_side(counts, panel.n_dates), "date")
+
+
+def _days(df: DataFrame) -> list[str]:
+    return [c for c in ("date", "date_idx") if c in df.columns]
 
 
 def long_only(
@@ -88,23 +97,23 @@ def long_only(
     at_least_one: bool = True,
     min_names: int = 0,
 ) -> DataFrame:
-    """(date, symbol, rank, weight): equal weights of the top quantile, capped in number and size."""
+    """(date, date_idx, symbol, rank, weight): equal weights of the top quantile, capped in number and size."""
     n = F.floor(F.col("_n") * F.lit(float(quantile)))
     n = F.least(F.lit(max_positions), F.greatest(n, F.lit(1)) if at_least_one else n)
-    rows = _sized(panel.df, score, panel.n_symbols, panel.n_dates).withColumn("_k", n)
+    rows = _sized(panel, score).withColumn("_k", n)
     held = rows.filter((F.col("rank") <= F.col("_k")) & (F.col("_n") >= min_names))
-    return held.select("date", "symbol", "rank", F.least(F.lit(1.0) / F.col("_k"), F.lit(max_weight)).alias("weight"))
+    return held.select(*_days(held), "symbol", "rank", F.least(F.lit(1.0) / F.col("_k"), F.lit(max_weight)).alias("weight"))
 
 
 def long_short(
     panel: Panel, score: str, quantile: float = 0.2, max_positions: int = MAX_POSITIONS, max_weight: float = MAX_POSITION
 ) -> DataFrame:
-    """(date, symbol, weight): half the money on each side; a name in both quantiles is short."""
+    """(date, date_idx, symbol, weight): half the money on each side; a name in both quantiles is short."""
     n = F.least(F.floor(F.col("_n") * F.lit(float(quantile))), F.lit(max_positions // 2))
-    rows = _sized(panel.df, score, panel.n_symbols, panel.n_dates).withColumn("_k", n).filter(F.col("_k") > 0)
+    rows = _sized(panel, score).withColumn("_k", n).filter(F.col("_k") > 0)
     size = F.least(F.lit(0.5) / F.col("_k"), F.lit(max_weight))
     weight = F.when(F.col("rank") > F.col("_n") - F.col("_k"), -size).when(F.col("rank") <= F.col("_k"), size)
-    return rows.withColumn("weight", weight).filter(F.col("weight").isNotNull()).select("date", "symbol", "weight")
+    return rows.withColumn("weight", weight).filter(F.col("weight").isNotNull()).select(*_days(rows), "symbol", "weight")
 
 
 def rebalance_dates(df: DataFrame) -> DataFrame:

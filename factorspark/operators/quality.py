@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.formula import DEFAULT, FormulaOptions, is_valid
 from ..plans.operators import operators
+from ..session import ship
 from .panel import asof_lookup
 from .scale import measured_side
 
@@ -108,6 +109,7 @@ def candidate_validity(lines: DataFrame, options: dict[str, FormulaOptions] | No
 
     Lines are trimmed and counted first, so the check runs once per distinct line however often it repeats.
     """
+    ship(lines.sparkSession)
     options = options or {"default": DEFAULT}
     distinct = (
         lines.select(F.trim(col).alias("line")).filter(F.col("line") != "").groupBy("line").agg(F.count(F.lit(1)).alias("n"))

@@ -27,6 +27,11 @@ def small_side(df: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= MAX_BROADCAST_ROWS else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by keys into all shuffle partitions. Ahead of Python work: AQE would pack small rows into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def measured_side(df: DataFrame) -> DataFrame:
     """:func:`small_side` for a table whose size is not known yet; counts at most one row past the bound."""
     return small_side(df, df.limit(MAX_BROADCAST_ROWS + 1).count())

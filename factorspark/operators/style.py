@@ -6,7 +6,6 @@ most; the benchmark table has one row per (date, session) and is broadcast only
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rolling import Frames, annualised_std, delta, partial_corr
+from ..session import ship
 from .cross_section import argmin_label, winsorize
 from .panel import Panel, session_return, sessions_to_long, sessions_to_wide
-from .scale import measured_side
+from .scale import measured_side, spread
 
 # Benchmarks, windows in sessions and sessions per year.
 BENCHMARKS = ["VBR", "QQQ", "SPY", "SPMO", "SPHQ", "SPYG"]
@@ -90,19 +90,32 @@ def ols_residual_1(y: Column, x: Column, w: int, frames: Frames) -> Column:
     return F.when(ok, y - fitted)
 
 
-def rolling_residuals(y: np.ndarray, x: np.ndarray, window: int) -> np.ndarray:
-    """Residual of each row under the least-squares fit (with intercept) of the window that ends there."""
+def rolling_residuals(y: np.ndarray, x: np.ndarray, window: int, chunk: int = 1024) -> np.ndarray:
+    """Residual of each row under the least-squares fit (with intercept) of the window that ends there.
+
+    Windows are solved in stacks: incomplete rows are zeroed after centring, so they add nothing to the fit.
+    """
     n, k = x.shape
     out = np.full(n, np.nan)
-    need = max(MIN_OLS_ROWS, k + 1)
+    if n < window:
+        return out
     complete = ~np.isnan(y) & ~np.isnan(x).any(axis=1)
-    for end in range(window, n + 1):
-        rows = np.flatnonzero(complete[end - window : end]) + end - window
-        if len(rows) < need or not complete[end - 1]:
+    rows = np.column_stack([np.where(complete[:, None], x, 0.0), np.where(complete, y, 0.0)])
+    for first in range(0, n - window + 1, chunk):
+        last = min(first + chunk, n - window + 1)
+        cells = np.lib.stride_tricks.sliding_window_view(rows[first : last + window - 1], window, axis=0)
+        here = np.lib.stride_tricks.sliding_window_view(complete[first : last + window - 1], window)
+        count = here.sum(axis=1)
+        fit = (count >= max(MIN_OLS_ROWS, k + 1)) & here[:, -1]
+        if not fit.any():
             continue
-        xm, ym = x[rows].mean(axis=0), y[rows].mean()
-        beta = np.linalg.lstsq(x[rows] - xm, y[rows] - ym, rcond=None)[0]
-        out[end - 1] = y[end - 1] - ym - (x[end - 1] - xm) @ beta
+        cells, here = cells[fit], here[fit]
+        mean = cells.sum(axis=2) / count[fit, None]
+        centred = (cells - mean[:, :, None]) * here[:, None, :]
+        design, target = centred[:, :k, :].transpose(0, 2, 1), centred[:, k, :]
+        beta = np.einsum("mkw,mw->mk", np.linalg.pinv(design, rcond=np.finfo(float).eps * max(window, k)), target)
+        at = np.flatnonzero(fit) + first + window - 1
+        out[at] = target[:, -1] - np.einsum("mk,mk->m", design[:, -1, :], beta)
     return out
 
 
@@ -111,23 +124,27 @@ def with_idiosyncratic_vol(
 ) -> DataFrame:
     """``IDIOVOL_<w>``: annualised std of the rolling residuals, on rows that have a return.
 
-    Only keys, return and regressors travel to Python, one (symbol, session) series at a time.
+    One regressor stays in native window functions. With more, keys, return and regressors travel to Python,
+    one (symbol, session) series at a time, and the residuals come back for the native rolling std.
     """
+    frames = Frames(tuple(keys), order)
     slim = df.filter(F.col("return").isNotNull()).select(*keys, order, "return", *regressors)
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in (*keys, order))
-    schema = head + "".join(f", IDIOVOL_{w} double" for w in windows)
-    root = math.sqrt(annual)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        y, x = pdf["return"].to_numpy(float), pdf[list(regressors)].to_numpy(float)
-        out = pdf[[*keys, order]].copy()
-        for w in windows:
-            resid = pd.Series(rolling_residuals(y, x, w), index=pdf.index)
-            out[f"IDIOVOL_{w}"] = resid.rolling(w, min_periods=w // 2).std() * root
-        return out
-
-    fitted = slim.groupBy(*keys).applyInPandas(fit, schema)
+    if len(regressors) == 1:
+        resid = {f"_r{w}": ols_residual_1(F.col("return"), F.col(regressors[0]), w, frames) for w in windows}
+        fitted = slim.withColumns(resid)
+    else:
+        head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in (*keys, order))
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(order)
+            y, x = pdf["return"].to_numpy(float), pdf[list(regressors)].to_numpy(float)
+            return pdf[[*keys, order]].assign(**{f"_r{w}": rolling_residuals(y, x, w) for w in windows})
+
+        ship(df.sparkSession)
+        schema = head + "".join(f", _r{w} double" for w in windows)
+        fitted = spread(slim, *keys).groupBy(*keys).applyInPandas(fit, schema).withColumns({f"_r{w}": F.nanvl(f"_r{w}", F.lit(None)) for w in windows})
+    vols = {f"IDIOVOL_{w}": annualised_std(F.col(f"_r{w}"), w, frames, annual) for w in windows}
+    fitted = fitted.withColumns(vols).select(*keys, order, *vols)
     return df.join(fitted, [*keys, order], "left")
 
 

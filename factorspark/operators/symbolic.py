@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..plans.formula import FormulaError
+from ..session import ship
 from .scale import measured_side
 
 MAX_TERMS = 2_000
@@ -164,6 +165,7 @@ def _moments(df: DataFrame, inputs: Sequence[str], exponents: Sequence[tuple[int
     """Cross products of the monomials and the target: each partition gives one small row, Spark sums them."""
     if len(exponents) > MAX_TERMS:
         raise ValueError(f"{len(exponents)} terms are too many to solve for on the driver")
+    ship(df.sparkSession)
     powers = np.array(exponents)
     k = len(powers)
 

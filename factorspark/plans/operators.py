@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling as R
 from ..functions import scalar as S
-from ..operators.scale import MAX_GROUP_ROWS, ordered_position
+from ..operators.scale import MAX_GROUP_ROWS, ordered_position, spread
+from ..session import ship
 
 
 @dataclass(frozen=True)
@@ -99,6 +100,7 @@ def recursive_ema(df: DataFrame, column: str, window: int, result: str, frames:
     A recursion over an unbounded history has no frame form. A symbol's series is at most calendar-long, and
     only the key, the order and the value travel to Python.
     """
+    ship(df.sparkSession)
     keys, order = list(frames.keys), frames.order
     small = df.select(*keys, order, F.col(column).cast("double").alias("_x"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in small.schema if f.name != "_x")
@@ -108,7 +110,7 @@ def recursive_ema(df: DataFrame, column: str, window: int, result: str, frames:
         pdf["_ema"] = pdf["_x"].ewm(span=window, adjust=False, min_periods=1).mean()
         return pdf[[*keys, order, "_ema"]]
 
-    smoothed = small.groupBy(*keys).applyInPandas(smooth, f"{schema}, _ema double")
+    smoothed = spread(small, *keys).groupBy(*keys).applyInPandas(smooth, f"{schema}, _ema double")
     return df.join(smoothed.withColumnRenamed("_ema", result), [*keys, order])
 
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 PRICE_SCALE = 10_000.0  # fixed value: prices are stored as integers of this fraction
 _PRICES = ("open", "high", "low", "close")
 
@@ -43,6 +45,8 @@ def read_minute_zips(spark: SparkSession, root: str, symbols: Sequence[str] | No
     if end is not None:
         files = files.filter(day <= F.lit(end).cast("date"))
 
+    ship(spark)
+
     def unpack(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
@@ -94,6 +98,8 @@ def read_daily_zips(
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(root).select("path", "content")
     files = files.filter(_wanted(F.col("path"), pattern, symbols)).withColumn("symbol", F.upper(F.regexp_extract("path", pattern, 1)))
 
+    ship(spark)
+
     def unpack(batches):
         for pdf in batches:
             for symbol, content in zip(pdf["symbol"], pdf["content"], strict=True):

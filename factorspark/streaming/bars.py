@@ -15,6 +15,7 @@ from ..operators.metrics import combine
 from ..operators.panel import densify
 from ..operators.scale import measured_side
 from ..plans.evaluate import add_factors
+from ..session import ship
 from ..plans.formula import DEFAULT, FormulaOptions, parse, reach
 
 LATENESS = "5 days"  # fixed value: how long an open day waits for late bars
@@ -65,6 +66,7 @@ def bounded_history(daily: DataFrame, n: int, min_rows: int = 40) -> DataFrame:
         state.update((last, [known[d] for d in last]))
         yield pd.DataFrame({"symbol": [key[0]], "bars": [len(last)], "last_date": [last[-1]], "enough": [len(last) >= min_rows]})
 
+    ship(daily.sparkSession)
     symbol = daily.schema["symbol"].dataType.simpleString()
     return (
         daily.select("symbol", "date", "close")
