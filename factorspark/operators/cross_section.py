@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .panel import Panel
+from . import scale
 from .scale import average_rank, group_percentiles, position_in_group, small_side
 
 
@@ -20,7 +21,7 @@ def _standardised(
     panel: Panel,
     cols: Sequence[str],
     spread: Callable,
-    scale: Callable[[Column, Column], Column],
+    divisor: Callable[[Column, Column], Column],
     by: Sequence[str] = ("date",),
     missing: float | None = 0.0,
 ) -> Panel:
@@ -32,7 +33,7 @@ def _standardised(
     joined = panel.df.join(small_side(stats, panel.n_dates), list(by))
     out = {}
     for c in cols:
-        z = F.try_divide(F.col(c) - F.col(f"_m_{c}"), scale(F.col(f"_s_{c}"), F.col(f"_n_{c}")))
+        z = F.try_divide(F.col(c) - F.col(f"_m_{c}"), divisor(F.col(f"_s_{c}"), F.col(f"_n_{c}")))
         out[c] = z if missing is None else F.coalesce(z, F.lit(missing))
     return panel.over(joined.withColumns(out).select(*panel.df.columns))
 
@@ -52,11 +53,20 @@ def zscore_sample(panel: Panel, cols: Sequence[str]) -> Panel:
     return _standardised(panel, cols, F.stddev_samp, lambda s, n: s, missing=None)
 
 
+def _with_percentiles(panel: Panel, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Columns ``_q_<col>`` with the percentiles of the row's date: one window pass over dates that fit a task
+    (nothing upstream is computed twice), else the distributed percentiles joined back."""
+    if panel.n_symbols <= scale.MAX_GROUP_ROWS:
+        wanted, day = F.array(*[F.lit(float(p)) for p in probs]), Window.partitionBy(*by)
+        return panel.df.withColumns({f"_q_{c}": F.percentile(c, wanted).over(day) for c in cols})
+    limits = group_percentiles(panel.df, by, cols, probs, ["symbol"], panel.n_symbols)
+    limits = limits.select(*by, *[F.col(c).alias(f"_q_{c}") for c in cols])
+    return panel.df.join(small_side(limits, panel.n_dates), list(by), "left")
+
+
 def winsorize(panel: Panel, cols: Sequence[str], p: float = 0.01, by: Sequence[str] = ("date",)) -> Panel:
     """Clip to the p and 1-p quantiles of the date; missing stays missing."""
-    limits = group_percentiles(panel.df, by, cols, [p, 1 - p], ["symbol"], panel.n_symbols)
-    limits = limits.select(*by, *[F.col(c).alias(f"_q_{c}") for c in cols])
-    joined = panel.df.join(small_side(limits, panel.n_dates), list(by))
+    joined = _with_percentiles(panel, cols, [p, 1 - p], by)
     clipped = {
         c: F.when(
             F.col(c).isNotNull(),
@@ -72,22 +82,21 @@ def rank_average(panel: Panel, col: str, name: str) -> Panel:
 
 
 def median_fill(panel: Panel, cols: Sequence[str]) -> Panel:
-    middle = group_percentiles(panel.df, ["date"], cols, [0.5], ["symbol"], panel.n_symbols)
-    middle = middle.select("date", *[F.get(c, F.lit(0)).alias(f"_q_{c}") for c in cols])
-    joined = panel.df.join(small_side(middle, panel.n_dates), "date")
-    return panel.over(joined.withColumns({c: F.coalesce(c, f"_q_{c}") for c in cols}).select(*panel.df.columns))
+    joined = _with_percentiles(panel, cols, [0.5], ["date"])
+    filled = {c: F.coalesce(F.col(c), F.get(f"_q_{c}", F.lit(0))) for c in cols}
+    return panel.over(joined.withColumns(filled).select(*panel.df.columns))
 
 
 def rank_columns(panel: Panel, score: str) -> Panel:
     """``rank`` 1..n by score (best first, ties by symbol) and ``percentile`` = rank / n * 100."""
     valid = panel.df.filter(F.col(score).isNotNull())
     placed = position_in_group(valid, ["date"], [F.col(score).desc(), F.col("symbol")], "rank", panel.n_symbols)
-    counts = small_side(valid.groupBy("date").agg(F.count(F.lit(1)).alias("_n")), panel.n_dates)
+    if panel.n_symbols <= scale.MAX_GROUP_ROWS:
+        sized = placed.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("date")))
+    else:
+        sized = placed.join(small_side(valid.groupBy("date").agg(F.count(F.lit(1)).alias("_n")), panel.n_dates), "date")
     return panel.over(
-        placed.join(counts, "date")
-        .withColumn("rank", F.col("rank") + 1)
-        .withColumn("percentile", F.col("rank") / F.col("_n") * 100.0)
-        .drop("_n")
+        sized.withColumn("rank", F.col("rank") + 1).withColumn("percentile", F.col("rank") / F.col("_n") * 100.0).drop("_n")
     )
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, ship
-from .scale import MAX_BROADCAST_ROWS, average_rank, max_group_rows, measured_side, position_in_group, running_total
+from . import scale
+from .scale import average_rank, max_group_rows, measured_side, position_in_group, running_total
 
 LOG_EPS = 1e-15  # fixed value
 
@@ -261,7 +262,7 @@ def skyline(df: DataFrame, costs: Sequence[str], unique: str) -> DataFrame:
 
     survivors = cut(points.mapInPandas(local, points.schema))
     # The side that is compared against travels in chunks of bounded size, however many points survive.
-    chunks = -(-survivors.count() // MAX_BROADCAST_ROWS)
+    chunks = -(-survivors.count() // scale.MAX_BROADCAST_ROWS)
     no_worse, better = F.lit(True), F.lit(False)
     for c in costs:
         no_worse = no_worse & (F.col(f"b.{c}") <= F.col(f"a.{c}"))

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scale import MAX_BROADCAST_ROWS, measured_side, ordered_position, small_side
+from . import scale
+from .scale import measured_side, ordered_position, small_side
 
 MAX_LOCAL_DATES = 100_000
 WIDE_RSD = 0.05
@@ -170,8 +171,8 @@ def measure(df: DataFrame, date: Column, symbol: Column) -> tuple[list | None, i
 def calendar(df: DataFrame, n_dates: int | None = None) -> DataFrame:
     """Sorted distinct dates with a 0-based ``date_idx``."""
     days = df.select("date").filter(F.col("date").isNotNull()).distinct()
-    n = days.limit(MAX_BROADCAST_ROWS + 1).count() if n_dates is None else n_dates
-    if n <= MAX_BROADCAST_ROWS:
+    n = days.limit(scale.MAX_BROADCAST_ROWS + 1).count() if n_dates is None else n_dates
+    if n <= scale.MAX_BROADCAST_ROWS:
         return days.withColumn("date_idx", (F.row_number().over(Window.orderBy("date")) - 1).cast("long"))
     return ordered_position(days, [], [F.col("date")], "date_idx")
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .cross_section import median_fill, zscore_guarded, zscore_sample
 from .metrics import combine
 from .panel import Panel
-from .scale import MAX_GROUP_ROWS, group_percentiles, max_group_rows, measured_side, position_in_group, small_side
+from . import scale
+from .scale import group_percentiles, max_group_rows, measured_side, position_in_group, small_side
 
 # Screen and sizing limits.
 MIN_PRICE = 5.0
@@ -29,12 +30,12 @@ def raw_score(panel: Panel, weights: Mapping[str, float], name: str = "score") -
     return combine(panel, weights, name)
 
 
-def proxy_score(panel: Panel, weights: Mapping[str, float] | None = None, scale: float = 0.02) -> Panel:
-    """Valuation proxy: filled, weighted, standardised; ``predicted_return`` is the z-score times ``scale``."""
+def proxy_score(panel: Panel, weights: Mapping[str, float] | None = None, per_unit: float = 0.02) -> Panel:
+    """Valuation proxy: filled, weighted, standardised; ``predicted_return`` is the z-score times ``per_unit``."""
     weights = weights or {"pe_ratio": -0.3, "pb_ratio": -0.3}
     scored = combine(median_fill(panel, list(weights)), weights)
     z = zscore_sample(scored, ["score"])
-    return z.over(z.df.withColumn("predicted_return", F.col("score") * F.lit(scale)))
+    return z.over(z.df.withColumn("predicted_return", F.col("score") * F.lit(per_unit)))
 
 
 def ranked(df: DataFrame, score: str, by: Sequence[str] = ("date",), n_symbols: int | None = None) -> DataFrame:
@@ -76,7 +77,7 @@ def screen_counts(df: DataFrame, price: str = "close", volume: str = "volume", b
 def _sized(panel: Panel, score: str) -> DataFrame:
     """Ranked rows with the number ``_n`` of scored names of their date."""
     valid = panel.df.filter(F.col(score).isNotNull())
-    if panel.n_symbols <= MAX_GROUP_ROWS:
+    if panel.n_symbols <= scale.MAX_GROUP_ROWS:
         day = Window.partitionBy("date")
         place = F.row_number().over(day.orderBy(F.col(score).desc(), "symbol")).cast("long")
         return valid.withColumns({"rank": place, "_n": F.count(F.lit(1)).over(day)})

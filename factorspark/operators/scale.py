@@ -95,15 +95,12 @@ def average_rank(
         ranked = F.rank().over(Window.partitionBy(*by).orderBy(F.col(col).asc_nulls_last())) - 1
         ties = F.count(F.lit(1)).over(Window.partitionBy(*by, col))
         return df.withColumn(name, F.when(F.col(col).isNotNull(), ranked + (ties - 1) / F.lit(2.0)))
-    # Equal values are one row here, so a value shared by a third of the group costs no more than any other.
-    placed = ordered_position(
-        df.filter(F.col(col).isNotNull()).select(*by, col, *[c for c in unique if c not in by]),
-        by,
-        [F.col(col), *[F.col(c) for c in unique if c not in by]],
-        "_at",
-    )
+    # Ranks come from the checkpointed rows and go back to the same rows: values computed twice could differ in
+    # their last bits. Equal values are one row of the joined side, and AQE splits a value that is very common.
+    rest = [F.col(c) for c in unique if c not in by]
+    placed = ordered_position(df, by, [F.col(col).asc_nulls_last(), *rest], "_at")
     per_value = placed.groupBy(*by, col).agg(((F.min("_at") + F.max("_at")) / F.lit(2.0)).alias(name))
-    return df.join(per_value, [*by, col], "left")
+    return placed.join(per_value, [*by, col], "left").withColumn(name, F.when(F.col(col).isNotNull(), F.col(name))).drop("_at")
 
 
 def group_percentiles(
@@ -128,18 +125,21 @@ def group_percentiles(
     for c in cols:
         rest = [u for u in unique if u not in by]
         valid = df.filter(F.col(c).isNotNull()).select(*by, c, *rest)
+        placed = ordered_position(valid, by, [F.col(c), *[F.col(u) for u in rest]], "_at")
         counts = valid.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-        placed = ordered_position(valid, by, [F.col(c), *[F.col(u) for u in rest]], "_at").join(counts, by)
+        placed = placed.join(counts, by) if by else placed.withColumn("_n", counts.scalar())
         parts = []
         for i, p in enumerate(probs):
             exact = F.lit(float(p)) * (F.col("_n") - 1)
             low, high = F.floor(exact), F.ceil(exact)
             weight = F.when(low == high, F.lit(1.0)).when(F.col("_at") == low, high - exact).otherwise(exact - low)
-            hit = F.col("_at").isin(low, high)
-            parts.append(F.sum(F.when(hit, F.col(c) * weight)).alias(f"_p{i}"))
+            parts.append(F.sum(F.when(F.col("_at").isin(low, high), F.col(c) * weight)).alias(f"_p{i}"))
         one = placed.groupBy(*by).agg(*parts)
         one = one.select(*by, F.array(*[F.col(f"_p{i}") for i in range(len(probs))]).alias(c))
-        out = one if out is None else out.join(one, by, "full_outer")
+        if out is None:
+            out = one
+        else:
+            out = out.join(one, by, "full_outer") if by else out.withColumn(c, one.scalar())
     return out
 
 

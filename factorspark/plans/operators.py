@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling as R
 from ..functions import scalar as S
-from ..operators.scale import MAX_GROUP_ROWS, ordered_position, spread
+from ..operators import scale
+from ..operators.scale import ordered_position, spread
 from ..session import ship
 
 
@@ -81,7 +82,7 @@ class SeriesFrame(Operator):
 def cs_rank(df: DataFrame, column: str, result: str, n_symbols: int) -> DataFrame:
     """0-based ordinal rank over the number of present values; ties by symbol."""
     x = F.col(column)
-    if n_symbols <= MAX_GROUP_ROWS:
+    if n_symbols <= scale.MAX_GROUP_ROWS:
         day = Window.partitionBy("date")
         place = F.row_number().over(day.orderBy(x.asc_nulls_last(), "symbol")) - 1
         return df.withColumn(result, F.when(x.isNotNull(), place / F.count(x).over(day)))
