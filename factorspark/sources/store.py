@@ -57,7 +57,10 @@ def select_features(df: DataFrame, start, end, feature_patterns=None, symbols=No
 
 
 def export(df: DataFrame, path: str, formats: Sequence[str] = ("parquet", "csv")) -> None:
-    """``parquet``, ``csv`` and/or ``per_symbol_csv`` (a folder per symbol, sorted by date)."""
+    """``parquet``, ``csv`` and/or ``per_symbol_csv`` (a folder per symbol, sorted by date).
+
+    The range shuffle lets several tasks write a symbol with very many rows, each a stretch of its dates.
+    """
     if "parquet" in formats:
         df.write.mode("overwrite").parquet(f"{path}/parquet")
     if "csv" in formats:
@@ -65,8 +68,8 @@ def export(df: DataFrame, path: str, formats: Sequence[str] = ("parquet", "csv")
     if "per_symbol_csv" in formats:
         (
             df.withColumn("_symbol", F.col("symbol"))
-            .repartition("symbol")
-            .sortWithinPartitions("symbol", "date")
+            .repartitionByRange("_symbol", "date")
+            .sortWithinPartitions("_symbol", "date")
             .write.mode("overwrite")
             .option("header", "true")
             .partitionBy("_symbol")
