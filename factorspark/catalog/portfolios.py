@@ -64,7 +64,7 @@ RANKED_SQL = f"{SCORE_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY
 @query("top_k", f"WITH {BARS_SQL}, r AS (SELECT symbol, date, row_number() OVER (PARTITION BY date ORDER BY close DESC, symbol) AS rank FROM bars) SELECT symbol, date, rank FROM r WHERE rank <= 7")
 def top_k(spark, folder):
     p = panel(spark, folder)
-    return G.top_k(p.df.select("symbol", "date", "close"), "close", 7, p.n_symbols).select("symbol", "date", "rank")
+    return G.top_k(p.df.select("symbol", "date", "close"), "close", 7).select("symbol", "date", F.col("rank").cast("long").alias("rank"))
 
 
 @query("latest_top_k", f"WITH {BARS_SQL} SELECT symbol, {q6('close')} AS close, row_number() OVER (ORDER BY close DESC, symbol) AS rank FROM bars WHERE date = (SELECT max(date) FROM bars) ORDER BY close DESC, symbol LIMIT 10")
@@ -93,7 +93,7 @@ def longs(spark, folder):
 
 @query("long_only", f"WITH {LONG_SQL} SELECT date, symbol, rank, {q6('weight')} AS weight FROM longs")
 def long_only(spark, folder):
-    return longs(spark, folder)[1].select("date", "symbol", "rank", r6("weight").alias("weight"))
+    return longs(spark, folder)[1].select("date", "symbol", F.col("rank").cast("long").alias("rank"), r6("weight").alias("weight"))
 
 
 @query(
@@ -187,7 +187,7 @@ def swap_decision(spark, folder):
         "symbol", "date", (s % 7 != 0).alias("buyable"), (s % 5 != 0).alias("sellable"), F.col("close").alias("signal"),
         F.when(s % 10 == F.col("date_idx") % 10, s % 4).alias("days_holded"),
     )
-    return G.swap_decision(status, 12, 3, group_rows=p.n_symbols).select("date", "symbol", "action")
+    return G.swap_decision(status, 12, 3).select("date", "symbol", "action")
 
 
 @query("cash_allocation", f"WITH {LONG_SQL} SELECT l.date, l.symbol, {q6('95000.0 / count(*) OVER (PARTITION BY l.date)')} AS value, {q6('95000.0 / count(*) OVER (PARTITION BY l.date) / nullif(s.close, 0)')} AS amount FROM longs l JOIN s ON l.date = s.date AND l.symbol = s.symbol")
@@ -210,14 +210,14 @@ def weight_summary(spark, folder):
 
 # --- pool tables ---------------------------------------------------------------------------------
 
-# One pool per brand: its parts are the members, price differences the weights.
-MEMBERS_SQL = "members AS (SELECT p_brand AS pool_id, CAST(p_partkey AS INTEGER) AS idx, p_name || p_partkey AS expr, (p_retailprice - 950.0) / 100.0 AS weight FROM part)"
+# One pool per hundred parts, so pools keep their size as the table grows; price differences are the weights.
+MEMBERS_SQL = "members AS (SELECT p_partkey // 100 AS pool_id, CAST(p_partkey AS INTEGER) AS idx, p_name || p_partkey AS expr, (p_retailprice - 950.0) / 100.0 AS weight FROM part)"
 
 
 def members(spark, folder):
     p = table(spark, folder, "part")
     return p.select(
-        F.col("p_brand").alias("pool_id"), F.col("p_partkey").cast("int").alias("idx"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("expr"),
+        F.floor(F.col("p_partkey") / 100).alias("pool_id"), F.col("p_partkey").cast("int").alias("idx"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("expr"),
         ((F.col("p_retailprice") - 950.0) / 100.0).alias("weight"),
     )
 

@@ -17,7 +17,7 @@ from ..plans.formula import DEFAULT, FormulaOptions, Node
 from ..session import ship
 from .cross_section import rank_average, zscore
 from .panel import Panel
-from .scale import measured_side, position_in_group, small_side, spread
+from .scale import measured_side, small_side, spread, top_in_group
 
 IC_STD_FLOOR = 1e-3  # fixed value: below this spread the covariance is not scaled
 WIDE_PAIRS = 12  # up to this many columns all pairs fit one aggregate
@@ -296,13 +296,13 @@ def selection_turnover_samples(
         .filter(F.col("date_idx") < last)
         .select(F.col("date_idx").alias("start"), F.least(F.lit(k), "_n", "_n2").alias("k"))
     )
-    placed = position_in_group(step, ["date_idx"], [F.col(score).desc(), F.col("symbol")], "_at", panel.n_symbols)
-    tagged = placed.filter(F.col("_at") < k).select(
+    best = top_in_group(step, ["date_idx"], [F.col(score).desc(), F.col("symbol")], k, "_at")
+    tagged = best.select(
         "symbol", "_at", F.explode(F.array(F.col("date_idx"), F.col("date_idx") - h)).alias("start")
     )
     stayed = (
         tagged.join(small_side(sizes, panel.n_dates), "start")
-        .filter(F.col("_at") < F.col("k"))
+        .filter(F.col("_at") <= F.col("k"))
         .groupBy("start", "symbol", "k")
         .count()
         .groupBy("start", "k")

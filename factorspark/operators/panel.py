@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scale
-from .scale import measured_side, ordered_position, small_side
+from .scale import max_group_rows, measured_side, ordered_position, small_side
 
 MAX_LOCAL_DATES = 100_000
 WIDE_RSD = 0.05
@@ -347,25 +347,52 @@ def common_symbols(left: DataFrame, right: DataFrame) -> DataFrame:
     return shared
 
 
-def asof_fill(bars: DataFrame, slow: DataFrame, cols: Sequence[str], default: float | None = None, on: str = "date") -> DataFrame:
+def asof_fill(
+    bars: DataFrame,
+    slow: DataFrame,
+    cols: Sequence[str],
+    default: float | None = None,
+    on: str = "date",
+    group_rows: int | None = None,
+) -> DataFrame:
     """The latest known slow value on or before each bar date, else ``default``.
 
     Both sides are stacked and carried forward by one window: a shuffle by symbol, no join. ``slow`` holds one
-    row per (symbol, date), so a symbol's series is never longer than the two calendars together.
+    row per (symbol, date). A symbol with more rows than one task should sort is cut into months; what the
+    earlier months leave behind enters each month as one more slow row.
     """
-    keep = [c for c in bars.columns]
+    rows = max_group_rows(bars, ["symbol"]) if group_rows is None else group_rows
+    keys = ["symbol"]
+    if rows > scale.MAX_GROUP_ROWS:
+        keys = ["symbol", "_month"]
+        bars, slow = (df.withColumn("_month", F.trunc(on, "month")) for df in (bars, slow))
+        slow = slow.select("symbol", on, *cols, "_month").unionByName(_carried_in(bars, slow, cols, on))
+    keep = [c for c in bars.columns if c != "_month"]
     left = bars.withColumn("_bar", F.lit(1))
-    right = slow.select("symbol", on, *cols)
-    stacked = left.select(*keep, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in cols], "_bar").unionByName(
+    right = slow.select(*keys, on, *cols)
+    stacked = left.select(*dict.fromkeys([*keep, *keys]), *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in cols], "_bar").unionByName(
         right.withColumn("_bar", F.lit(0)), allowMissingColumns=True
     )
-    w = Window.partitionBy("symbol").orderBy(on, "_bar").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy(on, "_bar").rowsBetween(Window.unboundedPreceding, 0)
     filled = {c: F.last(c, ignorenulls=True).over(w) for c in cols}
     if default is not None:
         filled = {c: F.coalesce(v, F.lit(default)) for c, v in filled.items()}
     return stacked.withColumns(filled).filter(F.col("_bar") == 1).select(*keep, *cols)
 
 
+def _carried_in(bars: DataFrame, slow: DataFrame, cols: Sequence[str], on: str) -> DataFrame:
+    """The last present slow values before each (symbol, month) of the bars, dated at the start of the month."""
+    last = slow.groupBy("symbol", "_month").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(on))).alias(c) for c in cols])
+    months = bars.select("symbol", "_month").distinct().join(last, ["symbol", "_month"], "full_outer")
+    before = Window.partitionBy("symbol").orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    return months.select(
+        "symbol",
+        F.col("_month").cast(slow.schema[on].dataType).alias(on),
+        *[F.last(c, ignorenulls=True).over(before).alias(c) for c in cols],
+        "_month",
+    ).withColumn(on, F.date_sub(F.col(on), 1) if slow.schema[on].dataType == T.DateType() else F.col(on) - F.expr("INTERVAL 1 SECOND"))
+
+
 def asof_lookup(df: DataFrame, day) -> DataFrame:
     """The last row of each symbol on or before ``day``."""
     rest = [c for c in df.columns if c != "symbol"]

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.evaluate import add_factors
@@ -14,6 +14,7 @@ from ..plans.formula import DEFAULT, FormulaOptions, parse
 from .cross_section import zscore
 from .metrics import IC_STD_FLOOR, gram_rows, mutual_from_grams, mutual_ic_matrix
 from .panel import Panel
+from .scale import top_in_group
 
 MUTUAL_LIMIT = 0.99  # fixed value: a candidate this close to a member adds nothing
 MAX_STATISTICS = 50_000_000  # numbers the driver takes for the per-date objectives
@@ -371,8 +372,7 @@ def admission_filter(
 
 def significant_members(pool: DataFrame, k: int) -> DataFrame:
     """The k members with the largest absolute weights of each pool."""
-    w = Window.partitionBy("pool_id").orderBy(F.abs("weight").desc(), "idx")
-    return pool.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return top_in_group(pool, ["pool_id"], [F.abs("weight").desc(), F.col("idx")], k, "rank")
 
 
 def pool_diagnostics(log: DataFrame) -> DataFrame:

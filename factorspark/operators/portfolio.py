@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from .cross_section import median_fill, zscore_guarded, zscore_sample
 from .metrics import combine
 from .panel import Panel
-from . import scale
-from .scale import group_percentiles, max_group_rows, measured_side, position_in_group, small_side
+from .scale import group_percentiles, max_group_rows, measured_side, position_in_group, small_side, top_in_group
 
 # Screen and sizing limits.
 MIN_PRICE = 5.0
@@ -45,9 +44,9 @@ def ranked(df: DataFrame, score: str, by: Sequence[str] = ("date",), n_symbols:
     return placed.withColumn("rank", F.col("rank") + 1)
 
 
-def top_k(df: DataFrame, score: str, k: int, n_symbols: int | None = None) -> DataFrame:
-    """The k best per date, with rank."""
-    return ranked(df, score, n_symbols=n_symbols).filter(F.col("rank") <= k)
+def top_k(df: DataFrame, score: str, k: int) -> DataFrame:
+    """The k best per date, with rank, ties by symbol."""
+    return top_in_group(df.filter(F.col(score).isNotNull()), ["date"], [F.col(score).desc(), F.col("symbol")], k, "rank")
 
 
 def latest_top_k(df: DataFrame, score: str, k: int, day=None) -> DataFrame:
@@ -74,15 +73,8 @@ def screen_counts(df: DataFrame, price: str = "close", volume: str = "volume", b
     return df.groupBy(*by, screen_reason(F.col(price), F.col(volume)).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _sized(panel: Panel, score: str) -> DataFrame:
-    """Ranked rows with the number ``_n`` of scored names of their date."""
-    valid = panel.df.filter(F.col(score).isNotNull())
-    if panel.n_symbols <= scale.MAX_GROUP_ROWS:
-        day = Window.partitionBy("date")
-        place = F.row_number().over(day.orderBy(F.col(score).desc(), "symbol")).cast("long")
-        return valid.withColumns({"rank": place, "_n": F.count(F.lit(1)).over(day)})
-    counts = valid.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
-    return ranked(valid, score, n_symbols=panel.n_symbols).join(small_side(counts, panel.n_dates), "date")
+def _scored_counts(panel: Panel, score: str) -> DataFrame:
+    return small_side(panel.df.filter(F.col(score).isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("_n")), panel.n_dates)
 
 
 def _days(df: DataFrame) -> list[str]:
@@ -101,7 +93,8 @@ def long_only(
     """(date, date_idx, symbol, rank, weight): equal weights of the top quantile, capped in number and size."""
     n = F.floor(F.col("_n") * F.lit(float(quantile)))
     n = F.least(F.lit(max_positions), F.greatest(n, F.lit(1)) if at_least_one else n)
-    rows = _sized(panel, score).withColumn("_k", n)
+    best = top_k(panel.df.select(*_days(panel.df), "symbol", score), score, max_positions)
+    rows = best.join(_scored_counts(panel, score), "date").withColumn("_k", n)
     held = rows.filter((F.col("rank") <= F.col("_k")) & (F.col("_n") >= min_names))
     return held.select(*_days(held), "symbol", "rank", F.least(F.lit(1.0) / F.col("_k"), F.lit(max_weight)).alias("weight"))
 
@@ -110,11 +103,16 @@ def long_short(
     panel: Panel, score: str, quantile: float = 0.2, max_positions: int = MAX_POSITIONS, max_weight: float = MAX_POSITION
 ) -> DataFrame:
     """(date, date_idx, symbol, weight): half the money on each side; a name in both quantiles is short."""
-    n = F.least(F.floor(F.col("_n") * F.lit(float(quantile))), F.lit(max_positions // 2))
-    rows = _sized(panel, score).withColumn("_k", n).filter(F.col("_k") > 0)
+    side = max_positions // 2
+    valid = panel.df.filter(F.col(score).isNotNull()).select(*_days(panel.df), "symbol", score)
+    best = top_k(valid, score, side).withColumn("_sign", F.lit(1.0))
+    worst = top_in_group(valid, ["date"], [F.col(score), F.col("symbol").desc()], side, "rank").withColumn("_sign", F.lit(-1.0))
+    n = F.least(F.floor(F.col("_n") * F.lit(float(quantile))), F.lit(side))
+    rows = best.unionByName(worst).join(_scored_counts(panel, score), "date").withColumn("_k", n).filter(F.col("rank") <= F.col("_k"))
     size = F.least(F.lit(0.5) / F.col("_k"), F.lit(max_weight))
-    weight = F.when(F.col("rank") > F.col("_n") - F.col("_k"), -size).when(F.col("rank") <= F.col("_k"), size)
-    return rows.withColumn("weight", weight).filter(F.col("weight").isNotNull()).select(*_days(rows), "symbol", "weight")
+    # With more than half of the names on each side a name may be in both; the short side counts.
+    weight = F.min(F.col("_sign") * size).alias("weight")
+    return rows.groupBy(*_days(rows), "symbol").agg(weight)
 
 
 def rebalance_dates(df: DataFrame) -> DataFrame:
@@ -160,7 +158,7 @@ def portfolio_diff(weights: DataFrame, step: str = "date_idx") -> DataFrame:
     return kept.withColumn("action", F.when(F.col("weight") == 0, "sell").otherwise("set"))
 
 
-def swap_decision(status: DataFrame, k: int, n_swap: int, min_hold_days: int = 1, by: Sequence[str] = ("date",), group_rows: int | None = None) -> DataFrame:
+def swap_decision(status: DataFrame, k: int, n_swap: int, min_hold_days: int = 1, by: Sequence[str] = ("date",)) -> DataFrame:
     """Buy and sell lists per group: (by, symbol, action) with ``swap_in``, ``swap_out`` or ``open``.
 
     ``status``: (by, symbol, buyable, sellable, signal, days_holded), days_holded NULL when not held. The i-th best
@@ -172,21 +170,18 @@ def swap_decision(status: DataFrame, k: int, n_swap: int, min_hold_days: int = 1
     held = F.col("days_holded").isNotNull()
     candidates = valid.filter(~held & F.col("buyable"))
     sellable = valid.filter(held & F.col("sellable") & (F.col("days_holded") >= min_hold_days))
-    best = position_in_group(candidates, by, [F.col("signal").desc(), F.col("symbol")], "_at", group_rows)
-    worst = position_in_group(sellable, by, [F.col("signal"), F.col("symbol").desc()], "_at", group_rows)
-    slim = [*by, "_at", "symbol", "signal"]
-    pairs = (
-        best.filter(F.col("_at") < n_swap).select(*slim)
-        .join(worst.filter(F.col("_at") < n_swap).select(*by, "_at", F.col("symbol").alias("out"), F.col("signal").alias("out_signal")), [*by, "_at"])
-        .filter(F.col("signal") > F.col("out_signal"))
-    )
+    slim = [*by, "symbol", "signal"]
+    best = top_in_group(candidates.select(*slim), by, [F.col("signal").desc(), F.col("symbol")], n_swap + k, "_at")
+    worst = top_in_group(sellable.select(*slim), by, [F.col("signal"), F.col("symbol").desc()], max(n_swap, 1), "_at")
+    swaps = F.col("_at") <= n_swap
+    outgoing = worst.filter(swaps).select(*by, "_at", F.col("symbol").alias("out"), F.col("signal").alias("out_signal"))
+    pairs = best.filter(swaps).join(outgoing, [*by, "_at"]).filter(F.col("signal") > F.col("out_signal"))
     free = status.groupBy(*by).agg(F.greatest(F.lit(k) - F.count("days_holded"), F.lit(0)).alias("_free"))
     swapped = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_s"))
     room = free.join(swapped, by, "left").withColumn("_s", F.coalesce("_s", F.lit(0)))
     opens = (
-        best.filter(F.col("_at") < n_swap + k).select(*slim)
-        .join(room, by)
-        .filter((F.col("_at") >= F.col("_s")) & (F.col("_at") < F.col("_s") + F.col("_free")))
+        best.join(room, by)
+        .filter((F.col("_at") > F.col("_s")) & (F.col("_at") <= F.col("_s") + F.col("_free")))
         .select(*by, "symbol", F.lit("open").alias("action"))
     )
     both = pairs.select(

@@ -18,6 +18,7 @@ from ..session import cut
 
 MAX_BROADCAST_ROWS = 200_000
 MAX_GROUP_ROWS = 2_000_000
+MAP_SIDE_TOP = 1_000  # the largest k Spark prunes per task (spark.sql.optimizer.windowGroupLimitThreshold)
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in its lower 33 bits
 
@@ -85,6 +86,17 @@ def position_in_group(
     return ordered_position(df, by, order, name)
 
 
+def top_in_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str) -> DataFrame:
+    """The first k rows of each group, numbered from 1.
+
+    The filter sits right on the row number, so Spark keeps only the k best of a group per task *before* the
+    shuffle: a group of any size costs k rows per task.
+    """
+    if k > MAP_SIDE_TOP:
+        return ordered_position(df, by, order, name).withColumn(name, F.col(name) + 1).filter(F.col(name) <= k)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= k)
+
+
 def average_rank(
     df: DataFrame, by: Sequence[str], col: str, name: str, unique: Sequence[str], group_rows: int | None = None
 ) -> DataFrame:
@@ -92,8 +104,9 @@ def average_rank(
     by = list(by)
     size = max_group_rows(df, by) if group_rows is None else group_rows
     if size <= MAX_GROUP_ROWS:
-        ranked = F.rank().over(Window.partitionBy(*by).orderBy(F.col(col).asc_nulls_last())) - 1
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, col))
+        order = Window.partitionBy(*by).orderBy(F.col(col).asc_nulls_last())
+        ranked = F.rank().over(order) - 1
+        ties = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))  # peers, same sort
         return df.withColumn(name, F.when(F.col(col).isNotNull(), ranked + (ties - 1) / F.lit(2.0)))
     # Ranks come from the checkpointed rows and go back to the same rows: values computed twice could differ in
     # their last bits. Equal values are one row of the joined side, and AQE splits a value that is very common.

@@ -89,31 +89,31 @@ def score_new_bars(
     Formulas see only as many stored dates as they reach back; a batch replayed after a failure first drops the
     rows it already wrote, so nothing is scored twice.
     """
-    _append_once(spark, new, store)
-    days = new.select("date").distinct()
-    first = days.agg(F.min("date")).first()[0]
-    if first is None:
+    span = new.agg(F.min("date"), F.max("date")).first()
+    if span[0] is None:
         return
+    _append_once(spark, new, store, span)
     back = max(reach(parse(f, options))[0] for f in pool)
-    stored = spark.read.parquet(store).dropDuplicates(["symbol", "date"])
-    earlier = stored.filter(F.col("date") < F.lit(first)).select("date").distinct().orderBy(F.col("date").desc()).limit(back)
-    start = earlier.agg(F.min("date")).first()[0] or first
-    panel = densify(stored.filter(F.col("date") >= F.lit(start)))
+    bars = spark.read.parquet(store)
+    earlier = bars.filter(F.col("date") < F.lit(span[0])).select("date").distinct().orderBy(F.col("date").desc()).limit(back)
+    start = earlier.agg(F.min("date")).first()[0] or span[0]
+    # The date filters reach the scan, so only the lookback is read from the store.
+    panel = densify(bars.filter(F.col("date").between(F.lit(start), F.lit(span[1]))))
     names = {f"_a{i}": f for i, f in enumerate(pool)}
     z = zscore_guarded(add_factors(panel, names, options), list(names))
     scored = combine(z, {n: pool[f] for n, f in names.items()})
-    fresh = scored.df.join(measured_side(days), "date", "left_semi")
-    _append_once(spark, fresh.select("symbol", "date", "score"), scores)
+    fresh = scored.df.join(measured_side(new.select("date").distinct()), "date", "left_semi")
+    _append_once(spark, fresh.select("symbol", "date", "score"), scores, span)
 
 
-def _append_once(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Append rows whose (symbol, date) is not stored yet."""
+def _append_once(spark: SparkSession, rows: DataFrame, path: str, span) -> None:
+    """Append the rows whose (symbol, date) is not stored yet; only the stored dates of the span are looked at."""
     try:
-        have = spark.read.parquet(path).select("symbol", "date")
+        have = spark.read.parquet(path).filter(F.col("date").between(F.lit(span[0]), F.lit(span[1])))
     except AnalysisException:
         rows.write.mode("append").parquet(path)
         return
-    rows.join(have, ["symbol", "date"], "left_anti").write.mode("append").parquet(path)
+    rows.join(have.select("symbol", "date"), ["symbol", "date"], "left_anti").write.mode("append").parquet(path)
 
 
 def with_monthly_factors(daily: DataFrame, months: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ SPLIT = [
     "ic_daily", "rank_ic_daily", "rank_ic_daily_raw", "pool_metrics", "turnover_samples", "walk_forward", "top_k",
     "long_only", "long_short", "swap_decision", "proxy_score", "score_summary", "weighted_spearman", "spearman",
     "weighted_quantile", "quantile_filter", "skyline", "calendar", "universe_range_join", "incremental_append",
-    "te_share", "market_values", "align_calendar",
+    "te_share", "market_values", "align_calendar", "asof_fill", "readjust", "portfolio_diff",
 ]
 
 
