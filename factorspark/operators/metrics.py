@@ -5,7 +5,7 @@ Everything per date is an aggregate with map-side combine; only daily series (on
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -255,13 +255,25 @@ def segment_metrics(daily: DataFrame, segments: DataFrame, cols: Sequence[str])
 
 
 def score_candidates(
-    panel: Panel, formulas: Sequence[str], target: str, options: FormulaOptions = DEFAULT, missing: float = -1.0
+    panel: Panel,
+    formulas: Sequence[str],
+    target: str,
+    options: FormulaOptions = DEFAULT,
+    missing: float = -1.0,
+    max_parentheses: int | None = None,
 ) -> DataFrame:
     """(expr, ic) for a list of formulas in one job; equal formulas are scored once.
 
-    The panel is unpivoted to one row per (row, formula) and reduced map-side to one row per (formula, date).
+    Formulas with more than ``max_parentheses`` parentheses get the ``missing`` score and are not evaluated. The
+    panel is unpivoted to one row per (row, formula) and reduced map-side to one row per (formula, date).
     """
-    formulas = list(dict.fromkeys(formulas))
+    distinct = list(dict.fromkeys(formulas))
+    limit = max_parentheses if max_parentheses is not None else float("inf")
+    formulas = [f for f in distinct if f.count("(") + f.count(")") <= limit]
+    skipped = [(f, missing) for f in distinct if f not in set(formulas)]
+    if skipped:
+        rest = panel.df.sparkSession.createDataFrame(skipped, "expr string, ic double")
+        return score_candidates(panel, formulas, target, options, missing).unionByName(rest) if formulas else rest
     names = {f"_f{i}": f for i, f in enumerate(formulas)}
     wide = add_factors(panel, {**names, "_y": target}, options).df
     pairs = F.array(*[F.struct(F.lit(f).alias("expr"), F.col(n).alias("x")) for n, f in names.items()])
@@ -270,6 +282,14 @@ def score_candidates(
     return daily.groupBy("expr").agg(F.coalesce(F.avg("ic"), F.lit(missing)).alias("ic"))
 
 
+def score_rounds(
+    panel: Panel, rounds: Iterable[Sequence[str]], target: str, hook: Callable[[int, DataFrame], None], options: FormulaOptions = DEFAULT
+) -> None:
+    """Score one list of formulas after another and call ``hook(round, scores)`` for each."""
+    for i, formulas in enumerate(rounds):
+        hook(i, score_candidates(panel, formulas, target, options))
+
+
 def top_candidates(scores: DataFrame, n: int) -> DataFrame:
     return scores.orderBy(F.col("ic").desc(), "expr").limit(n)
 

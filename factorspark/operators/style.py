@@ -15,8 +15,19 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import Frames, annualised_std, delta, partial_corr
 from ..session import ship
+from ..sources.store import write_store
 from .cross_section import argmin_label, winsorize
-from .panel import Panel, session_return, sessions_to_long, sessions_to_wide
+from .panel import (
+    Panel,
+    benchmark_returns,
+    downcast,
+    measure,
+    session_bars,
+    session_return,
+    sessions_to_long,
+    sessions_to_wide,
+    with_market_values,
+)
 from .scale import measured_side, spread
 
 # Benchmarks, windows in sessions and sessions per year.
@@ -170,3 +181,25 @@ def style_features(
 def style_long(wide: DataFrame) -> DataFrame:
     """The store's long form: one row per (symbol, date, session), keys first."""
     return sessions_to_long(wide)
+
+
+def build_feature_store(
+    minute: DataFrame,
+    path: str,
+    benchmarks: Sequence[str],
+    windows: Sequence[int] = tuple(WINDOWS),
+    shares: DataFrame | None = None,
+    benchmark_minute: DataFrame | None = None,
+    ts: str = "datetime",
+) -> None:
+    """Minute bars to session bars, style features, long form and the partitioned store, in one job.
+
+    ``benchmark_minute`` holds the bars of the benchmarks; by default they are among ``minute``.
+    """
+    _, n_dates, n_symbols = measure(minute, F.to_date(ts), F.col("symbol"))
+    bars = session_bars(minute, ts)
+    if shares is not None:
+        bars = with_market_values(bars, shares)
+    bench = benchmark_returns(session_bars(benchmark_minute if benchmark_minute is not None else minute, ts), benchmarks)
+    wide = style_features(bars, bench, n_dates, n_symbols, benchmarks, windows)
+    write_store(downcast(style_long(wide)), path)
