@@ -262,13 +262,13 @@ def skyline(df: DataFrame, costs: Sequence[str], unique: str) -> DataFrame:
 
     survivors = cut(points.mapInPandas(local, points.schema))
     # The side that is compared against travels in chunks of bounded size, however many points survive.
-    chunks = -(-survivors.count() // scale.MAX_BROADCAST_ROWS)
+    chunks = -(-2 * survivors.count() // scale.MAX_BROADCAST_ROWS)  # hashed evenly, about half the bound each
     no_worse, better = F.lit(True), F.lit(False)
     for c in costs:
         no_worse = no_worse & (F.col(f"b.{c}") <= F.col(f"a.{c}"))
         better = better | (F.col(f"b.{c}") < F.col(f"a.{c}"))
     left = survivors.alias("a")
     for i in range(chunks):
-        chunk = survivors.filter(F.pmod(F.xxhash64(*costs), F.lit(2 * chunks)).isin(2 * i, 2 * i + 1)).alias("b")
+        chunk = survivors.filter(F.pmod(F.xxhash64(*costs), F.lit(chunks)) == i).alias("b")
         left = left.join(F.broadcast(chunk), no_worse & better, "left_anti").alias("a")
     return left

@@ -22,6 +22,7 @@ from .scale import measured_side, small_side, spread, top_in_group
 IC_STD_FLOOR = 1e-3  # fixed value: below this spread the covariance is not scaled
 WIDE_PAIRS = 12  # up to this many columns all pairs fit one aggregate
 ICIR_STD_FLOOR = 1e-6  # fixed value
+ROWS_PER_SALT = 250_000  # symbols of one date that a task sums
 HELD_NUMBERS = 8_000_000  # doubles a task holds before it passes its partial sums on
 
 
@@ -141,13 +142,14 @@ def mutual_ic_daily(panel: Panel, cols: Sequence[str]) -> DataFrame:
     return mutual_from_grams(gram_rows(z, cols))
 
 
-def gram_rows(z: Panel, cols: Sequence[str], salts: int = 16) -> DataFrame:
+def gram_rows(z: Panel, cols: Sequence[str], salts: int | None = None) -> DataFrame:
     """(date, i, j, n, dot): sums of products of normalised columns, i <= j, for many columns.
 
     Rows are spread by (date, hash of the symbol), so a wide date is shared by ``salts`` tasks; each task sums
     one K x K block per date before anything is shuffled again.
     """
     ship(z.df.sparkSession)
+    salts = salts or 8 + z.n_symbols // ROWS_PER_SALT
     k = len(cols)
     upper = np.triu_indices(k)
     slim = z.df.select(

@@ -506,10 +506,13 @@ def sessions_to_long(wide: DataFrame, keys: Sequence[str] = ("symbol", "date"))
 
 
 def sessions_to_wide(long: DataFrame, keys: Sequence[str] = ("symbol", "date")) -> DataFrame:
-    """One row per key with every value column twice (``_am``, ``_pm``); a single aggregate, no self join."""
+    """One row per key with every value column twice (``_am``, ``_pm``); a single aggregate, no self join.
+
+    (keys, session) is unique, so the maximum is the value.
+    """
     values = [c for c in long.columns if c not in (*keys, "session")]
     aggs = [
-        F.max_by(F.when(F.col("session") == s, F.col(c)), F.col("session") == s).alias(f"{c}_{s.lower()}")
+        F.max(F.when(F.col("session") == s, F.col(c))).alias(f"{c}_{s.lower()}")
         for c in values
         for s in ("AM", "PM")
     ]

@@ -2,7 +2,7 @@
 
 Two measured sizes decide between the short plan and the split plan everywhere in the library:
 
-* a side is broadcast only when its row count is known to stay under ``MAX_BROADCAST_ROWS``;
+* a side is broadcast only when its row count is known to stay under ``MAX_BROADCAST_ROWS`` (less when wide);
 * a window or an exact percentile runs per group only when the largest group is known to stay under
   ``MAX_GROUP_ROWS``; wider groups are ordered over many tasks by :func:`ordered_position`.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_CELLS = 8_000_000  # about 64 MB of doubles
 MAX_GROUP_ROWS = 2_000_000
 MAP_SIDE_TOP = 1_000  # the largest k Spark prunes per task (spark.sql.optimizer.windowGroupLimitThreshold)
 
@@ -25,7 +26,12 @@ _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in its
 
 def small_side(df: DataFrame, n_rows: int) -> DataFrame:
     """Hint a broadcast when the known row count allows it, else leave the join to AQE."""
-    return F.broadcast(df) if n_rows <= MAX_BROADCAST_ROWS else df
+    return F.broadcast(df) if n_rows <= _broadcast_limit(df) else df
+
+
+def _broadcast_limit(df: DataFrame) -> int:
+    """Rows of ``df`` that may be broadcast; fewer when it is wide."""
+    return min(MAX_BROADCAST_ROWS, MAX_BROADCAST_CELLS // max(len(df.columns), 1))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -35,7 +41,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 def measured_side(df: DataFrame) -> DataFrame:
     """:func:`small_side` for a table whose size is not known yet; counts at most one row past the bound."""
-    return small_side(df, df.limit(MAX_BROADCAST_ROWS + 1).count())
+    return small_side(df, df.limit(_broadcast_limit(df) + 1).count())
 
 
 def max_group_rows(df: DataFrame, by: Sequence[str]) -> int:

@@ -28,7 +28,7 @@ from .panel import (
     sessions_to_wide,
     with_market_values,
 )
-from .scale import measured_side, spread
+from .scale import measured_side, small_side, spread
 
 # Benchmarks, windows in sessions and sessions per year.
 BENCHMARKS = ["VBR", "QQQ", "SPY", "SPMO", "SPHQ", "SPYG"]
@@ -42,10 +42,13 @@ SESSION = Frames(("symbol", "session"), "date")
 DAY = Frames(("symbol",), "date")
 
 
-def with_benchmarks(bars: DataFrame, bench: DataFrame, benchmarks: Sequence[str]) -> DataFrame:
-    """Session return, the benchmark returns of the same session, and the differences."""
+def with_benchmarks(bars: DataFrame, bench: DataFrame, benchmarks: Sequence[str], n_dates: int | None = None) -> DataFrame:
+    """Session return, the benchmark returns of the same session, and the differences.
+
+    ``bench`` has two rows per date; with ``n_dates`` known its size need not be counted.
+    """
     df = bars.withColumn("return", session_return(F.col("open"), F.col("close")))
-    df = df.join(measured_side(bench), ["date", "session"], "left")
+    df = df.join(small_side(bench, 2 * n_dates) if n_dates else measured_side(bench), ["date", "session"], "left")
     return df.withColumns({f"rel_ret_{b}": F.col("return") - F.col(f"ret_{b}") for b in benchmarks})
 
 
@@ -169,7 +172,7 @@ def style_features(
     annual: float = ANNUAL,
 ) -> DataFrame:
     """All style features, one row per (symbol, date) with ``_am`` / ``_pm`` columns."""
-    long = with_tracking(with_benchmarks(bars, bench, benchmarks), benchmarks, windows, annual)
+    long = with_tracking(with_benchmarks(bars, bench, benchmarks, n_dates), benchmarks, windows, annual)
     long = with_idiosyncratic_vol(long, [f"ret_{b}" for b in benchmarks], windows, annual=annual)
     wide = with_volatility(sessions_to_wide(long), windows, annual)
     wide = with_session_contrasts(wide, benchmarks, windows)

@@ -14,13 +14,10 @@ KEYS = ("symbol", "date", "session")
 def write_store(long: DataFrame, path: str, partition_by: Sequence[str] = ("date", "session"), rows_per_file: int = 5_000_000) -> None:
     """Parquet with zstd, one folder per (date, session); only folders present in ``long`` are replaced.
 
-    Rows are spread by the partition columns and a hash of the symbol, so one heavy date is written by several
-    tasks, while AQE packs light dates together.
+    The rebalance hint lets AQE split a heavy (date, session) over several tasks and pack light ones together.
     """
-    spread = long.withColumn("_salt", F.pmod(F.xxhash64("symbol"), F.lit(4)))
     (
-        spread.repartition(*partition_by, "_salt")
-        .drop("_salt")
+        long.hint("rebalance", *partition_by)
         .sortWithinPartitions(*partition_by, "symbol")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
