@@ -21,11 +21,14 @@ from ..plans.formula import DEFAULT, FormulaOptions, parse, reach
 LATENESS = "5 days"  # fixed value: how long an open day waits for late bars
 
 
-def _bars(minute: DataFrame, length: str, ts: str, lateness: str) -> DataFrame:
-    """Per-symbol bars of fixed length. A window closes when the watermark passes it; later rows are dropped."""
+def _bars(minute: DataFrame, length: str, ts: str, lateness: str, start: str | None) -> DataFrame:
+    """Per-symbol bars of fixed length. A window closes when the watermark passes it; later rows are dropped.
+
+    Windows start at UTC midnight; ``start`` (``"5 hours"``) moves them to where the trading day starts.
+    """
     rows = minute.withWatermark(ts, lateness) if minute.isStreaming else minute
     return (
-        rows.groupBy(F.window(ts, length), "symbol")
+        rows.groupBy(F.window(ts, length, startTime=start), "symbol")
         .agg(
             F.min_by("open", ts).alias("open"),
             F.max("high").alias("high"),
@@ -38,13 +41,13 @@ def _bars(minute: DataFrame, length: str, ts: str, lateness: str) -> DataFrame:
     )
 
 
-def daily_bars(minute: DataFrame, ts: str = "datetime", lateness: str = LATENESS) -> DataFrame:
-    out = _bars(minute, "1 day", ts, lateness)
+def daily_bars(minute: DataFrame, ts: str = "datetime", lateness: str = LATENESS, start: str | None = None) -> DataFrame:
+    out = _bars(minute, "1 day", ts, lateness, start)
     return out.select("symbol", F.to_date("window.start").alias("date"), "open", "high", "low", "close", "volume", "vwap")
 
 
-def session_bars(minute: DataFrame, ts: str = "datetime", lateness: str = LATENESS) -> DataFrame:
-    out = _bars(minute, "12 hours", ts, lateness)
+def session_bars(minute: DataFrame, ts: str = "datetime", lateness: str = LATENESS, start: str | None = None) -> DataFrame:
+    out = _bars(minute, "12 hours", ts, lateness, start)
     session = F.when(F.hour("window.start") < 12, "AM").otherwise("PM")
     return out.select(
         "symbol", F.to_date("window.start").alias("date"), session.alias("session"), "open", "high", "low", "close", "volume", "vwap"
