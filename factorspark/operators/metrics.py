@@ -36,14 +36,24 @@ def _guarded(cov: Column, sx: Column, sy: Column) -> Column:
     return cov / F.when(floor, F.lit(1.0)).otherwise(sx * sy)
 
 
+def daily_correlations(df: DataFrame, pairs: Mapping[str, tuple[str, str]], by: Sequence[str] = ("date",)) -> DataFrame:
+    """One correlation column per named pair, over the rows where both sides are present, in one aggregate."""
+    moments, out = [], []
+    for name, (x, y) in pairs.items():
+        paired = F.col(x).isNotNull() & F.col(y).isNotNull()
+        px, py = F.when(paired, F.col(x)), F.when(paired, F.col(y))
+        moments += [
+            F.covar_pop(px, py).alias(f"_c_{name}"),
+            F.stddev_pop(px).alias(f"_x_{name}"),
+            F.stddev_pop(py).alias(f"_y_{name}"),
+        ]
+        out.append(_guarded(F.col(f"_c_{name}"), F.col(f"_x_{name}"), F.col(f"_y_{name}")).alias(name))
+    return df.groupBy(*by).agg(*moments).select(*by, *out)
+
+
 def daily_ic(df: DataFrame, x: str, y: str, name: str = "ic", by: Sequence[str] = ("date",)) -> DataFrame:
     """Pearson correlation per date over the pairs where both sides are present."""
-    paired = F.col(x).isNotNull() & F.col(y).isNotNull()
-    px, py = F.when(paired, F.col(x)), F.when(paired, F.col(y))
-    agg = df.groupBy(*by).agg(
-        F.covar_pop(px, py).alias("_c"), F.stddev_pop(px).alias("_sx"), F.stddev_pop(py).alias("_sy")
-    )
-    return agg.select(*by, _guarded(F.col("_c"), F.col("_sx"), F.col("_sy")).alias(name))
+    return daily_correlations(df, {name: (x, y)}, by)
 
 
 def daily_rank_ic(panel: Panel, x: str, y: str, name: str = "rank_ic") -> DataFrame:
@@ -101,12 +111,16 @@ def series_summary(daily: DataFrame, col: str, mean: str, ir: str | None = None)
     return daily.agg(*out)
 
 
-def alpha_summary(panel: Panel, alpha: str, target: str) -> DataFrame:
-    """One row: ic, icir, rank_ic, rank_icir. Daily series are joined by date, one row each."""
-    ic = alpha_daily_ic(panel, alpha, target)
-    rank = alpha_daily_rank_ic(panel, alpha, target)
-    both = ic.join(small_side(rank, panel.n_dates), "date")
-    return both.agg(
+def daily_both(complete: Panel, x: str, y: str) -> DataFrame:
+    """(date, ic, rank_ic) of two columns without missing values: the ranks ride along with the values, so both
+    correlations come from one aggregate on rows that are already together by date."""
+    ranked = rank_average(rank_average(complete, x, "_rx"), y, "_ry")
+    return daily_correlations(ranked.df, {"ic": (x, y), "rank_ic": ("_rx", "_ry")})
+
+
+def both_summary(daily: DataFrame) -> DataFrame:
+    """One row: ic, icir, rank_ic, rank_icir."""
+    return daily.agg(
         F.avg("ic").alias("ic"),
         F.try_divide(F.avg("ic"), F.stddev_samp("ic")).alias("icir"),
         F.avg("rank_ic").alias("rank_ic"),
@@ -114,6 +128,12 @@ def alpha_summary(panel: Panel, alpha: str, target: str) -> DataFrame:
     )
 
 
+def alpha_summary(panel: Panel, alpha: str, target: str) -> DataFrame:
+    """One row: ic, icir, rank_ic, rank_icir of one normalised alpha."""
+    z = zscore(panel.over(panel.df.select("symbol", "date", alpha, target)), [alpha, target])
+    return both_summary(daily_both(z, alpha, target))
+
+
 def lower_confidence_bound(daily: DataFrame, beta: float, col: str = "ic") -> DataFrame:
     return daily.agg((F.avg(col) - F.lit(float(beta)) * F.stddev_samp(col)).alias("lcb"))
 
@@ -228,18 +248,11 @@ def pool_scores(panel: Panel, pool: Mapping[str, float], target: str, options: F
 
 def pool_daily(panel: Panel, pool: Mapping[str, float], target: str, options: FormulaOptions = DEFAULT) -> DataFrame:
     """(date, ic, rank_ic) of a pool."""
-    scored = pool_scores(panel, pool, target, options)
-    ic = daily_ic(scored.df, "score", "target")
-    return ic.join(small_side(daily_rank_ic(scored, "score", "target"), panel.n_dates), "date")
+    return daily_both(pool_scores(panel, pool, target, options), "score", "target")
 
 
 def pool_metrics(panel: Panel, pool: Mapping[str, float], target: str, options: FormulaOptions = DEFAULT) -> DataFrame:
-    return pool_daily(panel, pool, target, options).agg(
-        F.avg("ic").alias("ic"),
-        F.try_divide(F.avg("ic"), F.stddev_samp("ic")).alias("icir"),
-        F.avg("rank_ic").alias("rank_ic"),
-        F.try_divide(F.avg("rank_ic"), F.stddev_samp("rank_ic")).alias("rank_icir"),
-    )
+    return both_summary(pool_daily(panel, pool, target, options))
 
 
 def segment_metrics(daily: DataFrame, segments: DataFrame, cols: Sequence[str]) -> DataFrame:

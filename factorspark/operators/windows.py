@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.formula import DEFAULT, FormulaOptions
-from .metrics import daily_ic, pool_scores
+from .metrics import pool_daily
 from .panel import Panel
-from .cross_section import rank_average
-from .scale import measured_side, small_side
+from .scale import measured_side
 
 
 def rolling_windows(
@@ -75,11 +74,7 @@ def walk_forward(
     Daily ICs do not depend on the window, so they are made once and the tiny (date, ic, rank_ic) series is
     what gets copied per window.
     """
-    scored = pool_scores(panel, pool, target, options)
-    ranked = rank_average(rank_average(scored, "score", "_rx"), "target", "_ry")
-    ic = daily_ic(scored.df, "score", "target")
-    rank = daily_ic(ranked.df, "_rx", "_ry", "rank_ic")
-    daily = ic.join(small_side(rank, panel.n_dates), "date")
+    daily = pool_daily(panel, pool, target, options)
     w = measured_side(windows)
     covered = daily.join(w, F.col("date").between(F.col("train_start"), F.col("deploy_end")))
     trains = F.col("date").between(F.col("train_start"), F.col("train_end"))
