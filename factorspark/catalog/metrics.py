@@ -266,9 +266,14 @@ def pool_fit(spark, folder):
     return K.extend_pool(panel(spark, folder), K.Pool(4), list(POOL), FORWARD, alpha=1e-3).to_rows(spark)
 
 
-@query("pool_force_load")
+@query(
+    "pool_force_load",
+    f"""WITH {SCORES_SQL}, w(idx, expr, weight) AS (VALUES {', '.join(f"({i}, '{f}', CAST({w} AS DOUBLE))" for i, (f, w) in enumerate(POOL.items()))})
+SELECT 'pool' AS pool_id, idx, expr, {q6('weight')} AS weight, {q6('ic')} AS ic FROM w JOIN scores USING (expr)""",
+)
 def pool_force_load(spark, folder):
-    return K.force_load(panel(spark, folder), list(POOL), FORWARD, weights=list(POOL.values())).to_rows(spark)
+    out = K.force_load(panel(spark, folder), list(POOL), FORWARD, weights=list(POOL.values())).to_rows(spark)
+    return out.select("pool_id", "idx", "expr", r6("weight").alias("weight"), r6("ic").alias("ic"))
 
 
 @query("pool_fit_icir")
