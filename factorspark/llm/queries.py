@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_join
+from . import decontam, lang_cnn, mixing, near_join, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,80 @@ FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = s.do
 @query("op9_near_join", NEAR_SQL)
 def op9_near_join(spark, folder):
     return near_join.near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op3_balanced_shards")
+def op3_balanced_shards(spark, folder):
+    return sharding.balanced_shards(table(spark, folder, "documents"))
+
+
+DOMAINS = {f"src{k}": ("web", "books", "forums", "code")[k // 5] for k in range(20)}
+WEIGHTS = {"web": 5, "books": 3, "forums": 1, "code": 2, "web/en": 2, "books/de": 3, "books/en/src5": 4, "code/en/src16": 2}
+
+
+def _fill_sql(depth: int) -> str:
+    """CTEs of one level of the tree: nodes with their room, then their shares, then the leaves under them."""
+    keys = mixing.LEVELS[: depth + 1]
+    by, parent = ", ".join(keys), ", ".join(keys[:-1])
+    part = f"PARTITION BY {parent} " if parent else ""
+    path = " || '/' || ".join(keys)
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items())
+    order = f"{part}ORDER BY room / weight NULLS LAST, {keys[-1]}"
+    return f"""
+n{depth} AS (SELECT {by}, sum(room) AS room, max(budget) AS budget, CASE {path} {cases} ELSE 1 END AS weight FROM l{depth} GROUP BY {by}),
+a{depth} AS (SELECT *, coalesce(sum(room) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done,
+    sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM n{depth} WINDOW w AS ({order})),
+b{depth} AS (SELECT *, done + room * rest / weight <= budget AS filled FROM a{depth}),
+c{depth} AS (SELECT *, coalesce(sum(CASE WHEN filled THEN room END) OVER (p), 0) AS taken,
+    sum(CASE WHEN NOT filled THEN weight END) OVER (p) AS open_weight FROM b{depth} WINDOW p AS ({part})),
+l{depth + 1} AS (SELECT l.* EXCLUDE (budget),
+    CASE WHEN filled THEN CAST(c.room AS DOUBLE) ELSE (c.budget - taken) * weight / open_weight END AS budget
+  FROM l{depth} l JOIN c{depth} c USING ({by})),"""
+
+
+MIX_SQL = f"""
+WITH base AS (
+  SELECT doc_id, CASE coalesce(source, '') {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DOMAINS.items())} ELSE 'other' END AS domain,
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source, len({WORDS.format("coalesce(text, '')")}) AS tokens FROM documents),
+l0 AS (SELECT domain, lang, source, sum(tokens) AS tokens, sum(tokens) * 4 AS room,
+    (SELECT CAST(sum(tokens) AS DOUBLE) FROM base) AS budget FROM base GROUP BY 1, 2, 3),
+{"".join(_fill_sql(d) for d in range(3))}
+e AS (SELECT *, coalesce(CAST(floor(budget / nullif(tokens, 0)) AS BIGINT), 0) AS whole FROM l3),
+t AS (SELECT b.*, e.whole, floor(e.budget - e.whole * e.tokens) AS more, md5('11:' || e.whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS turn
+  FROM base b JOIN e USING (domain, lang, source)),
+u AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY turn, tokens ROWS UNBOUNDED PRECEDING) AS upto FROM t)
+SELECT doc_id, domain, lang, source, tokens,
+  CAST(CASE WHEN tokens > 0 THEN whole + CASE WHEN upto <= more THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS times FROM u"""
+
+
+@query("op5_source_mixing", MIX_SQL)
+def op5_source_mixing(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"), DOMAINS, WEIGHTS, share=1.0, epochs=4)
+
+
+LEAK_SQL = f"""
+WITH i AS (SELECT item_id, {WORDS.format("lower(coalesce(text, ''))")} AS ws FROM benchmark),
+ig AS (SELECT item_id, len(ws) AS n, [array_to_string(ws[k:k+4], ' ') FOR k IN range(1, len(ws) - 3)] AS its FROM i WHERE len(ws) >= 5),
+d AS (SELECT doc_id, {WORDS.format("lower(coalesce(text, ''))")} AS ws FROM documents),
+dg AS (SELECT doc_id, [array_to_string(ws[k:k+4], ' ') FOR k IN range(1, len(ws) - 3)] AS g FROM d WHERE len(ws) >= 5),
+ia AS (SELECT DISTINCT n, unnest(its) AS h, generate_subscripts(its, 1) - 1 AS q FROM ig),
+da AS (SELECT doc_id, unnest(g) AS h, generate_subscripts(g, 1) - 1 AS p FROM dg),
+w AS (SELECT DISTINCT doc_id, p - q AS start, n FROM da JOIN ia USING (h)),
+wg AS (SELECT doc_id, start, n, g[greatest(start, 0) + 1 : least(start + n - 4, len(g))] AS own FROM w JOIN dg USING (doc_id)),
+x AS (SELECT doc_id, item_id, greatest(start, 0) AS start, len(own) + len(its) AS both,
+    coalesce(list_sum([least(len([y FOR y IN own IF y = h]), len([y FOR y IN its IF y = h])) FOR h IN list_intersect(own, its)]), 0) AS shared
+  FROM wg JOIN ig USING (n)),
+y AS (SELECT doc_id, item_id, CAST(start AS INT) AS start, CAST(shared AS DOUBLE) / (both - shared) AS similarity FROM x
+  WHERE 100 * shared >= 75 * (both - shared))
+SELECT doc_id, item_id, start, similarity FROM y QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""
+
+
+@query("op6_benchmark_decontamination", LEAK_SQL)
+def op6_benchmark_decontamination(spark, folder):
+    found = decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "similarity")
+
+
+@query("op7_byte_cnn_language")
+def op7_byte_cnn_language(spark, folder):
+    return lang_cnn.identify(table(spark, folder, "documents"))
