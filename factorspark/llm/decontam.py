@@ -87,7 +87,8 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
     # split() runs once per text: the words are a column of their own, read by several expressions.
     worded = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     hashed = worded.select("doc_id", text_words(F.col("text")).alias("words")).select("doc_id", shingle_hashes(F.col("words"), size).alias("own"))
-    hits = hashed.select("doc_id", F.posexplode("own").alias("place", "hash")).join(measured_side(anchors), "hash")
+    # The outer form, as the optimiser would test the size of a plain one's array below, computing it twice and per word.
+    hits = hashed.select("doc_id", F.posexplode_outer("own").alias("place", "hash")).join(measured_side(anchors), "hash")
     laid = hits.select("doc_id", (F.col("place") - F.col("at")).alias("start"), "n").distinct()
     laid = laid.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("windows"))  # bounded by the document's length
     again = docs.join(measured_side(laid.select(F.col("doc_id").alias("_hit_id"), "windows")), F.col("doc_id").eqNullSafe(F.col("_hit_id")))

@@ -107,11 +107,11 @@ ia AS (SELECT DISTINCT n, unnest(its) AS h, generate_subscripts(its, 1) - 1 AS q
 da AS (SELECT doc_id, unnest(g) AS h, generate_subscripts(g, 1) - 1 AS p FROM dg),
 w AS (SELECT DISTINCT doc_id, p - q AS start, n FROM da JOIN ia USING (h)),
 wg AS (SELECT doc_id, start, n, g[greatest(start, 0) + 1 : least(start + n - 4, len(g))] AS own FROM w JOIN dg USING (doc_id)),
-x AS (SELECT doc_id, item_id, greatest(start, 0) AS start, len(own) + len(its) AS both,
+x AS (SELECT doc_id, item_id, greatest(start, 0) AS start, len(own) + len(its) AS joint,
     coalesce(list_sum([least(len([y FOR y IN own IF y = h]), len([y FOR y IN its IF y = h])) FOR h IN list_intersect(own, its)]), 0) AS shared
   FROM wg JOIN ig USING (n)),
-y AS (SELECT doc_id, item_id, CAST(start AS INT) AS start, CAST(shared AS DOUBLE) / (both - shared) AS similarity FROM x
-  WHERE 100 * shared >= 75 * (both - shared))
+y AS (SELECT doc_id, item_id, CAST(start AS INT) AS start, CAST(shared AS DOUBLE) / (joint - shared) AS similarity FROM x
+  WHERE 100 * shared >= 75 * (joint - shared))
 SELECT doc_id, item_id, start, similarity FROM y QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""
 
 
