@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, lang_cnn, mixing, near_join, sharding
+from ..session import cut, shared_folder
+from . import decontam, lang_cnn, line_clean, mixing, near_join, pii, sharding, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +126,83 @@ def op6_benchmark_decontamination(spark, folder):
 @query("op7_byte_cnn_language")
 def op7_byte_cnn_language(spark, folder):
     return lang_cnn.identify(table(spark, folder, "documents"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS lead FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN lead END AS refers_to
+FROM (SELECT *, payload_bytes >= 100 AND lead <> page_id AS again FROM q)"""
+
+
+@query("op2_warc_transactions", WARC_SQL)
+def op2_warc_transactions(spark, folder):
+    target = shared_folder(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), target)
+    captures = warc.assemble(warc.read_archives(spark, target))
+    page = F.regexp_extract("metadata.payload", "pageId: (-?[0-9]+)", 1)
+    own = cut(captures.select(
+        F.when(page != "", page.cast("long")).alias("page_id"), "capture_id", F.col("response.type").alias("record_type"),
+        F.col("response.refers_to").alias("lead"), F.octet_length("response.payload").cast("long").alias("bytes"), F.sha2("response.payload", 256).alias("digest"),
+    ))
+    lead = own.filter("record_type = 'response'").select(
+        F.col("capture_id").alias("lead"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("its_bytes"), F.col("digest").alias("its_digest")
+    )
+    return own.join(lead, "lead", "left").select(
+        "page_id", F.coalesce("its_bytes", "bytes").alias("payload_bytes"), F.coalesce("its_digest", "digest").alias("payload_digest"), "record_type", "refers_to"
+    )
+
+
+CLEAN_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+l AS (SELECT *, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d),
+g AS (SELECT *, [x FOR x IN list_distinct(ls) IF
+    2 * length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) >= length(x)
+    AND 10 * length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) <= length(x)
+    AND (length(x) < 20 OR 2 * length(regexp_replace(x, '[^\p{{Lu}}]', '', 'g')) <= length(regexp_replace(x, '[^\p{{L}}]', '', 'g')))
+    AND length(x) - length(replace(x, '|', '')) < 2
+    AND NOT regexp_matches(lower(x), '{"|".join(line_clean.BOILERPLATE)}')] AS good FROM l),
+r AS (SELECT doc_id, unnest([ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] FOR i IN range(1, len(ws) - 1)]) AS run,
+    unnest(range(1, len(ws) - 1)) AS spot FROM d WHERE len(ws) >= 4),
+s AS (SELECT doc_id, spot FROM r QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1),
+n AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([spot, spot + 1, spot + 2]) AS p FROM s) GROUP BY doc_id),
+c AS (SELECT g.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+    coalesce(n.n, 0) AS n_repeat_words, len(ls) AS n_lines, len(good) AS n_good_lines,
+    len({WORDS.format("array_to_string(good, chr(10))")}) AS good_words FROM g LEFT JOIN n ON n.doc_id = g.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_good_lines, base_failed,
+  NOT base_failed AND 100 * good_words >= {line_clean.LEAST_KEPT} * n_words AS kept FROM f"""
+
+
+@query("op4_line_first_cleaning", CLEAN_SQL)
+def op4_line_first_cleaning(spark, folder):
+    out = line_clean.clean(table(spark, folder, "documents"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_good_lines", "base_failed", "kept"
+    )
+
+
+@query("op8_disclosing_terms")
+def op8_disclosing_terms(spark, folder):
+    out = pii.sanitise(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_terms")
+
+
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+
+URL_SQL = f"""
+WITH p AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+q AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r(v, h, b) AS (VALUES {RULE_ROWS}),
+m AS (SELECT q.*, h || b AS rule, v FROM q LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, b)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || b) DESC NULLS LAST) = 1)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m"""
+
+
+@query("op10_url_expressions", URL_SQL)
+def op10_url_expressions(spark, folder):
+    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    return url_filters.judge(table(spark, folder, "pages"), rules)
