@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, shared_folder
-from . import decontam, lang_cnn, line_clean, mixing, near_join, pii, sharding, url_filters, warc
+from . import decontam, lang_cnn, line_clean, mixing, near_join, ngram_lm, pii, sharding, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -206,3 +206,8 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m"""
 def op10_url_expressions(spark, folder):
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
     return url_filters.judge(table(spark, folder, "pages"), rules)
+
+
+@query("op1_elias_fano_lm")
+def op1_elias_fano_lm(spark, folder):
+    return ngram_lm.score_documents(table(spark, folder, "documents"))
