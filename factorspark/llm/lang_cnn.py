@@ -120,14 +120,21 @@ def learnable(divisor: int, held: int):
 
 
 def fit(docs: DataFrame, divisor: int = 4, held: int = 2) -> Model | None:
-    """Train on ``SAMPLE_WINDOWS`` windows of at most ``SAMPLE_DOCS`` labelled documents of each of ``SAMPLE_LANGS`` languages.
+    """Train on ``SAMPLE_WINDOWS`` windows of at most ``SAMPLE_DOCS`` labelled documents of each of the ``SAMPLE_LANGS`` most frequent languages.
 
     Documents are picked by a hash of their id, and only ids and labels are ordered for it; windows are cut on the
     executors, so the driver gets a few MB whatever the corpus. None when there is nothing to learn from.
     """
     rows = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang")).filter(learnable(divisor, held) & F.col("lang").isNotNull())
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = rows.withColumn("_turn", turn).filter(F.col("_turn") <= SAMPLE_DOCS).orderBy("_turn", "lang").limit(SAMPLE_DOCS * SAMPLE_LANGS)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGS).collect()
+    if not counts:
+        return None
+    # About four times the sample passes a threshold on the hash that orders it, so that no task orders a whole language.
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4 * SAMPLE_DOCS / r["n"]))])
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    picked = rows.withColumn("place", place).filter(F.col("place") < F.try_element_at(rate, F.col("lang")))
+    picked = picked.withColumn("turn", turn).filter(F.col("turn") <= SAMPLE_DOCS)
     size = F.length("text")
     places = F.array_distinct(F.array(*[F.floor(F.greatest(size - WINDOW, F.lit(0)) * k / (SAMPLE_WINDOWS - 1)).cast("int") + 1 for k in range(SAMPLE_WINDOWS)]))
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(_LETTER))
