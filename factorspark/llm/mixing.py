@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scale import measured_side
 from ..session import cut
 
 LEVELS = ("domain", "lang", "source")
@@ -95,17 +96,18 @@ def mix(
     spent = spent.withColumn("full", F.coalesce(F.floor(F.try_divide("share", F.col("tokens").cast("double"))), F.lit(0)))
     spent = spent.select(*LEVELS, "full", F.floor(F.col("share") - F.col("full") * F.col("tokens")).alias("rest"))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    turn = base.join(spent, list(LEVELS)).withColumn("turn", order).withColumn("bucket", F.substring("turn", 1, digits))
+    # Broadcast when small: a join by leaf would put a large leaf in one task, and its window there too.
+    turn = base.join(measured_side(spent), list(LEVELS)).withColumn("turn", order).withColumn("bucket", F.substring("turn", 1, digits))
     sums = turn.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("sum"))
     before = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*LEVELS, "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy(*LEVELS, "bucket").orderBy("turn", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    placed = turn.withColumn("upto", F.sum("tokens").over(inside)).join(sums, [*LEVELS, "bucket"])
+    placed = turn.withColumn("upto", F.sum("tokens").over(inside)).join(measured_side(sums), [*LEVELS, "bucket"])
     times = F.when(F.col("tokens") > 0, F.col("full") + (F.col("before") + F.col("upto") <= F.col("rest")).cast("long")).otherwise(F.lit(0))
     return placed.select("doc_id", *LEVELS, "tokens", times.cast("long").alias("times"))
 
 
 def keep_mixed(docs: DataFrame, domains: Mapping[str, str], weights: Mapping[str, int], share: float, seed: int = 11) -> DataFrame:
     """The rows of ``docs`` that one epoch of :func:`mix` reads; columns as in ``docs``. Rows without a doc_id go with that name."""
-    chosen = mix(docs, domains, weights, share, 1, seed).filter("times > 0").select(F.col("doc_id").alias("_mixed_id")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_mixed_id")), "left_semi")
+    chosen = mix(docs, domains, weights, share, 1, seed).filter("times > 0").select(F.col("doc_id").alias("chosen")).distinct()
+    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen"]), "left_semi")
