@@ -85,8 +85,8 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
     its = benchmark_items(items, size)
     anchors = its.select("n", F.posexplode("its").alias("at", "hash")).distinct()
     # split() runs once per text: the words are a column of their own, read by several expressions.
-    worded = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    hashed = worded.select("doc_id", text_words(F.col("text")).alias("words")).select("doc_id", shingle_hashes(F.col("words"), size).alias("own"))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    hashed = docs.select("doc_id", text_words(F.col("text")).alias("words")).select("doc_id", shingle_hashes(F.col("words"), size).alias("own"))
     # The outer form, as the optimiser would test the size of a plain one's array below, computing it twice and per word.
     hits = hashed.select("doc_id", F.posexplode_outer("own").alias("place", "hash")).join(measured_side(anchors), "hash")
     laid = hits.select("doc_id", (F.col("place") - F.col("at")).alias("start"), "n").distinct()
@@ -120,5 +120,5 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
 
 def keep_clean(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 75, radius: int = 20) -> DataFrame:
     """The rows of ``docs`` that contain no item; columns as in ``docs``."""
-    found = contaminated(docs, items, size, percent, radius).select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(measured_side(found), F.col("doc_id").eqNullSafe(F.col("_hit_id")), "left_anti")
+    found = contaminated(docs, items, size, percent, radius).select(F.col("doc_id").alias("hit")).distinct()
+    return docs.join(measured_side(found), docs["doc_id"].eqNullSafe(found["hit"]), "left_anti")

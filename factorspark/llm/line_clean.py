@@ -55,12 +55,12 @@ def clean(docs: DataFrame, least_kept: int = LEAST_KEPT) -> DataFrame:
     independent, so repeated rows and null ids need no care; an empty text fails; an empty table gives an empty result.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_good_lines", "clean_text", "base_failed", "kept"]
-    rest = [c for c in docs.columns if c not in made]
+    rest = [F.col("_row")[c].alias(c) for c in docs.columns if c not in made]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # Each step's arrays are columns of their own, read by several expressions of the next, so that each is made once.
-    one = docs.select(*rest, text.alias("_text"), words_of(text).alias("_words"), F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("_lines"))
+    one = docs.select(F.struct(*docs.columns).alias("_row"), text.alias("_text"), words_of(text).alias("_words"), F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("_lines"))
     two = one.select(
-        *rest, "_lines",
+        "_row", "_lines",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_text", SYMBOLS, "")).cast("long").alias("n_symbols"),
@@ -68,7 +68,7 @@ def clean(docs: DataFrame, least_kept: int = LEAST_KEPT) -> DataFrame:
         repeated_words(F.col("_words")).alias("_runs"),
     )
     three = two.select(
-        *rest, "n_words", "word_chars", "n_symbols",
+        "_row", "n_words", "word_chars", "n_symbols",
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size("_unique")).cast("long").alias("n_dup_lines"),
         F.filter("_unique", line_passes).alias("_good"),
@@ -80,7 +80,7 @@ def clean(docs: DataFrame, least_kept: int = LEAST_KEPT) -> DataFrame:
     ).withColumn("clean_text", F.array_join("_good", "\n"))
     gap = F.transform("_places", lambda at, i: F.least(F.coalesce(F.get("_places", i + 1) - at, F.lit(3)), F.lit(3)))
     five = four.select(
-        *rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", F.size("_good").cast("long").alias("n_good_lines"), "clean_text",
+        "_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", F.size("_good").cast("long").alias("n_good_lines"), "clean_text",
         F.aggregate(gap, F.lit(0), lambda total, x: total + x).cast("long").alias("n_repeat_words"),
         F.size(words_of(F.col("clean_text"))).cast("long").alias("_good_words"),
     )
