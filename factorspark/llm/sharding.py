@@ -5,7 +5,7 @@ copies and documents that share lines meet in keys. A key stands between its doc
 documents hold costs one row per document and never a list or a pair. Each round is joins and map-side combined sums:
 
 * a key counts its documents in every shard;
-* a document sums the counts of its keys (each over the key's size) and names the shard that gains it most;
+* a document sums the counts of its keys' other documents (each over their number) and names the shard that holds most;
 * per shard, moves are admitted by gain up to the free places; the threshold comes from a histogram of gains, so
   admission needs no global order.
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..operators.scale import ordered_position
 from ..session import cut
 
-LINES = 3  # line hashes kept per document
+LINES = 6  # line hashes kept per document
 BINS = 64  # steps of gain in the histogram
 SPLITS = 256  # parts of one step, by hash of the document's first key
 
@@ -36,15 +36,18 @@ def link_keys(text: Column) -> Column:
 def propagate(pairs: DataFrame, start: DataFrame, shards: int, room: list[int], rounds: int) -> DataFrame:
     """(row, first, label): labels of the linked rows after some rounds. ``pairs`` is (row, key), ``start`` (row, first, label)."""
     labels = start
-    for _ in range(rounds):
+    for turn in range(rounds):
         counts = [F.sum((F.col("label") == s).cast("double")).alias(f"_n{s}") for s in range(shards)]
         keyed = pairs.join(labels.select("row", "label"), "row").groupBy("key").agg(F.count(F.lit(1)).alias("_size"), *counts)
-        votes = pairs.join(keyed, "key").groupBy("row").agg(*[F.sum(F.col(f"_n{s}") / F.col("_size")).alias(f"_v{s}") for s in range(shards)])
+        others = F.col("_size") - 1
+        votes = pairs.join(keyed, "key").groupBy("row").agg(F.sum(1 / others).alias("_own"), *[F.sum(F.col(f"_n{s}") / others).alias(f"_v{s}") for s in range(shards)])
         # Sums of fractions differ in their last bits with the order of addition: compare them rounded.
-        vote = F.array(*[F.round(f"_v{s}", 6) for s in range(shards)])
+        vote = F.array(*[F.round(F.col(f"_v{s}") - F.when(F.col("label") == s, F.col("_own")).otherwise(0.0), 6) for s in range(shards)])
         named = labels.join(votes, "row", "left").withColumn("_vote", vote).withColumn("_best", F.array_max("_vote"))
         own = F.get("_vote", F.col("label"))
-        want = F.when(own < F.col("_best"), F.array_position("_vote", F.col("_best")).cast("int") - 1)
+        # Half of the groups may move in a round, else linked ones would change places for ever.
+        active = F.pmod(F.xxhash64("first", F.lit(turn)), F.lit(2)) == 0
+        want = F.when(active & (own < F.col("_best")), F.array_position("_vote", F.col("_best")).cast("int") - 1)
         step = F.least(F.floor((F.col("_best") - own) * BINS / (LINES + 1)), F.lit(BINS - 1)).cast("int")
         split = F.pmod(F.xxhash64("first", F.lit(17)), F.lit(SPLITS)).cast("int")
         moves = cut(named.select("row", "first", "label", want.alias("want"), F.when(want.isNotNull(), step).alias("step"), split.alias("split")))
@@ -60,7 +63,7 @@ def propagate(pairs: DataFrame, start: DataFrame, shards: int, room: list[int],
     return labels
 
 
-def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 4) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, linked) for each row of ``docs`` (doc_id, text).
 
     The law is ``rows``: shard sizes differ by one row at most, the lower shards having the extra ones. ``size`` is the
