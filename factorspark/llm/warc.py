@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..operators.scale import measured_side
+from ..session import cut, ship
 
 LEAST_REVISIT = 100  # bytes of the smallest payload that is worth a revisit
 DATE = "2024-01-01T00:00:00Z"
@@ -43,23 +44,20 @@ def write_archives(pages: DataFrame, folder: str) -> None:
 
     Of captures with equal payloads of at least ``LEAST_REVISIT`` bytes, the one with the smallest page_id (null last) is
     the response and the others revisit it. A null html is an empty payload, a null URL an empty URI. Rows equal in all
-    three columns are one capture.
+    three columns are one capture, whose records are written once for each of them.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     uri = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), "[\\x00-\\x20]", "%20")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), uri.alias("uri"), F.col("url").isNull().alias("no_url"), html.alias("html"))
     named = rows.withColumn("digest", F.sha2("html", 256))
     named = named.withColumn("rid", _urn(F.lit("response"), F.col("page_id"), F.col("uri"), F.col("no_url"), F.col("digest")))
-    # Only names and sizes meet by digest; a payload that very many pages have is combined before the shuffle.
-    first = (
-        named.filter(F.octet_length("html") >= LEAST_REVISIT)
-        .groupBy("digest")
-        .agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "rid")).alias("lead"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select("digest", F.col("lead.rid").alias("lead"))
-    )
-    marks = named.select("rid", "digest").distinct().join(first, "digest").filter("rid <> lead").select("rid", "lead")
-    joined = named.join(marks, "rid", "left").dropDuplicates(["rid"])
+    # Only names meet by digest, and a payload that very many pages have is combined before the shuffle. The revisits
+    # join the pages as a broadcast when they are few, so that payloads move only when they must.
+    names = cut(named.filter(F.octet_length("html") >= LEAST_REVISIT).select("rid", "digest", "page_id"))
+    lead = F.min(F.struct(F.col("page_id").isNull(), "page_id", "rid")).alias("lead")
+    first = names.groupBy("digest").agg(lead, F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", F.col("lead.rid").alias("lead"))
+    marks = cut(names.join(first, "digest").filter("rid <> lead").select("rid", "lead").distinct())
+    joined = named.join(measured_side(marks), "rid", "left")
     length = F.octet_length("html").cast("string")
     header = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), length, F.lit(_END))
     rid, page, uri_ = F.col("rid"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("uri")
