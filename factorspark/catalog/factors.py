@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import rolling as R
 from ..functions import scalar as S
 from ..operators import cross_section as X
-from ..plans.evaluate import factor_table
+from ..operators.panel import densify
+from ..plans.evaluate import OWN_ROWS, factor_table
 from ..plans.formula import FormulaOptions, feature
-from ..plans.operators import recursive_ema
+from .bars import DAILY_SQL, daily
 from .base import q6, query, r6
-from .fixtures import PANEL_SQL, bars, panel
+from .fixtures import PANEL_SQL, panel
 
 SERIES = "PARTITION BY symbol ORDER BY date_idx"
 
@@ -25,11 +26,33 @@ def value_sql(expr: str, *lengths: int, ctes: str = "", source: str = "panel") -
     return f"WITH {PANEL_SQL}{ctes} SELECT symbol, date, {q6(expr)} AS value FROM {source} {windows(*lengths)}"
 
 
+# Users by days, in the columns of the monthly panel: most users trade on few days.
+USERS_PANEL_SQL = f"""{DAILY_SQL}, cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS date_idx FROM (SELECT DISTINCT date FROM daily)),
+panel AS (SELECT s.symbol, c.date, c.date_idx, d.open, d.high, d.low, d.close, d.volume, d.vwap
+  FROM cal c CROSS JOIN (SELECT DISTINCT symbol FROM daily) s LEFT JOIN daily d ON d.symbol = s.symbol AND d.date = c.date)"""
+
+
+def users_panel(spark, folder):
+    return densify(daily(spark, folder).drop("amount"))
+
+
+def own_rows(sql: str, source: str = PANEL_SQL) -> str:
+    """The same windows over each symbol's own rows only; other dates have no value."""
+    ctes, _, select = sql.removeprefix(f"WITH {PANEL_SQL}").replace("FROM panel", "FROM own").rpartition(" SELECT symbol, date, ")
+    return f"""WITH {source}, own AS (SELECT * FROM panel WHERE close IS NOT NULL){ctes}, v AS (SELECT symbol, date, {select})
+SELECT symbol, date, value FROM panel LEFT JOIN v USING (symbol, date)"""
+
+
+SPARSE = {"scoring_mean", "scoring_std", "scoring_med", "scoring_ema", "deploy_mean", "deploy_ema", "deploy_ref", "deploy_delta", "deploy_rank", "deploy_corr"}
+
+
 def formula_query(name: str, formula, sql: str, options: FormulaOptions = FormulaOptions()):
-    def run(spark, folder):
-        return factor_table(panel(spark, folder), {"value": formula}, options).select("symbol", "date", r6("value").alias("value"))
+    def run(source):
+        return lambda spark, folder: factor_table(source(spark, folder), {"value": formula}, options).select("symbol", "date", r6("value").alias("value"))
 
-    query(name, sql)(run)
+    query(name, own_rows(sql) if options.dialect in OWN_ROWS else sql)(run(panel))
+    if name in SPARSE:
+        query(f"{name}_sparse", own_rows(sql, USERS_PANEL_SQL))(run(users_panel))
 
 
 def scalar_query(name: str, build, expr: str):
@@ -279,28 +302,35 @@ formula_query(
     DEPLOY,
 )
 formula_query("deploy_cov", "Cov($close,$vwap,6d)", value_sql("CASE WHEN count(*) OVER w6 < 6 THEN 0.0 WHEN count(close) OVER w6 = 6 THEN covar_samp(close, vwap) OVER w6 END", 6), DEPLOY)
-formula_query("deploy_corr", "Corr($close,$vwap,6d)", value_sql("CASE WHEN count(*) OVER w6 < 6 THEN 0.0 WHEN count(close) OVER w6 = 6 THEN covar_pop(close, vwap) OVER w6 / (stddev_pop(close) OVER w6 * stddev_pop(vwap) OVER w6) END", 6), DEPLOY)
+formula_query("deploy_corr", "Corr($close,$vwap,6d)", value_sql("CASE WHEN count(*) OVER w6 < 6 THEN 0.0 WHEN count(close + vwap) OVER w6 = 6 THEN covar_pop(close, vwap) OVER w6 / (stddev_pop(close) OVER w6 * stddev_pop(vwap) OVER w6) END", 6), DEPLOY)
 # The recursive mean in closed form: weight a(1-a)^k of the k-th last row, (1-a)^k for the first one.
-
-@query(
+formula_query(
     "scoring_ema",
-    f"""WITH {PANEL_SQL}, own AS (SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS k FROM bars)
-SELECT a.symbol, a.date, {q6("sum(b.close * pow(2.0/3.0, a.k - b.k) * CASE WHEN b.k = 0 THEN 1.0 ELSE 1.0/3.0 END)")} AS value
-FROM own a JOIN own b ON a.symbol = b.symbol AND b.k <= a.k GROUP BY 1, 2""",
+    "EMA($close,5d)",
+    f"""WITH {PANEL_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS k FROM panel),
+e AS (SELECT a.symbol, a.date, sum(b.close * pow(2.0/3.0, a.k - b.k) * CASE WHEN b.k = 0 THEN 1.0 ELSE 1.0/3.0 END) AS x
+  FROM n a JOIN n b ON a.symbol = b.symbol AND b.k <= a.k GROUP BY 1, 2) SELECT symbol, date, {q6("x")} AS value FROM e""",
+    SCORING,
 )
-def scoring_ema(spark, folder):
-    own = bars(spark, folder).withColumn("date_idx", F.unix_date("date"))
-    return recursive_ema(own, "close", 5, "value", R.Frames()).select("symbol", "date", r6("value").alias("value"))
 
 
 # --- partial windows over own rows ---------------------------------------------------------------
 
 
 def partial_query(name: str, build, expr: str, *lengths: int):
-    def run(spark, folder):
-        return panel(spark, folder).df.select("symbol", "date", r6(build(R.Frames())).alias("value"))
+    """Over the bars themselves: a window counts the rows a symbol has."""
+
+    def run(source):
+        def value(spark, folder):
+            own = source(spark, folder).df.filter(F.col("close").isNotNull())
+            return own.select("symbol", "date", r6(build(R.Frames())).alias("value"))
+
+        return value
 
-    query(name, value_sql(expr, *lengths))(run)
+    sql = value_sql(expr, *lengths, source="own")
+    own = ", own AS (SELECT * FROM panel WHERE close IS NOT NULL)"
+    query(name, sql.replace(PANEL_SQL, PANEL_SQL + own))(run(panel))
+    query(f"{name}_sparse", sql.replace(PANEL_SQL, USERS_PANEL_SQL + own))(run(users_panel))
 
 
 partial_query("rolling_min_periods", lambda f: R.partial(c("vwap"), 6, "mean", f, 4), "CASE WHEN count(vwap) OVER w6 >= 4 THEN avg(vwap) OVER w6 END", 6)
@@ -308,7 +338,7 @@ partial_query("rolling_median", lambda f: R.partial(c("vwap"), 6, "median", f, 2
 partial_query("rolling_shift", lambda f: R.ref(c("close"), 4, f), "lag(close, 4) OVER s")
 partial_query("rolling_annualised_std", lambda f: R.annualised_std(c("close") / 100.0, 6, f), "CASE WHEN count(close) OVER w6 >= 3 THEN stddev_samp(close / 100.0) OVER w6 * sqrt(504.0) END", 6)
 partial_query("rolling_pair_corr", lambda f: R.partial_corr(c("close"), c("vwap"), 6, f, 3),
-              "CASE WHEN count(close) OVER w6 >= 3 THEN covar_pop(close, vwap) OVER w6 / nullif(stddev_pop(close) OVER w6 * stddev_pop(vwap) OVER w6, 0) END", 6)
+              "CASE WHEN count(close + vwap) OVER w6 >= 3 THEN covar_pop(close, vwap) OVER w6 / nullif(stddev_pop(CASE WHEN vwap IS NOT NULL THEN close END) OVER w6 * stddev_pop(vwap) OVER w6, 0) END", 6)
 partial_query("rolling_diff", lambda f: R.delta(c("close"), 10, f), "close - lag(close, 10) OVER s")
 
 # --- cross-section -------------------------------------------------------------------------------

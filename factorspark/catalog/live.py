@@ -70,8 +70,8 @@ LIVE_POOL = {"Sub($close,Ref($close,1d))": 0.7, "Mean($volume,3d)": -0.2}
 dense AS (SELECT s.symbol, c.date, d.close, d.volume FROM (SELECT DISTINCT date FROM closed) c CROSS JOIN (SELECT DISTINCT symbol FROM closed) s LEFT JOIN closed d ON d.symbol = s.symbol AND d.date = c.date),
 f AS (SELECT symbol, date, close - lag(close, 1) OVER s AS a, CASE WHEN count(volume) OVER w = 3 THEN avg(volume) OVER w END AS b FROM dense
   WINDOW s AS (PARTITION BY symbol ORDER BY date), w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
-z AS (SELECT symbol, date, {', '.join(f"coalesce(CASE WHEN count({c}) OVER d >= 2 AND stddev_pop({c}) OVER d >= 1e-8 THEN ({c} - avg({c}) OVER d) / stddev_pop({c}) OVER d END, 0) AS z{c}" for c in 'ab')} FROM f WINDOW d AS (PARTITION BY date))
-SELECT symbol, date, {q6('0.7 * za - 0.2 * zb')} AS score FROM z""",
+z AS (SELECT symbol, date, a, b, {', '.join(f"coalesce(CASE WHEN count({c}) OVER d >= 2 AND stddev_pop({c}) OVER d >= 1e-8 THEN ({c} - avg({c}) OVER d) / stddev_pop({c}) OVER d END, 0) AS z{c}" for c in 'ab')} FROM f WINDOW d AS (PARTITION BY date))
+SELECT symbol, date, {q6('CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN 0.7 * za - 0.2 * zb END')} AS score FROM z""",
 )
 def stream_scores(spark, folder):
     """Closed days reach the scorer through ``foreachBatch``; it keeps its own store and appends the scores."""

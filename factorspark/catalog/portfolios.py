@@ -25,7 +25,9 @@ def guarded(c, n=2):
     return f"coalesce(CASE WHEN count({c}) {DAY} >= {n} AND stddev_pop({c}) {DAY} >= 1e-8 THEN ({c} - avg({c}) {DAY}) / stddev_pop({c}) {DAY} END, 0)"
 
 
-SCORE_SQL = PANEL_SQL + ", s AS (SELECT symbol, date, date_idx, close, volume, " + " + ".join(f"{w} * {guarded(c)}" for c, w in WEIGHTS.items()) + " AS score FROM panel)"
+PRESENT = " OR ".join(f"{c} IS NOT NULL" for c in WEIGHTS)
+SCORED = f"CASE WHEN {PRESENT} THEN {' + '.join(f'{w} * {guarded(c)}' for c, w in WEIGHTS.items())} END AS score"
+SCORE_SQL = f"{PANEL_SQL}, s AS (SELECT symbol, date, date_idx, close, volume, {SCORED} FROM panel)"
 
 
 def scored(spark, folder):
@@ -39,6 +41,39 @@ def factor_score(spark, folder):
     return rounded(scored(spark, folder).df, "symbol", "date", cols=("score",))
 
 
+# Users trade on some days only: names come and go, and those absent on a day have no score and no place in a portfolio.
+USERS_SQL = f"""{DAILY_BARS_SQL}, users AS (SELECT s.symbol, c.date, c.date_idx, d.close, d.volume, d.vwap
+  FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS date_idx FROM (SELECT DISTINCT date FROM daily)) c
+  CROSS JOIN (SELECT DISTINCT symbol FROM daily) s LEFT JOIN daily d ON d.symbol = s.symbol AND d.date = c.date)"""
+USERS_RANKED_SQL = f"""{USERS_SQL}, s AS (SELECT symbol, date, {SCORED} FROM users),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS rank, count(*) {DAY} AS n FROM s WHERE score IS NOT NULL)"""
+
+
+def users_scored(spark, folder):
+    p = P.densify(daily(spark, folder).select("symbol", "date", "close", "volume", "vwap"))
+    return G.factor_score(p, WEIGHTS)
+
+
+@query("factor_score_sparse", f"WITH {USERS_SQL} SELECT symbol, date, {q6('score')} AS score FROM (SELECT symbol, date, {SCORED} FROM users)")
+def factor_score_sparse(spark, folder):
+    return rounded(users_scored(spark, folder).df, "symbol", "date", cols=("score",))
+
+
+@query("long_only_sparse", f"WITH {USERS_RANKED_SQL} SELECT date, symbol, rank, {q6('least(1.0 / least(20, greatest(floor(n * 0.15), 1)), 0.15)')} AS weight FROM ranked WHERE rank <= least(20, greatest(floor(n * 0.15), 1))")
+def long_only_sparse(spark, folder):
+    out = G.long_only(users_scored(spark, folder), "score", 0.15)
+    return out.select("date", "symbol", F.col("rank").cast("long").alias("rank"), r6("weight").alias("weight"))
+
+
+@query(
+    "long_short_sparse",
+    f"""WITH {USERS_RANKED_SQL}, k AS (SELECT *, least(floor(n * 0.08), 10) AS k FROM ranked)
+SELECT date, symbol, {q6("CASE WHEN rank > n - k THEN -least(0.5 / k, 0.15) ELSE least(0.5 / k, 0.15) END")} AS weight FROM k WHERE k > 0 AND (rank > n - k OR rank <= k)""",
+)
+def long_short_sparse(spark, folder):
+    return G.long_short(users_scored(spark, folder), "score", 0.08).select("date", "symbol", r6("weight").alias("weight"))
+
+
 @query("raw_score", f"WITH {PANEL_SQL} SELECT symbol, date, {q6('0.6 * close - 0.3 * volume + 0.25 * vwap')} AS score FROM panel")
 def raw_score(spark, folder):
     return rounded(G.raw_score(panel(spark, folder), WEIGHTS).df, "symbol", "date", cols=("score",))
@@ -334,7 +369,9 @@ def dataset_summary(spark, folder):
 
 
 VALID_SQL = f"""{MERGED_SQL}, names AS (SELECT DISTINCT s_suppkey AS symbol FROM supplier),
-latest AS (SELECT symbol, max_by(pe_ratio IS NULL, date) AS no_pe, max_by(close IS NULL, date) AS no_close, count(*) AS history FROM merged WHERE date <= DATE '2024-01-25' GROUP BY 1),
+upto AS (SELECT * FROM merged WHERE date <= DATE '2024-01-25'),
+latest AS (SELECT symbol, bool_and(pe_ratio IS NULL) FILTER (date = (SELECT max(date) FROM upto)) AS no_pe,
+  bool_and(close IS NULL) FILTER (date = (SELECT max(date) FROM upto)) AS no_close, count(*) AS history FROM upto GROUP BY 1),
 v AS (SELECT n.symbol, coalesce(history, 0) AS history, concat_ws(',', CASE WHEN coalesce(no_close, true) THEN 'close' END, CASE WHEN coalesce(no_pe, true) THEN 'pe_ratio' END) AS missing FROM names n LEFT JOIN latest USING (symbol))"""
 
 

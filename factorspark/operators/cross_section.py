@@ -56,10 +56,10 @@ def zscore_sample(panel: Panel, cols: Sequence[str]) -> Panel:
 def _with_percentiles(panel: Panel, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
     """Columns ``_q_<col>`` with the percentiles of the row's date: one window pass over dates that fit a task
     (nothing upstream is computed twice), else the distributed percentiles joined back."""
-    if panel.n_symbols <= scale.MAX_GROUP_ROWS:
+    if panel.n_symbols * len(cols) <= scale.MAX_GROUP_ROWS:  # one buffer of a date's values for each column
         wanted, day = F.array(*[F.lit(float(p)) for p in probs]), Window.partitionBy(*by)
         return panel.df.withColumns({f"_q_{c}": F.percentile(c, wanted).over(day) for c in cols})
-    limits = group_percentiles(panel.df, by, cols, probs, ["symbol"], panel.n_symbols)
+    limits = group_percentiles(panel.df, by, cols, probs, ["symbol"], panel.n_symbols * len(cols))
     limits = limits.select(*by, *[F.col(c).alias(f"_q_{c}") for c in cols])
     return panel.df.join(small_side(limits, panel.n_dates), list(by), "left")
 

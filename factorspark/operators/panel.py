@@ -42,7 +42,7 @@ SESSION_CLOSE_HOUR = {"AM": 12, "PM": 16}
 class Panel:
     """A dense panel: one row per (symbol, calendar date), missing values NULL.
 
-    ``n_dates`` is exact; ``n_symbols`` is the (estimated) width of the widest date. Both are measured when
+    ``n_dates`` is exact; ``n_symbols`` is the (estimated) width of a date, for a dense panel all its symbols. Both are measured when
     the panel is made and bound every broadcast and every per-date window made from it.
     """
 
@@ -187,7 +187,10 @@ def densify(bars: DataFrame, source: tuple[DataFrame, Column, Column] | None = N
     """
     spark = bars.sparkSession
     table, date, symbol = source or (bars, F.col("date"), F.col("symbol"))
-    days, n_dates, widest = measure(table, date, symbol)
+    days, n_dates, _ = measure(table, date, symbol)
+    # A dense date holds every symbol, also those that have no bar on it.
+    seen = table.agg(F.approx_count_distinct(symbol, WIDE_RSD)).first()[0]
+    widest = math.ceil((seen or 0) / (1 - WIDE_RSD))
     if days is not None:
         schema = T.StructType([T.StructField("date", bars.schema["date"].dataType), T.StructField("date_idx", T.LongType())])
         cal = spark.createDataFrame([(d, i) for i, d in enumerate(days)], schema)

@@ -21,8 +21,11 @@ COST_RATE = 0.0015
 
 
 def factor_score(panel: Panel, weights: Mapping[str, float], min_valid: int = 2, name: str = "score") -> Panel:
-    """Sum of weight * guarded z-score."""
-    return combine(zscore_guarded(panel, list(weights), min_valid), weights, name)
+    """Sum of weight * guarded z-score. A name with none of the factors on a day is not scored, so it is never held."""
+    present = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(True)) for c in weights])
+    marked = panel.over(panel.df.withColumn("_present", present))
+    scored = combine(zscore_guarded(marked, list(weights), min_valid), weights, name)
+    return scored.over(scored.df.withColumn(name, F.when(F.col("_present"), F.col(name))).drop("_present"))
 
 
 def raw_score(panel: Panel, weights: Mapping[str, float], name: str = "score") -> Panel:

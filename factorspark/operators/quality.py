@@ -62,9 +62,13 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 
 
 def validate_portfolio(portfolio: DataFrame, data: DataFrame, features: Sequence[str], day, histories: Sequence[int] = (10, 20, 40)) -> DataFrame:
-    """Per name: the features missing on its latest date, whether its history is long enough, completeness."""
-    latest = asof_lookup(data.select("symbol", "date", *features), day)
-    rows = data.filter(F.col("date") <= F.lit(day).cast("date")).groupBy("symbol").agg(F.count(F.lit(1)).alias("history"))
+    """Per name: the features missing on the latest date up to ``day``, whether its history is long enough, completeness.
+
+    A name without a row on that date misses every feature, however good its older rows are.
+    """
+    upto = data.filter(F.col("date") <= F.lit(day).cast("date"))
+    latest = upto.filter(F.col("date") == upto.agg(F.max("date")).scalar()).select("symbol", *features)
+    rows = upto.groupBy("symbol").agg(F.count(F.lit(1)).alias("history"))
     names = measured_side(portfolio.select("symbol").distinct())
     joined = names.join(latest, "symbol", "left").join(rows, "symbol", "left").withColumn("history", F.coalesce("history", F.lit(0)))
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in features]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling as R
 from ..functions import scalar as S
-from .operators import Elementwise, Operator, PairRolling, Rolling, SeriesFrame, recursive_ema
+from .operators import Elementwise, Operator, PairRolling, Rolling, SeriesFrame, ema_reach, recursive_ema
 
 EPS = 1e-8  # fixed value
 DEPLOY_HISTORY = 120  # fixed value: rows of history a deployed formula sees
@@ -143,7 +143,7 @@ _SCORING = _table(
             ("Mad", "mad"),
         ]
     ],
-    SeriesFrame("EMA", recursive_ema),
+    SeriesFrame("EMA", recursive_ema, reach=ema_reach),
 )
 
 _DEPLOY = _table(

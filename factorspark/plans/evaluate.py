@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import Frames
@@ -18,6 +18,7 @@ from ..operators.panel import Panel
 from .formula import DEFAULT, Call, Constant, Feature, FormulaOptions, Node, parse, reach
 
 BLOCK_ROWS = 250_000  # longest series handed to one window task
+OWN_ROWS = frozenset({"scoring", "deploy"})  # dialects whose windows run over a symbol's own rows
 _WIDE = 60  # window columns per projection
 
 
@@ -33,13 +34,21 @@ def add_factors(
 ) -> Panel:
     """The panel with one more column per formula."""
     roots = _nodes(formulas, options)
-    longest = panel.n_dates
-    if longest > block_rows:
-        df, frames = _blocks(panel, roots.values(), block_rows), Frames(("symbol", "_block"))
-    else:
-        df, frames = panel.df, Frames()
-    df = _compute(df, roots, frames, panel.n_symbols, blocked=longest > block_rows)
-    return panel.over(df)
+    blocked = panel.n_dates > block_rows
+    keys = ("symbol", "_block") if blocked else ("symbol",)
+    if options.dialect not in OWN_ROWS:
+        df = _blocks(panel.df, "date_idx", panel.n_dates, roots.values(), block_rows) if blocked else panel.df
+        return panel.over(_compute(df, roots, Frames(keys), panel.n_symbols, blocked))
+    # Windows count a symbol's own rows: days on which it has no value at all do not exist for it.
+    features = [c for c in panel.df.columns if c not in ("symbol", "date", "date_idx")]
+    present = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(True)) for c in features], F.lit(False))
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy("date_idx")) - 1
+    own = panel.df.filter(present).withColumn("_place", place.cast("long"))
+    own = _blocks(own, "_place", panel.n_dates, roots.values(), block_rows) if blocked else own
+    done = _compute(own, roots, Frames(keys, "_place"), panel.n_symbols, blocked).drop("_place")
+    absent = panel.df.filter(~present).select(*[c for c in panel.df.columns if c not in roots])
+    absent = absent.withColumns({name: F.lit(None).cast("double") for name in roots})
+    return panel.over(done.unionByName(absent))
 
 
 def factor_table(panel: Panel, formulas: Mapping[str, str | Node], options: FormulaOptions = DEFAULT) -> DataFrame:
@@ -57,7 +66,7 @@ def factor_rows(panel: Panel, formulas: list[str], options: FormulaOptions = DEF
     )
 
 
-def _blocks(panel: Panel, roots, size: int) -> DataFrame:
+def _blocks(df: DataFrame, order: str, length: int, roots, size: int) -> DataFrame:
     """Cut each symbol's series into blocks of ``size`` rows, each with the neighbouring rows its frames reach.
 
     A series of any length then spreads over many tasks. Borrowed rows carry ``_own = false``; they feed the
@@ -65,11 +74,11 @@ def _blocks(panel: Panel, roots, size: int) -> DataFrame:
     """
     reaches = [reach(r) for r in roots]
     back, ahead = max(b for b, _ in reaches), max(a for _, a in reaches)
-    last = (panel.n_dates - 1) // size
-    idx = F.col("date_idx")
+    last = (length - 1) // size
+    idx = F.col(order)
     first_block = F.greatest(F.floor((idx - ahead) / size), F.lit(0))
     last_block = F.least(F.floor((idx + back) / size), F.lit(last))
-    return panel.df.withColumn("_block", F.explode(F.sequence(first_block, last_block))).withColumn(
+    return df.withColumn("_block", F.explode(F.sequence(first_block, last_block))).withColumn(
         "_own", F.col("_block") == F.floor(idx / size)
     )
 

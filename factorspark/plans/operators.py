@@ -7,6 +7,7 @@ frame that ends at a row of one symbol, ``CrossSection`` on all symbols of a dat
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -74,6 +75,7 @@ class SeriesFrame(Operator):
 
     windowed = True
     scope = "series_frame"
+    reach: Callable[[int], int] = lambda n: n - 1
 
     def apply(self, df: DataFrame, column: str, window: int, result: str, frames: R.Frames) -> DataFrame:
         return self.fn(df, column, window, result, frames)
@@ -98,8 +100,8 @@ def cs_rank(df: DataFrame, column: str, result: str, n_symbols: int) -> DataFram
 def recursive_ema(df: DataFrame, column: str, window: int, result: str, frames: R.Frames) -> DataFrame:
     """Exponential mean over the whole history of a symbol, seeded by its first value.
 
-    A recursion over an unbounded history has no frame form. A symbol's series is at most calendar-long, and
-    only the key, the order and the value travel to Python.
+    A recursion has no frame form, so blocks of the series go to Python, each with the rows before it that still
+    matter (:func:`ema_reach`); only the key, the order and the value travel.
     """
     ship(df.sparkSession)
     keys, order = list(frames.keys), frames.order
@@ -115,6 +117,11 @@ def recursive_ema(df: DataFrame, column: str, window: int, result: str, frames:
     return df.join(smoothed.withColumnRenamed("_ema", result), [*keys, order])
 
 
+def ema_reach(n: int) -> int:
+    """Rows after which a value's weight in an exponential mean is under 2**-60 of the whole, so that no digit depends on it."""
+    return math.ceil(60 * math.log(2) / -math.log1p(-2.0 / (n + 1))) if n > 1 else 0
+
+
 def _table(ops: list[Operator]) -> dict[str, Operator]:
     return {op.name: op for op in ops}
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Sequence
 
 import pandas as pd
@@ -25,42 +26,76 @@ def _wanted(path: Column, pattern: str, symbols: Sequence[str] | None) -> Column
     return symbol.isin([s.upper() for s in symbols]) if symbols else F.lit(True)
 
 
-def read_minute_zips(spark: SparkSession, root: str, symbols: Sequence[str] | None = None, start=None, end=None) -> DataFrame:
-    """``<root>/<symbol>/<YYYYMMDD>_trade.zip``, each with one headerless CSV of milliseconds and scaled prices.
+_MINUTE = r"([^/]+)/\d{8}_trade\.zip$"
+_MINUTE_DAY = r"(\d{8})_trade\.zip$"
 
-    (symbol, datetime, open, high, low, close, volume). Days and symbols without a file are simply absent.
-    """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*_trade.zip")
-        .load(root)
-        .select("path", "content")
-    )
-    pattern = r"([^/]+)/\d{8}_trade\.zip$"
-    day = F.to_date(F.regexp_extract("path", r"(\d{8})_trade\.zip$", 1), "yyyyMMdd")
-    files = files.filter(_wanted(F.col("path"), pattern, symbols))
+
+def _minute_archives(spark: SparkSession, root: str, symbols: Sequence[str] | None, start, end) -> DataFrame:
+    """(path, content) of the wanted archives. The filters stand on the file's metadata, so other files are not opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*_trade.zip").load(root)
+    path = F.col("_metadata.file_path")
+    day = F.to_date(F.regexp_extract(path, _MINUTE_DAY, 1), "yyyyMMdd")
+    files = files.filter(_wanted(path, _MINUTE, symbols))
     if start is not None:
         files = files.filter(day >= F.lit(start).cast("date"))
     if end is not None:
         files = files.filter(day <= F.lit(end).cast("date"))
+    return files.select("path", "content")
+
 
+def _minute_member(path: str, content: bytes) -> tuple[bytes | None, str | None]:
+    """The CSV of an archive, or what is wrong with it."""
+    symbol, name = path.split("/")[-2:]
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            names = z.namelist()
+            wanted = f"{name[:8]}_{symbol}_minute_trade.csv".lower()
+            found = [n for n in names if n.lower() == wanted] or (names if len(names) == 1 else [])
+            return (z.read(found[0]), None) if found else (None, f"no member {wanted}")
+    except (zipfile.BadZipFile, zlib.error) as e:
+        return None, str(e) or "broken archive"
+
+
+def broken_minute_zips(spark: SparkSession, root: str, symbols: Sequence[str] | None = None, start=None, end=None) -> DataFrame:
+    """(path, fault) of the archives that :func:`read_minute_zips` passes over."""
+    ship(spark)
+
+    def faults(batches):
+        for pdf in batches:
+            found = [(p, _minute_member(p, c)[1]) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
+            yield pd.DataFrame([x for x in found if x[1]], columns=["path", "fault"])
+
+    return _minute_archives(spark, root, symbols, start, end).mapInPandas(faults, "path string, fault string")
+
+
+def read_minute_zips(
+    spark: SparkSession, root: str, symbols: Sequence[str] | None = None, start=None, end=None, broken: str = "skip"
+) -> DataFrame:
+    """``<root>/<symbol>/<YYYYMMDD>_trade.zip``, each with one headerless CSV of milliseconds and scaled prices.
+
+    (symbol, datetime, open, high, low, close, volume). Days and symbols without a file are simply absent. The CSV is
+    the member named after the day and the symbol, or the only one. An archive without it, or one that cannot be read,
+    counts as a missing day; ``broken="raise"`` stops there instead, and :func:`broken_minute_zips` lists them.
+    """
+    files = _minute_archives(spark, root, symbols, start, end)
+    strict = broken == "raise"
     ship(spark)
 
     def unpack(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        text = z.read(z.namelist()[0])
-                except (zipfile.BadZipFile, IndexError):
-                    continue  # a broken day counts as a missing one
+                text, fault = _minute_member(path, content)
+                if fault and strict:
+                    raise ValueError(f"{path}: {fault}")
+                if fault:
+                    continue
                 bars = pd.read_csv(io.BytesIO(text), header=None, names=["ms", *_PRICES, "volume"])
                 bars.insert(0, "path", path)
                 yield bars.astype({"ms": "int64", **{c: "float64" for c in (*_PRICES, "volume")}})
 
     raw = files.mapInPandas(unpack, "path string, ms long, open double, high double, low double, close double, volume double")
-    return _scaled_minutes(raw, F.regexp_extract("path", pattern, 1), day)
+    day = F.to_date(F.regexp_extract("path", _MINUTE_DAY, 1), "yyyyMMdd")
+    return _scaled_minutes(raw, F.regexp_extract("path", _MINUTE, 1), day)
 
 
 def _scaled_minutes(raw: DataFrame, symbol: Column, day: Column) -> DataFrame:
@@ -88,15 +123,17 @@ def read_minute_csv(spark: SparkSession, root: str, symbols: Sequence[str] | Non
 
 
 def read_daily_zips(
-    spark: SparkSession, root: str, symbols: Sequence[str] | None = None, start=None, end=None, scale: float = PRICE_SCALE
+    spark: SparkSession, root: str, symbols: Sequence[str] | None = None, start=None, end=None, scale: float = PRICE_SCALE, broken: str = "skip"
 ) -> DataFrame:
     """``<root>/<symbol>.zip`` with daily rows dated ``YYYYMMDD`` or ``YYYYMMDD HH:MM``; dates inclusive.
 
-    Inside the zip the CSV may be named with or without the dots of the symbol, or be the only file.
+    Inside the zip the CSV may be named with or without the dots of the symbol, or be the only file. An archive without
+    it, or one that cannot be read, is passed over, or stops the scan with ``broken="raise"``.
     """
+    strict = broken == "raise"
     pattern = r"([^/]+)\.zip$"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(root).select("path", "content")
-    files = files.filter(_wanted(F.col("path"), pattern, symbols)).withColumn("symbol", F.upper(F.regexp_extract("path", pattern, 1)))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(root)
+    files = files.filter(_wanted(F.col("_metadata.file_path"), pattern, symbols)).select("path", "content").withColumn("symbol", F.upper(F.regexp_extract("path", pattern, 1)))
 
     ship(spark)
 
@@ -107,10 +144,12 @@ def read_daily_zips(
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         names, low = z.namelist(), symbol.lower()
                         found = [n for n in (low.replace(".", "") + ".csv", low + ".csv") if n in names] or (names if len(names) == 1 else [])
-                        if not found:
-                            continue
-                        text = z.read(found[0])
-                except zipfile.BadZipFile:
+                        text = z.read(found[0]) if found else None
+                except (zipfile.BadZipFile, zlib.error):
+                    text = None
+                if text is None:
+                    if strict:
+                        raise ValueError(f"{symbol}: broken archive")
                     continue
                 rows = pd.read_csv(io.BytesIO(text), header=None, names=["day", *_PRICES, "volume"], dtype={"day": str})
                 rows.insert(0, "symbol", symbol)

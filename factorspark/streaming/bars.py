@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.cross_section import zscore_guarded
-from ..operators.metrics import combine
 from ..operators.panel import densify
+from ..operators.portfolio import factor_score
 from ..operators.scale import measured_side
 from ..plans.evaluate import add_factors
 from ..session import ship
@@ -103,8 +102,7 @@ def score_new_bars(
     # The date filters reach the scan, so only the lookback is read from the store.
     panel = densify(bars.filter(F.col("date").between(F.lit(start), F.lit(span[1]))))
     names = {f"_a{i}": f for i, f in enumerate(pool)}
-    z = zscore_guarded(add_factors(panel, names, options), list(names))
-    scored = combine(z, {n: pool[f] for n, f in names.items()})
+    scored = factor_score(add_factors(panel, names, options), {n: pool[f] for n, f in names.items()})
     fresh = scored.df.join(measured_side(new.select("date").distinct()), "date", "left_semi")
     _append_once(spark, fresh.select("symbol", "date", "score"), scores, span)
 

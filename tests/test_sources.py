@@ -42,6 +42,36 @@ def test_minute_zips(spark, tmp_path):
     assert bars["PM"]["close"] == 102.0
 
 
+def test_minute_zips_read_only_what_is_wanted(spark, tmp_path):
+    for symbol in ("AAA", "BBB"):
+        for day in range(10):
+            minute_zip(tmp_path, symbol, f"202401{day + 10}", ROWS)
+    df = B.read_minute_zips(spark, str(tmp_path), ["BBB"], "2024-01-12", "2024-01-14")
+    assert df.count() == 9
+    rows = df.select("symbol", "close")
+    rows.collect()
+    leaves = rows._jdf.queryExecution().executedPlan().collectLeaves()
+    assert [leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size())] == [3]
+
+
+def test_minute_zips_take_the_named_member_and_tell_broken_ones(spark, tmp_path):
+    minute_zip(tmp_path, "AAA", "20240102", ROWS)
+    path = tmp_path / "aaa" / "20240103_trade.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("readme.csv", "1,1,1,1,1,1")
+        z.writestr("20240103_aaa_minute_trade.csv", ",".join(map(str, ROWS[1])))
+    (tmp_path / "aaa" / "20240104_trade.zip").write_bytes(b"broken")
+    with zipfile.ZipFile(tmp_path / "aaa" / "20240105_trade.zip", "w") as z:
+        z.writestr("a.csv", "1,1,1,1,1,1")
+        z.writestr("b.csv", "1,1,1,1,1,1")
+    got = B.read_minute_zips(spark, str(tmp_path))
+    assert got.count() == 4 and got.filter("datetime >= '2024-01-03'").first()["close"] == 101.5
+    faults = {r["path"][-18:]: r["fault"] for r in B.broken_minute_zips(spark, str(tmp_path)).collect()}
+    assert set(faults) == {"20240104_trade.zip", "20240105_trade.zip"} and "no member" in faults["20240105_trade.zip"]
+    with pytest.raises(Exception, match="20240104_trade.zip"):
+        B.read_minute_zips(spark, str(tmp_path), broken="raise").count()
+
+
 def test_minute_csv(spark, tmp_path):
     (tmp_path / "aaa").mkdir()
     (tmp_path / "aaa" / "20240102_aaa_minute_trade.csv").write_text("\n".join(",".join(map(str, r)) for r in ROWS))
