@@ -180,10 +180,13 @@ def parsimony_fitness(programs: DataFrame, coefficient: float | None = None, gre
 
 
 def weighted_quantile(df: DataFrame, value: str, weight: str, q: float) -> DataFrame:
-    """Smallest value whose cumulative weight reaches q. Equal values are summed before they are ordered."""
+    """Smallest value whose cumulative weight reaches q. Equal values are summed before they are ordered.
+
+    The comparison allows for the last bits of the sum, so that no order of addition changes the answer.
+    """
     per_value = df.groupBy(value).agg(F.sum(weight).alias("_w"))
     cumulated = running_total(per_value, [F.col(value)], "_w", "_cum")
-    return cumulated.filter(F.col("_cum") >= q).agg(F.min(value).alias("quantile"))
+    return cumulated.filter(F.col("_cum") * (1 + 1e-12) >= q).agg(F.min(value).alias("quantile"))
 
 
 def entropy(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:

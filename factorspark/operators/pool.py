@@ -6,18 +6,20 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.evaluate import add_factors
 from ..plans.formula import DEFAULT, FormulaOptions, parse
+from ..session import cut, ship
 from .cross_section import zscore
 from .metrics import IC_STD_FLOOR, gram_rows, mutual_from_grams, mutual_ic_matrix
 from .panel import Panel
 from .scale import top_in_group
 
 MUTUAL_LIMIT = 0.99  # fixed value: a candidate this close to a member adds nothing
-MAX_STATISTICS = 50_000_000  # numbers the driver takes for the per-date objectives
+LOCAL_NUMBERS = 2_000_000  # per-date products up to this many numbers are read once instead of by a job per step
 ICIR_FLOOR = 1e-12
 
 
@@ -28,7 +30,7 @@ class PoolStatistics:
     exprs: list[str]
     ics: np.ndarray  # K
     mutual: np.ndarray  # K x K
-    daily: np.ndarray | None = None  # dates x (K+1) x (K+1) covariances, last row the target
+    daily: DailyProducts | None = None  # per date (K+1) x (K+1) covariances, last row the target
 
 
 def pool_statistics(
@@ -47,18 +49,106 @@ def pool_statistics(
         for r in mutual_from_grams(grams).groupBy("i", "j").agg(F.avg("ic").alias("ic")).collect():
             full[r["i"], r["j"]] = full[r["j"], r["i"]] = r["ic"]
         return PoolStatistics(list(exprs), full[:-1, -1].copy(), full[:-1, :-1].copy())
-    if panel.n_dates * k * k > MAX_STATISTICS:
-        raise ValueError(f"{panel.n_dates} dates x {k} formulas are too many for the driver; fit on the mean ICs instead")
-    rows = grams.toPandas()
-    dates = {d: i for i, d in enumerate(sorted(rows["date"].unique()))}
-    cov = np.zeros((len(dates), k, k))
-    at = rows["date"].map(dates).to_numpy()
-    i, j, value = rows["i"].to_numpy(), rows["j"].to_numpy(), (rows["dot"] / rows["n"]).to_numpy()
-    cov[at, i, j] = value
-    cov[at, j, i] = value
-    ic = _daily_correlations(cov).mean(axis=0)
-    np.fill_diagonal(ic, 1.0)
-    return PoolStatistics(list(exprs), ic[:-1, -1].copy(), ic[:-1, :-1].copy(), cov)
+    daily = DailyProducts.of(grams, k)
+    ic = daily.mean_correlations()[0]
+    return PoolStatistics(list(exprs), ic[:-1, -1].copy(), ic[:-1, :-1].copy(), daily)
+
+
+class DailyProducts:
+    """Per date the covariances of K formulas and the target, as checkpointed rows.
+
+    Each question (an objective with its gradient, mean correlations) is one pass that sends a few sums per task. Tables
+    of up to ``LOCAL_NUMBERS`` numbers are read once, and the same sums are taken without a job.
+    """
+
+    def __init__(self, rows: DataFrame, k: int):
+        self.rows, self.k = rows, k
+        few = rows.limit(LOCAL_NUMBERS // (k * k) + 1).collect()
+        self.local = _cubes(pd.DataFrame([r.asDict() for r in few]), k) if 0 < len(few) <= LOCAL_NUMBERS // (k * k) else None
+
+    @classmethod
+    def of(cls, grams: DataFrame, k: int) -> DailyProducts:
+        cell = F.struct("i", "j", (F.col("dot") / F.col("n")).alias("v"))
+        days = grams.groupBy("date").agg(F.sort_array(F.collect_list(cell))["v"].alias("v"))  # K * (K + 1) / 2 cells a date
+        return cls(cut(days.withColumn("fold", F.lit(0))), k)
+
+    def in_folds(self, folds: int) -> DailyProducts:
+        """The same dates in consecutive folds of equal length. Only dates pass the unpartitioned window."""
+        fold = F.ntile(folds).over(Window.orderBy("date")) - 1
+        return DailyProducts(cut(self.rows.drop("fold").join(self.rows.select("date").withColumn("fold", fold), "date")), self.k)
+
+    def sums(self, of_day) -> np.ndarray:
+        """Sum over dates of ``of_day(cov, fold)``, which gives one array per date."""
+        if self.local is not None:
+            return of_day(*self.local).sum(axis=0)
+        k = self.k
+        ship(self.rows.sparkSession)
+
+        def partial(batches):
+            total = None
+            for pdf in batches:
+                if len(pdf):
+                    part = of_day(*_cubes(pdf, k)).sum(axis=0)
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pd.DataFrame({"total": [total.ravel()]})
+
+        shape = of_day(np.zeros((1, k, k)), np.zeros(1, dtype=int)).shape[1:]
+        parts = self.rows.mapInPandas(partial, "total array<double>").collect()
+        return sum((np.array(r["total"]) for r in parts), np.zeros(int(np.prod(shape)))).reshape(shape)
+
+    def mean_correlations(self, folds: int = 1) -> np.ndarray:
+        """(folds, K + 1, K + 1): mean daily correlations of each fold's dates, ones on the diagonal."""
+        k = self.k
+
+        def of_day(cov, fold):
+            hot = np.eye(folds)[fold]
+            full = np.concatenate((_daily_correlations(cov).reshape(len(cov), -1), np.ones((len(cov), 1))), axis=1)
+            return hot[:, :, None] * full[:, None, :]
+
+        total = self.sums(of_day)
+        out = (total[:, :-1] / np.maximum(total[:, -1:], 1)).reshape(folds, k, k)
+        out[:, range(k), range(k)] = 1.0
+        return out
+
+    def objective(self, w: np.ndarray, lcb_beta: float | None = None) -> tuple[float, np.ndarray]:
+        """ICIR of the combination, or mean - beta * std, and its gradient."""
+        k = len(w)
+
+        def of_day(cov, fold):
+            ic, slope = _daily_ic(w, cov)
+            return np.concatenate((np.ones((len(ic), 1)), ic[:, None], (ic**2)[:, None], slope, slope * ic[:, None]), axis=1)
+
+        total = self.sums(of_day)
+        n, s1, s2, g, ig = total[0], total[1], total[2], total[3 : 3 + k], total[3 + k :]
+        mean = s1 / n
+        std = float(np.sqrt(max(s2 - n * mean**2, 0.0) / max(n - 1, 1)))
+        up = g / n
+        wide = (ig - mean * g) / (max(n - 1, 1) * std) if std > ICIR_FLOOR else np.zeros(k)
+        if lcb_beta is not None:
+            return float(mean - lcb_beta * std), up - lcb_beta * wide
+        low = max(std, ICIR_FLOOR)
+        return float(mean / low), up / low - (mean / low**2) * wide
+
+
+def _cubes(pdf: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Covariances (dates x k x k) and folds of some rows."""
+    cov = np.zeros((len(pdf), k, k))
+    i, j = np.triu_indices(k)
+    cov[:, i, j] = cov[:, j, i] = np.stack(pdf["v"].to_numpy()).astype(float)
+    return cov, pdf["fold"].to_numpy()
+
+
+def _daily_ic(w: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per date the IC of the weighted sum and its gradient by the weights."""
+    a, c = cov[:, :-1, :-1], cov[:, :-1, -1]
+    aw = a @ w
+    sx, sy = np.sqrt(np.maximum(aw @ w, 0)), np.sqrt(cov[:, -1, -1])
+    flat = (sx < IC_STD_FLOOR) | (sy < IC_STD_FLOOR)
+    scale = np.where(flat, 1.0, sx * sy)
+    ic = (c @ w) / scale
+    slope = c / scale[:, None] - np.where(flat, 0.0, ic / np.where(flat, 1.0, sx**2))[:, None] * aw
+    return ic, slope
 
 
 def _daily_correlations(cov: np.ndarray) -> np.ndarray:
@@ -93,41 +183,27 @@ def fit_weights(mutual: np.ndarray, ics: np.ndarray, alpha: float = 5e-3, steps:
     return w
 
 
-def daily_objective(w: np.ndarray, cov: np.ndarray, lcb_beta: float | None = None) -> float:
-    """ICIR of the combination, or mean - beta * std, from per-date covariances."""
-    a, c = cov[:, :-1, :-1], cov[:, :-1, -1]
-    sx, sy = np.sqrt(np.maximum(np.einsum("i,tij,j->t", w, a, w), 0)), np.sqrt(cov[:, -1, -1])
-    scale = np.where((sx < IC_STD_FLOOR) | (sy < IC_STD_FLOOR), 1.0, sx * sy)
-    ics = (c @ w) / scale
-    mean, std = ics.mean(), ics.std(ddof=1)
-    return float(mean - lcb_beta * std) if lcb_beta is not None else float(mean / max(std, ICIR_FLOOR))
-
-
 def fit_weights_daily(
     stats: PoolStatistics, start: np.ndarray | None = None, alpha: float = 5e-3, lcb_beta: float | None = None, steps: int = 400
 ) -> np.ndarray:
     """Maximise the daily objective less alpha * |w|_1 by gradient steps that never make it worse."""
-    cov = stats.daily
     w = np.array(stats.ics if start is None else start, dtype=float)
-    value = daily_objective(w, cov, lcb_beta) - alpha * np.abs(w).sum()
-    rate, eps = 0.05, 1e-6
+
+    def at(w):
+        value, slope = stats.daily.objective(w, lcb_beta)
+        return value - alpha * np.abs(w).sum(), slope - alpha * np.sign(w)
+
+    (value, grad), rate = at(w), 0.05
     for _ in range(steps):
-        grad = np.array(
-            [
-                (daily_objective(w + eps * e, cov, lcb_beta) - daily_objective(w - eps * e, cov, lcb_beta)) / (2 * eps)
-                for e in np.eye(len(w))
-            ]
-        )
-        grad -= alpha * np.sign(w)
         while rate > 1e-9:
             trial = w + rate * grad
-            got = daily_objective(trial, cov, lcb_beta) - alpha * np.abs(trial).sum()
+            got, slope = at(trial)
             if got > value:
                 break
             rate /= 2
         else:
             break
-        w, value, rate = trial, got, rate * 1.5
+        w, value, grad, rate = trial, got, slope, rate * 1.5
     return w
 
 
@@ -193,13 +269,17 @@ def extend_pool(
     weights = np.array(pool.weights, dtype=float)
     log = list(pool.log)
     for c in range(len(pool.exprs), len(stats.exprs)):
-        why = admission_failure(
-            stats.ics[c], stats.mutual[c, members], lower_bound, limit if limit is not None else np.inf
-        )
+        # An empty pool takes any candidate, and so does one whose only member is weak; that member then leaves.
+        weak = not members or (len(members) == 1 and abs(stats.ics[members[0]]) < lower_bound)
+        bound = -np.inf if weak else lower_bound
+        why = admission_failure(stats.ics[c], stats.mutual[c, members], bound, limit if limit is not None else np.inf)
         entry = {"expr": stats.exprs[c], "ic": float(stats.ics[c]), "failure": why, "removed": None}
         log.append(entry)
         if why:
             continue
+        if weak and members:
+            entry["removed"] = stats.exprs[members[0]]
+            members = []
         trial = [*members, c]
         fitted = (
             fit_weights(stats.mutual[np.ix_(trial, trial)], stats.ics[trial], alpha) if len(trial) > 1 else np.array([stats.ics[c]])
@@ -231,19 +311,21 @@ def force_load(
     alpha: float = 5e-3,
     options: FormulaOptions = DEFAULT,
 ) -> Pool:
-    """Take all formulas (equal ones once, undefined ones dropped), with given or fitted weights."""
+    """Take formulas in order up to the capacity (equal ones once, undefined ones dropped), with given or fitted weights."""
     first = {}
     for i, e in enumerate(exprs):
         first.setdefault(str(parse(e, options)), i)
     stats = pool_statistics(panel, list(first), target, options)
-    ok = [i for i in range(len(first)) if np.isfinite(stats.ics[i]) and np.isfinite(stats.mutual[i]).all()]
+    ok: list[int] = []
+    for i in range(len(first)):
+        if np.isfinite(stats.ics[i]) and np.isfinite(stats.mutual[i, ok]).all() and len(ok) < (capacity or len(first)):
+            ok.append(i)
     w = (
         np.array([weights[first[stats.exprs[i]]] for i in ok], dtype=float)
         if weights is not None
         else fit_weights(stats.mutual[np.ix_(ok, ok)], stats.ics[ok], alpha)
     )
-    pool = Pool(capacity or len(ok), [stats.exprs[i] for i in ok], w, stats.ics[ok], stats.mutual[np.ix_(ok, ok)])
-    return leave_only(pool, pool.capacity) if len(ok) > pool.capacity else pool
+    return Pool(capacity or len(ok), [stats.exprs[i] for i in ok], w, stats.ics[ok], stats.mutual[np.ix_(ok, ok)])
 
 
 def most_significant(pool: Pool, k: int) -> list[int]:
@@ -315,11 +397,13 @@ def weight_norms(pool: DataFrame, factor: float = 0.9) -> DataFrame:
 
 def cross_validated_weights(stats: PoolStatistics, folds: int = 5, alpha: float = 5e-3, shrink: float = 0.9) -> np.ndarray:
     """Mean of the weights fitted without one block of dates at a time, times ``shrink``."""
-    ics = _daily_correlations(stats.daily)
-    blocks = np.array_split(np.arange(len(ics)), folds)
+    daily = stats.daily.in_folds(folds)
+    counts = daily.sums(lambda cov, fold: np.eye(folds)[fold])
+    each = daily.mean_correlations(folds)
     fits = []
-    for block in blocks:
-        mean = np.delete(ics, block, axis=0).mean(axis=0)
+    for left_out in range(folds):
+        share = np.where(np.arange(folds) == left_out, 0.0, counts)
+        mean = np.tensordot(share / share.sum(), each, 1)
         np.fill_diagonal(mean, 1.0)
         fits.append(fit_weights(mean[:-1, :-1], mean[:-1, -1], alpha))
     return np.mean(fits, axis=0) * shrink
@@ -341,13 +425,15 @@ def greedy_decorrelated(order: Sequence[int], mutual: np.ndarray, threshold: flo
 
 def decorrelated_hall_of_fame(corr: np.ndarray, n: int) -> list[int]:
     """``corr`` is sorted by fitness, best first: drop the worse of the closest pair until n remain."""
-    left = list(range(len(corr)))
-    c = np.abs(np.array(corr, dtype=float))
-    np.fill_diagonal(c, 0.0)
-    while len(left) > n:
-        sub = c[np.ix_(left, left)]
-        left.pop(max(np.unravel_index(np.argmax(sub), sub.shape)))
-    return left
+    better, worse = np.triu_indices(len(corr), 1)
+    closest = np.argsort(-np.abs(np.asarray(corr, dtype=float))[better, worse], kind="stable")
+    gone: set[int] = set()
+    for b, w in zip(better[closest].tolist(), worse[closest].tolist(), strict=True):
+        if len(corr) - len(gone) <= n:
+            break
+        if b not in gone and w not in gone:
+            gone.add(w)
+    return [i for i in range(len(corr)) if i not in gone]
 
 
 def select_decorrelated(

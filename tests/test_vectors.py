@@ -117,26 +117,45 @@ def test_pool_statistics_and_weights(spark):
         assert best <= K.mse_loss(l1 + rng.normal(scale=0.05, size=len(l1)), stats.mutual, stats.ics, 0.05) + 1e-12
 
 
-def test_daily_objectives_improve(spark):
+@pytest.mark.parametrize("local", [2_000_000, 0])
+def test_daily_objectives_improve(spark, monkeypatch, local):
+    """Read once or by a job per step: the same sums."""
+    monkeypatch.setattr(K, "LOCAL_NUMBERS", local)
     stats = K.pool_statistics(panel(spark, SMALL), list(POOL), FORWARD, keep_daily=True)
+    assert (stats.daily.local is None) == (local == 0)
     for beta in (None, 0.5):
-        start = K.daily_objective(stats.ics, stats.daily, beta)
-        fitted = K.fit_weights_daily(stats, alpha=0.0, lcb_beta=beta, steps=50)
-        assert K.daily_objective(fitted, stats.daily, beta) >= start
+        start, slope = stats.daily.objective(stats.ics, beta)
+        fitted = K.fit_weights_daily(stats, alpha=0.0, lcb_beta=beta, steps=50 if local else 3)
+        assert stats.daily.objective(fitted, beta)[0] >= start
+        step = 1e-6 * np.eye(len(slope))
+        ahead = [stats.daily.objective(stats.ics + e, beta)[0] - stats.daily.objective(stats.ics - e, beta)[0] for e in step]
+        assert np.allclose(slope, np.array(ahead) / 2e-6, rtol=1e-4, atol=1e-6)
     w = np.array(list(POOL.values()))
     daily = M.pool_daily(panel(spark, SMALL), POOL, FORWARD).agg(F.avg("ic") / F.stddev_samp("ic")).first()[0]
-    assert K.daily_objective(w, stats.daily) == pytest.approx(daily)
+    assert stats.daily.objective(w)[0] == pytest.approx(daily)
     assert K.cross_validated_weights(stats, 4).shape == (len(POOL),)
 
 
+def test_pool_admission_when_empty_or_weak(spark):
+    p = panel(spark, SMALL)
+    names = list(POOL)
+    ics = {e: float(i) for e, i in zip(K.force_load(p, names, FORWARD).exprs, K.force_load(p, names, FORWARD).ics, strict=True)}
+    bound = max(abs(v) for v in ics.values()) + 1.0
+    pool = K.extend_pool(p, K.Pool(3), names, FORWARD, lower_bound=bound)
+    assert pool.exprs == [list(ics)[-1]] and sum(e["removed"] is not None for e in pool.log) == len(names) - 1
+    loaded = K.force_load(p, names, FORWARD, capacity=3)
+    assert loaded.exprs == list(ics)[:3]
+    assert np.allclose(loaded.weights, K.fit_weights(loaded.mutual, loaded.ics, 5e-3))
+
+
 def test_pool_growth_eviction_and_edit(spark):
     p = panel(spark, SMALL)
     full = K.extend_pool(p, K.Pool(10), list(POOL), FORWARD, alpha=0.0)
     assert set(full.exprs) == set(POOL) and all(e["failure"] is None for e in full.log)
     small = K.extend_pool(p, K.Pool(2), list(POOL), FORWARD, alpha=0.0)
     assert len(small.exprs) == 2 and sum(e["removed"] is not None for e in small.log) == 3
-    strict = K.extend_pool(p, K.Pool(10), list(POOL), FORWARD, lower_bound=10.0)
-    assert not strict.exprs and {e["failure"] for e in strict.log} == {"ic below bound"}
+    strict = K.extend_pool(p, K.Pool(10, full.exprs, full.weights, full.ics, full.mutual), ["Mul($high,$low)"], FORWARD, lower_bound=10.0)
+    assert strict.exprs == full.exprs and {e["failure"] for e in strict.log} == {"ic below bound"}
     twice = K.extend_pool(p, full, ["Mul(2.0,Sub($high,$low))"], FORWARD, alpha=0.0)
     assert twice.log[-1]["failure"] == "mutual ic above limit"
     edited, change = K.bulk_edit(p, full, [0], ["Mean($close,4d)"], FORWARD)
