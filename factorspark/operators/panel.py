@@ -92,18 +92,24 @@ def ohlcv(
     )
 
 
+def wall_clock(ts: Column, zone: str | None) -> Column:
+    """The time a clock in ``zone`` shows, without a zone; None leaves the session's zone in charge."""
+    return ts if zone is None else F.convert_timezone(None, F.lit(zone), ts.cast("timestamp_ntz"))
+
+
 def _time_order(ts: str, unique: Sequence[str]) -> Column:
     return F.struct(ts, *unique) if unique else F.col(ts)
 
 
-def session_bars(minute: DataFrame, ts: str = "datetime", unique: Sequence[str] = ()) -> DataFrame:
-    """(symbol, date, session) bars. ``unique`` breaks ties between rows with the same time."""
-    tagged = minute.withColumns({"date": F.to_date(ts), "session": session_of(F.col(ts))})
+def session_bars(minute: DataFrame, ts: str = "datetime", unique: Sequence[str] = (), zone: str | None = None) -> DataFrame:
+    """(symbol, date, session) bars by the clock of the exchange's ``zone``. ``unique`` breaks ties between rows with the same time."""
+    local = wall_clock(F.col(ts), zone)
+    tagged = minute.withColumns({"date": F.to_date(local), "session": session_of(local)})
     return ohlcv(tagged, ["symbol", "date", "session"], _time_order(ts, unique))
 
 
-def daily_bars(intraday: DataFrame, ts: str = "datetime", unique: Sequence[str] = ()) -> DataFrame:
-    return ohlcv(intraday.withColumn("date", F.to_date(ts)), ["date", "symbol"], _time_order(ts, unique))
+def daily_bars(intraday: DataFrame, ts: str = "datetime", unique: Sequence[str] = (), zone: str | None = None) -> DataFrame:
+    return ohlcv(intraday.withColumn("date", F.to_date(wall_clock(F.col(ts), zone))), ["date", "symbol"], _time_order(ts, unique))
 
 
 def with_session_close(df: DataFrame) -> DataFrame:

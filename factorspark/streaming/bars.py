@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,12 +20,16 @@ from ..plans.formula import DEFAULT, FormulaOptions, parse, reach
 LATENESS = "5 days"  # fixed value: how long an open day waits for late bars
 
 
-def _bars(minute: DataFrame, length: str, ts: str, lateness: str, start: str | None) -> DataFrame:
+def _bars(minute: DataFrame, length: str, ts: str, lateness: str, start: str | None, zone: str | None) -> DataFrame:
     """Per-symbol bars of fixed length. A window closes when the watermark passes it; later rows are dropped.
 
-    Windows start at UTC midnight; ``start`` (``"5 hours"``) moves them to where the trading day starts.
+    Times are moved to the clock of ``zone`` (the session's by default) before anything else, so windows start at local
+    midnight on both sides of a change of daylight saving; ``start`` (``"5 hours"``) moves them to where the trading day starts.
     """
-    rows = minute.withWatermark(ts, lateness) if minute.isStreaming else minute
+    session_zone = minute.sparkSession.conf.get("spark.sql.session.timeZone")
+    plain = minute.schema[ts].dataType.simpleString() == "timestamp_ntz"  # already a clock's time
+    moved = minute.withColumn(ts, F.from_utc_timestamp(F.col(ts).cast("timestamp"), session_zone if plain else zone or session_zone))
+    rows = moved.withWatermark(ts, lateness) if minute.isStreaming else moved
     return (
         rows.groupBy(F.window(ts, length, startTime=start), "symbol")
         .agg(
@@ -40,16 +44,20 @@ def _bars(minute: DataFrame, length: str, ts: str, lateness: str, start: str | N
     )
 
 
-def daily_bars(minute: DataFrame, ts: str = "datetime", lateness: str = LATENESS, start: str | None = None) -> DataFrame:
-    out = _bars(minute, "1 day", ts, lateness, start)
-    return out.select("symbol", F.to_date("window.start").alias("date"), "open", "high", "low", "close", "volume", "vwap")
+def _day() -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_seconds("window.start") / 86_400).cast("int"))
 
 
-def session_bars(minute: DataFrame, ts: str = "datetime", lateness: str = LATENESS, start: str | None = None) -> DataFrame:
-    out = _bars(minute, "12 hours", ts, lateness, start)
-    session = F.when(F.hour("window.start") < 12, "AM").otherwise("PM")
+def daily_bars(minute: DataFrame, ts: str = "datetime", lateness: str = LATENESS, start: str | None = None, zone: str | None = None) -> DataFrame:
+    out = _bars(minute, "1 day", ts, lateness, start, zone)
+    return out.select("symbol", _day().alias("date"), "open", "high", "low", "close", "volume", "vwap")
+
+
+def session_bars(minute: DataFrame, ts: str = "datetime", lateness: str = LATENESS, start: str | None = None, zone: str | None = None) -> DataFrame:
+    out = _bars(minute, "12 hours", ts, lateness, start, zone)
+    session = F.when(F.pmod(F.unix_seconds("window.start"), F.lit(86_400)) < 43_200, "AM").otherwise("PM")
     return out.select(
-        "symbol", F.to_date("window.start").alias("date"), session.alias("session"), "open", "high", "low", "close", "volume", "vwap"
+        "symbol", _day().alias("date"), session.alias("session"), "open", "high", "low", "close", "volume", "vwap"
     )
 
 

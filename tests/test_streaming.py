@@ -2,10 +2,13 @@
 
 import datetime as dt
 import time
+from zoneinfo import ZoneInfo
 
+import pytest
 from pyspark.sql import functions as F
 
 from factorspark.catalog.bars import minutes
+from factorspark.operators import panel as P
 from factorspark.operators.panel import densify
 from factorspark.operators.portfolio import factor_score
 from factorspark.plans.evaluate import add_factors
@@ -105,7 +108,7 @@ def test_scoring_new_bars_matches_batch(spark, tmp_path):
     assert len(got) == spark.read.parquet(scores).filter(tail).dropDuplicates(["symbol", "date"]).count()
     assert set(got) <= set(full)
     if set(got) == set(full):
-        assert all(abs(got[k] - full[k]) < 1e-9 for k in got)
+        assert got == pytest.approx(full, abs=1e-9)
 
 
 def test_monthly_factors_on_a_stream(spark, tmp_path):
@@ -116,3 +119,30 @@ def test_monthly_factors_on_a_stream(spark, tmp_path):
     stream.run_to_end(stream.with_monthly_factors(s, sets), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {r["date"]: r["exprs"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {dt.date(2024, 1, 5): ["$close"], dt.date(2024, 3, 5): None}
+
+
+@pytest.mark.parametrize("session_zone", ["UTC", "America/New_York"])
+def test_days_of_the_exchange(spark, tmp_path, session_zone):
+    """New York evenings belong to the New York day, in batch and in streams, also when daylight saving begins."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", session_zone)
+        local = [(d, h) for d in ("2024-03-08", "2024-03-09", "2024-03-10", "2024-03-11", "2024-04-20") for h in ("10:00:00", "20:30:00")]
+        at = [dt.datetime.fromisoformat(f"{d} {h}").replace(tzinfo=ZoneInfo("America/New_York")) for d, h in local]
+        rows = [("A", t, *[float(k)] * 4, 1.0) for k, t in enumerate(at)]
+        df = spark.createDataFrame(rows, "symbol string, datetime timestamp, open double, high double, low double, close double, volume double")
+        path = str(tmp_path / "in")
+        df.write.parquet(path)
+        zone = "America/New_York"
+        source = spark.read.parquet(path)
+        batch = {(r["date"], r["open"], r["close"]) for r in P.daily_bars(source, zone=zone).collect()}
+        want = {(dt.date.fromisoformat(d), 2.0 * i, 2.0 * i + 1) for i, (d, _) in enumerate(local[::2])}
+        assert batch == want
+        feed = spark.readStream.schema(source.schema).parquet(path)
+        stream.run_to_end(stream.daily_bars(feed, zone=zone), str(tmp_path / "out"), str(tmp_path / "cp"))
+        got = {(r["date"], r["open"], r["close"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        assert got == {x for x in want if x[0] < dt.date(2024, 4, 1)}
+        halves = {(r["date"], r["session"]) for r in stream.session_bars(source, zone=zone).collect()}
+        assert halves == {(r["date"], r["session"]) for r in P.session_bars(source, zone=zone).collect()} and len(halves) == 10
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
