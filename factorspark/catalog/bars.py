@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import panel as P
 from ..operators import style as Y
 from ..operators.cross_section import winsorize
-from ..sources.bars import normalise_keys, union_symbols
+from ..session import shared_folder
+from ..sources.bars import normalise_keys, read_shares, union_symbols
 from ..sources.store import select_features
 from ..streaming import bars as stream
 from .base import q6, query, r6, table
@@ -95,9 +96,13 @@ def shares(spark, folder):
     return s.select(F.col("s_suppkey").alias("symbol"), (F.round(F.abs("s_acctbal")) - 500.0).alias("shares_outstanding")).distinct()
 
 
-@query("shares_dimension", f"WITH {SHARES_SQL} SELECT * FROM shares")
+@query("shares_dimension", f"WITH {SHARES_SQL} SELECT CAST(symbol AS VARCHAR) AS symbol, shares_outstanding FROM shares")
 def shares_dimension(spark, folder):
-    return shares(spark, folder)
+    """Written as the CSV file it usually comes in, and read back."""
+    path = shared_folder(spark, "shares")
+    s = shares(spark, folder)
+    s.unionByName(s).write.option("header", "true").csv(path)
+    return read_shares(spark, path)
 
 
 @query(
@@ -485,10 +490,10 @@ def te_share(spark, folder):
     return out.select("symbol", "date", r6(F.ln(F.col("te_share") + 1.0)).alias("te_share"))  # the raw share has no upper limit
 
 
-@query("te_contrast", f"WITH {STYLE_WIDE_SQL} SELECT symbol, date, {q6('te_click_4_am - te_click_4_pm')} AS dte, {q6('CASE WHEN te_click_4_pm > 0.001 THEN te_click_4_am / (te_click_4_pm + 1e-8) END')} AS rte FROM v")
+@query("te_contrast", f"WITH {STYLE_WIDE_SQL} SELECT symbol, date, {q6('te_click_4_am - te_click_4_pm')} AS dte, {q6('ln(1.0 + te_click_4_am / (te_click_4_pm + 1e-8))')} AS rte FROM v")
 def te_contrast(spark, folder):
     df = contrasts(spark, folder)
-    return df.select("symbol", "date", r6("DTE_click_4").alias("dte"), r6(F.when(F.col("TE_click_4_pm") > 0.001, F.col("RTE_click_4"))).alias("rte"))
+    return df.select("symbol", "date", r6("DTE_click_4").alias("dte"), r6(F.ln(1.0 + F.col("RTE_click_4"))).alias("rte"))  # the ratio has no upper limit
 
 
 @query("cross_correlation", f"WITH {STYLE_WIDE_SQL} SELECT symbol, date, {q6(corr_sql('ret_am', 'ret_click_pm', 'w4', 4))} AS am_pm, {q6(corr_sql('ret_pm', 'ret_click_am', 'w4', 4))} AS pm_am FROM v {WIDE_W}")

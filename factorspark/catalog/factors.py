@@ -119,11 +119,12 @@ scalar_query("x_min", lambda: S.less(c("close"), c("vwap")), "CASE WHEN close IS
 scalar_query("x_trig", lambda: F.sin(c("vwap")) + F.cos(c("vwap")) * F.tanh(c("vwap") / 100.0), "sin(vwap) + cos(vwap) * tanh(vwap / 100.0)")
 scalar_query("x_tan", lambda: F.tan(c("vwap") / 100.0), "tan(vwap / 100.0)")
 scalar_query("x_exp", lambda: S.exp(diff() / 50.0), "exp((close - vwap) / 50.0)")
-scalar_query("x_protected_exp", lambda: F.when(diff() * 5.0 < 3.0, S.protected_exp(diff() * 5.0)).otherwise(F.when(diff() * 5.0 >= 100.0, S.protected_exp(diff() * 5.0))),
-             "CASE WHEN (close-vwap)*5.0 < 3.0 THEN exp((close-vwap)*5.0) WHEN (close-vwap)*5.0 >= 100.0 THEN 0.0 END")
+# Values up to exp(100) meet as logarithms, on both sides of the limit.
+scalar_query("x_protected_exp", lambda: F.ln(1.0 + S.protected_exp(diff() * 5.0)),
+             "ln(1.0 + CASE WHEN (close-vwap)*5.0 < 100.0 THEN exp((close-vwap)*5.0) WHEN close IS NOT NULL AND vwap IS NOT NULL THEN 0.0 END)")
 scalar_query("x_expneg", lambda: S.expneg(diff() / 50.0), "exp(-((close - vwap) / 50.0))")
-scalar_query("x_protected_expneg", lambda: F.when(diff() * 5.0 > -3.0, S.protected_expneg(diff() * 5.0)).otherwise(F.when(diff() * 5.0 <= -100.0, S.protected_expneg(diff() * 5.0))),
-             "CASE WHEN (close-vwap)*5.0 > -3.0 THEN exp(-((close-vwap)*5.0)) WHEN (close-vwap)*5.0 <= -100.0 THEN 0.0 END")
+scalar_query("x_protected_expneg", lambda: F.ln(1.0 + S.protected_expneg(diff() * 5.0)),
+             "ln(1.0 + CASE WHEN (close-vwap)*5.0 > -100.0 THEN exp(-((close-vwap)*5.0)) WHEN close IS NOT NULL AND vwap IS NOT NULL THEN 0.0 END)")
 scalar_query("x_powers", lambda: S.nth_power(diff() / 100.0, 2) + S.nth_power(diff() / 100.0, 3) + S.nth_power(diff() / 100.0, 4),
              "pow((close-vwap)/100.0, 2) + pow((close-vwap)/100.0, 3) + pow((close-vwap)/100.0, 4)")
 scalar_query("x_protected_powers", lambda: S.protected_nth_power(diff() * 50000.0, 2) / 1e12 + S.protected_nth_power(diff() * 50000.0, 3) / 1e18,

@@ -139,7 +139,7 @@ def entropy(spark, folder):
 @query(
     "batch_statistics",
     f"""WITH b AS (SELECT p_name AS expr, p_retailprice / 100.0 AS r, p_size AS length, p_size % 9 = 0 AS invalid, [p_brand, p_type] AS tokens FROM part WHERE p_size > 10),
-h AS (SELECT DISTINCT p_name AS expr FROM part WHERE p_size = 7),
+h AS (SELECT DISTINCT p_name AS expr FROM part WHERE p_size <= 10),
 e AS (SELECT pos, tok, count(*) AS n FROM (SELECT 0 AS pos, tokens[1] AS tok FROM b UNION ALL SELECT 1, tokens[2] FROM b) GROUP BY 1, 2),
 p AS (SELECT pos, n / CAST(sum(n) OVER (PARTITION BY pos) AS DOUBLE) AS p FROM e), ent AS (SELECT pos, -sum(p * ln(p)) AS v FROM p GROUP BY 1)
 SELECT {q6('max(r)')} AS r_best, {q6('avg(r)')} AS r_mean, {q6('avg(length)')} AS length_mean, {q6('avg(CASE WHEN invalid THEN 1.0 ELSE 0.0 END)')} AS invalid_rate, count(DISTINCT expr) AS n_unique,
@@ -148,7 +148,7 @@ SELECT {q6('max(r)')} AS r_best, {q6('avg(r)')} AS r_mean, {q6('avg(length)')} A
 def batch_statistics(spark, folder):
     p = table(spark, folder, "part")
     b = p.filter("p_size > 10").select(F.col("p_name").alias("expr"), (F.col("p_retailprice") / 100.0).alias("r"), F.col("p_size").alias("length"), (F.col("p_size") % 9 == 0).alias("invalid"), F.array("p_brand", "p_type").alias("tokens"))
-    out = N.batch_statistics(b, p.filter("p_size = 7").select(F.col("p_name").alias("expr")), "tokens")
+    out = N.batch_statistics(b, p.filter("p_size <= 10").select(F.col("p_name").alias("expr")), "tokens")
     return out.select("n_unique", "n_novel", *[r6(c).alias(c) for c in ("r_best", "r_mean", "length_mean", "invalid_rate", "positional_entropy")])
 
 

@@ -139,12 +139,15 @@ def harmonic_series(x: Column) -> Column:
     )
 
 
+HARMONIC_TERMS = 256  # from here on the expansion is exact to the last digit
+
+
 def harmonic_exact(x: Column) -> Column:
-    n = x.cast("int")
-    return F.when(
-        n >= 1,
-        F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda s, i: s + F.lit(1.0) / i),
-    ).when(n == 0, F.lit(0.0))
+    """H(n) for whole n: the sum itself while it is short, else the expansion, so a row never makes a long array."""
+    n = F.when(F.abs(x) < 2.0**53, x).cast("long")
+    short = F.least(F.greatest(n, F.lit(1)), F.lit(HARMONIC_TERMS))
+    total = F.aggregate(F.sequence(F.lit(1).cast("long"), short), F.lit(0.0), lambda s, i: s + F.lit(1.0) / i)
+    return F.when(x >= HARMONIC_TERMS, harmonic_series(x)).when(n >= 1, total).when(n == 0, F.lit(0.0))
 
 
 def harmonic(x: Column, all_integers: Column | None = None) -> Column:
