@@ -194,7 +194,7 @@ def identify(docs: DataFrame, divisor: int = 4, held: int = 2) -> DataFrame:
     return out.select("doc_id", "held_out", "_p.lang_pred", "_p.score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.5, divisor: int = 4, held: int = 2) -> DataFrame:
+def keep_known(docs: DataFrame, least: float = 0.3, divisor: int = 4, held: int = 2) -> DataFrame:
     """The rows of ``docs`` that are not rejected (``und``, or a score under ``least``); columns as in ``docs``."""
     ship(docs.sparkSession)
     if docs.isEmpty():
