@@ -89,14 +89,16 @@ def stream_scores(spark, folder):
 
 @query(
     "stream_history",
-    f"WITH {DAILY_SQL}, n AS (SELECT symbol, count(*) AS n FROM daily WHERE volume > 0 GROUP BY 1) SELECT symbol, least(n, 12) AS bars, n >= 10 AS enough FROM n",
+    f"""WITH {DAILY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS r, count(*) OVER (PARTITION BY symbol) AS n FROM daily WHERE volume > 0)
+SELECT symbol, date, least(n, 12) AS bars, n >= 10 AS enough, {rounded_sql()} FROM r WHERE r <= 12""",
 )
 def stream_history(spark, folder):
-    """The bounded history of each symbol after all daily bars have arrived."""
+    """The bars kept of each symbol after all daily bars have arrived."""
     source, out = shared_folder(spark, "daily"), shared_folder(spark, "history")
     daily = stream.daily_bars(minutes(spark, folder).withColumn("datetime", F.col("datetime").cast("timestamp")))
     daily.write.parquet(source)
     feed = spark.readStream.schema(daily.schema).parquet(source)
     stream.run_to_end(stream.bounded_history(feed, 12, 10), out, f"{out}-progress")
-    last = spark.read.parquet(out).groupBy("symbol").agg(F.max_by(F.struct("bars", "enough"), F.struct("last_date", "bars")).alias("_r"))
-    return last.select("symbol", "_r.bars", "_r.enough")
+    last = spark.read.parquet(out).groupBy("symbol").agg(F.max_by(F.struct("bars", "enough", "history"), F.struct("last_date", "bars")).alias("_r"))
+    kept = last.select("symbol", "_r.bars", "_r.enough", F.explode("_r.history").alias("_b")).select("symbol", "bars", "enough", "_b.*")
+    return rounded(kept.withColumn("date", F.to_date("date")), "symbol", "date", "bars", "enough")

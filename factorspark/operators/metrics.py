@@ -6,6 +6,7 @@ Everything per date is an aggregate with map-side combine; only daily series (on
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from .scale import measured_side, small_side, spread, top_in_group
 IC_STD_FLOOR = 1e-3  # fixed value: below this spread the covariance is not scaled
 WIDE_PAIRS = 12  # up to this many columns all pairs fit one aggregate
 ICIR_STD_FLOOR = 1e-6  # fixed value
+CANDIDATE_BATCH = 200  # formulas of one projection
 ROWS_PER_SALT = 250_000  # symbols of one date that a task sums
 HELD_NUMBERS = 8_000_000  # doubles a task holds before it passes its partial sums on
 
@@ -169,7 +171,7 @@ def gram_rows(z: Panel, cols: Sequence[str], salts: int | None = None) -> DataFr
     one K x K block per date before anything is shuffled again.
     """
     ship(z.df.sparkSession)
-    salts = salts or 8 + z.n_symbols // ROWS_PER_SALT
+    salts = salts or 1 + z.n_symbols // ROWS_PER_SALT
     k = len(cols)
     upper = np.triu_indices(k)
     slim = z.df.select(
@@ -289,12 +291,20 @@ def score_candidates(
     if skipped:
         rest = panel.df.sparkSession.createDataFrame(skipped, "expr string, ic double")
         return score_candidates(panel, formulas, target, options, missing).unionByName(rest) if formulas else rest
+    parts = [formulas[a : a + CANDIDATE_BATCH] for a in range(0, len(formulas), CANDIDATE_BATCH)]
+    scores = [_score_batch(panel, part, target, options, missing) for part in parts]
+    return reduce(DataFrame.unionByName, scores)
+
+
+def _score_batch(panel: Panel, formulas: Sequence[str], target: str, options: FormulaOptions, missing: float) -> DataFrame:
+    """Rows carry a formula's number; its text comes back after the last shuffle."""
     names = {f"_f{i}": f for i, f in enumerate(formulas)}
     wide = add_factors(panel, {**names, "_y": target}, options).df
-    pairs = F.array(*[F.struct(F.lit(f).alias("expr"), F.col(n).alias("x")) for n, f in names.items()])
+    pairs = F.array(*[F.struct(F.lit(i).alias("id"), F.col(n).alias("x")) for i, n in enumerate(names)])
     rows = wide.select("date", "_y", F.explode(pairs).alias("_p")).select("date", "_y", "_p.*")
-    daily = normalised_ic(rows, F.col("x"), F.col("_y"), ["expr", "date"])
-    return daily.groupBy("expr").agg(F.coalesce(F.avg("ic"), F.lit(missing)).alias("ic"))
+    daily = normalised_ic(rows, F.col("x"), F.col("_y"), ["id", "date"])
+    scores = daily.groupBy("id").agg(F.coalesce(F.avg("ic"), F.lit(missing)).alias("ic"))
+    return scores.select(F.get(F.array(*[F.lit(f) for f in formulas]), F.col("id")).alias("expr"), "ic")
 
 
 def score_rounds(

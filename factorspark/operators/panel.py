@@ -49,6 +49,8 @@ class Panel:
     df: DataFrame
     n_dates: int
     n_symbols: int
+    first: object = None  # the calendar's ends, where they are known
+    last: object = None
 
     def over(self, df: DataFrame) -> Panel:
         return replace(self, df=df)
@@ -219,7 +221,7 @@ def densify(bars: DataFrame, source: tuple[DataFrame, Column, Column] | None = N
         .join(cal, "date_idx")
         .select("symbol", "date", "date_idx", *features)
     )
-    return Panel(dense, n_dates, widest)
+    return Panel(dense, n_dates, widest, *((days[0], days[-1]) if days else (None, None)))
 
 
 def align_to_spans(bars: DataFrame, cal: DataFrame) -> DataFrame:
@@ -239,8 +241,11 @@ def align_to_spans(bars: DataFrame, cal: DataFrame) -> DataFrame:
 
 
 def slice_dates(panel: Panel, start=None, end=None, end_inclusive: bool = True, drop_empty: bool = True) -> Panel:
-    """Rows of a date range, clamped to the data; symbols without any value in the range are dropped."""
-    low, high = panel.df.agg(F.min("date"), F.max("date")).first()
+    """Rows of a date range, clamped to the data; symbols without any value in the range are dropped.
+
+    Ends outside the panel's calendar are told, where the panel knows it, without a job.
+    """
+    low, high = panel.first, panel.last
     if start is not None and low is not None and start < low:
         warnings.warn(f"start {start} is before the data, using {low}", stacklevel=2)
         start = low
@@ -370,7 +375,8 @@ def asof_fill(
     row per (symbol, date). A symbol with more rows than one task should sort is cut into months; what the
     earlier months leave behind enters each month as one more slow row.
     """
-    rows = max_group_rows(bars, ["symbol"]) if group_rows is None else group_rows
+    both = bars.select("symbol").unionByName(slow.select("symbol"))  # the window sorts the rows of both sides
+    rows = max_group_rows(both, ["symbol"]) if group_rows is None else group_rows
     keys = ["symbol"]
     if rows > scale.MAX_GROUP_ROWS:
         keys = ["symbol", "_month"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,6 +16,7 @@ from ..plans.evaluate import add_factors
 from ..session import ship
 from ..plans.formula import DEFAULT, FormulaOptions, parse, reach
 
+_FIELDS = ("open", "high", "low", "close", "volume", "vwap")
 LATENESS = "5 days"  # fixed value: how long an open day waits for late bars
 
 
@@ -62,29 +62,31 @@ def session_bars(minute: DataFrame, ts: str = "datetime", lateness: str = LATENE
 
 
 def bounded_history(daily: DataFrame, n: int, min_rows: int = 40) -> DataFrame:
-    """Per symbol and batch: how many of the last ``n`` daily bars are known and whether they are enough.
+    """Per symbol and batch: the last ``n`` daily bars known, oldest first, and whether they are enough.
 
-    The state of a symbol is its last n (date, close) pairs, so it stays small however long the stream runs.
+    The state of a symbol is these bars, so it stays small however long the stream runs.
     """
 
     def update(key, frames, state: GroupState):
-        dates, closes = state.get if state.exists else ([], [])
-        known = dict(zip(dates, closes, strict=True))
+        dates, values = state.get if state.exists else ([], [])
+        width = len(_FIELDS)
+        known = {d: values[i * width : (i + 1) * width] for i, d in enumerate(dates)}
         for pdf in frames:
-            known.update(zip(pdf["date"].astype(str), pdf["close"].astype(float), strict=True))
+            known.update(zip(pdf["date"].astype(str), pdf[list(_FIELDS)].astype(float).to_numpy().tolist(), strict=True))
         last = sorted(known)[-n:]
-        state.update((last, [known[d] for d in last]))
-        yield pd.DataFrame({"symbol": [key[0]], "bars": [len(last)], "last_date": [last[-1]], "enough": [len(last) >= min_rows]})
+        state.update((last, [v for d in last for v in known[d]]))
+        history = [{"date": d, **dict(zip(_FIELDS, known[d], strict=True))} for d in last]
+        yield pd.DataFrame({"symbol": [key[0]], "bars": [len(last)], "last_date": [last[-1]], "enough": [len(last) >= min_rows], "history": [history]})
 
     ship(daily.sparkSession)
     symbol = daily.schema["symbol"].dataType.simpleString()
     return (
-        daily.select("symbol", "date", "close")
+        daily.select("symbol", "date", *_FIELDS)
         .groupBy("symbol")
         .applyInPandasWithState(
             update,
-            f"symbol {symbol}, bars long, last_date string, enough boolean",
-            "dates array<string>, closes array<double>",
+            f"symbol {symbol}, bars long, last_date string, enough boolean, history array<struct<date: string, {', '.join(f'{f}: double' for f in _FIELDS)}>>",
+            "dates array<string>, values array<double>",
             "append",
             GroupStateTimeout.NoTimeout,
         )
@@ -116,13 +118,15 @@ def score_new_bars(
 
 
 def _append_once(spark: SparkSession, rows: DataFrame, path: str, span) -> None:
-    """Append the rows whose (symbol, date) is not stored yet; only the stored dates of the span are looked at."""
-    try:
+    """Append the rows whose (symbol, date) is not stored yet; only the stored dates of the span are looked at.
+
+    The store has a folder per date, so the span and the lookback of later batches are lists of folders.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         have = spark.read.parquet(path).filter(F.col("date").between(F.lit(span[0]), F.lit(span[1])))
-    except AnalysisException:
-        rows.write.mode("append").parquet(path)
-        return
-    rows.join(have.select("symbol", "date"), ["symbol", "date"], "left_anti").write.mode("append").parquet(path)
+        rows = rows.join(have.select("symbol", "date"), ["symbol", "date"], "left_anti")
+    rows.write.mode("append").partitionBy("date").parquet(path)
 
 
 def with_monthly_factors(daily: DataFrame, months: DataFrame) -> DataFrame:
