@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, shared_folder, ship
 from .components import connected_components
-from .packing import join_blobs, pack_ints, pack_sorted, signed, split_blobs, unpack_ints, unpack_sorted
+from .packing import in_buckets, join_blobs, pack_ints, pack_sorted, signed, split_blobs, unpack_ints, unpack_sorted
 from .tokens import parts, shingles, text_bytes, words
 
 BLOCK_BYTES = 1 << 23
@@ -293,11 +293,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     schema = "bucket long, kind int, data binary"
     sent = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_send(size, buckets), schema)
     counted = shared_folder(spark, "near-tokens")
-    sent.groupBy("bucket").applyInArrow(_count(buckets), schema).write.parquet(counted)
+    in_buckets(sent, "bucket", buckets, _count(buckets), schema).write.parquet(counted)
     messages = spark.read.schema(schema).parquet(counted)
     members = messages.filter("kind = 1").select("data").mapInArrow(_members, "doc_id long, class long, n_shingles long")
     kept = shared_folder(spark, "near-classes")
-    messages.filter("kind = 0").groupBy("bucket").applyInArrow(_classes(percent), _CLASS).write.parquet(kept)
+    in_buckets(messages.filter("kind = 0"), "bucket", buckets, _classes(percent), _CLASS).write.parquet(kept)
     classes = spark.read.schema(_CLASS).parquet(kept)
     links = class_links(classes, percent)
     named = connected_components(links)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def pack_ints(x: np.ndarray) -> bytes:
@@ -46,3 +51,30 @@ def split_blobs(data: bytes) -> list[bytes]:
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit integers as Spark LONGs with the same bits."""
     return x.astype(np.uint64).view(np.int64)
+
+
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def squeeze(*parts: bytes) -> bytes:
+    """Several byte strings in one, compressed: bytes of one significance stand together, so their entropy shows."""
+    data = join_blobs(*parts)
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def unsqueeze(data: bytes) -> list[bytes]:
+    return split_blobs(_ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True))
+
+
+def in_buckets(messages: DataFrame, bucket: str, n: int, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``fn`` over all messages of each bucket 0 .. n - 1, every bucket in a task of its own.
+
+    The bucket number is the partition number, so equal buckets make equal tasks, which hashing it once more would undo.
+    """
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from fn(pa.Table.from_batches(held)).to_batches()
+
+    return messages.repartitionById(n, F.col(bucket).cast("int")).mapInArrow(run, schema)

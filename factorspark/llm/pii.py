@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scale import measured_side
 from ..session import cut, ship
-from .packing import join_blobs, pack_ints, pack_sorted, signed, split_blobs, unpack_ints, unpack_sorted
+from .packing import in_buckets, join_blobs, pack_ints, pack_sorted, signed, split_blobs, unpack_ints, unpack_sorted
 from .tokens import parts, text_bytes, words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -209,7 +209,7 @@ def disclosing_terms(docs: DataFrame, support: int = 2, generalise: float = 0.8,
     asked = met.select("term").distinct()
     asked = asked.select(F.pmod("term", F.lit(buckets)).cast("long").alias("bucket"), "term", F.lit(None).cast("binary").alias("data"))
     sent = docs.select("text").mapInArrow(_word_counts(buckets), "bucket long, term long, data binary")
-    counts = sent.unionByName(asked).groupBy("bucket").applyInArrow(_answer, "term long, docs long")
+    counts = in_buckets(sent.unionByName(asked), "bucket", buckets, _answer, "term long, docs long")
     both = F.least("both", "of_entity", "docs")  # a document may hold a pair in several lines
     pmi = F.log2(both * F.lit(float(total)) / (F.col("of_entity") * F.col("docs")))
     ratio = pmi / F.log2(F.lit(float(total)) / F.col("of_entity"))
