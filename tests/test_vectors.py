@@ -61,9 +61,16 @@ def test_recursive_ema_with_gaps(spark):
     from factorspark.plans.formula import FormulaOptions
 
     x = [1.0, None, 3.0, 4.0, None, 2.0]
-    got = factor_table(series(spark, x), {"v": "EMA($close,3d)"}, FormulaOptions(dialect="scoring")).orderBy("date").toPandas()["v"]
+    p, scoring = series(spark, x), FormulaOptions(dialect="scoring")
+    traded = p.over(p.df.withColumn("volume", F.lit(1.0)))  # the rows exist, only their close is missing
+    got = factor_table(traded, {"v": "EMA($close,3d)"}, scoring).orderBy("date").toPandas()["v"]
     want = pd.Series(x, dtype=float).ewm(span=3, adjust=False, min_periods=1).mean()
     np.testing.assert_allclose(got.astype(float), want)
+    # Without any value the days do not exist for the symbol.
+    got = factor_table(p, {"v": "EMA($close,3d)"}, scoring).orderBy("date").toPandas()["v"].astype(float)
+    own = pd.Series(x, dtype=float).dropna().ewm(span=3, adjust=False, min_periods=1).mean()
+    assert got.isna().tolist() == [v is None for v in x]
+    np.testing.assert_allclose(got.dropna(), own)
 
 
 def test_normalised_ic_equals_explicit_zscores(spark):
