@@ -15,7 +15,7 @@ which is also the context of the first word.
    file that is mapped and searched for every pair of the shard, and removed with the task.
 5. The documents' sums come back by block.
 
-Words are told apart by 64-bit hashes and the successors of one context by 32 bits.
+Words are told apart by 64-bit hashes, the contexts of one shard by 48 bits and the successors of one context by 28 bits.
 """
 
 from __future__ import annotations
@@ -32,12 +32,15 @@ from pyspark.sql import functions as F
 from ..session import shared_folder, ship
 from . import elias_fano
 from .lang_cnn import learnable
-from .packing import join_blobs, pack_ints, pack_sorted, split_blobs, unpack_ints, unpack_sorted
+from .packing import in_buckets, pack_ints, pack_sorted, squeeze, unpack_ints, unpack_sorted, unsqueeze
 from .tokens import mix, parts, text_bytes, words
 
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 12 << 20
+SHARDS = 2  # trie shards for each shuffle partition; a shard is what one task holds
+ASKED = 1 << 18  # pairs looked up at a time
 LAMBDA = 0.25
 END = mix(np.array([0x656E64], dtype=np.uint64))[0]
+CONTEXT, SUCCESSOR = np.uint64(16), np.uint64(36)  # low bits of a hash that a trie leaves out
 CODES = 1 << 16  # steps of a quantised log10 probability
 DEEPEST = 24.0  # probabilities are at least 10**-DEEPEST
 UNIT = 1e6  # sums of log10 are carried as whole millionths, so that no order of addition matters
@@ -51,6 +54,21 @@ def dequantise(code: np.ndarray) -> np.ndarray:
     return 10.0 ** (-code.astype(np.float64) * (DEEPEST / (CODES - 1)))
 
 
+def steps(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Differences inside runs of the given sizes, in which ``x`` ascends; the first of a run stays."""
+    out = x.copy()
+    out[1:] -= x[:-1]
+    begin = np.cumsum(sizes) - sizes
+    out[begin] = x[begin]
+    return out
+
+
+def unsteps(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    total = np.cumsum(x, dtype=np.uint64)
+    begin = np.cumsum(sizes) - sizes
+    return total - np.repeat(total[begin] - x[begin], sizes)
+
+
 _STATE = "block long, bucket int, dict binary, body binary"
 _STATE_NAMES = ["block", "bucket", "dict", "body"]
 
@@ -76,8 +94,8 @@ def _blocks(batches):
             stream, count = np.concatenate(streams), np.concatenate(counts)
             names, place = np.unique(stream, return_inverse=True)
             learnt = np.bincount(place[np.repeat(trained[first:last], count)], minlength=len(names))
-            body = join_blobs(ids[first:last].tobytes(), known[first:last].tobytes(), trained[first:last].tobytes(), pack_ints(count), pack_ints(place))
-            dictionary = join_blobs(pack_sorted(names), pack_ints(learnt))
+            body = squeeze(ids[first:last].tobytes(), known[first:last].tobytes(), trained[first:last].tobytes(), pack_ints(count), pack_ints(place))
+            dictionary = squeeze(pack_sorted(names), pack_ints(learnt))
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), pa.array([dictionary]), pa.array([body])], _STATE_NAMES)
             number += 1
             first = last
@@ -87,12 +105,12 @@ def _ask(buckets: int):
     def run(batches):
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                names, learnt = split_blobs(data)
+                names, learnt = unsqueeze(data)
                 names, learnt = unpack_sorted(names), unpack_ints(learnt)
                 to = (names % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 at = np.searchsorted(to[order], np.arange(buckets + 1))
-                out = [(k, join_blobs(pack_sorted(names[p]), pack_ints(learnt[p]))) for k in range(buckets) if at[k] < at[k + 1] for p in [order[at[k] : at[k + 1]]]]
+                out = [(k, squeeze(pack_sorted(names[p]), pack_ints(learnt[p]))) for k in range(buckets) if at[k] < at[k + 1] for p in [order[at[k] : at[k + 1]]]]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(out)), pa.array([k for k, _ in out], pa.int32()), pa.array([d for _, d in out])], _STATE_NAMES[:3])
 
     return run
@@ -101,7 +119,7 @@ def _ask(buckets: int):
 def _tell(table: pa.Table) -> pa.Table:
     """Corpus counts of one bucket's words for every block that asked, and the bucket's share of N and V under block -1."""
     blocks, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
-    asked = [split_blobs(d) for d in table.column("dict").to_pylist()]
+    asked = [unsqueeze(d) for d in table.column("dict").to_pylist()]
     names = [unpack_sorted(k) for k, _ in asked]
     every, inverse = np.unique(np.concatenate(names), return_inverse=True)
     total = np.bincount(inverse, np.concatenate([unpack_ints(n) for _, n in asked]), len(every)).astype(np.uint64)
@@ -113,7 +131,7 @@ def _tell(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _STATE_NAMES[:3])
 
 
-def _pairs(buckets: int, n: int, v: int):
+def _pairs(buckets: int, shards: int, n: int, v: int):
     """A block's word pairs to trie shards, and what is known of its documents to one shard that passes it on."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -123,22 +141,21 @@ def _pairs(buckets: int, n: int, v: int):
                 dictionary, body = d, b
             else:
                 told[k] = unpack_ints(d)
-        names = unpack_sorted(split_blobs(dictionary)[0])
-        ids, known, trained, count, place = split_blobs(body)
-        trained, count, place = np.frombuffer(trained, bool), unpack_ints(count).astype(np.int64), unpack_ints(place).astype(np.int64)
+        names = unpack_sorted(unsqueeze(dictionary)[0])
+        ids, known, trained, count, place = unsqueeze(body)
+        trained, count, place = np.frombuffer(trained, bool), unpack_ints(count).astype(np.int64), unpack_ints(place).astype(np.int32)
         home = (names % np.uint64(buckets)).astype(np.int64)
         c = np.zeros(len(names), dtype=np.uint64)
         for k, counts in told.items():
             c[home == k] = counts
-        doc = np.repeat(np.arange(len(count)), count)
-        each = c[place]
-        base = np.bincount(doc, np.log10((each + 1.0) / (n + v + 1.0)), len(count))
-        seen = np.bincount(doc, each > 0, len(count)).astype(np.int64)
-        rows = [(block, block % buckets, 1, join_blobs(ids, known, trained.tobytes(), pack_ints(count), pack_ints(seen), base.tobytes()))]
+        doc = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        base = np.bincount(doc, np.log10((c + 1.0) / (n + v + 1.0))[place], len(count))
+        seen = np.bincount(doc, (c > 0)[place], len(count)).astype(np.int64)
+        rows = [(block, block % shards, 1, squeeze(ids, known, trained.tobytes(), pack_ints(count), pack_ints(seen), base.tobytes()))]
         before = np.empty_like(place)
         before[1:] = place[:-1]
         before[np.cumsum(count) - count] = np.searchsorted(names, END)
-        order = np.argsort(before * len(names) + place, kind="stable")
+        order = np.argsort(before.astype(np.int64) * len(names) + place, kind="stable")
         before, place, doc = before[order], place[order], doc[order]
         new = np.ones(len(place), dtype=bool)
         new[1:] = (before[1:] != before[:-1]) | (place[1:] != place[:-1])
@@ -146,22 +163,22 @@ def _pairs(buckets: int, n: int, v: int):
         often = np.diff(np.append(first, len(place)))
         a, b = before[first], place[first]
         # A context with a count beyond a shard's share is spread over several shards by the next word.
-        spread = c * np.uint64(buckets) // np.uint64(max(n, 1)) + np.uint64(1)
-        shard = ((mix(names[a]) + (names[b] >> np.uint64(8)) % np.minimum(spread[a], np.uint64(buckets))) % np.uint64(buckets)).astype(np.int64)
+        spread = np.minimum(c * np.uint64(shards) // np.uint64(max(n, 1)) + np.uint64(1), np.uint64(shards))
+        shard = ((mix(names)[a] + (names[b] >> np.uint64(8)) % spread[a]) % np.uint64(shards)).astype(np.int32)
         turn = np.argsort(shard, kind="stable")
-        at = np.searchsorted(shard[turn], np.arange(buckets + 1))
+        at = np.searchsorted(shard[turn], np.arange(shards + 1))
         p = quantise((c + 1.0) / (n + v + 1.0))
         learnt = trained.tobytes()
-        for k in range(buckets):
+        for k in range(shards):
             if at[k] == at[k + 1]:
                 continue
             pick = turn[at[k] : at[k + 1]]
             heads, sizes = np.unique(a[pick], return_counts=True)
             width = often[pick]
             spot = np.repeat(first[pick] - (np.cumsum(width) - width), width) + np.arange(width.sum())
-            rows.append((block, k, 0, join_blobs(
-                learnt, pack_sorted(names[heads]), pack_ints(sizes), pack_ints(c[heads]),
-                pack_ints(names[b[pick]] >> np.uint64(32)), p[b[pick]].tobytes(), pack_ints(width), pack_ints(doc[spot]),
+            rows.append((block, k, 0, squeeze(
+                learnt, pack_sorted(names[heads] >> CONTEXT), pack_ints(sizes), pack_ints(c[heads]),
+                pack_ints(steps(names[b[pick]] >> SUCCESSOR, sizes)), p[b[pick]].tobytes(), pack_ints(width), pack_ints(doc[spot]),
             )))
         types = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["block", "shard", "kind", "data"])
@@ -170,7 +187,7 @@ def _pairs(buckets: int, n: int, v: int):
 
 
 def build_trie(heads: np.ndarray, counts: np.ndarray, sizes: np.ndarray, successors: np.ndarray, together: np.ndarray) -> dict[str, np.ndarray]:
-    """Levels of the trie: context hashes ascending with their counts and numbers of successors, and the successors' 32-bit names and counts."""
+    """Levels of the trie: context hashes ascending with their counts and numbers of successors, and the successors' 28-bit names and counts."""
     ends = np.cumsum(sizes)
     # Successors ascend inside a context; adding what all earlier contexts reach makes the level ascend as a whole.
     reach = successors[ends - 1] + np.uint64(1) if len(ends) else np.zeros(0, np.uint64)
@@ -211,9 +228,13 @@ def query_trie(trie: dict[str, np.ndarray], heads: np.ndarray, which: np.ndarray
     shift = elias_fano.get(level["shift"], real)
     backoff = np.where(at < 0, 1.0, dequantise(trie["backoff"][real]) if len(trie["backoff"]) else 1.0)
     end = np.where(at < 0, begin, end)
-    spot = elias_fano.find(level["successor"], successors + shift[which], begin[which], end[which])
-    seen = dequantise(trie["weight"][np.maximum(spot, 0)]) if len(trie["weight"]) else np.zeros(len(spot))
-    return np.where(spot >= 0, seen, 0.0), backoff
+    seen = np.zeros(len(which))
+    for a in range(0, len(which) if len(trie["weight"]) else 0, ASKED):
+        part = slice(a, a + ASKED)
+        own = which[part]
+        spot = elias_fano.find(level["successor"], successors[part] + shift[own], begin[own], end[own])
+        seen[part] = np.where(spot >= 0, dequantise(trie["weight"][np.maximum(spot, 0)]), 0.0)
+    return seen, backoff
 
 
 def _score(table: pa.Table) -> pa.Table:
@@ -223,11 +244,11 @@ def _score(table: pa.Table) -> pa.Table:
         if kind == 1:
             out.append((block, 1, data))
             continue
-        trained, heads, sizes, counts, successors, prob, width, doc = split_blobs(data)
+        trained, heads, sizes, counts, successors, prob, width, doc = unsqueeze(data)
         sizes = unpack_ints(sizes).astype(np.int64)
         v.append(np.repeat(unpack_sorted(heads), sizes))
         c.append(np.repeat(unpack_ints(counts), sizes))
-        w.append(unpack_ints(successors))
+        w.append(unsteps(unpack_ints(successors), sizes))
         p.append(np.frombuffer(prob, np.uint16))
         own.append((block, begin, np.frombuffer(trained, bool), unpack_ints(width).astype(np.int64), unpack_ints(doc).astype(np.int64)))
         begin += len(w[-1])
@@ -265,7 +286,7 @@ def _score(table: pa.Table) -> pa.Table:
             pair = np.repeat(np.arange(len(width)), width)
             sums = np.bincount(doc, np.round(deep[at : at + len(width)] * UNIT)[pair])
             some = np.unique(doc)
-            out.append((block, 0, join_blobs(pack_sorted(some), pack_ints(sums[some].astype(np.uint64)))))
+            out.append((block, 0, squeeze(pack_sorted(some), pack_ints(sums[some].astype(np.uint64)))))
     types = [pa.int64(), pa.int32(), pa.binary()]
     return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["block", "kind", "data"])
 
@@ -277,9 +298,9 @@ def _collect(table: pa.Table) -> pa.Table:
     deep, base = [], None
     for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True):
         if kind == 1:
-            base = split_blobs(data)
+            base = unsqueeze(data)
         else:
-            deep.append([unpack_ints(x) if k else unpack_sorted(x) for k, x in enumerate(split_blobs(data))])
+            deep.append([unpack_ints(x) if k else unpack_sorted(x) for k, x in enumerate(unsqueeze(data))])
     ids, known, trained, count, seen, score = base
     ids = pa.array(np.frombuffer(ids, np.int64), mask=~np.frombuffer(known, bool))
     total = np.zeros(len(ids), dtype=np.int64)
@@ -306,12 +327,13 @@ def score_documents(docs: DataFrame, divisor: int = 7, held: int = 2) -> DataFra
     source.mapInArrow(_blocks, _STATE).write.option("compression", "zstd").parquet(state)
     blocks = spark.read.schema(_STATE).parquet(state)
     asked = blocks.select("block", "dict").mapInArrow(_ask(buckets), "block long, bucket int, dict binary")
-    asked.groupBy("bucket").applyInArrow(_tell, "block long, bucket int, dict binary").write.parquet(counted)
+    in_buckets(asked, "bucket", buckets, _tell, "block long, bucket int, dict binary").write.parquet(counted)
     told = spark.read.schema("block long, bucket int, dict binary").parquet(counted)
     parts_ = [np.frombuffer(bytes(r[0]), np.uint64) for r in told.filter("block = -1").select("dict").collect()]  # one per bucket
     n, v = (int(sum(int(p[k]) for p in parts_)) for k in (0, 1))
     both = blocks.unionByName(told.filter("block >= 0").withColumn("body", F.lit(None).cast("binary")))
-    pairs = both.groupBy("block").applyInArrow(_pairs(buckets, n, v), "block long, shard int, kind int, data binary")
-    sums = pairs.groupBy("shard").applyInArrow(_score, "block long, kind int, data binary")
+    shards = SHARDS * buckets
+    pairs = both.groupBy("block").applyInArrow(_pairs(buckets, shards, n, v), "block long, shard int, kind int, data binary")
+    sums = in_buckets(pairs, "shard", shards, _score, "block long, kind int, data binary")
     out = sums.groupBy("block").applyInArrow(_collect, _RESULT)
     return out.withColumns({"train_tokens": F.lit(n).cast("long"), "held_out": F.col("held_out") & F.col("doc_id").isNotNull()})
