@@ -22,6 +22,7 @@ from ..operators.scale import ordered_position
 from ..session import cut
 
 LINES = 6  # line hashes kept per document
+KEY_ROWS = 2_000  # rows of a key that one task serves
 BINS = 64  # steps of gain in the histogram
 SPLITS = 256  # parts of one step, by hash of the document's first key
 
@@ -34,13 +35,14 @@ def link_keys(text: Column) -> Column:
 
 
 def propagate(pairs: DataFrame, start: DataFrame, shards: int, room: list[int], rounds: int) -> DataFrame:
-    """(row, first, label): labels of the linked rows after some rounds. ``pairs`` is (row, key), ``start`` (row, first, label)."""
+    """(row, first, label): labels of the linked rows after some rounds. ``pairs`` is (row, key, cuts, part), ``start`` (row, first, label)."""
     labels = start
     for turn in range(rounds):
         counts = [F.sum((F.col("label") == s).cast("double")).alias(f"_n{s}") for s in range(shards)]
-        keyed = pairs.join(labels.select("row", "label"), "row").groupBy("key").agg(F.count(F.lit(1)).alias("_size"), *counts)
+        keyed = pairs.join(labels.select("row", "label"), "row").groupBy("key").agg(F.count(F.lit(1)).alias("_size"), F.max("cuts").alias("_cuts"), *counts)
+        keyed = keyed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
         others = F.col("_size") - 1
-        votes = pairs.join(keyed, "key").groupBy("row").agg(F.sum(1 / others).alias("_own"), *[F.sum(F.col(f"_n{s}") / others).alias(f"_v{s}") for s in range(shards)])
+        votes = pairs.join(keyed, ["key", "part"]).groupBy("row").agg(F.sum(1 / others).alias("_own"), *[F.sum(F.col(f"_n{s}") / others).alias(f"_v{s}") for s in range(shards)])
         # Sums of fractions differ in their last bits with the order of addition: compare them rounded.
         vote = F.array(*[F.round(F.col(f"_v{s}") - F.when(F.col("label") == s, F.col("_own")).otherwise(0.0), 6) for s in range(shards)])
         named = labels.join(votes, "row", "left").withColumn("_vote", vote).withColumn("_best", F.array_max("_vote"))
@@ -82,8 +84,12 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFr
     total = base.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     all_pairs = base.select("row", F.explode("keys").alias("key"))
-    common = all_pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    pairs = cut(all_pairs.join(common, "key").select("row", "key"))
+    # Cut, so that the join below reads two plain shuffles and a common key can be split.
+    common = cut(all_pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    # A key of very many rows is answered in several parts, so that no task serves it alone.
+    cuts = F.ceil(F.col("n") / KEY_ROWS).cast("int")
+    pairs = all_pairs.join(common, "key").withColumn("cuts", cuts)
+    pairs = cut(pairs.select("row", "key", "cuts", F.pmod(F.xxhash64("row"), F.col("cuts")).cast("int").alias("part")))
     # Documents start where the smallest of their shared keys falls, so that many groups start whole.
     seed = pairs.groupBy("row").agg(F.min("key").alias("first"))
     start = cut(seed.withColumn("label", F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int")))
