@@ -4,8 +4,13 @@ Base kinds are found by pattern in every text. Around each found value, the othe
 reader. How strongly a term t discloses an entity e is measured over the corpus by pointwise mutual information,
 ``PMI(e; t) = log2(docs(e, t) * N / (docs(e) * docs(t)))``, against the entity's own information ``IC(e) = log2(N / docs(e))``:
 at ratio 1 the term identifies the entity. Terms at or over ``generalise`` keep their first letter, those at or over
-``remove`` go, wherever they stand in a line with the entity. A pair must be seen in ``support`` different
-lines, as one meeting, however often its line is copied, tells nothing about both.
+``remove`` go. There are two ways to count meetings:
+
+* by lines: a pair must be seen in ``support`` different lines, and its term is marked in lines with the entity only;
+* by passages (``chance`` given): a document counts where the term stands in the value's line or in the nearest lines with
+  words above and below it, and the term is marked wherever it stands in a document that holds the entity. Copied lines
+  and entities of a single line count; in place of ``support`` stands a bound on chance: by Chernoff's bound for a Poisson
+  number of mean docs(e) * docs(t) / N, so many meetings must be less likely than ``chance`` over the entity's terms met.
 
 Document counts of terms come from blocks: each block of texts sends its distinct words with their counts to hash
 buckets, which answer only for the terms asked about. Nothing but disclosing pairs goes back to the documents.
@@ -80,8 +85,25 @@ def entity_hash(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def context(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """(entity, term, start, end, line hash) of the words beside each entity in the lines it touches, but for words of found values."""
+def passage(text: str, begin: int, end: int) -> tuple[int, int]:
+    """The range of a line and the nearest lines with words above and below it."""
+    first, last = begin, end
+    while first > 0:
+        stop = first - 1
+        first = text.rfind("\n", 0, stop) + 1
+        if text[first:stop].strip():
+            break
+    while last < len(text):
+        start = last + 1
+        last = text.find("\n", start)
+        last = len(text) if last < 0 else last
+        if text[start:last].strip():
+            break
+    return first, last
+
+
+def context(text: str, spans: list[tuple[int, int, int]], passages: bool = False) -> list[tuple[int, int, int, int, int]]:
+    """(entity, term, start, end, line hash) of the words beside each entity in the lines it touches (or their passages), but for words of found values."""
     if not spans:
         return []
     lines: dict[int, tuple[int, set[int]]] = {}  # begin -> end, entities
@@ -89,11 +111,17 @@ def context(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int
         begin = text.rfind("\n", 0, a) + 1
         end = text.find("\n", b)
         lines.setdefault(begin, (len(text) if end < 0 else end, set()))[1].add(entity_hash(kind, text[a:b]))
+    ranges = [(*(passage(text, begin, end) if passages else (begin, end)), names) for begin, (end, names) in lines.items()]
+    return _words_in(text, spans, ranges)
+
+
+def _words_in(text: str, spans: list[tuple[int, int, int]], ranges) -> list[tuple[int, int, int, int, int]]:
+    """As :func:`context`, of the words in ``ranges`` (begin, end, names)."""
     covered = np.zeros(len(text) + 1, dtype=bool)
     for a, b, _ in spans:
         covered[a:b] = True
     out = []
-    for begin, (end, names) in lines.items():
+    for begin, end, names in ranges:
         line = text[begin:end]
         raw = np.frombuffer(line.encode(), dtype=np.uint8)
         w = words(raw, np.array([0, len(raw)]))
@@ -105,17 +133,20 @@ def context(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int
     return out
 
 
-def _pairs(batches):
-    for batch in batches:
-        rows = set()
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            if text and (spans := base_spans(text)):
-                rows.update((i, entity_hash(k, text[a:b]), None, None) for a, b, k in spans)
-                rows.update((i, e, t, line) for e, t, _, _, line in context(text, spans))
-        order = sorted(rows, key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[3] or 0))
-        ids = batch.column(0).to_pylist()
-        columns = [[ids[r[0]] for r in order], *([r[k] for r in order] for k in (1, 2, 3))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "entity", "term", "line"])
+def _pairs(passages: bool):
+    def run(batches):
+        for batch in batches:
+            rows = set()
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                if text and (spans := base_spans(text)):
+                    rows.update((i, entity_hash(k, text[a:b]), None, None) for a, b, k in spans)
+                    rows.update((i, e, t, None if passages else line) for e, t, _, _, line in context(text, spans, passages))
+            order = sorted(rows, key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[3] or 0))
+            ids = batch.column(0).to_pylist()
+            columns = [[ids[r[0]] for r in order], *([r[k] for r in order] for k in (1, 2, 3))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "entity", "term", "line"])
+
+    return run
 
 
 def _word_counts(buckets: int):
@@ -167,44 +198,52 @@ _RESULT = (
 )
 
 
-def _mark(batches):
-    for batch in batches:
-        out = []
-        for doc_id, text, told in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            text = text or ""
-            base = base_spans(text)
-            acts = {(p["entity"], p["term"]): p["remove"] for p in told or ()}
-            terms: dict[tuple[int, int], bool] = {}
-            if acts:
-                for e, t, a, b, _ in context(text, base):
-                    if (e, t) in acts:
-                        terms[a, b] = terms.get((a, b), False) or acts[e, t]
-            named = [(a, k, b, KINDS[k]) for a, b, k in base]
-            every = sorted(named + [(a, len(KINDS), b, "term") for a, b in terms])
-            clean, done = [], 0
-            for a, k, b, kind in every:
-                if a >= done:
-                    clean.append(text[done:a])
-                    clean.append(f"[{kind.upper()}]" if k < len(KINDS) else "[TERM]" if terms[a, b] else text[a] + "*")
-                done = max(done, b)
-            line = lambda spans: ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in spans)
-            counts = [sum(k == j for _, _, k in base) for j in range(len(KINDS))]
-            out.append((doc_id, *counts, len(terms), line(sorted(named)), line(every), "".join(clean) + text[done:]))
-        columns = list(zip(*out, strict=True)) or [()] * 9
-        types = [pa.int64()] * 6 + [pa.string()] * 3
-        names = [f.split()[0] for f in _RESULT.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-
-def disclosing_terms(docs: DataFrame, support: int = 2, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+def _mark(passages: bool):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc_id, text, told in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                text = text or ""
+                base = base_spans(text)
+                acts = {(p["entity"], p["term"]): p["remove"] for p in told or ()}
+                terms: dict[tuple[int, int], bool] = {}
+                if acts:
+                    near = context(text, base) if not passages else _words_in(text, base, [(0, len(text), {entity_hash(k, text[a:b]) for a, b, k in base})])
+                    for e, t, a, b, _ in near:
+                        if (e, t) in acts:
+                            terms[a, b] = terms.get((a, b), False) or acts[e, t]
+                named = [(a, k, b, KINDS[k]) for a, b, k in base]
+                every = sorted(named + [(a, len(KINDS), b, "term") for a, b in terms])
+                clean, done = [], 0
+                for a, k, b, kind in every:
+                    if a >= done:
+                        clean.append(text[done:a])
+                        clean.append(f"[{kind.upper()}]" if k < len(KINDS) else "[TERM]" if terms[a, b] else text[a] + "*")
+                    done = max(done, b)
+                line = lambda spans: ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in spans)
+                counts = [sum(k == j for _, _, k in base) for j in range(len(KINDS))]
+                out.append((doc_id, *counts, len(terms), line(sorted(named)), line(every), "".join(clean) + text[done:]))
+            columns = list(zip(*out, strict=True)) or [()] * 9
+            types = [pa.int64()] * 6 + [pa.string()] * 3
+            names = [f.split()[0] for f in _RESULT.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return run
+
+
+def disclosing_terms(docs: DataFrame, support: int = 2, generalise: float = 0.8, remove: float = 0.95, chance: float | None = None) -> DataFrame:
     """(doc_id, told): per document the pairs (entity, term, remove) that disclose one of its entities."""
     spark = docs.sparkSession
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = cut(docs.select("doc_id", "text").mapInArrow(_pairs, "doc_id long, entity long, term long, line long"))
+    found = cut(docs.select("doc_id", "text").mapInArrow(_pairs(chance is not None), "doc_id long, entity long, term long, line long"))
     total = docs.count()
-    lines = found.filter("term is not null").groupBy("entity", "term", "line").agg(F.count(F.lit(1)).alias("docs"))
-    met = lines.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("lines"), F.sum("docs").alias("both"))
-    met = cut(met.filter(F.col("lines") >= support).drop("lines"))
+    terms = found.filter("term is not null")
+    if chance is None:
+        lines = terms.groupBy("entity", "term", "line").agg(F.count(F.lit(1)).alias("docs"))
+        met = lines.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("lines"), F.sum("docs").alias("both"))
+        met = cut(met.filter(F.col("lines") >= support).drop("lines"))
+    else:
+        met = cut(terms.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")))
     holders = found.filter("term is null").groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     asked = met.select("term").distinct()
     asked = asked.select(F.pmod("term", F.lit(buckets)).cast("long").alias("bucket"), "term", F.lit(None).cast("binary").alias("data"))
@@ -214,21 +253,33 @@ def disclosing_terms(docs: DataFrame, support: int = 2, generalise: float = 0.8,
     pmi = F.log2(both * F.lit(float(total)) / (F.col("of_entity") * F.col("docs")))
     ratio = pmi / F.log2(F.lit(float(total)) / F.col("of_entity"))
     told = met.join(holders, "entity").join(counts, "term").filter(F.col("of_entity") < total).withColumn("ratio", ratio)
-    told = told.filter(F.col("ratio") >= generalise).select("entity", "term", (F.col("ratio") >= remove).alias("remove"))
-    here = found.filter("term is not null").select("doc_id", "entity", "term").join(told, ["entity", "term"])
+    told = told.filter(F.col("ratio") >= generalise)
+    if chance is not None:
+        mean = F.col("of_entity") * F.col("docs") / F.lit(float(total))
+        tail = both * (1 + F.log(mean / both)) - mean  # log of the bound, for more meetings than the mean
+        tested = met.groupBy("entity").agg(F.count(F.lit(1)).alias("tested"))
+        told = told.withColumn("mean", mean).withColumn("tail", tail).join(tested, "entity")
+        told = told.filter((both > F.col("mean")) & (F.col("tail") <= F.log(F.lit(chance) / F.col("tested"))))
+    told = told.select("entity", "term", (F.col("ratio") >= remove).alias("remove"))
+    if chance is not None:
+        own = told.groupBy("entity").agg(F.collect_list(F.struct("term", "remove")).alias("terms"))
+        holding = found.filter("term is null").select("doc_id", "entity").distinct().join(measured_side(cut(own)), "entity")
+        here = holding.select("doc_id", "entity", F.explode("terms").alias("t")).select("doc_id", "entity", "t.term", "t.remove")
+    else:
+        here = terms.select("doc_id", "entity", "term").join(told, ["entity", "term"])
     return here.groupBy("doc_id").agg(F.collect_set(F.struct("entity", "term", "remove")).alias("told"))
 
 
-def sanitise(docs: DataFrame, support: int = 2, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+def sanitise(docs: DataFrame, support: int = 2, generalise: float = 0.8, remove: float = 0.95, chance: float | None = None) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, n_terms, base_spans, spans, clean_text) for each row of ``docs`` (doc_id, text).
 
     ``base_spans`` and ``spans`` (with the disclosing terms, kind ``term``) list ``kind:start:end`` in code points by
     start. In ``clean_text`` a found value is replaced by its kind, a removed term by ``[TERM]``, a generalised one by its
-    first character and ``*``. Null and empty texts have no finding. Rows with a null doc_id are treated as one name, and
+    first character and ``*``. With ``chance``, meetings are counted by passages and ``support`` is not used. Null and empty texts have no finding. Rows with a null doc_id are treated as one name, and
     repeated rows share their pairs, each row counting as a document. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = measured_side(cut(disclosing_terms(plain, support, generalise, remove)).withColumnRenamed("doc_id", "_told_id"))
+    told = measured_side(cut(disclosing_terms(plain, support, generalise, remove, chance)).withColumnRenamed("doc_id", "_told_id"))
     joined = plain.join(told, F.col("doc_id").eqNullSafe(F.col("_told_id")), "left").select("doc_id", "text", "told")
-    return joined.mapInArrow(_mark, _RESULT)
+    return joined.mapInArrow(_mark(chance is not None), _RESULT)

@@ -186,7 +186,7 @@ def op4_line_first_cleaning(spark, folder):
 
 @query("op8_disclosing_terms")
 def op8_disclosing_terms(spark, folder):
-    out = pii.sanitise(table(spark, folder, "documents"))
+    out = pii.sanitise(table(spark, folder, "documents"), chance=0.05)
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_terms")
 
 

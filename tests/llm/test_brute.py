@@ -115,6 +115,18 @@ def test_disclosing_terms(spark):
     assert " the " in first["clean_text"] and out[2000]["n_terms"] == 0 and out[5]["spans"] == ""
 
 
+def test_disclosing_terms_by_passages(spark):
+    """Single-line entities, copied lines and names beside the value's line count, wherever the name stands; common words do not."""
+    rows = [(k, f"the and of {k} rare{k}\nplain words here and there") for k in range(2000)]
+    rows += [(3000, "the xanthe quill\n\nwrite to e@f.org\nthe desk and\nother line\nand of xanthe")]
+    rows += [(4000 + k, "call quux the c@d.eu and") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["clean_text"] for r in pii.sanitise(docs, chance=0.05).collect()}
+    assert out[3000] == "the [TERM] [TERM]\n\n[TERM] [TERM] [EMAIL]\nthe [TERM] and\nother line\nand of [TERM]"
+    assert out[4002] == "[TERM] [TERM] the [EMAIL] and" and out[5] == rows[5][1]
+    assert "xanthe" in {r["doc_id"]: r["clean_text"] for r in pii.sanitise(docs).collect()}[3000]
+
+
 def test_languages_on_held_out_documents(spark, documents):
     lang = {d["doc_id"]: d["lang"] for d in documents}
     rows = [r for r in QUERIES["op7_byte_cnn_language"](spark, SMALL).collect() if r["held_out"]]
