@@ -1,12 +1,12 @@
 """Balanced label propagation: documents move to the shards of the documents they are linked with, under quotas.
 
-Links come from content: a document's keys are the hash of its whole text and the smallest few hashes of its lines, so
-copies and documents that share lines meet in keys. A key stands between its documents, so a key that a third of all
+Links come from content: a document's keys are the hash of its whole text and the hashes of all its lines, so copies and
+documents that share lines meet in keys; keys of one document are dropped. A key stands between its documents, so a key that a third of all
 documents hold costs one row per document and never a list or a pair. Each round is joins and map-side combined sums:
 
 * a key counts its documents in every shard;
 * a document sums the counts of its keys' other documents (each over their number) and names the shard that holds most;
-* per shard, moves are admitted by gain up to the free places; the threshold comes from a histogram of gains, so
+* per shard, moves are admitted by gain per key up to the free places; the threshold comes from a histogram of gains, so
   admission needs no global order.
 
 At the end every shard gets its exact number of rows: linked documents keep their place in key order up to the quota,
@@ -21,17 +21,16 @@ from pyspark.sql import functions as F
 from ..operators.scale import ordered_position
 from ..session import cut
 
-LINES = 6  # line hashes kept per document
 KEY_ROWS = 2_000  # rows of a key that one task serves
 BINS = 64  # steps of gain in the histogram
 SPLITS = 256  # parts of one step, by hash of the document's first key
 
 
 def link_keys(text: Column) -> Column:
-    """Hash of the text and its ``LINES`` smallest line hashes; no key for a null or blank text."""
+    """Hash of the text and the distinct hashes of its lines; no key for a null or blank text."""
     lines = F.filter(F.split(text, "\n"), lambda line: F.trim(line) != "")
-    small = F.slice(F.sort_array(F.array_distinct(F.transform(lines, lambda line: F.xxhash64(line)))), 1, LINES)
-    return F.when(F.trim(text) == "", F.array().cast("array<long>")).otherwise(F.array_union(F.array(F.xxhash64(text, F.lit(1))), small))
+    hashes = F.transform(lines, lambda line: F.xxhash64(line))
+    return F.when(F.trim(text) == "", F.array().cast("array<long>")).otherwise(F.array_union(F.array(F.xxhash64(text, F.lit(1))), hashes))
 
 
 def propagate(pairs: DataFrame, start: DataFrame, shards: int, room: list[int], rounds: int) -> DataFrame:
@@ -42,7 +41,7 @@ def propagate(pairs: DataFrame, start: DataFrame, shards: int, room: list[int],
         keyed = pairs.join(labels.select("row", "label"), "row").groupBy("key").agg(F.count(F.lit(1)).alias("_size"), F.max("cuts").alias("_cuts"), *counts)
         keyed = keyed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
         others = F.col("_size") - 1
-        votes = pairs.join(keyed, ["key", "part"]).groupBy("row").agg(F.sum(1 / others).alias("_own"), *[F.sum(F.col(f"_n{s}") / others).alias(f"_v{s}") for s in range(shards)])
+        votes = pairs.join(keyed, ["key", "part"]).groupBy("row").agg(F.count(F.lit(1)).alias("_keys"), F.sum(1 / others).alias("_own"), *[F.sum(F.col(f"_n{s}") / others).alias(f"_v{s}") for s in range(shards)])
         # Sums of fractions differ in their last bits with the order of addition: compare them rounded.
         vote = F.array(*[F.round(F.col(f"_v{s}") - F.when(F.col("label") == s, F.col("_own")).otherwise(0.0), 6) for s in range(shards)])
         named = labels.join(votes, "row", "left").withColumn("_vote", vote).withColumn("_best", F.array_max("_vote"))
@@ -50,7 +49,7 @@ def propagate(pairs: DataFrame, start: DataFrame, shards: int, room: list[int],
         # Half of the groups may move in a round, else linked ones would change places for ever.
         active = F.pmod(F.xxhash64("first", F.lit(turn)), F.lit(2)) == 0
         want = F.when(active & (own < F.col("_best")), F.array_position("_vote", F.col("_best")).cast("int") - 1)
-        step = F.least(F.floor((F.col("_best") - own) * BINS / (LINES + 1)), F.lit(BINS - 1)).cast("int")
+        step = F.least(F.floor((F.col("_best") - own) * BINS / F.col("_keys")), F.lit(BINS - 1)).cast("int")
         split = F.pmod(F.xxhash64("first", F.lit(17)), F.lit(SPLITS)).cast("int")
         moves = cut(named.select("row", "first", "label", want.alias("want"), F.when(want.isNotNull(), step).alias("step"), split.alias("split")))
         held = {r["label"]: r["n"] for r in moves.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from factorspark.llm import elias_fano, ngram_lm, packing, pii
+from factorspark.llm import elias_fano, ngram_lm, packing, pii, sharding
 from factorspark.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -127,6 +127,14 @@ def test_disclosing_terms_by_passages(spark):
     assert "xanthe" in {r["doc_id"]: r["clean_text"] for r in pii.sanitise(docs).collect()}[3000]
 
 
+def test_shards_link_by_any_line(spark):
+    """One shared line among forty others links two documents."""
+    rows = [(k, "\n".join([*(f"own {k} {j}" for j in range(40)), f"shared {k // 2}"])) for k in range(40)]
+    out = {r["doc_id"]: r for r in sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert all(r["linked"] for r in out.values())
+    assert sum(out[k]["shard"] == out[k + 1]["shard"] for k in range(0, 40, 2)) >= 15
+
+
 def test_languages_on_held_out_documents(spark, documents):
     lang = {d["doc_id"]: d["lang"] for d in documents}
     rows = [r for r in QUERIES["op7_byte_cnn_language"](spark, SMALL).collect() if r["held_out"]]
