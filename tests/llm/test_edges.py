@@ -104,6 +104,18 @@ def test_cleaning(docs, none):
     assert line_clean.clean(none).count() == 0
 
 
+def test_cleaning_by_endings(spark):
+    """Menus, cut-off headings and licence lines fail, prose stays, also when its lines are wrapped."""
+    prose = "\n".join(f"Line{k} tells{k} of{k} some{k} odd{k} things{k}" if k % 2 else f"goes{k} on{k} with{k} more{k}." for k in range(20))
+    menu = "\n".join(f"{name} {k}" for k in range(20) for name in ("Home", "About us", "Contact"))
+    heads = "\n".join(f"The story number {k} of the long and winding ..." for k in range(20))
+    notice = "Licensed under the Apache License, Version 2.0."
+    texts = spark.createDataFrame([(1, f"{prose}\n{notice}"), (2, menu), (3, heads)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_clean.clean(texts, endings=True).collect()}
+    assert got[1]["kept"] and got[1]["clean_text"] == prose
+    assert not got[2]["kept"] and got[2]["n_good_lines"] == 0 and not got[3]["kept"] and got[3]["n_good_lines"] == 0
+
+
 def test_language_model(docs, none):
     got = ngram_lm.score_documents(docs)
     assert ids(got) == ALL
