@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, shared_folder
-from . import decontam, lang_cnn, line_clean, mixing, near_join, ngram_lm, pii, sharding, url_filters, warc
+from . import decontam, lang_cnn, line_clean, mixing, near_join, ngram_lm, pii, sharding, spelling, url_filters, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -211,3 +211,13 @@ def op10_url_expressions(spark, folder):
 @query("op1_elias_fano_lm")
 def op1_elias_fano_lm(spark, folder):
     return ngram_lm.score_documents(table(spark, folder, "documents"))
+
+
+@query("op11_pivotal_spelling")
+def op11_pivotal_spelling(spark, folder):
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op12_feast_whitening")
+def op12_feast_whitening(spark, folder):
+    return whitening.whitened_rows(table(spark, folder, "embeddings"))
