@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, shared_folder
-from . import decontam, lang_cnn, line_clean, mixing, near_join, ngram_lm, pii, sharding, spelling, url_filters, warc, whitening
+from . import decontam, lang_cnn, line_clean, main_text, mixing, near_join, ngram_lm, pii, sharding, spelling, url_filters, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -221,3 +221,8 @@ def op11_pivotal_spelling(spark, folder):
 @query("op12_feast_whitening")
 def op12_feast_whitening(spark, folder):
     return whitening.whitened_rows(table(spark, folder, "embeddings"))
+
+
+@query("op13_dom_trees")
+def op13_dom_trees(spark, folder):
+    return main_text.extract(table(spark, folder, "pages"))
