@@ -4,9 +4,10 @@ The positional bigrams of a word are ordered by rarity; the first three are its
 disjoint, and one edit spoils at most one of two disjoint bigrams. So of two words one edit apart, the word whose prefix
 ends earlier in the order has a pivot (one of two disjoint bigrams of its prefix) that stands in the other word's prefix.
 Pivots are chosen by dynamic programming to be as rare as possible. As the edit is on one side of the surviving pivot, all
-letters on its other side agree: an edit after the pivot leaves the word's beginning as it was, up to the pivot's end, and
-an edit before it leaves the end, from the pivot on. That fixes the place where the pivot must stand, counted from the
-nearer end, and the text on that side; the join uses both as its key.
+letters on its other side agree: an edit after the left pivot leaves the word's beginning as it was, up to the pivot's end,
+and any other leaves the end from the right pivot on. That limits the place of the pivot, counted from that end, to one.
+The join's key is the agreeing text with the other word's length; of the remaining letters one half must agree as well, so
+each half makes a key of its own, and a common beginning does not bring together all words that share it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ship
@@ -82,6 +83,29 @@ def gram_weights(words: DataFrame) -> dict[str, int]:
     return {r["gram"]: r["n"] for r in rows}
 
 
+def _start(size: Column) -> Column:
+    return F.substring("word", F.lit(1), size)
+
+
+def _end(size: Column) -> Column:
+    return F.right("word", size)
+
+
+def _left_keys(place: Column, length: Column) -> list[Column]:
+    """Keys of a bigram with the letters up to its end, for partners of ``length`` letters that agree with it there.
+
+    What follows the bigram in the partner is halved: the edit is in one half, so the other half agrees too.
+    """
+    half = (place + GRAM + F.floor((length - place - GRAM) / 2)).cast("int")
+    return [F.xxhash64(F.lit(0), length, _start(half)), F.xxhash64(F.lit(1), length, _start(place + GRAM), _end(length - half))]
+
+
+def _right_keys(rest: Column, length: Column) -> list[Column]:
+    """The same for a bigram with the ``rest`` letters from its beginning to the end of the word."""
+    half = F.floor((length - rest) / 2).cast("int")
+    return [F.xxhash64(F.lit(2), length, _start(half), _end(rest)), F.xxhash64(F.lit(3), length, _end(length - half))]
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """(a, b), a < b: all pairs of ``words`` (column word, distinct, at least 4 letters) that are one edit apart, once each."""
     spark = words.sparkSession
@@ -90,22 +114,21 @@ def near_words(words: DataFrame) -> DataFrame:
     order = {g: i for i, g in enumerate(sorted(weights, key=lambda g: (weights[g], g)))}
     held = spark.sparkContext.broadcast((order, weights))  # at most 7921 entries each
 
-    def sign(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            word, last, key, pivot = [], [], [], []
-            for w in b.column(0).to_pylist():
-                end, places, pivots = signature(w, *held.value)
-                for p in places:
-                    word += [w, w]
-                    last += [end, end]
-                    key += ["<" + w[: p + GRAM], ">" + w[p:]]
-                    pivot += [p in pivots] * 2
-            yield pa.RecordBatch.from_pydict({"word": pa.array(word, pa.string()), "last": pa.array(last, pa.int32()), "key": pa.array(key, pa.string()), "pivot": pa.array(pivot, pa.bool_())})
-
-    signed = words.select("word").mapInArrow(sign, "word string, last int, key string, pivot boolean")
-    signed = cut(signed.withColumn("key", F.xxhash64("key")))
-    pivots = signed.filter("pivot").select("key", F.col("word").alias("r"), F.col("last").alias("r_last"))
-    prefixes = signed.select("key", F.col("word").alias("s"), F.col("last").alias("s_last"))
+    @F.arrow_udf("struct<last: int, places: array<int>, pivots: array<int>>")
+    def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        for column in batches:
+            parts = zip(*[signature(w, *held.value) for w in column.to_pylist()], strict=True) if len(column) else ([], [], [])
+            yield pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(parts, kinds, strict=True)], ["last", "places", "pivots"])
+
+    signed = cut(words.select("word", sign("word").alias("s")).select("word", "s.*"))
+    size, place = F.length("word"), F.col("place")
+    left, right = F.col("pivots")[0], F.col("pivots")[1]
+    own = [*_left_keys(place, size), *_right_keys(size - place, size)]
+    # An edit after the left pivot keeps the word's beginning, any other keeps its end from the right pivot on.
+    asked = [k for change in (-1, 0, 1) for k in (*_left_keys(left, size + change), *_right_keys(size - right, size + change))]
+    prefixes = signed.select("word", "last", F.explode("places").alias("place")).select(F.col("word").alias("s"), F.col("last").alias("s_last"), F.explode(F.array(*own)).alias("key"))
+    pivots = signed.select(F.col("word").alias("r"), F.col("last").alias("r_last"), F.explode(F.array(*asked)).alias("key"))
     met = pivots.join(prefixes, "key").filter("r <> s and r_last <= s_last and abs(length(r) - length(s)) <= 1")
     near = met.filter(F.levenshtein("r", "s", EDITS) == EDITS)
     return near.select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
