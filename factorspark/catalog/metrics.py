@@ -136,7 +136,7 @@ def mutual_ic_blocks(spark, folder):
     """The same pairs by the route taken for many formulas."""
     cols = [f"a{i}" for i in range(5)]
     z = X.zscore(pool_panel(spark, folder), cols)
-    return M.mutual_from_grams(M.gram_rows(z, cols)).select("date", "i", "j", r6("ic").alias("ic"))
+    return M.unpacked(M.daily_correlation_rows(z, cols, M.Pairs(5))).select("date", "i", "j", r6("ic").alias("ic"))
 
 
 @query("pool_scores", f"WITH {FACTORS_SQL} SELECT symbol, date, {q6('score')} AS score, {q6('zy')} AS target FROM scored")
@@ -256,14 +256,64 @@ def pool_admission(spark, folder):
     return K.admission_filter(ics, pairs, -0.02, 0.3).select("expr", r6("ic").alias("ic"))
 
 
-@query("pool_selection")
+# Candidates that resemble each other: prices of one bar move together.
+CANDIDATES = {"$close": "close", "$high": "high", "$low": "low", "$open": "open", "$vwap": "vwap", "Sub($high,$low)": "high - low", "Add($high,$low)": "high + low", "$volume": "volume", "Mul($volume,$vwap)": "volume * vwap", "Sub($close,$open)": "close - open", "Sub($vwap,$open)": "vwap - open"}
+_N = len(CANDIDATES)
+GREEDY_SQL = f"""{PANEL_SQL},
+f AS (SELECT symbol, date, {", ".join(f"{c} AS a{i}" for i, c in enumerate(CANDIDATES.values()))}, lead(close, 1) OVER s / nullif(close, 0) - 1.0 AS y
+  FROM panel {window_sql()}),
+z AS (SELECT date, {", ".join(f"coalesce(({c} - avg({c}) OVER d) / nullif(stddev_pop({c}) OVER d, 0), 0) AS z{c}" for c in (*(f"a{i}" for i in range(_N)), "y"))}
+  FROM f WINDOW d AS (PARTITION BY date)),
+per AS (SELECT date, {", ".join(f"{pearson(f'za{i}', f'za{j}')} AS m{i}_{j}" for i in range(_N) for j in range(_N))}, {", ".join(f"{pearson(f'za{i}', 'zy')} AS c{i}" for i in range(_N))}
+  FROM z GROUP BY date),
+m AS (SELECT [{", ".join("[" + ", ".join(f"avg(m{i}_{j})" for j in range(_N)) + "]" for i in range(_N))}] AS m, [{", ".join(f"avg(c{i})" for i in range(_N))}] AS c FROM per),
+o AS (SELECT row_number() OVER (ORDER BY c[k] DESC, expr) AS pos, k, expr, c[k] AS ic FROM m, (VALUES {", ".join(f"({i + 1}, '{e}')" for i, e in enumerate(CANDIDATES))}) t(k, expr)),
+walk(pos, kept) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS INTEGER[])
+  UNION ALL
+  SELECT o.pos, CASE WHEN len(kept) < 4 AND len([x FOR x IN kept IF abs(m.m[o.k][x]) > 0.7]) = 0 THEN list_append(kept, o.k) ELSE kept END
+  FROM walk JOIN o ON o.pos = walk.pos + 1, m)"""
+
+
+@query(
+    "pool_selection",
+    f"""WITH RECURSIVE {GREEDY_SQL}
+SELECT CAST(list_position(kept, k) - 1 AS INTEGER) AS rank, expr, {q6('ic')} AS ic FROM walk JOIN o ON list_contains(kept, o.k) WHERE walk.pos = {_N}""",
+)
 def pool_selection(spark, folder):
-    return K.select_decorrelated(panel(spark, folder), list(POOL), FORWARD, 0.7, 3)
+    """Four of eleven formulas, none of them close to a better one."""
+    out = K.select_decorrelated(panel(spark, folder), list(CANDIDATES), FORWARD, 0.7, 4)
+    return out.select("rank", "expr", r6("ic").alias("ic"))
+
+
+def fit_sql(k: int, alpha: float = 1e-3, sweeps: int = 60) -> str:
+    """CTEs up to ``fit`` (w): weights of the first k formulas, by coordinate descent from 0."""
+    mean = ", ".join("[" + ", ".join("1.0" if i == j else f"avg(ic) FILTER (i = {min(i, j)} AND j = {max(i, j)})" for j in range(k)) + "]" for i in range(k))
+    pull = "(r[i] - list_sum([m[i][x] * w[x] FOR x IN range(1, {k} + 1)]) + w[i])".replace("{k}", str(k))
+    return f"""{MUTUAL_SQL},
+per AS ({' UNION ALL '.join(f"SELECT {i} AS k, {pearson(f'za{i}', 'zy')} AS ic FROM z GROUP BY date" for i in range(5))}),
+mm AS (SELECT [{mean}] AS m FROM mutual), rr AS (SELECT list(ic ORDER BY k) AS r FROM (SELECT k, avg(ic) AS ic FROM per GROUP BY 1)),
+descent(step, w) AS (
+  SELECT 0, CAST([{", ".join(["0"] * k)}] AS DOUBLE[])
+  UNION ALL
+  SELECT step + 1, [CASE WHEN x <> i THEN w[x] ELSE sign({pull}) * greatest(abs({pull}) - {alpha / 2}, 0) END FOR x IN range(1, {k + 1})]
+  FROM (SELECT step, w, m, r, step % {k} + 1 AS i FROM descent, mm, rr WHERE step < {k * sweeps}) t),
+fit AS (SELECT w FROM descent ORDER BY step DESC LIMIT 1)"""
+
 
+NAMES_SQL = "names(k, expr) AS (VALUES " + ", ".join(f"({i + 1}, '{f}')" for i, f in enumerate(POOL)) + ")"
 
-@query("pool_fit")
+
+@query(
+    "pool_fit",
+    f"""WITH RECURSIVE {fit_sql(5)}, {NAMES_SQL},
+e AS (SELECT k, expr, w[k] AS weight, r[k] AS ic, row_number() OVER (ORDER BY abs(w[k]), k) AS place FROM fit, rr, names)
+SELECT 'pool' AS pool_id, CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS idx, expr, {q6('weight')} AS weight, {q6('ic')} AS ic FROM e WHERE place > 1""",
+)
 def pool_fit(spark, folder):
-    return K.extend_pool(panel(spark, folder), K.Pool(4), list(POOL), FORWARD, alpha=1e-3).to_rows(spark)
+    """Five formulas offered to a pool of four: the smallest weight leaves."""
+    out = K.extend_pool(panel(spark, folder), K.Pool(4), list(POOL), FORWARD, alpha=1e-3).to_rows(spark)
+    return out.select("pool_id", "idx", "expr", r6("weight").alias("weight"), r6("ic").alias("ic"))
 
 
 @query(
@@ -283,11 +333,16 @@ def pool_fit_icir(spark, folder):
     return K.Pool(5, stats.exprs, w, stats.ics, stats.mutual).to_rows(spark)
 
 
-@query("pool_merge")
+@query(
+    "pool_merge",
+    f"""WITH RECURSIVE {fit_sql(4)}, {NAMES_SQL}
+SELECT 'pool' AS pool_id, k - 1 AS idx, expr, {q6('0.9 * w[k]')} AS weight, {q6('r[k]')} AS ic FROM fit, rr, names WHERE k <= 4""",
+)
 def pool_merge(spark, folder):
     names = list(POOL)
     pools = {"12m": {n: POOL[n] for n in names[:3]}, "6m": {n: POOL[n] for n in names[1:4]}, "3m": {n: POOL[n] for n in names[2:]}}
-    return K.merge_pools(panel(spark, folder), pools, FORWARD, 4, alpha=1e-3, shrink=0.9).to_rows(spark)
+    out = K.merge_pools(panel(spark, folder), pools, FORWARD, 4, alpha=1e-3, shrink=0.9).to_rows(spark)
+    return out.select("pool_id", "idx", "expr", r6("weight").alias("weight"), r6("ic").alias("ic"))
 
 
 # --- walk-forward --------------------------------------------------------------------------------

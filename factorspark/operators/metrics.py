@@ -5,11 +5,13 @@ Everything per date is an aggregate with map-side combine; only daily series (on
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,50 +145,67 @@ def lower_confidence_bound(daily: DataFrame, beta: float, col: str = "ic") -> Da
 # --- pairs of alphas -----------------------------------------------------------------------------
 
 
-def mutual_ic_daily(panel: Panel, cols: Sequence[str]) -> DataFrame:
-    """(date, i, j, ic) for every pair i < j of normalised alphas (positions in ``cols``)."""
-    z = zscore(panel.over(panel.df.select("symbol", "date", *cols)), cols)
-    if len(cols) <= WIDE_PAIRS:
-        pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-        agg = z.df.groupBy("date").agg(
-            *[F.stddev_pop(c).alias(f"_s{i}") for i, c in enumerate(cols)],
-            *[F.covar_pop(cols[i], cols[j]).alias(f"_c{i}_{j}") for i, j in pairs],
-        )
-        entries = [
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(j).alias("j"),
-                _guarded(F.col(f"_c{i}_{j}"), F.col(f"_s{i}"), F.col(f"_s{j}")).alias("ic"),
-            )
-            for i, j in pairs
-        ]
-        return agg.select("date", F.explode(F.array(*entries)).alias("_p")).select("date", "_p.*")
-    return mutual_from_grams(gram_rows(z, cols))
-
-
-def gram_rows(z: Panel, cols: Sequence[str], salts: int | None = None) -> DataFrame:
-    """(date, i, j, n, dot): sums of products of normalised columns, i <= j, for many columns.
-
-    Rows are spread by (date, hash of the symbol), so a wide date is shared by ``salts`` tasks; each task sums
-    one K x K block per date before anything is shuffled again.
+class Pairs(NamedTuple):
+    """Which products of columns are summed: the upper triangle of one list, or all of ``left`` x ``right``."""
+
+    left: int
+    right: int | None = None
+
+    def products(self, v: np.ndarray) -> np.ndarray:
+        if self.right is None:
+            return (v.T @ v)[np.triu_indices(self.left)]
+        a, b = v[:, : self.left], v[:, self.left :]
+        return np.concatenate(((a.T @ b).ravel(), (a * a).sum(axis=0), (b * b).sum(axis=0)))
+
+    def correlations(self, mean: np.ndarray) -> np.ndarray:
+        """(left, right) from the mean products of columns of mean 0."""
+        if self.right is None:
+            cov = np.zeros((self.left, self.left))
+            cov[np.triu_indices(self.left)] = mean
+            cov += np.triu(cov, 1).T
+            sx = sy = np.sqrt(np.diag(cov))
+        else:
+            cov, squares = mean[: self.left * self.right].reshape(self.left, self.right), mean[self.left * self.right :]
+            sx, sy = np.sqrt(squares[: self.left]), np.sqrt(squares[self.left :])
+        scale = np.outer(sx, sy)
+        scale[(sx < IC_STD_FLOOR)[:, None] | (sy < IC_STD_FLOOR)] = 1.0
+        return cov / scale
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(date, n, dots) of successive rows of one date, added up."""
+    day, n, dots = None, 0, None
+    for b in batches:
+        for date, count, row in zip(b.column("date").to_pylist(), b.column("n").to_pylist(), b.column("dots"), strict=True):
+            if n and date != day:
+                yield day, n, dots
+                n, dots = 0, None
+            values = row.values.to_numpy(zero_copy_only=False)
+            day, n, dots = date, n + count, values.copy() if dots is None else dots + values
+    if n:
+        yield day, n, dots
+
+
+def product_blocks(z: Panel, cols: Sequence[str], pairs: Pairs, salts: int | None = None) -> DataFrame:
+    """(date, n, dots): sums of products of normalised columns as one array per part of a date; a date's parts are in one task, in order.
+
+    Rows are spread by (date, hash of the symbol), so a wide date is shared by ``salts`` tasks; each task adds up one
+    array per date. Only these arrays are shuffled by date.
     """
     ship(z.df.sparkSession)
     salts = salts or 1 + z.n_symbols // ROWS_PER_SALT
-    k = len(cols)
-    upper = np.triu_indices(k)
-    slim = z.df.select(
-        "date", F.pmod(F.xxhash64("symbol"), F.lit(salts)).alias("_salt"), F.array(*[F.col(c) for c in cols]).alias("v")
-    )
+    slim = z.df.select("date", F.pmod(F.xxhash64("symbol"), F.lit(salts)).alias("_salt"), F.array(*[F.col(c) for c in cols]).alias("v"))
     date_type = slim.schema["date"].dataType.simpleString()
 
     def blocks(batches):
         held: dict = {}
-        limit = max(1, HELD_NUMBERS // len(upper[0]))
+        limit = 0
         for pdf in batches:
             for day, g in pdf.groupby("date", sort=False):
-                v = np.stack(g["v"].to_numpy())
+                made = pairs.products(np.stack(g["v"].to_numpy()))
                 n, dots = held.get(day, (0, 0.0))
-                held[day] = (n + len(v), dots + (v.T @ v)[upper])
+                held[day] = (n + len(g), dots + made)
+                limit = max(1, HELD_NUMBERS // len(made))
             if len(held) > limit:
                 yield emitted(held)
                 held = {}
@@ -196,30 +215,93 @@ def gram_rows(z: Panel, cols: Sequence[str], salts: int | None = None) -> DataFr
     def emitted(held):
         return pd.DataFrame({"date": list(held), "n": [n for n, _ in held.values()], "dots": [d for _, d in held.values()]})
 
-    grams = spread(slim, "date", "_salt").mapInPandas(blocks, f"date {date_type}, n long, dots array<double>")
-    names = F.array(*[F.struct(F.lit(int(i)).alias("i"), F.lit(int(j)).alias("j")) for i, j in zip(*upper, strict=True)])
-    summed = (
-        grams.select("date", "n", F.posexplode("dots").alias("pos", "dot"))
-        .groupBy("date", "pos")
-        .agg(F.sum("n").alias("n"), F.sum("dot").alias("dot"))
-    )
-    return summed.withColumn("_p", F.get(names, F.col("pos"))).select("date", "_p.i", "_p.j", "n", "dot")
+    parts = spread(slim, "date", "_salt").mapInPandas(blocks, f"date {date_type}, n long, dots array<double>")
+    return spread(parts, "date").sortWithinPartitions("date")
+
+
+def daily_products(z: Panel, cols: Sequence[str]) -> DataFrame:
+    """(date, v): mean products of all pairs i <= j of normalised columns, one array per date."""
+    blocks = product_blocks(z, cols, Pairs(len(cols)))
+    date_type = blocks.schema["date"].dataType.simpleString()
+
+    def means(batches):
+        for day, n, dots in _summed(batches):
+            yield pd.DataFrame({"date": [day], "v": [dots / n]})
+
+    return blocks.mapInArrow(lambda batches: _as_arrow(means(batches), date_type, "v"), f"date {date_type}, v array<double>")
+
+
+def _as_arrow(frames: Iterator[pd.DataFrame], date_type: str, name: str) -> Iterator[pa.RecordBatch]:
+    kind = {"date": pa.date32(), "timestamp_ntz": pa.timestamp("us"), "timestamp": pa.timestamp("us", tz="UTC")}[date_type]
+    for f in frames:
+        columns = {c: pa.array(f[c].tolist(), kind if c == "date" else pa.list_(pa.float64()) if c == name else pa.int32()) for c in f}
+        yield pa.RecordBatch.from_pydict(columns)
+
 
+def daily_correlation_rows(z: Panel, cols: Sequence[str], pairs: Pairs) -> DataFrame:
+    """(date, i, ics): correlations of left column i with every right column, one array per date and left column."""
+    blocks = product_blocks(z, cols, pairs)
+    date_type = blocks.schema["date"].dataType.simpleString()
 
-def mutual_from_grams(grams: DataFrame) -> DataFrame:
-    """Means of normalised columns are 0, so the diagonal gives the variances."""
-    diagonal = F.map_from_entries(
-        F.collect_list(F.when(F.col("i") == F.col("j"), F.struct("i", F.sqrt(F.col("dot") / F.col("n")))))
+    def rows(batches):
+        for day, n, dots in _summed(batches):
+            ics = pairs.correlations(dots / n)
+            yield pd.DataFrame({"date": [day] * len(ics), "i": range(len(ics)), "ics": list(ics)})
+
+    return blocks.mapInArrow(lambda batches: _as_arrow(rows(batches), date_type, "ics"), f"date {date_type}, i int, ics array<double>")
+
+
+def mean_correlation_rows(z: Panel, cols: Sequence[str], pairs: Pairs) -> DataFrame:
+    """(i, ics): mean over dates of the correlations of left column i with every right column.
+
+    Dates are added up inside the tasks; what is shuffled is one array per task and left column.
+    """
+    blocks = product_blocks(z, cols, pairs)
+
+    def partial(batches):
+        total, days = 0.0, 0
+        for _, n, dots in _summed(batches):
+            total, days = total + pairs.correlations(dots / n), days + 1
+        if days:
+            yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(total)), pa.int32()), "days": pa.array([days] * len(total), pa.int64()), "ics": pa.array(list(total), pa.list_(pa.float64()))})
+
+    def mean(pdf):
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "ics": [np.sum(np.stack(pdf["ics"].to_numpy()), axis=0) / pdf["days"].sum()]})
+
+    parts = blocks.mapInArrow(partial, "i int, days long, ics array<double>")
+    return parts.groupBy("i").applyInPandas(mean, "i int, ics array<double>")
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """(..., i, j, ic) for i < j of rows (..., i, ics)."""
+    rest = [c for c in rows.columns if c != "ics"]
+    return rows.select(*rest, F.posexplode("ics").alias("j", "ic")).filter("i < j")
+
+
+def mutual_ic_daily(panel: Panel, cols: Sequence[str]) -> DataFrame:
+    """(date, i, j, ic) for every pair i < j of normalised alphas (positions in ``cols``)."""
+    z = zscore(panel.over(panel.df.select("symbol", "date", *cols)), cols)
+    if len(cols) > WIDE_PAIRS:
+        return unpacked(daily_correlation_rows(z, cols, Pairs(len(cols))))
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    agg = z.df.groupBy("date").agg(
+        *[F.stddev_pop(c).alias(f"_s{i}") for i, c in enumerate(cols)],
+        *[F.covar_pop(cols[i], cols[j]).alias(f"_c{i}_{j}") for i, j in pairs],
     )
-    off = F.collect_list(F.when(F.col("i") < F.col("j"), F.struct("i", "j", (F.col("dot") / F.col("n")).alias("c"))))
-    per_date = grams.groupBy("date").agg(diagonal.alias("_s"), off.alias("_p"))  # K * K values per date
-    rows = per_date.select("date", "_s", F.explode("_p").alias("_p")).select("date", "_s", "_p.*")
-    return rows.select("date", "i", "j", _guarded(F.col("c"), F.col("_s")[F.col("i")], F.col("_s")[F.col("j")]).alias("ic"))
+    entries = [
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), _guarded(F.col(f"_c{i}_{j}"), F.col(f"_s{i}"), F.col(f"_s{j}")).alias("ic"))
+        for i, j in pairs
+    ]
+    return agg.select("date", F.explode(F.array(*entries)).alias("_p")).select("date", "_p.*")
 
 
 def mutual_ic_matrix(panel: Panel, cols: Sequence[str]) -> DataFrame:
     """(i, j, ic): mean over dates, symmetric, unit diagonal."""
-    mean = mutual_ic_daily(panel, cols).groupBy("i", "j").agg(F.avg("ic").alias("ic"))
+    if len(cols) > WIDE_PAIRS:
+        z = zscore(panel.over(panel.df.select("symbol", "date", *cols)), cols)
+        mean = unpacked(mean_correlation_rows(z, cols, Pairs(len(cols))))
+    else:
+        mean = mutual_ic_daily(panel, cols).groupBy("i", "j").agg(F.avg("ic").alias("ic"))
     sides = F.array(F.struct("i", "j", "ic"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "ic"))
     off = mean.select(F.explode(sides).alias("_p")).select("_p.*")
     spark = panel.df.sparkSession

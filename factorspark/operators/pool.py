@@ -14,12 +14,13 @@ from ..plans.evaluate import add_factors
 from ..plans.formula import DEFAULT, FormulaOptions, parse
 from ..session import cut, ship
 from .cross_section import zscore
-from .metrics import IC_STD_FLOOR, gram_rows, mutual_from_grams, mutual_ic_matrix
+from .metrics import CANDIDATE_BATCH, IC_STD_FLOOR, Pairs, daily_products, mean_correlation_rows, mutual_ic_matrix, score_candidates
 from .panel import Panel
 from .scale import top_in_group
 
 MUTUAL_LIMIT = 0.99  # fixed value: a candidate this close to a member adds nothing
 LOCAL_NUMBERS = 2_000_000  # per-date products up to this many numbers are read once instead of by a job per step
+LEAST_BATCH = 16  # candidates of one job over the panel
 ICIR_FLOOR = 1e-12
 
 
@@ -37,23 +38,68 @@ def pool_statistics(
     panel: Panel, exprs: Sequence[str], target: str, options: FormulaOptions = DEFAULT, keep_daily: bool = False
 ) -> PoolStatistics:
     """Single ICs and mutual ICs of all formulas in one job over the panel."""
-    names = {f"_a{i}": f for i, f in enumerate(exprs)}
-    wide = add_factors(panel, {**names, "_y": target}, options)
-    cols = [*names, "_y"]
-    z = zscore(wide.over(wide.df.select("symbol", "date", *cols)), cols)
+    z, cols = _standardised(panel, [*exprs, target], options)
     k = len(cols)
-    grams = gram_rows(z, cols)
     if not keep_daily:
         # The mean over dates is taken in Spark: K * K numbers come back.
-        full = np.eye(k)
-        for r in mutual_from_grams(grams).groupBy("i", "j").agg(F.avg("ic").alias("ic")).collect():
-            full[r["i"], r["j"]] = full[r["j"], r["i"]] = r["ic"]
+        full = _rows_to_matrix(mean_correlation_rows(z, cols, Pairs(k)), k, k)
+        np.fill_diagonal(full, 1.0)
         return PoolStatistics(list(exprs), full[:-1, -1].copy(), full[:-1, :-1].copy())
-    daily = DailyProducts.of(grams, k)
+    daily = DailyProducts(cut(daily_products(z, cols).withColumn("fold", F.lit(0))), k)
     ic = daily.mean_correlations()[0]
     return PoolStatistics(list(exprs), ic[:-1, -1].copy(), ic[:-1, :-1].copy(), daily)
 
 
+def _standardised(panel: Panel, exprs: Sequence[str], options: FormulaOptions) -> tuple[Panel, list[str]]:
+    """The formulas as standardised columns, and the names of these."""
+    names = {f"_a{i}": f for i, f in enumerate(exprs)}
+    wide = add_factors(panel, names, options)
+    return zscore(wide.over(wide.df.select("symbol", "date", *names)), list(names)), list(names)
+
+
+def _rows_to_matrix(rows: DataFrame, left: int, right: int) -> np.ndarray:
+    out = np.full((left, right), np.nan)
+    for r in rows.collect():
+        out[r["i"]] = r["ics"]
+    return out
+
+
+def rectangle(panel: Panel, rows: Sequence[str], columns: Sequence[str], options: FormulaOptions = DEFAULT) -> DataFrame:
+    """(i, ics): mean ICs of formula i of ``rows`` with every formula of ``columns``; nothing else is multiplied."""
+    z, cols = _standardised(panel, [*rows, *columns], options)
+    return mean_correlation_rows(z, cols, Pairs(len(rows), len(columns)))
+
+
+def extended_statistics(
+    panel: Panel, known: PoolStatistics, fresh: Sequence[str], target: str, options: FormulaOptions = DEFAULT
+) -> PoolStatistics:
+    """``known`` and its products with some more formulas: fresh x (known + fresh + target) numbers come back."""
+    if not fresh:
+        return known
+    m, k = len(known.exprs), len(known.exprs) + len(fresh)
+    block = _rows_to_matrix(rectangle(panel, fresh, [*known.exprs, *fresh, target], options), len(fresh), k + 1)
+    mutual = np.ones((k, k))
+    mutual[:m, :m] = known.mutual
+    mutual[m:], mutual[:m, m:] = block[:, :-1], block[:, :m].T
+    np.fill_diagonal(mutual, 1.0)
+    return PoolStatistics([*known.exprs, *fresh], np.concatenate((known.ics, block[:, -1])), mutual)
+
+
+def restricted(stats: PoolStatistics, keep: Sequence[int]) -> PoolStatistics:
+    keep = list(keep)
+    return PoolStatistics([stats.exprs[i] for i in keep], stats.ics[keep], stats.mutual[np.ix_(keep, keep)])
+
+
+def _no_statistics() -> PoolStatistics:
+    return PoolStatistics([], np.zeros(0), np.zeros((0, 0)))
+
+
+def _batches(items: Sequence[str], capacity: int | None) -> list[Sequence[str]]:
+    """Candidates asked for at a time: about as many as members, so a batch costs at most twice its products with them."""
+    size = min(max(capacity or LEAST_BATCH, LEAST_BATCH), CANDIDATE_BATCH)
+    return [items[a : a + size] for a in range(0, len(items), size)]
+
+
 class DailyProducts:
     """Per date the covariances of K formulas and the target, as checkpointed rows.
 
@@ -66,12 +112,6 @@ class DailyProducts:
         few = rows.limit(LOCAL_NUMBERS // (k * k) + 1).collect()
         self.local = _cubes(pd.DataFrame([r.asDict() for r in few]), k) if 0 < len(few) <= LOCAL_NUMBERS // (k * k) else None
 
-    @classmethod
-    def of(cls, grams: DataFrame, k: int) -> DailyProducts:
-        cell = F.struct("i", "j", (F.col("dot") / F.col("n")).alias("v"))
-        days = grams.groupBy("date").agg(F.sort_array(F.collect_list(cell))["v"].alias("v"))  # K * (K + 1) / 2 cells a date
-        return cls(cut(days.withColumn("fold", F.lit(0))), k)
-
     def in_folds(self, folds: int) -> DailyProducts:
         """The same dates in consecutive folds of equal length. Only dates pass the unpartitioned window."""
         fold = F.ntile(folds).over(Window.orderBy("date")) - 1
@@ -258,17 +298,29 @@ def extend_pool(
 ) -> Pool:
     """Offer candidates one by one: admit, refit, and drop the smallest weight when over capacity.
 
-    All numbers of the batch come from one pass over the panel; the loop works on them alone.
+    Candidates come in batches; a batch is multiplied with the members, itself and the target only, in one job, and
+    what is known of the members is kept. So the work and the numbers read grow with candidates x capacity.
     """
     known = {str(parse(e, options)) for e in pool.exprs}
     fresh = [c for c in dict.fromkeys(str(parse(c, options)) for c in candidates) if c not in known]
     if not fresh:
         return pool
-    stats = pool_statistics(panel, [*pool.exprs, *fresh], target, options)
-    members = list(range(len(pool.exprs)))
+    held = pool_statistics(panel, pool.exprs, target, options) if pool.exprs else _no_statistics()
     weights = np.array(pool.weights, dtype=float)
     log = list(pool.log)
-    for c in range(len(pool.exprs), len(stats.exprs)):
+    for batch in _batches(fresh, pool.capacity):
+        stats = extended_statistics(panel, held, batch, target, options)
+        members, weights = _offer(stats, len(held.exprs), weights, pool.capacity, lower_bound, alpha, limit, log)
+        held = restricted(stats, members)
+    return Pool(pool.capacity, held.exprs, weights, held.ics, held.mutual, log)
+
+
+def _offer(
+    stats: PoolStatistics, n_members: int, weights: np.ndarray, capacity: int, lower_bound: float, alpha: float, limit: float | None, log: list[dict]
+) -> tuple[list[int], np.ndarray]:
+    """Offer the formulas after the first ``n_members`` of ``stats`` in turn: positions of the members left, and their weights."""
+    members = list(range(n_members))
+    for c in range(n_members, len(stats.exprs)):
         # An empty pool takes any candidate, and so does one whose only member is weak; that member then leaves.
         weak = not members or (len(members) == 1 and abs(stats.ics[members[0]]) < lower_bound)
         bound = -np.inf if weak else lower_bound
@@ -284,7 +336,7 @@ def extend_pool(
         fitted = (
             fit_weights(stats.mutual[np.ix_(trial, trial)], stats.ics[trial], alpha) if len(trial) > 1 else np.array([stats.ics[c]])
         )
-        if len(trial) > pool.capacity:
+        if len(trial) > capacity:
             worst = int(np.argmin(np.abs(fitted)))
             entry["removed"] = stats.exprs[trial[worst]]
             if worst == len(trial) - 1:
@@ -292,14 +344,7 @@ def extend_pool(
             trial.pop(worst)
             fitted = np.delete(fitted, worst)
         members, weights = trial, fitted
-    return Pool(
-        pool.capacity,
-        [stats.exprs[i] for i in members],
-        weights,
-        stats.ics[members],
-        stats.mutual[np.ix_(members, members)],
-        log,
-    )
+    return members, weights
 
 
 def force_load(
@@ -315,17 +360,22 @@ def force_load(
     first = {}
     for i, e in enumerate(exprs):
         first.setdefault(str(parse(e, options)), i)
-    stats = pool_statistics(panel, list(first), target, options)
-    ok: list[int] = []
-    for i in range(len(first)):
-        if np.isfinite(stats.ics[i]) and np.isfinite(stats.mutual[i, ok]).all() and len(ok) < (capacity or len(first)):
-            ok.append(i)
+    held = _no_statistics()
+    for batch in _batches(list(first), capacity):
+        stats = extended_statistics(panel, held, batch, target, options)
+        ok = list(range(len(held.exprs)))
+        for i in range(len(ok), len(stats.exprs)):
+            if np.isfinite(stats.ics[i]) and np.isfinite(stats.mutual[i, ok]).all() and len(ok) < (capacity or len(first)):
+                ok.append(i)
+        held = restricted(stats, ok)
+        if len(ok) == capacity:
+            break
     w = (
-        np.array([weights[first[stats.exprs[i]]] for i in ok], dtype=float)
+        np.array([weights[first[e]] for e in held.exprs], dtype=float)
         if weights is not None
-        else fit_weights(stats.mutual[np.ix_(ok, ok)], stats.ics[ok], alpha)
+        else fit_weights(held.mutual, held.ics, alpha)
     )
-    return Pool(capacity or len(ok), [stats.exprs[i] for i in ok], w, stats.ics[ok], stats.mutual[np.ix_(ok, ok)])
+    return Pool(capacity or len(held.exprs), held.exprs, w, held.ics, held.mutual)
 
 
 def most_significant(pool: Pool, k: int) -> list[int]:
@@ -439,12 +489,27 @@ def decorrelated_hall_of_fame(corr: np.ndarray, n: int) -> list[int]:
 def select_decorrelated(
     panel: Panel, formulas: Sequence[str], target: str, threshold: float = 0.7, capacity: int = 20, options: FormulaOptions = DEFAULT
 ) -> DataFrame:
-    """(rank, expr, ic) of the greedy selection; one job for all ICs, the walk runs on K x K numbers."""
+    """(rank, expr, ic) of the greedy selection, best IC first, equal ones by text.
+
+    All ICs come from one aggregate per batch of formulas. Then candidates are met in order, a batch at a time, with the
+    formulas kept so far: Spark drops those that resemble one of them, so only rows that may still be kept come back.
+    """
     exprs = list(dict.fromkeys(str(parse(f, options)) for f in formulas))
-    stats = pool_statistics(panel, exprs, target, options)
-    order = sorted(range(len(exprs)), key=lambda i: (-stats.ics[i], exprs[i]))
-    kept = greedy_decorrelated(order, stats.mutual, threshold, capacity)
-    rows = [(r, exprs[i], float(stats.ics[i])) for r, i in enumerate(kept)]
+    found = score_candidates(panel, exprs, target, options, missing=float("nan")).collect()
+    ics = {r["expr"]: r["ic"] for r in found if np.isfinite(r["ic"])}
+    order = sorted(ics, key=lambda e: (-ics[e], e))
+    kept: list[str] = []
+    for batch in _batches(order, capacity):
+        block = rectangle(panel, batch, [*kept, *batch], options)
+        apart = F.forall(F.slice("ics", 1, len(kept)), lambda x: F.abs(x) <= threshold) if kept else F.lit(True)
+        rows = {r["i"]: r["own"] for r in block.filter(apart).select("i", F.slice("ics", len(kept) + 1, len(batch)).alias("own")).collect()}
+        left = sorted(rows)
+        mutual = np.array([[rows[i][j] for j in left] for i in left]).reshape(len(left), len(left))
+        chosen = greedy_decorrelated(range(len(left)), mutual, threshold, capacity - len(kept))
+        kept += [batch[left[i]] for i in chosen]
+        if len(kept) >= capacity:
+            break
+    rows = [(r, e, float(ics[e])) for r, e in enumerate(kept)]
     return panel.df.sparkSession.createDataFrame(rows, "rank int, expr string, ic double")
 
 
