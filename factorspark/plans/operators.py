@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import rolling as R
 from ..functions import scalar as S
 from ..operators import scale
-from ..operators.scale import ordered_position, spread
-from ..session import ship
+from ..operators.scale import ordered_position
 
 
 @dataclass(frozen=True)
@@ -97,24 +96,51 @@ def cs_rank(df: DataFrame, column: str, result: str, n_symbols: int) -> DataFram
     )
 
 
+EMA_CHUNK = 1024  # rows whose steps are composed by one running sum
+_UNDERFLOW = 300.0  # the product of a chunk's factors stays above exp(-300)
+
+
 def recursive_ema(df: DataFrame, column: str, window: int, result: str, frames: R.Frames) -> DataFrame:
-    """Exponential mean over the whole history of a symbol, seeded by its first value.
+    """Exponential mean over the whole history of a symbol, seeded by its first value; missing rows keep the last mean.
 
-    A recursion has no frame form, so blocks of the series go to Python, each with the rows before it that still
-    matter (:func:`ema_reach`); only the key, the order and the value travel.
+    One step is an affine map e -> a * e + b. Inside a chunk the maps are composed by running sums of ln a and of b over
+    the product so far, chunks are composed by a fold over their last rows, and each row applies its own map to what its
+    chunk begins with. Missing rows count for the decay: after g rows the old mean weighs (1 - alpha) ** g.
     """
-    ship(df.sparkSession)
-    keys, order = list(frames.keys), frames.order
-    small = df.select(*keys, order, F.col(column).cast("double").alias("_x"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in small.schema if f.name != "_x")
-
-    def smooth(pdf):
-        pdf = pdf.sort_values(order)
-        pdf["_ema"] = pdf["_x"].ewm(span=window, adjust=False, min_periods=1).mean()
-        return pdf[[*keys, order, "_ema"]]
-
-    smoothed = spread(small, *keys).groupBy(*keys).applyInPandas(smooth, f"{schema}, _ema double")
-    return df.join(smoothed.withColumnRenamed("_ema", result), [*keys, order])
+    alpha = 2.0 / (window + 1)
+    series = frames.series()
+    so_far, before = series.rowsBetween(Window.unboundedPreceding, 0), series.rowsBetween(Window.unboundedPreceding, -1)
+    keep = [*df.columns, result]
+    x = F.col("_x")
+    df = df.withColumn("_x", F.col(column).cast("double"))
+    if window <= 1:
+        return df.withColumn(result, F.last(x, ignorenulls=True).over(so_far)).select(*keep)
+    decay = math.log1p(-alpha)
+    size = max(1, min(EMA_CHUNK, int(-_UNDERFLOW / decay)))
+    df = df.withColumn("_pos", F.row_number().over(series))
+    df = df.withColumns({"_prev": F.last(F.when(x.isNotNull(), F.col("_pos")), ignorenulls=True).over(before), "_chunk": F.floor((F.col("_pos") - 1) / size)})
+    old = F.exp(F.lit(decay) * (F.col("_pos") - F.col("_prev")))
+    opens = x.isNotNull() & F.coalesce(F.floor((F.col("_prev") - 1) / size) < F.col("_chunk"), F.lit(True))
+    df = df.withColumns({
+        "_a": F.coalesce(old / (old + alpha), F.lit(0.0)),
+        "_b": F.when(F.col("_prev").isNull(), x).otherwise(alpha / (old + alpha) * x),
+        "_opens": opens,
+    })
+    # A chunk's first value may follow a long gap, so its factor is kept out of the product that others are divided by.
+    inner = x.isNotNull() & ~F.col("_opens")
+    chunk = Window.partitionBy(*frames.keys, "_chunk").orderBy(frames.order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({
+        "_log": F.coalesce(F.sum(F.when(inner, F.ln("_a"))).over(chunk), F.lit(0.0)),
+        "_a0": F.max(F.when(F.col("_opens"), F.col("_a"))).over(chunk),
+        "_b0": F.max(F.when(F.col("_opens"), F.col("_b"))).over(chunk),
+    })
+    df = df.withColumn("_sum", F.coalesce(F.sum(F.when(inner, F.col("_b") * F.exp(-F.col("_log")))).over(chunk), F.lit(0.0)))
+    product = F.exp("_log")
+    df = df.withColumns({"_a": F.coalesce(product * F.col("_a0"), F.lit(1.0)), "_b": F.coalesce(product * (F.col("_b0") + F.col("_sum")), F.lit(0.0))})
+    ends = F.collect_list(F.when(F.col("_pos") % size == 0, F.struct("_a", "_b"))).over(before)
+    start = F.aggregate(ends, F.lit(0.0), lambda e, m: m["_a"] * e + m["_b"])
+    seen = F.count(x).over(so_far)
+    return df.withColumns({"_seen": seen, "_start": start}).withColumn(result, F.when(F.col("_seen") > 0, F.col("_a") * F.col("_start") + F.col("_b"))).select(*keep)
 
 
 def ema_reach(n: int) -> int:
