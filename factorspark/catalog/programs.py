@@ -178,6 +178,54 @@ def skyline(spark, folder):
     return N.skyline(p, ["a", "b", "c"], "id").select("a", "b", "c", "id")
 
 
+# Programs that resemble each other, over line items.
+HALL = {
+    "X0": "x0", "add(X0,X1)": "x0 + x1", "mul(X0,X0)": "x0 * x0", "sub(X0,X2)": "x0 - x2", "sqrt(X0)": "sqrt(abs(x0))", "X1": "x1", "mul(X0,X1)": "x0 * x1",
+    "X2": "x2", "add(X1,X2)": "x1 + x2", "mul(X0,X2)": "x0 * x2", "cos(X1)": "cos(x1)", "sub(1.0,X0)": "1.0 - x0",
+}
+
+
+def hall_sql(source: str, hall: int = 9, keep: int = 4) -> str:
+    """Fitness, the hall, its pairs by closeness, and the walk that drops the worse of each."""
+    n = len(HALL)
+    fitness = ", ".join(f"round(abs(corr(f{i}, y)), 12)" for i in range(n))
+    pairs = ", ".join("[" + ", ".join(f"round(abs(corr(f{i}, f{j})), 12)" for j in range(n)) + "]" for i in range(n))
+    return f"""WITH RECURSIVE {source},
+c AS (SELECT [{fitness}] AS fit, [{pairs}] AS m FROM v),
+h AS (SELECT row_number() OVER (ORDER BY fit[k] DESC, program) - 1 AS pos, k, program, fit[k] AS fitness, m
+  FROM c, (VALUES {", ".join(f"({i + 1}, '{p}')" for i, p in enumerate(HALL))}) t(k, program) QUALIFY pos < {hall}),
+pr AS (SELECT a.pos AS i, b.pos AS j, row_number() OVER (ORDER BY a.m[a.k][b.k] DESC, a.pos, b.pos) AS nr FROM h a JOIN h b ON a.pos < b.pos),
+walk(nr, gone) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT pr.nr, CASE WHEN len(gone) < {hall - keep} AND NOT list_contains(gone, i) AND NOT list_contains(gone, j) THEN list_append(gone, j) ELSE gone END
+  FROM walk JOIN pr ON pr.nr = walk.nr + 1),
+final AS (SELECT gone FROM walk ORDER BY nr DESC LIMIT 1)
+SELECT CAST(row_number() OVER (ORDER BY pos) - 1 AS INTEGER) AS rank, program, {q6("fitness")} AS fitness FROM h, final WHERE NOT list_contains(gone, pos)"""
+
+
+HALL_VALUES = f"{XY_SQL}, v AS (SELECT {', '.join(f'{e} AS f{i}' for i, e in enumerate(HALL.values()))}, y FROM xy)"
+HALL_RANKS = HALL_VALUES.replace(", v AS", ", u AS") + ", v AS (SELECT " + ", ".join(
+    f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in [*(f"f{i}" for i in range(len(HALL))), "y"]
+) + " FROM u)"
+
+
+def decorrelated(spark, folder, ranks):
+    columns = {p: Z.program_column(p, ["x0", "x1", "x2"]) for p in HALL}
+    out = N.decorrelated_programs(xy(spark, folder), columns, "y", 9, 4, ranks, ROW)
+    return out.withColumn("fitness", r6("fitness"))
+
+
+@query("hall_decorrelated", hall_sql(HALL_VALUES))
+def hall_decorrelated(spark, folder):
+    return decorrelated(spark, folder, False)
+
+
+@query("hall_decorrelated_ranks", hall_sql(HALL_RANKS))
+def hall_decorrelated_ranks(spark, folder):
+    return decorrelated(spark, folder, True)
+
+
 @query("polynomial_fit", f"WITH {XY_SQL}, c AS (SELECT regr_slope(y, x0) AS s, regr_intercept(y, x0) AS i FROM xy) SELECT x0, {q6('i + s * x0')} AS fitted FROM xy, c")
 def polynomial_fit(spark, folder):
     d = xy(spark, folder)

@@ -6,16 +6,19 @@ distributed order of ``scale`` once the table outgrows one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ship
 from . import scale
-from .scale import average_rank, max_group_rows, measured_side, position_in_group, running_total
+from .scale import average_rank, max_group_rows, measured_side, position_in_group, prefix_scan, running_total
 
 LOG_EPS = 1e-15  # fixed value
 
@@ -238,34 +241,95 @@ def hall_of_fame(programs: DataFrame, n: int, by: str = "r", expr: str = "expr")
 def pareto_front(programs: DataFrame, complexity: str = "complexity", r: str = "r", expr: str = "expr") -> DataFrame:
     """Programs no other one beats in complexity (low) and reward (high); equal points keep one.
 
-    One row per complexity is left after the aggregate, so the running maximum runs over a handful of rows.
+    One row per complexity is left after the aggregate; the best reward of all lower ones is a prefix scan.
     """
-    best = programs.groupBy(complexity).agg(F.max(r).alias(r), F.min_by(expr, F.struct(-F.col(r), F.col(expr))).alias(expr))
-    before = Window.orderBy(complexity).rowsBetween(Window.unboundedPreceding, -1)
-    return best.withColumn("_b", F.max(r).over(before)).filter(F.col("_b").isNull() | (F.col(r) > F.col("_b"))).drop("_b")
+    best = cut(programs.groupBy(complexity).agg(F.max(r).alias(r), F.min_by(expr, F.struct(-F.col(r), F.col(expr))).alias(expr)))
+    lower = prefix_scan(best, [F.col(complexity)], {"_b": ("max", r)}, best.count(), exclusive=True)
+    return lower.filter(F.col("_b").isNull() | (F.col(r) > F.col("_b"))).drop("_b")
+
+
+FRONT_ROWS = 20_000  # points of one task that are compared with each other without more ado
+GRID_CELLS = 4096
+FAN_IN = 8
+
+
+def _merged(front: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which points of an earlier front, and which new ones, no other point dominates. Points differ."""
+    both = np.concatenate((front, points))
+    kept: list[int] = []
+    for i in np.lexsort(both.T[::-1]):  # a point comes after all that dominate it
+        if not kept or not (both[kept] <= both[i]).all(axis=1).any():
+            kept.append(i)
+    good = np.zeros(len(both), dtype=bool)
+    good[kept] = True
+    return good[: len(front)], good[len(front) :]
+
+
+def _local_fronts(df: DataFrame, costs: Sequence[str]) -> DataFrame:
+    """The points of each partition that no point of the partition dominates; only its front is held."""
+
+    def local(batches):
+        held = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if held is None:
+                held = pdf.iloc[:0]
+            a, b = _merged(held[list(costs)].to_numpy(float), pdf[list(costs)].to_numpy(float))
+            held = pd.concat([held[a], pdf[b]])
+        if held is not None:
+            yield held
+
+    return df.mapInPandas(local, df.schema)
+
+
+def _count_below(value: Column, n: Column, mark: Column) -> Column:
+    return n + F.when(mark < value, 1).otherwise(0)
+
+
+def _outside_dominated_cells(df: DataFrame, costs: Sequence[str]) -> DataFrame:
+    """Leave out points in grid cells that lie wholly above a cell with a point, in every cost."""
+    steps = max(2, int(GRID_CELLS ** (1 / len(costs))))
+    edges = df.approxQuantile(list(costs), [k / steps for k in range(1, steps)], 0.01)
+    cells = []
+    for k, (c, e) in enumerate(zip(costs, edges, strict=True)):
+        marks = F.array(*[F.lit(float(v)) for v in sorted(set(e))]) if e else F.array().cast("array<double>")
+        value = F.col(c).cast("double")
+        df = df.withColumn(f"_c{k}", F.aggregate(marks, F.lit(0), partial(_count_below, value)))
+        cells.append(f"_c{k}")
+    used = np.array([list(r) for r in df.select(*cells).distinct().collect()]).reshape(-1, len(costs))  # at most GRID_CELLS
+    beaten = [tuple(map(int, u)) for u in used if (used < u).all(axis=1).any()]
+    if beaten:
+        gone = df.sparkSession.createDataFrame(beaten, ", ".join(f"{c} int" for c in cells))
+        df = df.join(F.broadcast(gone), cells, "left_anti")
+    return df.drop(*cells)
 
 
 def skyline(df: DataFrame, costs: Sequence[str], unique: str) -> DataFrame:
     """Rows not dominated in any number of costs (all low). Equal points keep the one with the least ``unique``.
 
-    Each batch first drops the rows that its own rows dominate; only survivors are compared with each other.
+    Each task keeps its own front. While many points are left, cells of a grid that others dominate are dropped and
+    fronts are merged in a tree, a few tasks into one, until one task can hold the rest. Where points hardly dominate each
+    other, so that merging gains nothing, the rest is compared in chunks of bounded size.
     """
     ship(df.sparkSession)
-    points = df.groupBy(*costs).agg(F.min(unique).alias(unique))
-
-    def local(batches):
-        for pdf in batches:
-            pdf = pdf.sort_values(list(costs), kind="stable")
-            values = pdf[list(costs)].to_numpy(float)
-            kept: list[int] = []
-            for i, v in enumerate(values):
-                if not kept or not (values[kept] <= v).all(axis=1).any():
-                    kept.append(i)
-            yield pdf.iloc[kept]
-
-    survivors = cut(points.mapInPandas(local, points.schema))
+    survivors = cut(_local_fronts(df.groupBy(*costs).agg(F.min(unique).alias(unique)), costs))
+    n = survivors.count()
+    if n > FRONT_ROWS:
+        survivors = cut(_outside_dominated_cells(survivors, costs))
+        n, parts = survivors.count(), survivors.rdd.getNumPartitions()
+        while n > FRONT_ROWS:
+            parts = -(-parts // FAN_IN)
+            if n > FRONT_ROWS * parts:
+                break
+            survivors = cut(_local_fronts(survivors.repartition(parts), costs))
+            n, earlier = survivors.count(), n
+            if 2 * n > earlier:
+                break
+    if n <= FRONT_ROWS:
+        return _local_fronts(survivors.coalesce(1), costs)
     # The side that is compared against travels in chunks of bounded size, however many points survive.
-    chunks = -(-2 * survivors.count() // scale.MAX_BROADCAST_ROWS)  # hashed evenly, about half the bound each
+    chunks = -(-2 * n // scale.MAX_BROADCAST_ROWS)  # hashed evenly, about half the bound each
     no_worse, better = F.lit(True), F.lit(False)
     for c in costs:
         no_worse = no_worse & (F.col(f"b.{c}") <= F.col(f"a.{c}"))
@@ -275,3 +339,74 @@ def skyline(df: DataFrame, costs: Sequence[str], unique: str) -> DataFrame:
         chunk = survivors.filter(F.pmod(F.xxhash64(*costs), F.lit(chunks)) == i).alias("b")
         left = left.join(F.broadcast(chunk), no_worse & better, "left_anti").alias("a")
     return left
+
+
+# --- correlated programs -------------------------------------------------------------------------
+
+
+def row_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(i, j, corr), i < j: Pearson correlations over the rows where all columns are present; NULL for a constant column.
+
+    Columns are centred by their means, then every task sums one triangle of products; one number per pair and task is
+    shuffled.
+    """
+    ship(df.sparkSession)
+    k = len(cols)
+    upper = np.triu_indices(k)
+    full = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    mean = full.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    centred = full.select(F.array(*[F.col(c) - F.lit(float(mean[c] or 0.0)) for c in cols]).alias("v"))
+
+    def products(batches):
+        total = np.zeros((k, k))
+        for b in batches:
+            if b.num_rows:
+                v = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, k)
+                total += v.T @ v
+        yield pa.RecordBatch.from_pydict({"i": upper[0].astype(np.int32), "j": upper[1].astype(np.int32), "dot": total[upper]})
+
+    sums = cut(centred.mapInArrow(products, "i int, j int, dot double").groupBy("i", "j").agg(F.sum("dot").alias("dot")))
+    own = sums.filter("i = j")
+    left, right = own.select("i", F.col("dot").alias("_x")), own.select("j", F.col("dot").alias("_y"))
+    out = sums.filter("i < j").join(F.broadcast(left), "i").join(F.broadcast(right), "j")  # one row per column
+    return out.select("i", "j", F.try_divide("dot", F.sqrt(F.col("_x") * F.col("_y"))).alias("corr"))
+
+
+def decorrelated_programs(
+    df: DataFrame, programs: Mapping[str, Column], target: str, hall: int, keep: int, ranks: bool = False, unique: Sequence[str] = ()
+) -> DataFrame:
+    """(rank, program, fitness): of the ``hall`` fittest programs, the worse of the closest pair goes until ``keep`` are left.
+
+    Fitness is the absolute correlation with the target, equal ones by text; with ``ranks`` all correlations are Spearman's,
+    over average ranks (``unique`` names columns that tell rows apart). A program without a correlation counts as 0;
+    correlations that agree to 12 digits are equal, and of equally close pairs that of the fitter programs comes first.
+    """
+    names = {f"_p{i}": c for i, c in enumerate(programs.values())}
+    texts = list(programs)
+    wide = df.withColumns(names).select(*names, F.col(target).alias("_y"), *unique)
+    cols = [*names, "_y"]
+    if ranks:
+        wide = cut(wide)
+        n = wide.count()
+        for c in cols:
+            wide = average_rank(wide, [], c, f"_r{c}", unique, n)
+        wide = wide.select(*[F.col(f"_r{c}").alias(c) for c in cols])
+    fitness = {r["i"]: r["corr"] for r in row_correlations_with(wide, cols).collect()}
+    best = sorted(range(len(texts)), key=lambda i: (-round(abs(fitness.get(i) or 0.0), 12), texts[i]))[:hall]
+    closest = row_correlations(wide, [f"_p{i}" for i in best]).select("i", "j", F.round(F.coalesce(F.abs("corr"), F.lit(0.0)), 12).alias("c"))
+    gone: set[int] = set()
+    for r in closest.orderBy(F.desc("c"), "i", "j").collect():  # hall * (hall - 1) / 2 rows
+        if len(best) - len(gone) <= keep:
+            break
+        if r["i"] not in gone and r["j"] not in gone:
+            gone.add(r["j"])
+    left = [i for k, i in enumerate(best) if k not in gone]
+    rows = [(k, texts[i], float(abs(fitness.get(i) or 0.0))) for k, i in enumerate(left)]
+    return df.sparkSession.createDataFrame(rows, "rank int, program string, fitness double")
+
+
+def row_correlations_with(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(i, corr) of every column with the last one, over the rows where both are present, in one aggregate."""
+    last = cols[-1]
+    out = [F.struct(F.lit(i).alias("i"), F.corr(c, last).alias("corr")) for i, c in enumerate(cols[:-1])]
+    return df.agg(F.array(*out).alias("_a")).select(F.explode("_a").alias("_a")).select("_a.*")

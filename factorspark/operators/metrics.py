@@ -20,7 +20,7 @@ from ..plans.formula import DEFAULT, FormulaOptions, Node
 from ..session import ship
 from .cross_section import rank_average, zscore
 from .panel import Panel
-from .scale import measured_side, small_side, spread, top_in_group
+from .scale import join_in_span, measured_side, small_side, spread, top_in_group
 
 IC_STD_FLOOR = 1e-3  # fixed value: below this spread the covariance is not scaled
 WIDE_PAIRS = 12  # up to this many columns all pairs fit one aggregate
@@ -341,9 +341,8 @@ def pool_metrics(panel: Panel, pool: Mapping[str, float], target: str, options:
 
 def segment_metrics(daily: DataFrame, segments: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per-segment means weighted by the number of days. ``segments``: (segment, start_date, end_date)."""
-    inside = F.col("date").between(F.col("start_date"), F.col("end_date"))
     per = (
-        daily.join(measured_side(segments), inside)
+        join_in_span(daily, segments, "date", "start_date", "end_date")
         .groupBy("segment")
         .agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in cols])
     )

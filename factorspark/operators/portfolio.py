@@ -7,10 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .cross_section import median_fill, zscore_guarded, zscore_sample
 from .metrics import combine
 from .panel import Panel
-from .scale import group_percentiles, max_group_rows, measured_side, position_in_group, small_side, top_in_group
+from .scale import group_percentiles, max_group_rows, position_in_group, prefix_scan, small_side, top_in_group
 
 # Screen and sizing limits.
 MIN_PRICE = 5.0
@@ -126,15 +127,15 @@ def rebalance_dates(df: DataFrame) -> DataFrame:
 def factor_sets_as_of(months: DataFrame, sets: DataFrame) -> DataFrame:
     """The factor set of each month, or the latest one before it; broken sets do not count.
 
-    ``sets``: (month, exprs, weights). Months are few, so carrying forward runs over a tiny table.
+    ``sets``: (month, exprs, weights), one row per month. The latest set is a prefix scan over the months.
     """
     good = sets.filter((F.size("exprs") == F.size("weights")) & (F.size("exprs") > 0))
     stacked = months.select("month").distinct().withColumn("_ask", F.lit(1)).join(
         good.select("month", F.struct("month", "exprs", "weights").alias("_set")), "month", "full_outer"
     )
-    carry = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
-    filled = stacked.withColumn("_set", F.last("_set", ignorenulls=True).over(carry)).filter(F.col("_ask") == 1)
-    return filled.select("month", F.col("_set.month").alias("from_month"), "_set.exprs", "_set.weights")
+    stacked = cut(stacked)
+    filled = prefix_scan(stacked, [F.col("month")], {"_now": ("last", "_set")}, stacked.count()).filter(F.col("_ask") == 1)
+    return filled.select("month", F.col("_now.month").alias("from_month"), "_now.exprs", "_now.weights")
 
 
 def weight_changes(weights: DataFrame, step: str = "date_idx") -> DataFrame:
@@ -157,7 +158,7 @@ def portfolio_diff(weights: DataFrame, step: str = "date_idx") -> DataFrame:
     """What to do at each rebalance: ``sell`` names that left, ``set`` the weight of the rest."""
     moves = weight_changes(weights, step)
     steps = weights.select(step).distinct()
-    kept = moves.join(measured_side(steps), step, "left_semi")
+    kept = moves.join(steps, step, "left_semi")
     return kept.withColumn("action", F.when(F.col("weight") == 0, "sell").otherwise("set"))
 
 
@@ -201,14 +202,8 @@ def swap_decision(status: DataFrame, k: int, n_swap: int, min_hold_days: int = 1
 
 def cash_allocation(buys: DataFrame, cash: float, risk: float = 0.95, by: Sequence[str] = ("date",)) -> DataFrame:
     """Equal money per buy: (value, amount = value / price)."""
-    counts = buys.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    value = F.lit(float(cash) * float(risk)) / F.col("_n")
-    return (
-        buys.join(measured_side(counts), list(by))
-        .withColumn("value", value)
-        .withColumn("amount", F.try_divide(F.col("value"), F.col("price")))
-        .drop("_n")
-    )
+    value = F.lit(float(cash) * float(risk)) / F.count(F.lit(1)).over(Window.partitionBy(*by))
+    return buys.withColumn("value", value).withColumn("amount", F.try_divide(F.col("value"), F.col("price")))
 
 
 def portfolio_returns(weights: DataFrame, returns: DataFrame, cost_rate: float = COST_RATE, step: str = "date_idx") -> DataFrame:
@@ -225,15 +220,16 @@ def portfolio_returns(weights: DataFrame, returns: DataFrame, cost_rate: float =
 def risk_summary(daily: DataFrame, ret: str = "net", order: str = "date_idx", periods: float = 252.0, benchmark: str | None = None) -> DataFrame:
     """Annual return, Sharpe ratio and largest drawdown of a daily series; also in excess of a benchmark column.
 
-    The series has one row per date, so its running sum is a window over a calendar-long table.
+    The series (one row per date) is written once; running sums and maxima are prefix scans over it.
     """
     series = {"": F.col(ret)}
     if benchmark:
         series["excess_"] = F.col(ret) - F.col(benchmark)
-    upto = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    df = daily.withColumns({f"{p}_r": c for p, c in series.items()})
-    df = df.withColumns({f"{p}_cum": F.sum(f"{p}_r").over(upto) for p in series})
-    df = df.withColumns({f"{p}_dd": F.col(f"{p}_cum") - F.greatest(F.max(f"{p}_cum").over(upto), F.lit(0.0)) for p in series})
+    df = cut(daily.select(order, *[c.alias(f"{p}_r") for p, c in series.items()]))
+    n = df.count()
+    df = prefix_scan(df, [F.col(order)], {f"{p}_cum": ("sum", f"{p}_r") for p in series}, n)
+    df = prefix_scan(df, [F.col(order)], {f"{p}_top": ("max", f"{p}_cum") for p in series}, n)
+    df = df.withColumns({f"{p}_dd": F.col(f"{p}_cum") - F.greatest(f"{p}_top", F.lit(0.0)) for p in series})
     out = []
     for p in series:
         out += [

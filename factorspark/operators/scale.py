@@ -162,19 +162,58 @@ def group_percentiles(
     return out
 
 
-def running_total(df: DataFrame, order: Sequence[Column], value: str, name: str, rows: int | None = None) -> DataFrame:
-    """Running sum over the whole table in ``order`` (which must end in a unique key)."""
+_SCANS = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+
+
+def prefix_scan(
+    df: DataFrame, order: Sequence[Column], what: dict[str, tuple[str, str]], rows: int | None = None, exclusive: bool = False
+) -> DataFrame:
+    """Running ``sum``, ``max`` or ``last`` (present value) of columns over the whole table: {name: (how, column)}.
+
+    ``order`` must end in a unique key; ``exclusive`` leaves out the row itself. Beyond ``MAX_GROUP_ROWS`` the rows are
+    dealt by range and fixed by a checkpoint, scanned inside each part, and combined with what the earlier parts hold.
+    """
+    end = -1 if exclusive else 0
     size = max_group_rows(df, []) if rows is None else rows
-    whole = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     if size <= MAX_GROUP_ROWS:
-        return df.withColumn(name, F.sum(value).over(whole))
-    # Range partitions are even and fixed by the checkpoint: sum inside each, then add what lies before it.
+        whole = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+        return df.withColumns({name: _SCANS[how](F.col(c)).over(whole) for name, (how, c) in what.items()})
     part = cut(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = part.groupBy("_pid").agg(F.sum(value).alias("_t")).withColumn("_shift", F.coalesce(F.sum("_t").over(before), F.lit(0.0)))
-    inside = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        part.join(measured_side(shifts.select("_pid", "_shift")), "_pid")
-        .withColumn(name, F.sum(value).over(inside) + F.col("_shift"))
-        .drop("_pid", "_shift")
-    )
+
+    def held(how: str, c: str) -> Column:
+        if how != "last":
+            return _SCANS[how](F.col(c))
+        return F.max(F.when(F.col(c).isNotNull(), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(c).alias("v"))))["v"]
+
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    ends = part.groupBy("_pid").agg(*[held(how, c).alias(f"_t_{name}") for name, (how, c) in what.items()])
+    ends = ends.select("_pid", *[_SCANS[how](F.col(f"_t_{name}")).over(before).alias(f"_s_{name}") for name, (how, _) in what.items()])
+    inside = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+
+    def combined(name: str, how: str, c: str) -> Column:
+        own, earlier = _SCANS[how](F.col(c)).over(inside), F.col(f"_s_{name}")
+        if how == "sum":
+            return F.coalesce(own + earlier, own, earlier)
+        return F.greatest(own, earlier) if how == "max" else F.coalesce(own, earlier)
+
+    out = part.join(measured_side(ends), "_pid").withColumns({name: combined(name, how, c) for name, (how, c) in what.items()})
+    return out.drop("_pid", *[f"_s_{name}" for name in what])
+
+
+def running_total(df: DataFrame, order: Sequence[Column], value: str, name: str, rows: int | None = None) -> DataFrame:
+    """Running sum over the whole table in ``order`` (which must end in a unique key)."""
+    return prefix_scan(df, order, {name: ("sum", value)}, rows)
+
+
+def join_in_span(df: DataFrame, spans: DataFrame, at: str, start: str, end: str) -> DataFrame:
+    """Each row of ``df`` with every row of ``spans`` whose dates ``start`` .. ``end`` cover its date ``at``.
+
+    Spans are listed by calendar month and joined on it, so that many spans need no nested loop; the exact check follows.
+    """
+
+    def month(c: str) -> Column:
+        return F.year(c) * 12 + F.month(c)
+
+    listed = spans.withColumn("_month", F.explode(F.when(F.col(start) <= F.col(end), F.sequence(month(start), month(end)))))
+    inside = df.withColumn("_month", month(at)).join(measured_side(listed), "_month")
+    return inside.filter(F.col(at).between(F.col(start), F.col(end))).drop("_month")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.formula import DEFAULT, FormulaOptions
 from .metrics import pool_daily
 from .panel import Panel
-from .scale import measured_side
+from .scale import join_in_span
 
 
 def rolling_windows(
@@ -55,9 +55,9 @@ def horizon_windows(spark: SparkSession, end, validation_months: int = 3, months
 
 
 def in_windows(df: DataFrame, windows: DataFrame, start: str = "start_date", end: str = "end_date", kind: str = "window") -> DataFrame:
-    """One copy of each row per window that covers its date. The windows table is tiny and its size is checked."""
-    side = measured_side(windows.select(kind, F.col(start).alias("_s"), F.col(end).alias("_e")))
-    return df.join(side, F.col("date").between(F.col("_s"), F.col("_e"))).drop("_s", "_e")
+    """One copy of each row per window that covers its date."""
+    side = windows.select(kind, F.col(start).alias("_s"), F.col(end).alias("_e"))
+    return join_in_span(df, side, "date", "_s", "_e").drop("_s", "_e")
 
 
 def train_test_split(df: DataFrame, test_months: int) -> DataFrame:
@@ -75,8 +75,7 @@ def walk_forward(
     what gets copied per window.
     """
     daily = pool_daily(panel, pool, target, options)
-    w = measured_side(windows)
-    covered = daily.join(w, F.col("date").between(F.col("train_start"), F.col("deploy_end")))
+    covered = join_in_span(daily, windows, "date", "train_start", "deploy_end")
     trains = F.col("date").between(F.col("train_start"), F.col("train_end"))
     deploys = F.col("date").between(F.col("deploy_start"), F.col("deploy_end"))
     per = covered.groupBy("window_idx").agg(
