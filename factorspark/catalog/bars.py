@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions.rolling import Frames
 from ..operators import panel as P
 from ..operators import style as Y
 from ..operators.cross_section import winsorize
@@ -541,6 +542,43 @@ def idiosyncratic_vol(spark, folder):
     return df.select("symbol", "date", "session", r6("IDIOVOL_8").alias("idiovol"))
 
 
+def normal_sql(regressors: list[str]) -> str:
+    """CTEs up to ``res``: residuals of the normal equations with two or three regressors, solved by Cramer's rule."""
+    k, rets = len(regressors), [f"ret_{b}" for b in regressors]
+    ok = " AND ".join(f"{c} IS NOT NULL" for c in ("ret", *rets))
+    cov = ", ".join(f"covar_pop(v{i}, v{j}) OVER w8 AS c{i}{j}" for i in range(k) for j in range(i, k + 1))
+    at = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+
+    def det(m):
+        if len(m) == 2:
+            return f"({m[0][0]} * {m[1][1]} - {m[0][1]} * {m[1][0]})"
+        return "(" + " + ".join(f"{s} * {m[0][j]} * {det([r[:j] + r[j + 1:] for r in m[1:]])}" for j, s in enumerate(("1", "-1", "1"))) + ")"
+
+    a = [[at(i, j) for j in range(k)] for i in range(k)]
+    beta = [f"{det([[at(i, k) if j == b else a[i][j] for j in range(k)] for i in range(k)])} / {det(a)}" for b in range(k)]
+    fitted = " + ".join(f"({x}) * d{i}" for i, x in enumerate(beta))
+    return f"""n{k} AS (SELECT symbol, date, session, ret, {ok} AS ok, {", ".join(f"CASE WHEN {ok} THEN {c} END AS v{i}" for i, c in enumerate((*rets, "ret")))} FROM j WHERE ret IS NOT NULL),
+m{k} AS (SELECT symbol, date, session, ok AND count(*) OVER w8 = 8 AND count(v0) OVER w8 >= 5 AS fits, {cov}, {", ".join(f"v{i} - avg(v{i}) OVER w8 AS d{i}" for i in range(k + 1))} FROM n{k} {SERIES_W}),
+res{k} AS (SELECT symbol, date, session, CASE WHEN fits THEN d{k} - ({fitted}) END AS resid FROM m{k})"""
+
+
+@query(
+    "idiosyncratic_vol_many",
+    f"""WITH {JOINED_SQL}, {normal_sql(BENCH[:2])}, {normal_sql(BENCH)},
+i AS (SELECT symbol, date, session, resid, CASE WHEN count(resid) OVER w8 >= 4 THEN stddev_samp(resid) OVER w8 * sqrt(504.0) END AS vol FROM res2 {SERIES_W})
+SELECT j.symbol, j.date, j.session, {q6('res2.resid')} AS resid2, {q6('res3.resid')} AS resid3, {q6('i.vol')} AS idiovol2
+FROM j LEFT JOIN res2 USING (symbol, date, session) LEFT JOIN res3 USING (symbol, date, session) LEFT JOIN i USING (symbol, date, session)""",
+)
+def idiosyncratic_vol_many(spark, folder):
+    """Two and three benchmarks at once."""
+    rets = [f"ret_{b}" for b in BENCH]
+    df = Y.with_idiosyncratic_vol(joined(spark, folder), rets[:2], [8])
+    df = df.withColumn("_has", F.col("return").isNotNull())
+    frames = Frames(("symbol", "session", "_has"), "date")
+    df = Y.with_rolling_residual(Y.with_rolling_residual(df, "return", rets[:2], 8, frames, "resid2"), "return", rets, 8, frames, "resid3")
+    return df.select("symbol", "date", "session", r6("resid2").alias("resid2"), r6("resid3").alias("resid3"), r6("IDIOVOL_8").alias("idiovol2"))
+
+
 @query("style_features")
 def style_features(spark, folder):
     _, n_dates, widest = P.measure(table(spark, folder, "events"), F.to_date("ts"), F.col("user_id"))

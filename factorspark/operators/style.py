@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ from .panel import (
     sessions_to_wide,
     with_market_values,
 )
-from .scale import measured_side, small_side, spread
+from .scale import measured_side, small_side
 
 # Benchmarks, windows in sessions and sessions per year.
 BENCHMARKS = ["VBR", "QQQ", "SPY", "SPMO", "SPHQ", "SPYG"]
@@ -37,6 +37,8 @@ ANNUAL = 504.0
 EPS = 1e-8
 DIFF_ROWS = 10
 MIN_OLS_ROWS = 5
+NATIVE_REGRESSORS = 3
+SINGULAR = 1e-12  # a regressor's part that the earlier ones do not explain, beside its variance
 
 SESSION = Frames(("symbol", "session"), "date")
 DAY = Frames(("symbol",), "date")
@@ -104,33 +106,62 @@ def ols_residual_1(y: Column, x: Column, w: int, frames: Frames) -> Column:
     return F.when(ok, y - fitted)
 
 
-def rolling_residuals(y: np.ndarray, x: np.ndarray, window: int, chunk: int = 1024) -> np.ndarray:
-    """Residual of each row under the least-squares fit (with intercept) of the window that ends there.
+def with_rolling_residual(df: DataFrame, y: str, xs: Sequence[str], w: int, frames: Frames, name: str) -> DataFrame:
+    """Residual of the last row under the least-squares fit (with intercept) on ``xs`` of the last w rows.
 
-    Windows are solved in stacks: incomplete rows are zeroed after centring, so they add nothing to the fit.
+    Only complete rows take part: at least 5 and one more than regressors, the row itself among them. The window gives
+    covariances and the row's distances from the means. Then each regressor in turn is cleared of the ones before it, in
+    the covariances and in the row; what is left of y is the residual. A regressor that depends on earlier ones adds
+    nothing. The steps are columns for up to three regressors, and one Arrow call on the moments beyond.
     """
-    n, k = x.shape
-    out = np.full(n, np.nan)
-    if n < window:
-        return out
-    complete = ~np.isnan(y) & ~np.isnan(x).any(axis=1)
-    rows = np.column_stack([np.where(complete[:, None], x, 0.0), np.where(complete, y, 0.0)])
-    for first in range(0, n - window + 1, chunk):
-        last = min(first + chunk, n - window + 1)
-        cells = np.lib.stride_tricks.sliding_window_view(rows[first : last + window - 1], window, axis=0)
-        here = np.lib.stride_tricks.sliding_window_view(complete[first : last + window - 1], window)
-        count = here.sum(axis=1)
-        fit = (count >= max(MIN_OLS_ROWS, k + 1)) & here[:, -1]
-        if not fit.any():
-            continue
-        cells, here = cells[fit], here[fit]
-        mean = cells.sum(axis=2) / count[fit, None]
-        centred = (cells - mean[:, :, None]) * here[:, None, :]
-        design, target = centred[:, :k, :].transpose(0, 2, 1), centred[:, k, :]
-        beta = np.einsum("mkw,mw->mk", np.linalg.pinv(design, rcond=np.finfo(float).eps * max(window, k)), target)
-        at = np.flatnonzero(fit) + first + window - 1
-        out[at] = target[:, -1] - np.einsum("mk,mk->m", design[:, -1, :], beta)
-    return out
+    keep, k = [*df.columns, name], len(xs)
+    complete = F.lit(True)
+    for c in (y, *xs):
+        complete = complete & F.col(c).isNotNull()
+    df = df.withColumn("_ok", complete).withColumns({f"_v{i}": F.when(F.col("_ok"), F.col(c)) for i, c in enumerate((*xs, y))})
+    frame = frames.last(w)
+    cells = [(i, j) for i in range(k + 1) for j in range(i, k + 1) if i < k]
+    df = df.withColumns(
+        {f"_c{i}_{j}": F.covar_pop(f"_v{i}", f"_v{j}").over(frame) for i, j in cells}
+        | {f"_d{i}": F.col(f"_v{i}") - F.avg(f"_v{i}").over(frame) for i in range(k + 1)}
+        | {"_n": F.count(f"_v{k}").over(frame), "_rows": F.count(F.lit(1)).over(frame)}
+    )
+    if k <= NATIVE_REGRESSORS:
+        for i in range(k):
+            df = df.withColumn(f"_s{i}", F.col(f"_c{i}_{i}"))
+        for j in range(k):
+            clear = F.when(F.col(f"_c{j}_{j}") > SINGULAR * F.col(f"_s{j}"), F.lit(1.0) / F.col(f"_c{j}_{j}")).otherwise(0.0)
+            df = df.withColumns({f"_f{i}": F.col(f"_c{j}_{i}") * clear for i in range(j + 1, k + 1)})
+            df = df.withColumns(
+                {f"_c{i}_{m}": F.col(f"_c{i}_{m}") - F.col(f"_f{i}") * F.col(f"_c{j}_{m}") for i, m in cells if i > j}
+                | {f"_d{i}": F.col(f"_d{i}") - F.col(f"_f{i}") * F.col(f"_d{j}") for i in range(j + 1, k + 1)}
+            )
+        resid = F.col(f"_d{k}")
+    else:
+        ship(df.sparkSession)
+        resid = _residual_of_moments(k)(F.array(*[F.col(f"_c{i}_{j}") for i, j in cells]), F.array(*[F.col(f"_d{i}") for i in range(k + 1)]))
+    fits = F.col("_ok") & (F.col("_rows") == w) & (F.col("_n") >= max(MIN_OLS_ROWS, k + 1))
+    return df.withColumn(name, F.when(fits, resid)).select(*keep)
+
+
+def _residual_of_moments(k: int):
+    """A column function of the packed covariances and the distances of a row."""
+    upper = [(i, j) for i in range(k) for j in range(i, k + 1)]
+    rows, cols = (np.array(x) for x in zip(*upper, strict=True))
+
+    @F.arrow_udf("double")
+    def residual(cov: pa.Array, distance: pa.Array) -> pa.Array:
+        c = cov.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(upper))
+        d = distance.flatten().to_numpy(zero_copy_only=False).reshape(-1, k + 1)
+        full = np.zeros((len(c), k + 1, k + 1))
+        full[:, rows, cols] = full[:, cols, rows] = c
+        good = np.isfinite(full).all(axis=(1, 2)) & np.isfinite(d).all(axis=1)
+        out = np.full(len(c), np.nan)
+        beta = np.einsum("nij,nj->ni", np.linalg.pinv(full[good, :k, :k], rcond=SINGULAR, hermitian=True), full[good, :k, k])
+        out[good] = d[good, k] - (beta * d[good, :k]).sum(axis=1)
+        return pa.array(out, from_pandas=True)
+
+    return residual
 
 
 def with_idiosyncratic_vol(
@@ -138,28 +169,18 @@ def with_idiosyncratic_vol(
 ) -> DataFrame:
     """``IDIOVOL_<w>``: annualised std of the rolling residuals, on rows that have a return.
 
-    One regressor stays in native window functions. With more, keys, return and regressors travel to Python,
-    one (symbol, session) series at a time, and the residuals come back for the native rolling std.
+    Rows without a return are a series of their own, so the others' windows skip them and nothing is joined back.
     """
-    frames = Frames(tuple(keys), order)
-    slim = df.filter(F.col("return").isNotNull()).select(*keys, order, "return", *regressors)
-    if len(regressors) == 1:
-        resid = {f"_r{w}": ols_residual_1(F.col("return"), F.col(regressors[0]), w, frames) for w in windows}
-        fitted = slim.withColumns(resid)
-    else:
-        head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in (*keys, order))
-
-        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(order)
-            y, x = pdf["return"].to_numpy(float), pdf[list(regressors)].to_numpy(float)
-            return pdf[[*keys, order]].assign(**{f"_r{w}": rolling_residuals(y, x, w) for w in windows})
-
-        ship(df.sparkSession)
-        schema = head + "".join(f", _r{w} double" for w in windows)
-        fitted = spread(slim, *keys).groupBy(*keys).applyInPandas(fit, schema).withColumns({f"_r{w}": F.nanvl(f"_r{w}", F.lit(None)) for w in windows})
-    vols = {f"IDIOVOL_{w}": annualised_std(F.col(f"_r{w}"), w, frames, annual) for w in windows}
-    fitted = fitted.withColumns(vols).select(*keys, order, *vols)
-    return df.join(fitted, [*keys, order], "left")
+    added = [f"IDIOVOL_{w}" for w in windows]
+    frames = Frames((*keys, "_has"), order)
+    keep = [*df.columns, *added]
+    df = df.withColumn("_has", F.col("return").isNotNull())
+    for w in windows:
+        if len(regressors) == 1:
+            df = df.withColumn(f"_r{w}", ols_residual_1(F.col("return"), F.col(regressors[0]), w, frames))
+        else:
+            df = with_rolling_residual(df, "return", regressors, w, frames, f"_r{w}")
+    return df.withColumns({f"IDIOVOL_{w}": annualised_std(F.col(f"_r{w}"), w, frames, annual) for w in windows}).select(*keep)
 
 
 def style_features(

@@ -216,19 +216,28 @@ def test_rolling_windows_example(spark):
     assert T.window_of_month(df, "2024-03").first()["window_idx"] == T.window_of_index(df, 2).first()["window_idx"] == 2
 
 
-def test_rolling_residuals_brute_force():
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+def test_rolling_residuals_brute_force(spark, k):
+    """Fits of windows with missing values, a regressor that repeats another one, and a shifted level."""
     rng = np.random.default_rng(2)
-    x, y = rng.normal(size=(60, 3)), rng.normal(size=60)
-    x[5, 1] = y[17] = np.nan
-    got = Y.rolling_residuals(y, x, 12, chunk=7)
+    x, y = rng.normal(size=(60, k)) + 3, rng.normal(size=60) - 2
+    x[5, k - 1] = y[17] = np.nan
+    if k > 2:
+        x[30:50, 2] = x[30:50, 0] - x[30:50, 1]
+    frame = [(0, i, None if np.isnan(y[i]) else float(y[i]), *[None if np.isnan(v) else float(v) for v in x[i]]) for i in range(60)]
+    names = [f"x{j}" for j in range(k)]
+    df = spark.createDataFrame(frame, "symbol int, date int, y double, " + ", ".join(f"{c} double" for c in names))
+    out = Y.with_rolling_residual(df, "y", names, 12, Y.DAY, "e")
+    assert out.columns == ["symbol", "date", "y", *names, "e"]
+    got = [r["e"] for r in out.orderBy("date").collect()]
     for end in range(1, 61):
         rows = [i for i in range(max(0, end - 12), end) if not np.isnan(y[i]) and not np.isnan(x[i]).any()]
-        if end < 12 or len(rows) < 5 or end - 1 not in rows:
-            assert np.isnan(got[end - 1])
+        if end < 12 or len(rows) < max(5, k + 1) or end - 1 not in rows:
+            assert got[end - 1] is None
             continue
         a = np.column_stack([np.ones(len(rows)), x[rows]])
         beta = np.linalg.lstsq(a, y[rows], rcond=None)[0]
-        assert got[end - 1] == pytest.approx(y[end - 1] - beta[0] - x[end - 1] @ beta[1:])
+        assert got[end - 1] == pytest.approx(y[end - 1] - beta[0] - x[end - 1] @ beta[1:], abs=1e-9)
 
 
 def test_weighted_metrics_against_numpy(spark):
