@@ -15,6 +15,7 @@ from . import scale
 from .scale import max_group_rows, measured_side, ordered_position, small_side
 
 MAX_LOCAL_DATES = 100_000
+BLOCK_DATES = 250_000  # longest part of a calendar whose gaps one window task fills
 WIDE_RSD = 0.05
 
 # The feature vocabulary, by group.
@@ -206,6 +207,10 @@ def densify(bars: DataFrame, source: tuple[DataFrame, Column, Column] | None = N
         cal = calendar(table.select(date.alias("date")), n_dates)
     cal = small_side(cal, n_dates)
     features = [c for c in bars.columns if c not in ("symbol", "date")]
+    if n_dates > BLOCK_DATES:
+        whole = bars.select("symbol").distinct().select("symbol", F.lit(0).cast("long").alias("_lo"), F.lit(n_dates - 1).cast("long").alias("_hi"))
+        dense = _filled_by_blocks(bars.join(cal, "date").drop("date"), whole, features).join(cal, "date_idx").select("symbol", "date", "date_idx", *features)
+        return Panel(dense, n_dates, widest, *((days[0], days[-1]) if days else (None, None)))
     rows = Window.partitionBy("symbol").orderBy("date_idx")
     start = F.when(F.lag("date_idx").over(rows).isNull(), F.lit(0)).otherwise(F.col("date_idx"))
     stop = F.coalesce(F.lead("date_idx").over(rows), F.lit(n_dates)) - 1
@@ -224,11 +229,38 @@ def densify(bars: DataFrame, source: tuple[DataFrame, Column, Column] | None = N
     return Panel(dense, n_dates, widest, *((days[0], days[-1]) if days else (None, None)))
 
 
+def _filled_by_blocks(bars: DataFrame, spans: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(symbol, date_idx, features) for every date from ``_lo`` to ``_hi`` of ``spans`` (symbol, _lo, _hi), missing features NULL.
+
+    A symbol's calendar is cut into blocks of ``BLOCK_DATES``. A blank row opens each block, so every block fills its own
+    gaps and a symbol with a very long history is shared by many tasks.
+    """
+    size = F.lit(BLOCK_DATES).cast("long")
+    block = F.floor(F.col("date_idx") / size)
+    blocks = F.explode(F.sequence(F.floor(F.col("_lo") / size), F.floor(F.col("_hi") / size)))
+    blank = spans.select("symbol", "_lo", "_hi", blocks.alias("_block")).select(
+        "symbol", F.greatest("_lo", F.col("_block") * size).alias("date_idx"), "_block", F.least("_hi", (F.col("_block") + 1) * size - 1).alias("_end"), F.lit(0).alias("_real")
+    )
+    own = bars.withColumns({"_block": block, "_real": F.lit(1)})
+    rows = Window.partitionBy("symbol", "_block")
+    both = own.unionByName(blank, allowMissingColumns=True).withColumns({
+        "_next": F.lead("date_idx").over(rows.orderBy("date_idx", "_real")),
+        "_end": F.max("_end").over(rows),
+    })
+    both = both.withColumn("_to", F.coalesce(F.col("_next") - 1, F.col("_end"))).filter("_to >= date_idx")
+    at = both.select("symbol", "date_idx", *features, F.explode(F.sequence("date_idx", "_to")).alias("_at"))
+    return at.select("symbol", F.col("_at").alias("date_idx"), *[F.when(F.col("date_idx") == F.col("_at"), F.col(c)).alias(c) for c in features])
+
+
 def align_to_spans(bars: DataFrame, cal: DataFrame) -> DataFrame:
     """Each symbol on every calendar date between its first and last bar."""
     features = [c for c in bars.columns if c not in ("symbol", "date")]
     rows = Window.partitionBy("symbol").orderBy("date_idx")
     side = measured_side(cal)
+    if cal.limit(BLOCK_DATES + 1).count() > BLOCK_DATES:
+        placed = bars.join(side, "date").drop("date")
+        spans = placed.groupBy("symbol").agg(F.min("date_idx").alias("_lo"), F.max("date_idx").alias("_hi"))
+        return _filled_by_blocks(placed, spans, features).join(side, "date_idx").select("symbol", "date", *features)
     own = F.col("date_idx") == F.col("_at")
     return (
         bars.join(side, "date")

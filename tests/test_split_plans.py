@@ -33,6 +33,14 @@ def test_long_calendar(check, tiny_bounds, monkeypatch, name):
     check(name)
 
 
+@pytest.mark.parametrize("name", ["densify", "align_calendar", "ts_mean", "ts_ref"])
+@pytest.mark.parametrize("size", [1, 7])
+def test_gaps_are_filled_by_blocks(check, monkeypatch, name, size):
+    """A calendar longer than the bound is cut into blocks: the same rows."""
+    monkeypatch.setattr(P, "BLOCK_DATES", size)
+    check(name)
+
+
 BLOCKED = ["ts_ref", "ts_ref_ahead", "ts_delta", "ts_med", "ts_rank", "ts_wma", "ts_rsi", "ts_corr", "ts_tema_true", "expr_nested", "expr_alternating", "expr_many", "pool_daily", "deploy_ema", "scoring_mean_sparse", "scoring_ema_sparse", "deploy_rank_sparse", "deploy_ref_sparse"]
 
 
