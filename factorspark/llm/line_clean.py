@@ -1,9 +1,8 @@
 """Line-first cleaning: rules judge every line, failing lines go, and a text that loses too much goes as a whole.
 
-A line fails when it is navigation (fields between bars), shouts or is full of symbols, carries a boilerplate phrase
-(cookies, terms, sign-up), or repeats an earlier line of its text. With ``endings`` it also fails when it is cut off (an
-ellipsis at its end), has hardly any words and no sentence mark at its end (menus, headings), or states a licence. What is left must be a large
-enough part of the words; a text must also pass the base rules on length and repeated runs of words. Everything is a
+A line fails when it is navigation (fields between bars, or hardly any words and no sentence mark at its end: menus,
+headings), is cut off (an ellipsis at its end), shouts or is full of symbols, carries a boilerplate phrase (cookies, terms,
+sign-up, licences), or repeats an earlier line of its text. What is left must be a large enough part of the words; a text must also pass the base rules on length and repeated runs of words. Everything is a
 column expression over one row's text, with no shuffle at all.
 """
 
@@ -18,8 +17,8 @@ SYMBOLS = "[^#*$%&|<>]"
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "use cookies", "javascript",
     "lorem ipsum", "click here", "sign up", "log in", "subscribe", "read more", "share this", "powered by",
+    "licensed under", "released under", "copyright",
 )
-LICENCES = ("licensed under", "released under", "copyright")
 FEWEST = 6  # words of a line without a sentence mark at its end
 CLOSED = "[.!?;:\u3002\uFF01\uFF1F][\"'\u2019\u201D\u00BB)\\]]*[\\x20\\x09-\\x0D]*$"
 CUT_OFF = "(\\.\\.\\.|\u2026)[\"'\u2019\u201D\u00BB)\\]]*[\\x20\\x09-\\x0D]*$"
@@ -41,9 +40,9 @@ def line_passes(line: Column) -> Column:
 
 
 def ending_passes(line: Column) -> Column:
-    """Whether a line is a sentence or has enough words to be part of one, is not cut off and states no licence."""
+    """Whether a line is a sentence or has enough words to be part of one, and is not cut off."""
     short = ~line.rlike(CLOSED) & (F.size(words_of(line)) < FEWEST)
-    return ~short & ~line.rlike(CUT_OFF) & ~F.lower(line).rlike("|".join(LICENCES))
+    return ~short & ~line.rlike(CUT_OFF)
 
 
 def repeated_words(words: Column) -> Column:
@@ -56,14 +55,15 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) >= 4, run).otherwise(F.array().cast("array<struct<h:bigint,at:int>>"))
 
 
-def clean(docs: DataFrame, least_kept: int = LEAST_KEPT, endings: bool = False) -> DataFrame:
+def clean(docs: DataFrame, least_kept: int = LEAST_KEPT) -> DataFrame:
     """All columns of ``docs`` that the result does not define, then the counts, ``clean_text``, ``base_failed`` and ``kept``.
 
     Per row (text; null is empty): ``n_words``, ``word_chars`` (code points in words), ``n_symbols`` (of ``#*$%&|<>``),
     ``n_dup_lines`` (lines with a word that equal an earlier one), ``n_repeat_words``, ``n_lines`` with words and
     ``n_good_lines``, ``clean_text`` (the good lines), ``base_failed`` (under 50 words, or more than half of them in
-    repeated runs) and ``kept``: not failed and at least ``least_kept`` percent of the words in good lines. ``endings`` adds the rules of :func:`ending_passes`. Rows are
-    independent, so repeated rows and null ids need no care; an empty text fails; an empty table gives an empty result.
+    repeated runs) and ``kept``: not failed and at least ``least_kept`` percent of the words in good lines. Rows are
+    independent, so repeated rows and null ids need no care; an empty text fails; an empty table gives an empty result;
+    a very long text is read whole, as one row.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_good_lines", "clean_text", "base_failed", "kept"]
     rest = [F.col("_row")[c].alias(c) for c in docs.columns if c not in made]
@@ -82,7 +82,7 @@ def clean(docs: DataFrame, least_kept: int = LEAST_KEPT, endings: bool = False)
         "_row", "n_words", "word_chars", "n_symbols",
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size("_unique")).cast("long").alias("n_dup_lines"),
-        F.filter("_unique", lambda x: line_passes(x) & ending_passes(x) if endings else line_passes(x)).alias("_good"),
+        F.filter("_unique", lambda x: line_passes(x) & ending_passes(x)).alias("_good"),
         F.when(F.size(F.array_distinct("_runs.h")) < F.size("_runs"), F.sort_array("_runs")).otherwise(F.array().cast("array<struct<h:bigint,at:int>>")).alias("_runs"),
     )
     same = lambda x, i, by: F.coalesce(F.get("_runs", i + by)["h"] == x["h"], F.lit(False))
@@ -101,7 +101,7 @@ def clean(docs: DataFrame, least_kept: int = LEAST_KEPT, endings: bool = False)
     return six.withColumn("kept", ~F.col("base_failed") & enough).select(*rest, *made)
 
 
-def keep_good(docs: DataFrame, least_kept: int = LEAST_KEPT, endings: bool = False) -> DataFrame:
+def keep_good(docs: DataFrame, least_kept: int = LEAST_KEPT) -> DataFrame:
     """The kept rows of ``docs`` with the cleaned text in place of the text; columns as in ``docs``."""
-    out = clean(docs, least_kept, endings).filter("kept").withColumn("text", F.col("clean_text"))
+    out = clean(docs, least_kept).filter("kept").withColumn("text", F.col("clean_text"))
     return out.select(*docs.columns)

@@ -162,7 +162,9 @@ g AS (SELECT *, [x FOR x IN list_distinct(ls) IF
     AND 10 * length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) <= length(x)
     AND (length(x) < 20 OR 2 * length(regexp_replace(x, '[^\p{{Lu}}]', '', 'g')) <= length(regexp_replace(x, '[^\p{{L}}]', '', 'g')))
     AND length(x) - length(replace(x, '|', '')) < 2
-    AND NOT regexp_matches(lower(x), '{"|".join(line_clean.BOILERPLATE)}')] AS good FROM l),
+    AND NOT regexp_matches(lower(x), '{"|".join(line_clean.BOILERPLATE)}')
+    AND (regexp_matches(x, '[.!?;:。！？]["''’”»)\]]*[\x20\x09-\x0D]*$') OR len({WORDS.format("x")}) >= {line_clean.FEWEST})
+    AND NOT regexp_matches(x, '(\.\.\.|…)["''’”»)\]]*[\x20\x09-\x0D]*$')] AS good FROM l),
 r AS (SELECT doc_id, unnest([ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] FOR i IN range(1, len(ws) - 1)]) AS run,
     unnest(range(1, len(ws) - 1)) AS spot FROM d WHERE len(ws) >= 4),
 s AS (SELECT doc_id, spot FROM r QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1),
@@ -186,7 +188,7 @@ def op4_line_first_cleaning(spark, folder):
 
 @query("op8_disclosing_terms")
 def op8_disclosing_terms(spark, folder):
-    out = pii.sanitise(table(spark, folder, "documents"), chance=0.05)
+    out = pii.sanitise(table(spark, folder, "documents"))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_terms")
 
 

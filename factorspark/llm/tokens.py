@@ -13,6 +13,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_PUNCT = np.zeros(256, dtype=bool)
+_PUNCT[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
 PART_BYTES = 1 << 21  # bytes hashed at a time; a longer text makes a longer part
 
 
@@ -64,10 +66,11 @@ def parts(offsets: np.ndarray):
         first = last
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
+def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, bare: bool = False) -> Words:
     """Maximal runs of bytes other than space and 0x09-0x0D, A-Z lower-cased for the hash if wanted.
 
-    Equal words have equal hashes; different ones differ but for 64-bit coincidence.
+    Equal words have equal hashes; different ones differ but for 64-bit coincidence. ``bare`` words lose the ASCII
+    punctuation at both ends, and are left out when nothing else is in them.
     """
     data = _LOWER[raw] if lower else raw
     solid = ~_SPACE[raw]
@@ -81,12 +84,26 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
     last = offsets[1:] - 1
     after[last[(last >= 0)]] = False
     ends = np.flatnonzero(solid & ~after) + 1
+    if bare:
+        starts, ends = _stripped(raw, starts, ends)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("p", _P, len(raw) + 1)[: len(raw)], dtype=np.uint64, out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * _power("i", _P_INV, len(raw) + 1)[starts])
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
 
 
+def _stripped(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts, ends = starts.copy(), ends.copy()
+    at = np.arange(len(starts))
+    while len(at := at[(starts[at] < ends[at]) & _PUNCT[raw[np.minimum(starts[at], len(raw) - 1)]]]):
+        starts[at] += 1
+    at = np.arange(len(starts))
+    while len(at := at[(starts[at] < ends[at]) & _PUNCT[raw[ends[at] - 1]]]):
+        ends[at] -= 1
+    full = starts < ends
+    return starts[full], ends[full]
+
+
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(text index, hash) of every run of ``size`` words inside one text; a text with fewer words gives its whole sequence once."""
     counts = np.diff(w.bounds)

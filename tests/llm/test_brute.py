@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -104,27 +105,99 @@ def test_base_patterns(text):
     assert [(a, k, b) for a, b, k in pii.base_spans(text)] == plain_spans(text)
 
 
+def bare(text):
+    """(word, start, end) without the punctuation around it, lower-cased in A-Z."""
+    marks = string.punctuation
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+        word = m[0].strip(marks)
+        if word:
+            a = m.start() + len(m[0]) - len(m[0].lstrip(marks))
+            yield "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in word), a, a + len(word)
+
+
+def brute_spans(rows):
+    """Spans of each (doc_id, text), terms by counting every document and passage."""
+    found, holders, docs = defaultdict(list), defaultdict(set), Counter()
+    texts = [(k, text or "", plain_spans(text or "")) for k, (_, text) in enumerate(rows)]
+    for k, text, spans in texts:
+        docs.update({w for w, _, _ in bare(text)})
+        inside = lambda a, b, spans=spans: any(a < e and s < b for s, _, e in spans)
+        pairs = defaultdict(list)
+        lines = []
+        at = 0
+        for line in text.split("\n"):
+            lines.append((at, at + len(line), line.strip() != ""))
+            at += len(line) + 1
+        for s, kind, e in spans:
+            name = (kind, text[s:e].lower() if kind < 2 else re.sub(r"[ ().-]", "", text[s:e]))
+            holders[name].add(k)
+            i = next(i for i, (x, y, _) in enumerate(lines) if x <= s <= y)
+            j = next(j for j, (x, y, _) in enumerate(lines) if x <= e <= y)
+            up = next((u for u in range(i - 1, -1, -1) if lines[u][2]), 0)
+            down = next((d for d in range(j + 1, len(lines)) if lines[d][2]), len(lines) - 1)
+            whole = text[lines[up][0] : lines[down][1]]
+            for w, x, y in bare(whole):
+                if not inside(x + lines[up][0], y + lines[up][0]):
+                    pairs[name, w].append(whole)
+        for pair, seen in pairs.items():
+            found[pair].append(seen)
+    z = 1.645
+
+    def lower(x, n):
+        return (x / n + z * z / (2 * n) - z * math.sqrt(x / n * (1 - x / n) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+    told = defaultdict(set)
+    for (name, w), seen in found.items():
+        both, different = len(seen), len({s for s in (min(p, key=passage_number) for p in seen)})
+        of, n = len(holders[name]), len(rows)
+        if of < n and lower(different, different + max(docs[w] - both, 0)) >= 0.4 and math.log2(both * n / (of * docs[w])) / math.log2(n / of) >= 0.8:
+            told[name].add(w)
+    out = []
+    for k, text, spans in texts:
+        names = {name for name, who in holders.items() if k in who}
+        marked = [(a, 4, b, "term") for w, a, b in bare(text) if any(w in told[x] for x in names) and not any(a < e and s < b for s, _, e in spans)]
+        every = sorted([(a, kind, b, pii.KINDS[kind]) for a, kind, b in spans] + marked)
+        out.append(",".join(f"{name}:{a}:{b}" for a, _, b, name in every))
+    return out
+
+
+def passage_number(passage):
+    return int.from_bytes(hashlib.blake2b(passage.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def people(n):
+    """n plain texts, a person named in six different letters, another one in three copies of a line within other lines."""
+    rows = [(k, f"the and of {k} rare{k}\nplain words, here and there") for k in range(n)]
+    rows += [(100_000 + k, f"dear {k},\nwrite to Zorblat, at the desk {k}: a@b.co of and\n\nyours{k} the\n\nlong after, zorblat went on") for k in range(6)]
+    rows += [(200_000 + k, f"note{k}\n(Quux) c@d.eu\nthe {k}") for k in range(3)]
+    rows += [(300_000 + k, "whole copies prove nothing\nabout wibble +49 30 1234567 the") for k in range(50)]
+    return rows + [(400_000, "alone once e@f.org snark")]
+
+
+def test_terms_equal_brute_force(spark, documents):
+    rows = people(150) + [(d["doc_id"], d["text"]) for d in documents]
+    got = pii.sanitise(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string"))
+    assert [r["spans"] for r in got.orderBy("doc_id").collect()] == brute_spans(rows)
+
+
 def test_disclosing_terms(spark):
-    """The entity's own name is a disclosing term, words met everywhere are not, and copies of one line prove nothing."""
-    rows = [(k, f"the and of {k} rare{k}\nplain words here and there") for k in range(200)]
-    rows += [(1000 + k, f"write to zorblat at the desk {k} a@b.co of and\nzorblat elsewhere the") for k in range(6)]
-    rows += [(2000 + k, "call quux now c@d.eu the") for k in range(3)]
-    out = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    first = out[1003]
-    assert "[EMAIL]" in first["clean_text"] and "zorblat at" not in first["clean_text"] and first["clean_text"].endswith("zorblat elsewhere the")
-    assert " the " in first["clean_text"] and out[2000]["n_terms"] == 0 and out[5]["spans"] == ""
-
-
-def test_disclosing_terms_by_passages(spark):
-    """Single-line entities, copied lines and names beside the value's line count, wherever the name stands; common words do not."""
-    rows = [(k, f"the and of {k} rare{k}\nplain words here and there") for k in range(2000)]
-    rows += [(3000, "the xanthe quill\n\nwrite to e@f.org\nthe desk and\nother line\nand of xanthe")]
-    rows += [(4000 + k, "call quux the c@d.eu and") for k in range(3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r["doc_id"]: r["clean_text"] for r in pii.sanitise(docs, chance=0.05).collect()}
-    assert out[3000] == "the [TERM] [TERM]\n\n[TERM] [TERM] [EMAIL]\nthe [TERM] and\nother line\nand of [TERM]"
-    assert out[4002] == "[TERM] [TERM] the [EMAIL] and" and out[5] == rows[5][1]
-    assert "xanthe" in {r["doc_id"]: r["clean_text"] for r in pii.sanitise(docs).collect()}[3000]
+    """A name met in several passages goes everywhere in the document; whole copies and single meetings prove nothing."""
+    out = {r["doc_id"]: r["clean_text"] for r in pii.sanitise(spark.createDataFrame(people(300), "doc_id long, text string")).collect()}
+    assert "zorblat" not in out[100_003].lower() and " the " in out[100_003] and "yours3" in out[100_003]
+    assert out[200_001] == "note1\n(Q*) [EMAIL]\nthe 1"
+    assert out[300_007] == "whole copies prove nothing\nabout wibble [PHONE] the" and out[400_000] == "alone once [EMAIL] snark"
+    assert out[5] == people(300)[5][1]
+
+
+def test_terms_do_not_depend_on_the_size_of_the_corpus(spark):
+    """A value above a line of words that no other document has: they are no terms, in a small corpus and in a large one."""
+    line = " ".join(f"made{k}" for k in range(60))
+    got = []
+    for n in (500, 8000):
+        rows = [(k, f"plain text {k} of no use") for k in range(n)] + people(0) + [(-1, f"one@two.org\n{line}")]
+        out = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_terms > 0").collect()
+        got.append({r["doc_id"]: r["spans"] for r in out})
+    assert got[0] == got[1] and set(got[0]) == {*range(100_000, 100_006), *range(200_000, 200_003)}
 
 
 def test_shards_link_by_any_line(spark):

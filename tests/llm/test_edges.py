@@ -111,7 +111,7 @@ def test_cleaning_by_endings(spark):
     heads = "\n".join(f"The story number {k} of the long and winding ..." for k in range(20))
     notice = "Licensed under the Apache License, Version 2.0."
     texts = spark.createDataFrame([(1, f"{prose}\n{notice}"), (2, menu), (3, heads)], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in line_clean.clean(texts, endings=True).collect()}
+    got = {r["doc_id"]: r for r in line_clean.clean(texts).collect()}
     assert got[1]["kept"] and got[1]["clean_text"] == prose
     assert not got[2]["kept"] and got[2]["n_good_lines"] == 0 and not got[3]["kept"] and got[3]["n_good_lines"] == 0
 
