@@ -8,6 +8,8 @@ column expression over one row's text, with no shuffle at all.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,10 @@ BOILERPLATE = (
     "licensed under", "released under", "copyright",
 )
 FEWEST = 6  # words of a line without a sentence mark at its end
-CLOSED = "[.!?;:\u3002\uFF01\uFF1F][\"'\u2019\u201D\u00BB)\\]]*[\\x20\\x09-\\x0D]*$"
-CUT_OFF = "(\\.\\.\\.|\u2026)[\"'\u2019\u201D\u00BB)\\]]*[\\x20\\x09-\\x0D]*$"
+ENOUGH = f"^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]+){{{FEWEST - 1}}}[^\\x20\\x09-\\x0D]"
+TAIL = 64  # characters at the end of a line, without white space, in which marks are looked for
+CLOSED = "[.!?;:\u3002\uFF01\uFF1F][\"'\u2019\u201D\u00BB)\\]]*$"
+CUT_OFF = "(?:\\.\\.\\.|\u2026)[\"'\u2019\u201D\u00BB)\\]]*$"
 LEAST_KEPT = 50  # percent of a text's words that its good lines must hold
 
 
@@ -29,20 +33,22 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def line_passes(line: Column) -> Column:
-    """Whether a line with words is kept."""
-    letters, n = F.regexp_replace(line, "[^\\p{L}]", ""), F.length(line)
-    symbols = F.length(F.regexp_replace(line, SYMBOLS, ""))
-    upper = F.length(F.regexp_replace(letters, "[^\\p{Lu}]", ""))
-    bars = n - F.length(F.replace(line, F.lit("|")))
-    phrase = F.lower(line).rlike("|".join(BOILERPLATE))
-    return (2 * F.length(letters) >= n) & (10 * symbols <= n) & ((n < 20) | (2 * upper <= F.length(letters))) & (bars < 2) & ~phrase
+def measured(line: Column) -> Column:
+    """What the rules need of a line with words, each made once."""
+    return F.struct(
+        line.alias("line"), F.lower(line).alias("low"), F.right(F.rtrim(line, F.lit(" \t\n\x0b\x0c\r")), F.lit(TAIL)).alias("tail"), F.length(line).alias("n"),
+        F.length(F.regexp_replace(line, "[^\\p{L}]", "")).alias("letters"), F.length(F.regexp_replace(line, "[^\\p{Lu}]", "")).alias("upper"),
+        F.length(F.regexp_replace(line, SYMBOLS, "")).alias("symbols"),
+    )
 
 
-def ending_passes(line: Column) -> Column:
-    """Whether a line is a sentence or has enough words to be part of one, and is not cut off."""
-    short = ~line.rlike(CLOSED) & (F.size(words_of(line)) < FEWEST)
-    return ~short & ~line.rlike(CUT_OFF)
+def line_passes(m: Column) -> Column:
+    """Whether a line (as :func:`measured`) is kept: cheap rules first, phrases last."""
+    n, letters = m["n"], m["letters"]
+    shape = (2 * letters >= n) & (10 * m["symbols"] <= n) & ((n < 20) | (2 * m["upper"] <= letters))
+    ending = ~m["tail"].rlike(CUT_OFF) & (m["tail"].rlike(CLOSED) | m["line"].rlike(ENOUGH))
+    bars = n - F.length(F.replace(m["line"], F.lit("|")))
+    return shape & ending & (bars < 2) & ~reduce(Column.__or__, [F.contains(m["low"], F.lit(p)) for p in BOILERPLATE])
 
 
 def repeated_words(words: Column) -> Column:
@@ -75,14 +81,14 @@ def clean(docs: DataFrame, least_kept: int = LEAST_KEPT) -> DataFrame:
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_text", SYMBOLS, "")).cast("long").alias("n_symbols"),
-        F.array_distinct("_lines").alias("_unique"),
+        F.transform(F.array_distinct("_lines"), measured).alias("_unique"),
         repeated_words(F.col("_words")).alias("_runs"),
     )
     three = two.select(
         "_row", "n_words", "word_chars", "n_symbols",
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size("_unique")).cast("long").alias("n_dup_lines"),
-        F.filter("_unique", lambda x: line_passes(x) & ending_passes(x)).alias("_good"),
+        F.filter("_unique", line_passes)["line"].alias("_good"),
         F.when(F.size(F.array_distinct("_runs.h")) < F.size("_runs"), F.sort_array("_runs")).otherwise(F.array().cast("array<struct<h:bigint,at:int>>")).alias("_runs"),
     )
     same = lambda x, i, by: F.coalesce(F.get("_runs", i + by)["h"] == x["h"], F.lit(False))

@@ -154,6 +154,7 @@ def op2_warc_transactions(spark, folder):
     )
 
 
+LINE_END = f"right(rtrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {line_clean.TAIL})"
 CLEAN_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),
 l AS (SELECT *, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d),
@@ -163,8 +164,8 @@ g AS (SELECT *, [x FOR x IN list_distinct(ls) IF
     AND (length(x) < 20 OR 2 * length(regexp_replace(x, '[^\p{{Lu}}]', '', 'g')) <= length(regexp_replace(x, '[^\p{{L}}]', '', 'g')))
     AND length(x) - length(replace(x, '|', '')) < 2
     AND NOT regexp_matches(lower(x), '{"|".join(line_clean.BOILERPLATE)}')
-    AND (regexp_matches(x, '[.!?;:。！？]["''’”»)\]]*[\x20\x09-\x0D]*$') OR len({WORDS.format("x")}) >= {line_clean.FEWEST})
-    AND NOT regexp_matches(x, '(\.\.\.|…)["''’”»)\]]*[\x20\x09-\x0D]*$')] AS good FROM l),
+    AND (regexp_matches({LINE_END}, '[.!?;:。！？][\x22''’”»)\]]*$') OR len({WORDS.format("x")}) >= {line_clean.FEWEST})
+    AND NOT regexp_matches({LINE_END}, '(\.\.\.|…)[\x22''’”»)\]]*$')] AS good FROM l),
 r AS (SELECT doc_id, unnest([ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] FOR i IN range(1, len(ws) - 1)]) AS run,
     unnest(range(1, len(ws) - 1)) AS spot FROM d WHERE len(ws) >= 4),
 s AS (SELECT doc_id, spot FROM r QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1),
