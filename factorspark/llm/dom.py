@@ -69,6 +69,7 @@ def read(nodes: Nodes, source: str) -> None:
     """Append the nodes of one page; its first node stands for the whole page."""
     parent, end, depth, tag, names, texts, blocks = nodes.parent, nodes.end, nodes.depth, nodes.tag, nodes.names, nodes.text, nodes.block
     stack: list[int] = []
+    opened: dict[str, int] = {}  # open elements by tag, so that a search for a tag that is not open costs nothing
     unseen = block = 0  # open unseen elements; number of the line
     space = False
 
@@ -81,18 +82,22 @@ def read(nodes: Nodes, source: str) -> None:
         blocks.append(block)
         end.append(0)
         stack.append(len(tag) - 1)
+        opened[name] = opened.get(name, 0) + 1
 
     def pop(to: int):
         nonlocal unseen, block, space
         while len(stack) > to:
             at = stack.pop()
             end[at] = len(tag)
+            opened[tag[at]] -= 1
             unseen -= tag[at] in UNSEEN or names[at] == ("hidden",)
             if tag[at] in BLOCK:
                 block += 1
                 space = False
 
     def find(wanted, stop) -> int:
+        if not any(opened.get(name) for name in wanted):
+            return 0
         for k in range(len(stack) - 1, 0, -1):
             if tag[stack[k]] in wanted:
                 return k
@@ -148,7 +153,7 @@ def read(nodes: Nodes, source: str) -> None:
         if name in ("html", "body", "head"):
             if name == "body" and (to := find(("head",), ())):
                 pop(to)
-            if any(tag[k] == name for k in stack) or (name == "head" and seen_head):
+            if opened.get(name) or (name == "head" and seen_head):
                 continue
             seen_head |= name == "head"
         elif name not in IN_HEAD and (to := find(("head",), ())):
@@ -168,6 +173,7 @@ def read(nodes: Nodes, source: str) -> None:
             elif name in ("img", "input", "hr"):
                 push(name, words)
                 end[stack.pop()] = len(tag)
+                opened[name] -= 1
             continue
         if attrs.endswith("/") and name in ("svg", "path"):
             continue

@@ -12,6 +12,12 @@ from factorspark.llm import boosting, dom, layouts, main_text
 SMALL = "/root/testdata/sf0.01"
 
 
+@pytest.fixture(autouse=True)
+def fewer_layouts(monkeypatch):
+    """Training takes its time; a part of the rendered pages is enough here."""
+    monkeypatch.setattr(main_text, "RENDERED", 250)
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     return [r["html"] for r in spark.read.parquet(f"{SMALL}/pages.parquet").orderBy("page_id").collect()]
