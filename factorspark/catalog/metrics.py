@@ -286,19 +286,21 @@ def pool_selection(spark, folder):
     return out.select("rank", "expr", r6("ic").alias("ic"))
 
 
-def fit_sql(k: int, alpha: float = 1e-3, sweeps: int = 60) -> str:
-    """CTEs up to ``fit`` (w): weights of the first k formulas, by coordinate descent from 0."""
-    mean = ", ".join("[" + ", ".join("1.0" if i == j else f"avg(ic) FILTER (i = {min(i, j)} AND j = {max(i, j)})" for j in range(k)) + "]" for i in range(k))
-    pull = "(r[i] - list_sum([m[i][x] * w[x] FOR x IN range(1, {k} + 1)]) + w[i])".replace("{k}", str(k))
-    return f"""{MUTUAL_SQL},
+FIT_SQL = f"""{MUTUAL_SQL},
 per AS ({' UNION ALL '.join(f"SELECT {i} AS k, {pearson(f'za{i}', 'zy')} AS ic FROM z GROUP BY date" for i in range(5))}),
-mm AS (SELECT [{mean}] AS m FROM mutual), rr AS (SELECT list(ic ORDER BY k) AS r FROM (SELECT k, avg(ic) AS ic FROM per GROUP BY 1)),
-descent(step, w) AS (
+mm AS (SELECT [{", ".join("[" + ", ".join("1.0" if i == j else f"avg(ic) FILTER (i = {min(i, j)} AND j = {max(i, j)})" for j in range(5)) + "]" for i in range(5))}] AS m FROM mutual),
+rr AS (SELECT list(ic ORDER BY k) AS r FROM (SELECT k, avg(ic) AS ic FROM per GROUP BY 1))"""
+
+
+def fit_sql(k: int, alpha: float = 1e-3, sweeps: int = 60) -> str:
+    """CTEs up to ``fit<k>`` (w): weights of the first k formulas, by coordinate descent from 0."""
+    pull = f"(r[i] - list_sum([m[i][x] * w[x] FOR x IN range(1, {k + 1})]) + w[i])"
+    return f"""descent{k}(step, w) AS (
   SELECT 0, CAST([{", ".join(["0"] * k)}] AS DOUBLE[])
   UNION ALL
   SELECT step + 1, [CASE WHEN x <> i THEN w[x] ELSE sign({pull}) * greatest(abs({pull}) - {alpha / 2}, 0) END FOR x IN range(1, {k + 1})]
-  FROM (SELECT step, w, m, r, step % {k} + 1 AS i FROM descent, mm, rr WHERE step < {k * sweeps}) t),
-fit AS (SELECT w FROM descent ORDER BY step DESC LIMIT 1)"""
+  FROM (SELECT step, w, m, r, step % {k} + 1 AS i FROM descent{k}, mm, rr WHERE step < {k * sweeps}) t),
+fit{k} AS (SELECT w FROM descent{k} ORDER BY step DESC LIMIT 1)"""
 
 
 NAMES_SQL = "names(k, expr) AS (VALUES " + ", ".join(f"({i + 1}, '{f}')" for i, f in enumerate(POOL)) + ")"
@@ -306,12 +308,14 @@ NAMES_SQL = "names(k, expr) AS (VALUES " + ", ".join(f"({i + 1}, '{f}')" for i,
 
 @query(
     "pool_fit",
-    f"""WITH RECURSIVE {fit_sql(5)}, {NAMES_SQL},
-e AS (SELECT k, expr, w[k] AS weight, r[k] AS ic, row_number() OVER (ORDER BY abs(w[k]), k) AS place FROM fit, rr, names)
-SELECT 'pool' AS pool_id, CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS idx, expr, {q6('weight')} AS weight, {q6('ic')} AS ic FROM e WHERE place > 1""",
+    f"""WITH RECURSIVE {FIT_SQL}, {fit_sql(4)}, {fit_sql(5)}, {NAMES_SQL},
+e AS (SELECT k, expr, fit4.w[k] AS before, fit5.w[k] AS after, r[k] AS ic, row_number() OVER (ORDER BY abs(fit5.w[k]), k) AS place FROM fit4, fit5, rr, names),
+f AS (SELECT *, max(CASE WHEN place = 1 THEN k END) OVER () = 5 AS newest FROM e)
+SELECT 'pool' AS pool_id, CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS idx, expr, {q6('CASE WHEN newest THEN before ELSE after END')} AS weight, {q6('ic')} AS ic
+FROM f WHERE place > 1""",
 )
 def pool_fit(spark, folder):
-    """Five formulas offered to a pool of four: the smallest weight leaves."""
+    """Five formulas offered to a pool of four: the smallest weight leaves; if that is the fifth, the four stay as they were."""
     out = K.extend_pool(panel(spark, folder), K.Pool(4), list(POOL), FORWARD, alpha=1e-3).to_rows(spark)
     return out.select("pool_id", "idx", "expr", r6("weight").alias("weight"), r6("ic").alias("ic"))
 
@@ -335,8 +339,8 @@ def pool_fit_icir(spark, folder):
 
 @query(
     "pool_merge",
-    f"""WITH RECURSIVE {fit_sql(4)}, {NAMES_SQL}
-SELECT 'pool' AS pool_id, k - 1 AS idx, expr, {q6('0.9 * w[k]')} AS weight, {q6('r[k]')} AS ic FROM fit, rr, names WHERE k <= 4""",
+    f"""WITH RECURSIVE {FIT_SQL}, {fit_sql(4)}, {NAMES_SQL}
+SELECT 'pool' AS pool_id, k - 1 AS idx, expr, {q6('0.9 * w[k]')} AS weight, {q6('r[k]')} AS ic FROM fit4, rr, names WHERE k <= 4""",
 )
 def pool_merge(spark, folder):
     names = list(POOL)
