@@ -102,12 +102,25 @@ def regression_metrics(spark, folder):
     return out.select(*[r6(c).alias(c) for c in out.columns])
 
 
-@query("split_fitness", f"WITH {XY_SQL} SELECT count(*) AS n, {q6('sum(w * (p - y) * (p - y)) / sum(w)')} AS error FROM xy")
+@query(
+    "split_fitness",
+    f"""WITH {XY_SQL}, parts AS (SELECT 'hash' AS part, y, p, w FROM xy
+UNION ALL SELECT CASE WHEN l_orderkey % 10 < 7 THEN 'in' ELSE 'out' END, l_extendedprice / 10000.0, l_quantity / 10.0 + l_tax, 1.0 + l_linenumber FROM lineitem)
+SELECT part, count(*) AS n, {q6('sum(w * (p - y) * (p - y)) / sum(w)')} AS error FROM parts GROUP BY 1""",
+)
 def split_fitness(spark, folder):
-    """Both parts of the split put back together; the parts themselves depend on our own hash."""
-    d = N.with_split(xy(spark, folder), ROW, 0.7, 42)
-    parts = N.split_fitness(d, "mse", "y", "p", "w").join(d.groupBy("in_sample").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")), "in_sample")
-    return parts.agg(F.sum("n").alias("n"), r6(F.sum(F.col("fitness") * F.col("w")) / F.sum("w")).alias("error"))
+    """Both parts of a given split, and of the hash split both put together (the parts depend on our own hash)."""
+
+    def parts(d):
+        sizes = d.groupBy("in_sample").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+        return N.split_fitness(d, "mse", "y", "p", "w").join(sizes, "in_sample")
+
+    d = xy(spark, folder)
+    hashed = parts(N.with_split(d, ROW, 0.7, 42)).agg(F.sum("n").alias("n"), r6(F.sum(F.col("fitness") * F.col("w")) / F.sum("w")).alias("error"))
+    given = parts(d.withColumn("in_sample", F.col("l_orderkey") % 10 < 7))
+    return hashed.select(F.lit("hash").alias("part"), "n", "error").unionByName(
+        given.select(F.when(F.col("in_sample"), "in").otherwise("out").alias("part"), "n", r6("fitness").alias("error"))
+    )
 
 
 PROGRAMS_SQL = "programs AS (SELECT p_name || p_partkey AS expr, p_size AS length, p_retailprice / 100.0 AS fitness, p_brand AS generation FROM part)"
@@ -226,24 +239,107 @@ def hall_decorrelated_ranks(spark, folder):
     return decorrelated(spark, folder, True)
 
 
-@query("polynomial_fit", f"WITH {XY_SQL}, c AS (SELECT regr_slope(y, x0) AS s, regr_intercept(y, x0) AS i FROM xy) SELECT x0, {q6('i + s * x0')} AS fitted FROM xy, c")
-def polynomial_fit(spark, folder):
+# Two inputs between 0 and 1, and a target with several true terms.
+QUADRATIC = ["1.0", "x0", "x2", "x0 * x0", "x0 * x2", "x2 * x2"]
+FIT_SQL = "fit AS (SELECT x0, 10.0 * x1 AS x2, y + 0.5 * x0 * x0 - 10.0 * x1 AS z FROM xy)"
+
+
+def fit_rows(spark, folder):
     d = xy(spark, folder)
-    model = Z.fit_polynomial(d, ["x0"], "y", 1)
-    return d.select("x0", r6(model.column()).alias("fitted"))
+    x2 = F.lit(10.0) * F.col("x1")
+    return d.select("x0", x2.alias("x2"), (F.col("y") + 0.5 * F.col("x0") * F.col("x0") - x2).alias("z"))
+
+
+def sums_sql(name: str, terms: list[str], target: str = "z") -> str:
+    """All products of the terms and the target, summed; the target comes last."""
+    cells = [*terms, target]
+    pairs = ", ".join(f"({i}, {j}, (SELECT sum(({a}) * ({b})) FROM fit))" for i, a in enumerate(cells) for j, b in enumerate(cells))
+    return f"{name}0(i, j, v) AS MATERIALIZED (VALUES {pairs})"
+
+
+def sweeps_sql(name: str, k: int, start: str | None = None, gate: str = "true") -> str:
+    """Sweep the sums on each of k terms that pass the gate: coefficients in the last column, minus the inverse in the rest."""
+    out = []
+    for at in range(k):
+        m = start if at == 0 and start else f"{name}{at}"
+        out.append(
+            f"""{name}{at + 1} AS MATERIALIZED (SELECT m.i, m.j, CASE WHEN NOT ({gate.format(at=at)}) THEN m.v WHEN m.i = {at} AND m.j = {at} THEN -1.0 / p.v
+WHEN m.i = {at} OR m.j = {at} THEN m.v / p.v ELSE m.v - r.v * c.v / p.v END AS v
+FROM {m} m JOIN {m} p ON p.i = {at} AND p.j = {at} JOIN {m} r ON r.i = m.i AND r.j = {at} JOIN {m} c ON c.i = {at} AND c.j = m.j)"""
+        )
+    return ", ".join(out)
+
+
+def fitted_sql(coefficients: str, terms: list[str]) -> str:
+    return " + ".join(f"coalesce((SELECT v FROM {coefficients} WHERE i = {i} AND j = {len(terms)}), 0) * ({t})" for i, t in enumerate(terms))
+
+
+@query("polynomial_fit", f"WITH {XY_SQL}, {FIT_SQL}, {sums_sql('s', QUADRATIC)}, {sweeps_sql('s', 6)} SELECT x0, x2, {q6(fitted_sql('s6', QUADRATIC))} AS fitted FROM fit")
+def polynomial_fit(spark, folder):
+    """All six terms of two inputs up to degree 2."""
+    d = fit_rows(spark, folder)
+    model = Z.fit_polynomial(d, ["x0", "x2"], "z", 2)
+    return d.select("x0", "x2", r6(model.column()).alias("fitted"))
 
 
-@query("polynomial_terms")
+@query(
+    "polynomial_iterated",
+    f"WITH {XY_SQL}, {FIT_SQL}, {sums_sql('s', QUADRATIC)}, {sweeps_sql('s', 6)} SELECT * FROM (VALUES "
+    + ", ".join(f"({i}, {q6(f'(SELECT v FROM s6 WHERE i = {i} AND j = 6)')})" for i in range(6)) + ") t(term, coefficient)",
+)
+def polynomial_iterated(spark, folder):
+    """The same model by conjugate gradients, as fits of very many terms run."""
+    model = Z.fit_polynomial(fit_rows(spark, folder), ["x0", "x2"], "z", 2, tolerance=1e-12, direct_terms=0)
+    return spark.createDataFrame([(i, float(c)) for i, c in enumerate(model.coefficients)], "term int, coefficient double").withColumn("coefficient", r6("coefficient"))
+
+
+# With thousands of rows 1 % of the t distribution lies outside 2.5758 and a little.
+T_SQL = """t AS MATERIALIZED (SELECT i, abs(b.v) / sqrt(-d.v * rss.v / (SELECT count(*) - 6 FROM fit)) AS t FROM s6 b JOIN s6 d USING (i) JOIN s6 rss ON rss.i = 6 AND rss.j = 6 WHERE b.j = 6 AND d.j = b.i AND b.i < 6),
+kept AS MATERIALIZED (SELECT i FROM t WHERE t >= 2.5765 QUALIFY row_number() OVER (ORDER BY t DESC) <= 3)"""
+
+
+@query(
+    "polynomial_terms",
+    f"""WITH {XY_SQL}, {FIT_SQL}, {sums_sql('s', QUADRATIC)}, {sweeps_sql('s', 6)}, {T_SQL},
+{sweeps_sql('g', 6, 's0', '{at} IN (SELECT i FROM kept)')}, w(i, j, v) AS (SELECT i, j, v FROM g6 WHERE i IN (SELECT i FROM kept))
+SELECT x0, x2, {q6(fitted_sql('w', QUADRATIC))} AS fitted, (SELECT count(*) FROM kept) AS terms FROM fit""",
+)
 def polynomial_terms(spark, folder):
-    d = xy(spark, folder)
-    model = Z.fit_polynomial(d, ["x0", "x1"], "y", 2, cutoff_p_value=0.05, max_terms=4)
-    return d.select(F.monotonically_increasing_id().alias("row"), model.column().alias("fitted")).agg(F.avg("fitted").alias("mean"), F.count("row").alias("n"))
+    """The three terms of the largest t values, fitted again."""
+    d = fit_rows(spark, folder)
+    model = Z.fit_polynomial(d, ["x0", "x2"], "z", 2, cutoff_p_value=0.01, max_terms=3)
+    terms = sum(1 for c in model.coefficients if c)
+    return d.select("x0", "x2", r6(model.column()).alias("fitted"), F.lit(terms).cast("long").alias("terms"))
 
 
-@query("lasso_fit", f"WITH {XY_SQL}, c AS (SELECT regr_slope(y, x0) AS s, regr_intercept(y, x0) AS i FROM xy) SELECT x0, {q6('i + s * x0')} AS fitted FROM xy, c")
+def lasso_sql(terms: list[str], gamma: float, sweeps: int = 3000) -> str:
+    """Coordinate descent over the sums, one step of the recursion for a coordinate."""
+    k = len(terms)
+    pull = " + ".join(f"b[{i + 1}] * q[{i + 1}]" for i in range(k))
+    return f"""{sums_sql('s', terms)}, rows AS MATERIALIZED (SELECT i, list(v ORDER BY j) AS q FROM s0 GROUP BY 1),
+lim AS MATERIALIZED (SELECT count(*) / {k}.0 * var_pop(z) * {gamma} AS lim FROM fit),
+descent(nr, b) AS (SELECT 0, [{', '.join(['0.0::DOUBLE'] * k)}]
+UNION ALL SELECT nr + 1, [CASE WHEN i = c - 1 THEN sign(p) * greatest(abs(p) - lim, 0.0) / q[c] ELSE b[i + 1] END FOR i IN range({k})]
+FROM (SELECT nr, b, q, lim, nr % {k} + 1 AS c, q[{k + 1}] - ({pull}) + q[nr % {k} + 1] * b[nr % {k} + 1] AS p FROM descent JOIN rows ON rows.i = nr % {k}, lim WHERE nr < {sweeps})),
+final AS (SELECT b FROM descent WHERE nr = {sweeps})"""
+
+
+LINEAR = ["1.0", "x0", "x2"]
+LASSO_SQL = f"WITH RECURSIVE {XY_SQL}, {FIT_SQL}, {lasso_sql(LINEAR, 0.2)} SELECT i AS term, {q6('b[i + 1]')} AS coefficient FROM final, (VALUES (0), (1), (2)) t(i)"
+
+
+def lasso_terms(spark, folder, **how):
+    model = Z.fit_lasso(fit_rows(spark, folder), ["x0", "x2"], "z", 1, 0.2, refit=False, **how)
+    return spark.createDataFrame([(i, float(c)) for i, c in enumerate(model.coefficients)], "term int, coefficient double").withColumn("coefficient", r6("coefficient"))
+
+
+@query("lasso_fit", LASSO_SQL)
 def lasso_fit(spark, folder):
-    """With a small penalty both terms stay and the second fit is least squares."""
-    d = xy(spark, folder)
-    model = Z.fit_lasso(d, ["x0"], "y", 1, 1e-4)
-    return d.select("x0", r6(model.column()).alias("fitted"))
+    """A penalty that shrinks every coefficient, without a second fit."""
+    return lasso_terms(spark, folder)
+
 
+@query("lasso_iterated", LASSO_SQL)
+def lasso_iterated(spark, folder):
+    """The same by proximal gradients over the rows, as fits of very many terms run."""
+    return lasso_terms(spark, folder, tolerance=1e-11, direct_terms=0)

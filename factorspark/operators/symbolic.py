@@ -1,7 +1,8 @@
 """Prefix programs, polynomial models and class weights on tables.
 
 A program such as ``add(mul(X0,X1),-0.5)`` becomes one column; least-squares models reduce the rows to their
-cross products in Spark and solve the small system on the driver.
+cross products in Spark and solve the small system on the driver. Systems of many terms are never formed: their
+solvers see the rows only through distributed matrix-vector products.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..plans.formula import FormulaError
-from ..session import ship
+from ..session import cut, ship
 from .scale import measured_side
 
-MAX_TERMS = 2_000
+# Up to this many terms the cross products (terms x terms numbers) go to the driver; beyond, solvers iterate over the rows.
+DIRECT_TERMS = 500
+CHUNK_NUMBERS = 4_000_000  # numbers of the design matrix that a task holds at a time
+COLUMNS_AT_ONCE = 64  # columns of the inverse solved for together
 
 _COMMON = {
     "add": (S.add, 2),
@@ -161,37 +165,119 @@ class _Moments:
     yy: float
 
 
-def _moments(df: DataFrame, inputs: Sequence[str], exponents: Sequence[tuple[int, ...]], y: str) -> _Moments:
-    """Cross products of the monomials and the target: each partition gives one small row, Spark sums them."""
-    if len(exponents) > MAX_TERMS:
-        raise ValueError(f"{len(exponents)} terms are too many to solve for on the driver")
+def _factors(exponents: Sequence[tuple[int, ...]]) -> np.ndarray:
+    """Each monomial as the list of its factors, filled up with the index of a column of ones."""
+    n = len(exponents[0])
+    degree = max(map(sum, exponents), default=0)
+    out = np.full((len(exponents), degree), n)
+    for row, powers in zip(out, exponents, strict=True):
+        own = [i for i, e in enumerate(powers) for _ in range(e)]
+        row[: len(own)] = own
+    return out
+
+
+def _design(x: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    wide = np.column_stack([x, np.ones(len(x))])
+    out = np.ones((len(x), len(factors)))
+    for slot in factors.T:
+        out *= wide[:, slot]
+    return out
+
+
+def _summed(df: DataFrame, inputs: Sequence[str], exponents: Sequence[tuple[int, ...]], y: str, size: int, part) -> np.ndarray:
+    """Sum over all complete rows of ``part(design block, target block)``, ``size`` numbers.
+
+    A task holds one block of rows at a time and gives one row of numbers; Spark adds these up.
+    """
     ship(df.sparkSession)
-    powers = np.array(exponents)
-    k = len(powers)
+    factors = _factors(exponents)
+    rows = max(CHUNK_NUMBERS // (len(factors) + 1), 1)
+    inputs = list(inputs)
 
     def partial_sums(batches):
-        total = np.zeros((k + 1, k + 1))
-        n, sy = 0, 0.0
+        total = np.zeros(size)
         for pdf in batches:
             pdf = pdf.dropna()
-            x = pdf[list(inputs)].to_numpy(float)
-            full = np.empty((len(x), k + 1))
-            for j, p in enumerate(powers):
-                full[:, j] = np.prod(x**p, axis=1)
-            full[:, k] = pdf[y].to_numpy(float)
-            total += full.T @ full
-            n, sy = n + len(x), sy + full[:, k].sum()
-        yield pd.DataFrame({"v": [np.concatenate([total.ravel(), [n, sy]])]})
+            x, target = pdf[inputs].to_numpy(float), pdf[y].to_numpy(float)
+            for i in range(0, len(x), rows):
+                total += part(_design(x[i : i + rows], factors), target[i : i + rows])
+        yield pd.DataFrame({"v": [total]})
 
     parts = df.select(*dict.fromkeys([*inputs, y])).mapInPandas(partial_sums, "v array<double>")
-    rows = parts.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-    flat = np.zeros((k + 1) ** 2 + 2)
-    for r in rows:
-        flat[r["i"]] = r["v"]
+    out = np.zeros(size)
+    for r in parts.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out
+
+
+def _moments(df: DataFrame, inputs: Sequence[str], exponents: Sequence[tuple[int, ...]], y: str) -> _Moments:
+    """Cross products of the monomials and the target."""
+    k = len(exponents)
+
+    def products(x, target):
+        full = np.column_stack([x, target])
+        return np.concatenate([(full.T @ full).ravel(), [len(x), target.sum()]])
+
+    flat = _summed(df, inputs, exponents, y, (k + 1) ** 2 + 2, products)
     m = flat[:-2].reshape(k + 1, k + 1)
     return _Moments(int(flat[-2]), m[:k, :k], m[:k, k], float(flat[-1]), float(m[k, k]))
 
 
+class _Rows:
+    """Normal equations that are only ever multiplied with, in columns scaled to length one.
+
+    ``df`` is read once per product, so it is fixed in the checkpoint folder first.
+    """
+
+    def __init__(self, df: DataFrame, inputs: Sequence[str], exponents: Sequence[tuple[int, ...]], y: str):
+        self.source = (cut(df.select(*dict.fromkeys([*inputs, y]))), inputs, exponents, y)
+        k = self.k = len(exponents)
+        flat = _summed(
+            *self.source, 2 * k + 3, lambda x, t: np.concatenate([(x * x).sum(axis=0), x.T @ t, [len(t), t.sum(), t @ t]])
+        )
+        self.n, self.y, self.yy = int(flat[-3]), float(flat[-2]), float(flat[-1])
+        length = np.sqrt(flat[:k])
+        self.scale = np.divide(1.0, length, out=np.zeros(k), where=length > 0)
+        self.xy = flat[k : 2 * k] * self.scale
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        """X'X v for one or several columns v: one job over the rows."""
+        columns = (self.scale * v.T).T.reshape(self.k, -1)
+        flat = _summed(*self.source, columns.size, lambda x, t: (x.T @ (x @ columns)).ravel())
+        return (self.scale * flat.reshape(self.k, -1).T).T.reshape(v.shape)
+
+    def solve(self, b: np.ndarray, tolerance: float, steps: int) -> np.ndarray:
+        """Conjugate gradients for the columns of ``b`` together. A column without a solution, or too close to one, raises."""
+        x, r = np.zeros_like(b), b.copy()
+        d, rr = r.copy(), (r * r).sum(axis=0)
+        goal = tolerance**2 * np.maximum((b * b).sum(axis=0), 1e-300)
+        for _ in range(steps):
+            if (rr <= goal).all():
+                return x
+            ad = self.times(d)
+            along = (d * ad).sum(axis=0)
+            a = np.divide(rr, along, out=np.zeros_like(rr), where=(along > 0) & (rr > goal))
+            x, r = x + a * d, r - a * ad
+            now = (r * r).sum(axis=0)
+            d = r + np.divide(now, rr, out=np.zeros_like(rr), where=rr > 0) * d
+            rr = now
+        raise ArithmeticError(f"no solution within {steps} steps; the terms are close to dependent")
+
+
+def _solve_rows(rows: _Rows, tolerance: float, steps: int, errors: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Coefficients and, on request, the diagonal of the inverse of the cross products."""
+    beta = rows.solve(rows.xy[:, None], tolerance, steps)[:, 0]
+    if not errors:
+        return beta * rows.scale, None
+    diagonal = np.zeros(rows.k)
+    for i in range(0, rows.k, COLUMNS_AT_ONCE):
+        at = np.arange(i, min(i + COLUMNS_AT_ONCE, rows.k))
+        unit = np.zeros((rows.k, len(at)))
+        unit[at, at - i] = 1.0
+        diagonal[at] = rows.solve(unit, tolerance, steps)[at, at - i]
+    return beta * rows.scale, diagonal * rows.scale**2
+
+
 def _incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
     if x <= 0 or x >= 1:
@@ -218,24 +304,53 @@ def t_test_p_value(t: float, dof: int) -> float:
     return _incomplete_beta(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
+def _p_values(beta: np.ndarray, diagonal: np.ndarray, rss: float, dof: int) -> np.ndarray:
+    se = np.sqrt(np.maximum(diagonal, 0) * max(rss, 0.0) / dof)
+    t = np.divide(beta, se, out=np.full_like(beta, np.inf), where=se > 0)
+    return np.array([t_test_p_value(v, dof) if np.isfinite(v) else 0.0 for v in t])
+
+
 def fit_polynomial(
-    df: DataFrame, inputs: Sequence[str], y: str, degree: int, cutoff_p_value: float = 1.0, max_terms: int | None = None
+    df: DataFrame,
+    inputs: Sequence[str],
+    y: str,
+    degree: int,
+    cutoff_p_value: float = 1.0,
+    max_terms: int | None = None,
+    tolerance: float = 1e-10,
+    steps: int = 1_000,
+    direct_terms: int = DIRECT_TERMS,
 ) -> Polynomial:
-    """Least squares on all monomials; weak terms (by t-test) are dropped and the rest fitted again."""
+    """Least squares on all monomials; weak terms (by t-test) are dropped and the rest fitted again.
+
+    Up to ``direct_terms`` terms the cross products are solved on the driver; more terms are fitted by conjugate gradients,
+    one job over the rows a step (``tolerance``: length of the remainder against that of X'y). Rows with a missing value
+    do not count. No complete row gives coefficients of 0.
+    """
     exponents = monomials(len(inputs), degree)
-    m = _moments(df, inputs, exponents, y)
-    inverse = np.linalg.pinv(m.xx, hermitian=True)
-    beta = inverse @ m.xy
-    p_values = None
-    if cutoff_p_value < 1.0 or (max_terms is not None and np.count_nonzero(np.abs(beta) > 1e-12) > max_terms):
-        dof = m.n - len(beta)
-        rss = max(m.yy - 2 * beta @ m.xy + beta @ m.xx @ beta, 0.0)
-        se = np.sqrt(np.maximum(np.diag(inverse), 0) * rss / dof)
-        t = np.divide(beta, se, out=np.full_like(beta, np.inf), where=se > 0)
-        p_values = np.array([t_test_p_value(v, dof) if np.isfinite(v) else 0.0 for v in t])
-        order = np.argsort(p_values, kind="stable")
-        keep = [i for i in order if p_values[i] <= cutoff_p_value][: max_terms or len(order)]
-        beta = _refit(m, sorted(keep), len(beta))
+    k = len(exponents)
+
+    def wanted(beta):
+        return cutoff_p_value < 1.0 or (max_terms is not None and np.count_nonzero(np.abs(beta) > 1e-12) > max_terms)
+
+    if k <= direct_terms:
+        m = _moments(df, inputs, exponents, y)
+        inverse = np.linalg.pinv(m.xx, hermitian=True)
+        beta, diagonal, n = inverse @ m.xy, np.diag(inverse), m.n
+        rss = m.yy - 2 * beta @ m.xy + beta @ m.xx @ beta
+        rows = None
+    else:
+        rows = _Rows(df, inputs, exponents, y)
+        beta, diagonal = _solve_rows(rows, tolerance, steps, False)
+        n, rss = rows.n, rows.yy - beta @ np.divide(rows.xy, rows.scale, out=np.zeros(k), where=rows.scale > 0)
+        if wanted(beta):
+            diagonal = _solve_rows(rows, tolerance, steps, True)[1]
+    if not wanted(beta):
+        return Polynomial(list(inputs), exponents, beta)
+    p_values = _p_values(beta, diagonal, rss, n - k)
+    order = np.argsort(p_values, kind="stable")
+    keep = sorted([i for i in order if p_values[i] <= cutoff_p_value][: max_terms or k])
+    beta = _refit(m, keep, k) if rows is None else _refit_rows(rows, keep, tolerance, steps)
     return Polynomial(list(inputs), exponents, beta, p_values)
 
 
@@ -246,11 +361,43 @@ def _refit(m: _Moments, keep: Sequence[int], k: int) -> np.ndarray:
     return beta
 
 
-def fit_lasso(df: DataFrame, inputs: Sequence[str], y: str, degree: int, gamma: float = 0.1, refit: bool = True, steps: int = 100_000) -> Polynomial:
-    """min |y - Xb|^2 / (2 n var y) + gamma / p * |b|_1 by coordinate descent on the cross products."""
+def _refit_rows(rows: _Rows, keep: Sequence[int], tolerance: float, steps: int) -> np.ndarray:
+    """Least squares on some of the terms, directly when they are few."""
+    df, inputs, exponents, y = rows.source
+    beta = np.zeros(rows.k)
+    if len(keep):
+        some = [exponents[i] for i in keep]
+        if len(some) <= DIRECT_TERMS:
+            beta[keep] = _refit(_moments(df, inputs, some, y), range(len(some)), len(some))
+        else:
+            beta[keep] = _solve_rows(_Rows(df, inputs, some, y), tolerance, steps, False)[0]
+    return beta
+
+
+def fit_lasso(
+    df: DataFrame,
+    inputs: Sequence[str],
+    y: str,
+    degree: int,
+    gamma: float = 0.1,
+    refit: bool = True,
+    steps: int = 100_000,
+    tolerance: float = 1e-8,
+    direct_terms: int = DIRECT_TERMS,
+) -> Polynomial:
+    """min |y - Xb|^2 / (2 n var y) + gamma / p * |b|_1.
+
+    Up to ``direct_terms`` terms by coordinate descent on the cross products, beyond by accelerated proximal gradients, one
+    product with the rows a step, until no optimality condition is missed by more than ``tolerance`` of the largest pull.
+    """
     exponents = monomials(len(inputs), degree)
-    m = _moments(df, inputs, exponents, y)
     k = len(exponents)
+    if k > direct_terms:
+        rows = _Rows(df, inputs, exponents, y)
+        bound = rows.n / k * (rows.yy / rows.n - (rows.y / rows.n) ** 2) * gamma
+        beta = _lasso_rows(rows, bound, tolerance, steps)
+        return Polynomial(list(inputs), exponents, _refit_rows(rows, np.flatnonzero(beta).tolist(), tolerance, steps) if refit else beta)
+    m = _moments(df, inputs, exponents, y)
     bound = m.n / k * (m.yy / m.n - (m.y / m.n) ** 2) * gamma
     beta = np.zeros(k)
     for _ in range(steps):
@@ -265,3 +412,35 @@ def fit_lasso(df: DataFrame, inputs: Sequence[str], y: str, degree: int, gamma:
         if moved <= 1e-12 * math.sqrt(m.yy or 1.0):
             break
     return Polynomial(list(inputs), exponents, _refit(m, np.flatnonzero(beta).tolist(), k) if refit else beta)
+
+
+def _lasso_rows(rows: _Rows, bound: float, tolerance: float, steps: int) -> np.ndarray:
+    """Proximal gradients with momentum, started anew where the step turns back; in scaled columns each term has its own bound."""
+    limit = bound * rows.scale
+    v = np.random.default_rng(0).standard_normal(rows.k)
+    for _ in range(30):  # the largest eigenvalue; too small a value is noticed below and doubled
+        v = rows.times(v / np.linalg.norm(v))
+    curve = 1.05 * np.linalg.norm(v)
+    b = ahead = np.zeros(rows.k)
+    product = np.zeros(rows.k)  # X'X b
+    ahead_product, t = product, 1.0
+    goal = tolerance * max(np.abs(rows.xy).max(initial=0.0), 1e-300)
+    for _ in range(steps):
+        pull = rows.xy - product
+        if (np.where(b != 0, np.abs(pull - limit * np.sign(b)), np.maximum(np.abs(pull) - limit, 0.0)) <= goal).all():
+            return b * rows.scale
+        step = ahead + (rows.xy - ahead_product) / curve
+        new = np.sign(step) * np.maximum(np.abs(step) - limit / curve, 0.0)
+        new_product = rows.times(new)
+        gap = new - ahead
+        if gap @ (new_product - ahead_product) > curve * (gap @ gap) * (1 + 1e-9):
+            curve *= 2
+            continue
+        if gap @ (new - b) < 0:
+            t = 1.0
+        t_next = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        w = (t - 1) / t_next
+        # Products are linear, so the product of the point ahead needs no job of its own.
+        ahead, ahead_product = new + w * (new - b), new_product + w * (new_product - product)
+        b, product, t = new, new_product, t_next
+    raise ArithmeticError(f"no solution within {steps} steps")
