@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import style as Y
@@ -102,3 +103,36 @@ def stream_history(spark, folder):
     last = spark.read.parquet(out).groupBy("symbol").agg(F.max_by(F.struct("bars", "enough", "history"), F.struct("last_date", "bars")).alias("_r"))
     kept = last.select("symbol", "_r.bars", "_r.enough", F.explode("_r.history").alias("_b")).select("symbol", "bars", "enough", "_b.*")
     return rounded(kept.withColumn("date", F.to_date("date")), "symbol", "date", "bars", "enough")
+
+
+# Orders as daily bars of customers. They arrive in four parts; one in fifty comes a part late.
+PART = "least(3, year(o_orderdate) // 2 - 997 + CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE 0 END)"
+SEGMENT_SQL = f"""o AS (SELECT o_custkey AS symbol, o_orderdate::DATE AS date, {PART} AS part FROM orders),
+marks AS (SELECT p.part, (SELECT max(date) FROM o WHERE o.part < p.part) - 30 AS mark FROM (SELECT unnest(range(5)) AS part) p),
+seen AS (SELECT o.* FROM o JOIN marks USING (part) WHERE mark IS NULL OR date > mark),
+steps AS (SELECT symbol, part, max(max(date)) OVER s AS newest, lead(part, 1, 4) OVER s AS next FROM seen GROUP BY 1, 2 WINDOW s AS (PARTITION BY symbol ORDER BY part)),
+ends AS (SELECT symbol, steps.part, newest, mark > newest + 400 AS gone FROM steps JOIN marks ON marks.part = next),
+spans AS (SELECT *, coalesce(sum(gone::INT) OVER (PARTITION BY symbol ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS span FROM ends)"""
+
+
+@query(
+    "stream_eviction",
+    f"""WITH {SEGMENT_SQL} SELECT symbol, max(newest) AS last_date, least(12, count(DISTINCT date)) AS bars, bool_or(gone) AS forgotten
+FROM spans JOIN seen USING (symbol, part) GROUP BY symbol, span""",
+)
+def stream_eviction(spark, folder):
+    """Histories of customers from files that arrive one after another, some rows too late; quiet customers are forgotten."""
+    source, out = shared_folder(spark, "arrivals"), shared_folder(spark, "histories")
+    late = F.when(F.col("o_orderkey") % 50 == 0, 1).otherwise(0)
+    o = table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("symbol"), F.to_date("o_orderdate").alias("date"), *[F.col("o_totalprice").alias(c) for c in ("open", "high", "low", "close", "vwap")], F.lit(1.0).alias("volume"),
+        F.least(F.lit(3), F.floor(F.year("o_orderdate") / 2) - 997 + late).alias("part"),
+    )
+    for part in range(4):
+        o.filter(F.col("part") == part).drop("part").write.mode("append").parquet(source)
+        feed = spark.readStream.schema(o.drop("part").schema).parquet(source)
+        stream.run_to_end(stream.bounded_history(feed, 12, 10, 400, "30 days"), out, f"{out}-progress")
+    rows = spark.read.parquet(out).groupBy("symbol", "last_date").agg(F.max("bars").alias("bars"), F.bool_or(F.col("bars") == 0).alias("forgotten"))
+    newest = Window.partitionBy("symbol")
+    ended = rows.withColumn("_newest", F.max("last_date").over(newest)).filter(F.col("forgotten") | (F.col("last_date") == F.col("_newest")))
+    return ended.select("symbol", F.to_date("last_date").alias("last_date"), "bars", "forgotten")

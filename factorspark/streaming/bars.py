@@ -61,35 +61,44 @@ def session_bars(minute: DataFrame, ts: str = "datetime", lateness: str = LATENE
     )
 
 
-def bounded_history(daily: DataFrame, n: int, min_rows: int = 40) -> DataFrame:
+def bounded_history(daily: DataFrame, n: int, min_rows: int = 40, idle_days: int | None = None, lateness: str = LATENESS) -> DataFrame:
     """Per symbol and batch: the last ``n`` daily bars known, oldest first, and whether they are enough.
 
-    The state of a symbol is these bars, so it stays small however long the stream runs.
+    The state of a symbol is these bars, so it stays small however long the stream runs. With ``idle_days`` a symbol is
+    forgotten once the watermark (the newest date less ``lateness``) has passed its newest bar by more than so many days; a row
+    with no bars tells so, and a later bar starts its history anew. Bars up to the watermark come too late and are left out.
     """
 
     def update(key, frames, state: GroupState):
         dates, values = state.get if state.exists else ([], [])
         width = len(_FIELDS)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"symbol": [key[0]], "bars": [0], "last_date": [dates[-1]], "enough": [False], "history": [[]]})
+            return
         known = {d: values[i * width : (i + 1) * width] for i, d in enumerate(dates)}
         for pdf in frames:
             known.update(zip(pdf["date"].astype(str), pdf[list(_FIELDS)].astype(float).to_numpy().tolist(), strict=True))
         last = sorted(known)[-n:]
         state.update((last, [v for d in last for v in known[d]]))
+        if idle_days is not None:
+            idle = pd.Timestamp(last[-1]) + pd.Timedelta(days=idle_days)
+            state.setTimeoutTimestamp(max(int(idle.value // 1_000_000), state.getCurrentWatermarkMs() + 1))
         history = [{"date": d, **dict(zip(_FIELDS, known[d], strict=True))} for d in last]
         yield pd.DataFrame({"symbol": [key[0]], "bars": [len(last)], "last_date": [last[-1]], "enough": [len(last) >= min_rows], "history": [history]})
 
     ship(daily.sparkSession)
     symbol = daily.schema["symbol"].dataType.simpleString()
-    return (
-        daily.select("symbol", "date", *_FIELDS)
-        .groupBy("symbol")
-        .applyInPandasWithState(
-            update,
-            f"symbol {symbol}, bars long, last_date string, enough boolean, history array<struct<date: string, {', '.join(f'{f}: double' for f in _FIELDS)}>>",
-            "dates array<string>, values array<double>",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
+    rows = daily.select("symbol", "date", *_FIELDS)
+    if idle_days is not None:
+        midnight = F.timestamp_seconds(F.unix_date("date").cast("long") * 86_400)  # of UTC, as the time-outs are
+        rows = rows.withColumn("_t", midnight).withWatermark("_t", lateness)
+    return rows.groupBy("symbol").applyInPandasWithState(
+        update,
+        f"symbol {symbol}, bars long, last_date string, enough boolean, history array<struct<date: string, {', '.join(f'{f}: double' for f in _FIELDS)}>>",
+        "dates array<string>, values array<double>",
+        "append",
+        GroupStateTimeout.NoTimeout if idle_days is None else GroupStateTimeout.EventTimeTimeout,
     )
 
 

@@ -146,3 +146,20 @@ def test_days_of_the_exchange(spark, tmp_path, session_zone):
         assert halves == {(r["date"], r["session"]) for r in P.session_bars(source, zone=zone).collect()} and len(halves) == 10
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_quiet_symbols_are_forgotten_and_late_bars_left_out(spark, tmp_path):
+    schema = "symbol string, date date, open double, high double, low double, close double, volume double, vwap double"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(*rows):
+        values = [(s, dt.date.fromisoformat(d), *[float(v)] * 6) for s, d, v in rows]
+        spark.createDataFrame(values, schema).write.mode("append").parquet(source)
+        feed = spark.readStream.schema(schema).parquet(source)
+        stream.run_to_end(stream.bounded_history(feed, 3, 2, 20, "5 days"), out, str(tmp_path / "progress"))
+
+    arrive(("a", "2024-01-01", 1), ("a", "2024-01-01", 2), ("b", "2024-01-02", 3))
+    arrive(("b", "2024-02-01", 4), ("b", "2024-01-10", 5))  # the newest date is 1 February now: a is quiet
+    arrive(("b", "2024-01-20", 6), ("a", "2024-02-02", 7))  # the first comes too late, a begins anew
+    rows = [(r["symbol"], r["bars"], r["last_date"]) for r in spark.read.parquet(out).orderBy("symbol", "last_date", F.col("bars").desc()).collect()]
+    assert rows == [("a", 1, "2024-01-01"), ("a", 0, "2024-01-01"), ("a", 1, "2024-02-02"), ("b", 1, "2024-01-02"), ("b", 3, "2024-02-01")]
