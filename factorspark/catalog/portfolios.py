@@ -437,6 +437,23 @@ def candidate_validity(spark, folder):
     return out.select("total", "distinct_lines", "valid_default", "valid_masked", *[r6(c).alias(c) for c in ("duplicate_rate", "valid_rate_default", "valid_rate_masked")])
 
 
+@query(
+    "formula_table",
+    f"""WITH {FORMULA_SQL}, lines AS (SELECT expr, CASE WHEN length(expr) % 2 = 0 THEN replace(replace(expr, '$', ''), ',', ' , ') ELSE ' ' || expr END AS line FROM formulas), u AS (SELECT DISTINCT expr, line FROM lines)
+SELECT line, ends_with(expr, ')') AS valid, CASE WHEN ends_with(expr, ')') THEN expr END AS canonical,
+CASE WHEN ends_with(expr, ')') THEN array_to_string(list_sort(list_distinct(regexp_extract_all(expr, '\\$(\\w+)', 1))), ',') END AS features,
+CASE WHEN ends_with(expr, ')') THEN CAST(regexp_extract(expr, ',(\\d+)d', 1) AS INTEGER) ELSE 0 END AS longest_window FROM u""",
+)
+def formula_table(spark, folder):
+    """Loosely written formulas read by a table function of SQL."""
+    expr = F.col("expr")
+    loose = F.replace(F.replace(expr, F.lit("$"), F.lit("")), F.lit(","), F.lit(" , "))
+    lines = formulas(spark, folder).select(F.when(F.length(expr) % 2 == 0, loose).otherwise(F.concat(F.lit(" "), expr)).alias("line")).distinct()
+    V.register_formula_table(spark)
+    out = spark.sql("SELECT line, i.* FROM {lines}, LATERAL formula_info(line) i", lines=lines)
+    return out.select("line", "valid", "canonical", F.array_join("features", ",").alias("features"), F.coalesce("longest_window", F.lit(0)).alias("longest_window"))
+
+
 @query(
     "candidate_grid_scores",
     f"""WITH {PANEL_SQL}, f AS (SELECT date, {', '.join(f"CASE WHEN count({c}) OVER w{n} = {n} THEN {a}({c}) OVER w{n} END AS {a}_{c}_{n}" for a in ('avg', 'max') for c in ('close', 'volume') for n in (3, 5))},

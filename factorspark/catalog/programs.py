@@ -85,6 +85,22 @@ def weighted_errors(spark, folder):
     return out.select(r6("mean absolute error").alias("mae"), r6("mse").alias("mse"), r6("rmse").alias("rmse"))
 
 
+@query(
+    "registered_metrics",
+    f"""WITH {XY_SQL}, r AS (SELECT l_linenumber AS line, y, p, w FROM (SELECT *, l_extendedprice / 10000.0 AS y, l_quantity / 10.0 + l_tax AS p, 1.0 + l_discount AS w FROM lineitem))
+SELECT line, {q6('sum(w * abs(p - y)) / sum(w)')} AS mae, {q6('sum(w * (p - y)) / sum(w)')} AS bias,
+{q6('1 - sum(w * (y - p) * (y - p)) / (sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w))')} AS r2, {q6('sqrt(sum(w * exp(-y)) / sum(w))')} AS decay FROM r GROUP BY 1""",
+)
+def registered_metrics(spark, folder):
+    """A built-in metric, one registered as a column and two registered in numpy, for every line number."""
+    N.register_metric("bias", lambda y, p, w: F.sum(w * (p - y)) / F.sum(w), False)
+    N.register_sums_metric("r2", lambda y, p, w: [w.sum(), w @ y, w @ (y * y), w @ (y - p) ** 2], lambda s: 1 - s[3] / (s[2] - s[1] ** 2 / s[0]), 4, True)
+    N.register_sums_metric("decay", lambda y, p, w: [w.sum(), sum(w * 2.718281828459045**-y)], lambda s: (s[1] / s[0]) ** 0.5, 2, False)
+    d = xy(spark, folder).withColumn("w", F.lit(1.0) + F.col("x1"))
+    out = N.grouped_metrics(d, ["mean absolute error", "r2", "bias", "decay"], ["l_linenumber"], w="w")
+    return out.select(F.col("l_linenumber").alias("line"), r6("mean absolute error").alias("mae"), r6("bias").alias("bias"), r6("r2").alias("r2"), r6("decay").alias("decay"))
+
+
 @query("log_loss", f"SELECT {q6('avg(-(toxic * ln(0.1 + 0.8 * quality) + (1 - toxic) * ln(1 - (0.1 + 0.8 * quality))))')} AS log_loss FROM labels")
 def log_loss(spark, folder):
     d = table(spark, folder, "labels").select(F.col("toxic").alias("y"), (F.lit(0.1) + F.lit(0.8) * F.col("quality")).alias("p"))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import io
-import os
 import zipfile
 
+import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
@@ -102,17 +102,17 @@ def round_scores(spark, folder):
 
 
 def _write_zips(df, folder: str, name, member):
-    """One archive per group; ``name`` and ``member`` make the paths from the group's keys. Returns the rows written."""
+    """One archive per group, in the store that the folder's address names; ``name`` and ``member`` make the paths from the group's keys."""
     ship(df.sparkSession)
-    root = folder.removeprefix("file:")
 
     def write(key, pdf):
-        path = os.path.join(root, name(*key))
-        os.makedirs(os.path.dirname(path), exist_ok=True)
+        store, root = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        path = f"{root}/{name(*key)}"
+        store.create_dir(path.rpartition("/")[0], recursive=True)
         data = io.BytesIO()
         with zipfile.ZipFile(data, "w") as z:
             z.writestr(member(*key), pdf.drop(columns=["symbol", "day"], errors="ignore").sort_values(pdf.columns[-1]).to_csv(header=False, index=False))
-        with open(path, "wb") as f:
+        with store.open_output_stream(path) as f:
             f.write(data.getvalue())
         return pdf[["symbol"]].iloc[:1].assign(n=len(pdf))
 

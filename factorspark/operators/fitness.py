@@ -13,8 +13,10 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut, ship
 from . import scale
@@ -83,6 +85,95 @@ def register_metric(name: str, fn: Callable[[Column, Column, Column], Column], g
     return METRICS[name]
 
 
+@dataclass(frozen=True)
+class SumsMetric:
+    """A metric in numpy that is a function of sums: ``part(y, prediction, weight)`` gives ``size`` numbers for some rows,
+    ``finish`` turns their sums over all rows into the value."""
+
+    name: str
+    part: Callable[[np.ndarray, np.ndarray, np.ndarray], Sequence[float]]
+    finish: Callable[[np.ndarray], float]
+    size: int
+    greater_is_better: bool
+
+
+SUMS_METRICS: dict[str, SumsMetric] = {}
+
+
+def register_sums_metric(name: str, part, finish, size: int, greater_is_better: bool) -> SumsMetric:
+    """Register a numpy metric; :func:`grouped_metrics` takes it by name beside the column metrics."""
+    if name in METRICS:
+        raise ValueError(f"{name} is a column metric already")
+    SUMS_METRICS[name] = SumsMetric(name, part, finish, size, greater_is_better)
+    return SUMS_METRICS[name]
+
+
+def grouped_metrics(df: DataFrame, names: Sequence[str], by: Sequence[str], y: str = "y", p: str = "p", w: str | None = None) -> DataFrame:
+    """(by columns, one column per metric), ranked metrics excepted.
+
+    Column metrics are one aggregate. Numpy metrics send one row of sums per task batch and group, so a group of any size is
+    reduced where its rows lie; ``finish`` runs as an Arrow function on one row per group. Rows that miss the target or the
+    prediction have no weight; a missing group key is a group.
+    """
+    unknown = [n for n in names if n not in METRICS and n not in SUMS_METRICS]
+    if unknown or any(METRICS[n].ranked for n in names if n in METRICS):
+        raise ValueError(f"{unknown or 'ranked metrics'} cannot be computed by group")
+    weight = F.col(w) if w else F.lit(1.0)
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = df.select(
+        *[F.col(k).alias(n) for k, n in zip(by, keys, strict=True)],
+        F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p"), weight.cast("double").alias("_w"),
+    ).withColumn("_w", F.when(F.col("_y").isNotNull() & F.col("_p").isNotNull(), F.col("_w")))
+    column = [METRICS[n].fn(F.col("_y"), F.col("_p"), F.col("_w")) for n in names if n in METRICS]
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(f"_c{i}") for i, c in enumerate(column)])
+    named = {n: f"_c{i}" for i, n in enumerate(n for n in names if n in METRICS)}
+    custom = [SUMS_METRICS[n] for n in names if n in SUMS_METRICS]
+    if custom:
+        sums = _sums_by_group(rows, custom, keys).withColumnsRenamed({k: f"_j{k}" for k in keys})
+        out = out.join(sums, [F.col(k).eqNullSafe(F.col(f"_j{k}")) for k in keys], "left")
+        named |= {m.name: f"_v{i}" for i, m in enumerate(custom)}
+    return out.select(*[F.col(n).alias(k) for k, n in zip(by, keys, strict=True)], *[F.col(named[n]).alias(n) for n in names])
+
+
+def _finisher(finish: Callable[[np.ndarray], float]):
+    @F.pandas_udf("double")
+    def value(sums: pd.Series) -> pd.Series:
+        return pd.Series([float(finish(np.asarray(s))) for s in sums], dtype=float)
+
+    return value
+
+
+def _sums_by_group(rows: DataFrame, metrics: Sequence[SumsMetric], keys: Sequence[str]) -> DataFrame:
+    """(keys, _v0, _v1, ...): the metrics in their order."""
+    ship(rows.sparkSession)
+    # Metrics are the caller's functions, which only travel by value inside a closure.
+    parts, sizes = [m.part for m in metrics], [m.size for m in metrics]
+
+    def partial_sums(batches):
+        for batch in batches:
+            batch = batch.filter(pc.and_(pc.and_(batch["_y"].is_valid(), batch["_p"].is_valid()), batch["_w"].is_valid()))
+            if not len(batch):
+                continue
+            codes = [batch[k].dictionary_encode("encode").indices.to_numpy() for k in keys] or [np.zeros(len(batch))]
+            _, first, group = np.unique(np.column_stack(codes), axis=0, return_index=True, return_inverse=True)
+            order = np.argsort(group, kind="stable")
+            columns = [batch[c].to_numpy()[order] for c in ("_y", "_p", "_w")]
+            cuts = np.searchsorted(group[order], np.arange(1, len(first)))
+            pieces = zip(*[np.split(c, cuts) for c in columns], strict=True)
+            sums = [[float(v) for f in parts for v in f(*piece)] for piece in pieces]
+            some = batch.select(keys).take(pa.array(first))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(sums, pa.list_(pa.float64()))], names=[*keys, "_s"])
+
+    schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("_s", T.ArrayType(T.DoubleType()))])
+    summed = rows.mapInArrow(partial_sums, schema).groupBy(*keys).agg(*[F.sum(F.get("_s", F.lit(i))).alias(f"_s{i}") for i in range(sum(sizes))])
+    at = 0
+    for i, m in enumerate(metrics):
+        sums = F.array(*[F.col(f"_s{j}") for j in range(at, at + m.size)])
+        summed = summed.withColumn(f"_v{i}", F.nanvl(_finisher(m.finish)(sums), F.lit(None).cast("double")))
+        at += m.size
+    return summed.select(*keys, *[f"_v{i}" for i in range(len(metrics))])
+
+
 def _with_ranks(df: DataFrame, cols: Sequence[str], unique: Sequence[str]) -> DataFrame:
     rows = max_group_rows(df, [])
     for c in cols:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.formula import DEFAULT, FormulaOptions, is_valid
+from ..plans.formula import DEFAULT, Days, Feature, FormulaError, FormulaOptions, is_valid, parse
 from ..plans.operators import operators
 from ..session import ship
 from .panel import asof_lookup
@@ -135,6 +135,30 @@ def candidate_validity(lines: DataFrame, options: dict[str, FormulaOptions] | No
     )
 
 
+def register_formula_table(spark: SparkSession, name: str = "formula_info", options: FormulaOptions = DEFAULT) -> None:
+    """A table function for SQL: ``FROM candidates, LATERAL formula_info(line)`` gives one row per text.
+
+    (valid, canonical, fault, features, longest_window): the formula in its canonical form, or what is wrong with it; a
+    missing text is a fault like any other.
+    """
+    ship(spark)
+
+    class FormulaInfo:
+        def eval(self, text: str):
+            try:
+                if text is None:
+                    raise FormulaError("no text")
+                tree = parse(text, options)
+            except FormulaError as e:
+                yield False, None, str(e), None, None
+                return
+            nodes = list(tree.walk())
+            features = sorted({n.name for n in nodes if isinstance(n, Feature)})
+            yield True, str(tree), None, features, max((n.n for n in nodes if isinstance(n, Days)), default=0)
+
+    spark.udtf.register(name, F.udtf(FormulaInfo, returnType="valid boolean, canonical string, fault string, features array<string>, longest_window int"))
+
+
 # The windows of the two candidate grids.
 MINING_WINDOWS = (1, 5, 10, 20, 40)
 FUNCTION_WINDOWS = (10, 20, 30, 40, 50)
