@@ -241,7 +241,7 @@ HALL_RANKS = HALL_VALUES.replace(", v AS", ", u AS") + ", v AS (SELECT " + ", ".
 
 def decorrelated(spark, folder, ranks):
     columns = {p: Z.program_column(p, ["x0", "x1", "x2"]) for p in HALL}
-    out = N.decorrelated_programs(xy(spark, folder), columns, "y", 9, 4, ranks, ROW)
+    out = N.decorrelated_programs(xy(spark, folder), columns, "y", 9, 4, ranks)
     return out.withColumn("fitness", r6("fitness"))
 
 

@@ -78,7 +78,7 @@ def winsorize(panel: Panel, cols: Sequence[str], p: float = 0.01, by: Sequence[s
 
 
 def rank_average(panel: Panel, col: str, name: str) -> Panel:
-    return panel.over(average_rank(panel.df, ["date"], col, name, ["symbol"], panel.n_symbols))
+    return panel.over(average_rank(panel.df, ["date"], {col: name}, panel.n_symbols))
 
 
 def median_fill(panel: Panel, cols: Sequence[str]) -> Panel:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut, ship
+from ..session import cut, ship, stored
 from . import scale
 from .scale import average_rank, max_group_rows, measured_side, position_in_group, prefix_scan, running_total
 
@@ -174,17 +174,20 @@ def _sums_by_group(rows: DataFrame, metrics: Sequence[SumsMetric], keys: Sequenc
     return summed.select(*keys, *[f"_v{i}" for i in range(len(metrics))])
 
 
-def _with_ranks(df: DataFrame, cols: Sequence[str], unique: Sequence[str]) -> DataFrame:
+def _with_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     rows = max_group_rows(df, [])
-    for c in cols:
-        df = average_rank(df, [], c, f"_rank_{c}", unique, rows)
-    return df.select(*[c for c in df.columns if not c.startswith("_rank_") and c not in cols], *[F.col(f"_rank_{c}").alias(c) for c in cols])
+    out = average_rank(df, [], {c: f"_rank_{c}" for c in cols}, rows)
+    out = out.select(*[c for c in df.columns if c not in cols], *[F.col(f"_rank_{c}").alias(c) for c in cols])
+    return out if rows <= scale.MAX_GROUP_ROWS else stored(out)  # read for the means, and again
 
 
 def weighted_metrics(
     df: DataFrame, names: Sequence[str], y: str = "y", p: str = "p", w: str | None = None, unique: Sequence[str] = ()
 ) -> DataFrame:
-    """One row with a column per metric. Values are centred on their means first, so large offsets do no harm."""
+    """One row with a column per metric. Values are centred on their means first, so large offsets do no harm.
+
+    Ranks are those of values, so columns that tell rows apart (``unique``) are not needed any more.
+    """
     plain = [METRICS[n] for n in names if not METRICS[n].ranked]
     ranked = [METRICS[n] for n in names if METRICS[n].ranked]
     weight = F.col(w) if w else F.lit(1.0)
@@ -192,8 +195,8 @@ def weighted_metrics(
     for group in (plain, ranked):
         if not group:
             continue
-        keep = dict.fromkeys([y, p, *([w] if w else []), *unique])
-        src = _with_ranks(df.select(*keep), [y, p], unique) if group is ranked else df
+        keep = dict.fromkeys([y, p, *([w] if w else [])])
+        src = _with_ranks(df.select(*keep), [y, p]) if group is ranked else df
         # The means come from one extra pass; both are scalars of the same aggregate.
         means = src.agg(F.avg(y).alias("_y"), F.avg(p).alias("_p"))
         my, mp = means.select("_y").scalar(), means.select("_p").scalar()
@@ -240,8 +243,9 @@ def regression_metrics(
     )
 
 
-def spearman(df: DataFrame, y: str, p: str, unique: Sequence[str]) -> DataFrame:
-    return _with_ranks(df.select(*dict.fromkeys([y, p, *unique])), [y, p], unique).agg(F.corr(y, p).alias("spearman"))
+def spearman(df: DataFrame, y: str, p: str, unique: Sequence[str] = ()) -> DataFrame:
+    """Ranks are those of values, so columns that tell rows apart (``unique``) are not needed any more."""
+    return _with_ranks(df.select(*dict.fromkeys([y, p])), [y, p]).agg(F.corr(y, p).alias("spearman"))
 
 
 def with_split(df: DataFrame, key: Sequence[str], fraction: float, seed: int = 0, name: str = "in_sample") -> DataFrame:
@@ -464,24 +468,21 @@ def row_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def decorrelated_programs(
-    df: DataFrame, programs: Mapping[str, Column], target: str, hall: int, keep: int, ranks: bool = False, unique: Sequence[str] = ()
+    df: DataFrame, programs: Mapping[str, Column], target: str, hall: int, keep: int, ranks: bool = False
 ) -> DataFrame:
     """(rank, program, fitness): of the ``hall`` fittest programs, the worse of the closest pair goes until ``keep`` are left.
 
     Fitness is the absolute correlation with the target, equal ones by text; with ``ranks`` all correlations are Spearman's,
-    over average ranks (``unique`` names columns that tell rows apart). A program without a correlation counts as 0;
+    over average ranks. A program without a correlation counts as 0;
     correlations that agree to 12 digits are equal, and of equally close pairs that of the fitter programs comes first.
     """
     names = {f"_p{i}": c for i, c in enumerate(programs.values())}
     texts = list(programs)
-    wide = df.withColumns(names).select(*names, F.col(target).alias("_y"), *unique)
+    wide = df.withColumns(names).select(*names, F.col(target).alias("_y"))
     cols = [*names, "_y"]
     if ranks:
-        wide = cut(wide)
-        n = wide.count()
-        for c in cols:
-            wide = average_rank(wide, [], c, f"_r{c}", unique, n)
-        wide = wide.select(*[F.col(f"_r{c}").alias(c) for c in cols])
+        wide = average_rank(wide, [], {c: f"_r{c}" for c in cols})
+        wide = stored(wide.select(*[F.col(f"_r{c}").alias(c) for c in cols]))
     fitness = {r["i"]: r["corr"] for r in row_correlations_with(wide, cols).collect()}
     best = sorted(range(len(texts)), key=lambda i: (-round(abs(fitness.get(i) or 0.0), 12), texts[i]))[:hall]
     closest = row_correlations(wide, [f"_p{i}" for i in best]).select("i", "j", F.round(F.coalesce(F.abs("corr"), F.lit(0.0)), 12).alias("c"))

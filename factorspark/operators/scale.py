@@ -9,12 +9,13 @@ Two measured sizes decide between the short plan and the split plan everywhere i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, stored
 
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_CELLS = 8_000_000  # about 64 MB of doubles
@@ -103,23 +104,55 @@ def top_in_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: i
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= k)
 
 
-def average_rank(
-    df: DataFrame, by: Sequence[str], col: str, name: str, unique: Sequence[str], group_rows: int | None = None
-) -> DataFrame:
-    """0-based rank in the group with ties at their average; NULL stays NULL."""
+def average_rank(df: DataFrame, by: Sequence[str], names: Mapping[str, str], group_rows: int | None = None) -> DataFrame:
+    """0-based ranks in the group with ties at their average, {column: name of its rank}; NULL stays NULL.
+
+    In wide groups the distinct values are counted and ranked, one column after the other, and their ranks go back to the
+    rows: by broadcast while the values are few, else by one shuffle of the rows for each column of many values.
+    """
     by = list(by)
     size = max_group_rows(df, by) if group_rows is None else group_rows
     if size <= MAX_GROUP_ROWS:
-        order = Window.partitionBy(*by).orderBy(F.col(col).asc_nulls_last())
-        ranked = F.rank().over(order) - 1
-        ties = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))  # peers, same sort
-        return df.withColumn(name, F.when(F.col(col).isNotNull(), ranked + (ties - 1) / F.lit(2.0)))
-    # Ranks come from the checkpointed rows and go back to the same rows: values computed twice could differ in
-    # their last bits. Equal values are one row of the joined side, and AQE splits a value that is very common.
-    rest = [F.col(c) for c in unique if c not in by]
-    placed = ordered_position(df, by, [F.col(col).asc_nulls_last(), *rest], "_at")
-    per_value = placed.groupBy(*by, col).agg(((F.min("_at") + F.max("_at")) / F.lit(2.0)).alias(name))
-    return placed.join(per_value, [*by, col], "left").withColumn(name, F.when(F.col(col).isNotNull(), F.col(name))).drop("_at")
+        for col, name in names.items():
+            order = Window.partitionBy(*by).orderBy(F.col(col).asc_nulls_last())
+            ranked = F.rank().over(order) - 1
+            ties = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))  # peers, same sort
+            df = df.withColumn(name, F.when(F.col(col).isNotNull(), ranked + (ties - 1) / F.lit(2.0)))
+        return df
+    # Ranks come from stored rows and go back to the same rows: values computed twice could differ in their last bits.
+    # Equal values are one row of the joined side, and AQE splits a value that is very common.
+    out = rows = stored(df)
+    sides = []
+    for col, name in names.items():
+        values, n = _ranked_values(rows, by, col, name)
+        sides.append((n, col, values))
+    room = MAX_BROADCAST_ROWS
+    for n, col, values in sorted(sides, key=lambda side: side[0]):
+        if n <= room:
+            values, room = F.broadcast(values), room - n
+        same = F.col(col) == F.col("_value")
+        for i, b in enumerate(by):
+            same = same & F.col(b).eqNullSafe(F.col(f"_by{i}"))
+        out = out.join(values, same, "left").drop("_value", *[f"_by{i}" for i in range(len(by))])
+    return out
+
+
+def _ranked_values(rows: DataFrame, by: Sequence[str], col: str, name: str) -> tuple[DataFrame, int]:
+    """(_by0 .., _value, rank) of the present values of a column in their groups, and their number."""
+    keys = [f"_by{i}" for i in range(len(by))]
+    present = rows.filter(F.col(col).isNotNull()).select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(col).alias("_value"))
+    counts = stored(present.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n")), "values")
+    n = counts.count()
+    placed = prefix_scan(counts, [F.col(c) for c in (*keys, "_value")], {"_before": ("sum", "_n")}, n)
+    placed = placed.withColumn("_before", F.col("_before") - F.col("_n"))
+    first = F.lit(0)
+    if keys:
+        starts = counts.groupBy(*keys).agg(F.sum("_n").alias("_before"))
+        starts = prefix_scan(starts, [F.col(k) for k in keys], {"_first": ("sum", "_before")}).select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col("_first") - F.col("_before")).alias("_first"))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        placed, first = placed.join(measured_side(starts), same), F.col("_first")
+    rank = F.col("_before") - first + (F.col("_n") - 1) / F.lit(2.0)
+    return placed.select(*keys, "_value", rank.alias(name)), n
 
 
 def group_percentiles(
@@ -145,7 +178,7 @@ def group_percentiles(
         rest = [u for u in unique if u not in by]
         valid = df.filter(F.col(c).isNotNull()).select(*by, c, *rest)
         placed = ordered_position(valid, by, [F.col(c), *[F.col(u) for u in rest]], "_at")
-        counts = valid.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        counts = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
         placed = placed.join(counts, by) if by else placed.withColumn("_n", counts.scalar())
         parts = []
         for i, p in enumerate(probs):
