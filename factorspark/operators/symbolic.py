@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..plans.formula import FormulaError
-from ..session import cut, ship
+from ..session import ship, stored
 from .scale import measured_side
 
 # Up to this many terms the cross products (terms x terms numbers) go to the driver; beyond, solvers iterate over the rows.
 DIRECT_TERMS = 500
 CHUNK_NUMBERS = 4_000_000  # numbers of the design matrix that a task holds at a time
+SAME_SIGNS = 2  # steps that leave the signs of a lasso as they are before its system is solved
 COLUMNS_AT_ONCE = 64  # columns of the inverse solved for together
 
 _COMMON = {
@@ -226,11 +227,11 @@ def _moments(df: DataFrame, inputs: Sequence[str], exponents: Sequence[tuple[int
 class _Rows:
     """Normal equations that are only ever multiplied with, in columns scaled to length one.
 
-    ``df`` is read once per product, so it is fixed in the checkpoint folder first.
+    ``df`` is read once per product, so it is stored first, as columns.
     """
 
     def __init__(self, df: DataFrame, inputs: Sequence[str], exponents: Sequence[tuple[int, ...]], y: str):
-        self.source = (cut(df.select(*dict.fromkeys([*inputs, y]))), inputs, exponents, y)
+        self.source = (stored(df.select(*dict.fromkeys([*inputs, y]))), inputs, exponents, y)
         k = self.k = len(exponents)
         flat = _summed(
             *self.source, 2 * k + 3, lambda x, t: np.concatenate([(x * x).sum(axis=0), x.T @ t, [len(t), t.sum(), t @ t]])
@@ -415,20 +416,42 @@ def fit_lasso(
 
 
 def _lasso_rows(rows: _Rows, bound: float, tolerance: float, steps: int) -> np.ndarray:
-    """Proximal gradients with momentum, started anew where the step turns back; in scaled columns each term has its own bound."""
+    """Proximal gradients with momentum, started anew where the step turns back; in scaled columns each term has its own bound.
+
+    Once the signs have stayed the same for some steps, the system that they leave is solved by conjugate gradients, and
+    its solution is taken where it fulfils all conditions.
+    """
     limit = bound * rows.scale
     v = np.random.default_rng(0).standard_normal(rows.k)
-    for _ in range(30):  # the largest eigenvalue; too small a value is noticed below and doubled
-        v = rows.times(v / np.linalg.norm(v))
-    curve = 1.05 * np.linalg.norm(v)
+    v /= np.linalg.norm(v)
+    curve = 0.0
+    for _ in range(30):  # the largest eigenvalue from below; too small a value is noticed further down and doubled
+        v = rows.times(v)
+        before, curve = curve, float(np.linalg.norm(v))
+        if curve <= 1.01 * before or curve == 0:
+            break
+        v = v / curve
+    curve = 1.05 * curve or 1.0
     b = ahead = np.zeros(rows.k)
     product = np.zeros(rows.k)  # X'X b
     ahead_product, t = product, 1.0
     goal = tolerance * max(np.abs(rows.xy).max(initial=0.0), 1e-300)
-    for _ in range(steps):
+
+    def solved(b, product) -> bool:
         pull = rows.xy - product
-        if (np.where(b != 0, np.abs(pull - limit * np.sign(b)), np.maximum(np.abs(pull) - limit, 0.0)) <= goal).all():
+        return bool((np.where(b != 0, np.abs(pull - limit * np.sign(b)), np.maximum(np.abs(pull) - limit, 0.0)) <= goal).all())
+
+    signs, since, tried = np.zeros(rows.k), 0, set()
+    for _ in range(steps):
+        if solved(b, product):
             return b * rows.scale
+        since = since + 1 if (np.sign(b) == signs).all() else 0
+        signs = np.sign(b)
+        if since >= SAME_SIGNS and signs.any() and signs.tobytes() not in tried:
+            tried.add(signs.tobytes())
+            found = _lasso_with_signs(rows, limit, signs, b, product, goal)
+            if found is not None and (np.sign(found) == signs).all() and solved(found, rows.times(found)):
+                return found * rows.scale
         step = ahead + (rows.xy - ahead_product) / curve
         new = np.sign(step) * np.maximum(np.abs(step) - limit / curve, 0.0)
         new_product = rows.times(new)
@@ -444,3 +467,21 @@ def _lasso_rows(rows: _Rows, bound: float, tolerance: float, steps: int) -> np.n
         ahead, ahead_product = new + w * (new - b), new_product + w * (new_product - product)
         b, product, t = new, new_product, t_next
     raise ArithmeticError(f"no solution within {steps} steps")
+
+
+def _lasso_with_signs(rows: _Rows, limit: np.ndarray, signs: np.ndarray, b: np.ndarray, product: np.ndarray, goal: float) -> np.ndarray | None:
+    """Where the pull on every term of the given signs equals its bound, the other terms at 0; None when it is not reached."""
+    inside = signs != 0
+    r = np.where(inside, rows.xy - limit * signs - product, 0.0)
+    d, rr = r, r @ r
+    for _ in range(2 * int(inside.sum()) + 2):
+        if np.abs(r).max() <= 0.1 * goal:
+            return b
+        ad = np.where(inside, rows.times(d), 0.0)
+        along = d @ ad
+        if along <= 0:
+            return None
+        b, r = b + rr / along * d, r - rr / along * ad
+        now = r @ r
+        d, rr = r + now / rr * d, now
+    return None
