@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 KEYS = ("symbol", "date", "session")
 
 
@@ -56,16 +58,20 @@ def select_features(df: DataFrame, start, end, feature_patterns=None, symbols=No
 def export(df: DataFrame, path: str, formats: Sequence[str] = ("parquet", "csv")) -> None:
     """``parquet``, ``csv`` and/or ``per_symbol_csv`` (a folder per symbol, sorted by date).
 
-    The range shuffle lets several tasks write a symbol with very many rows, each a stretch of its dates.
+    The range shuffle lets several tasks write a symbol with very many rows, each a stretch of its dates. ``df`` is computed
+    once: text is written from the Parquet export or, without one, from stored rows.
     """
     if "parquet" in formats:
         df.write.mode("overwrite").parquet(f"{path}/parquet")
+        df = df.sparkSession.read.schema(df.schema).parquet(f"{path}/parquet")
+    elif "per_symbol_csv" in formats:  # the range shuffle reads its rows twice
+        df = stored(df, "export")
     if "csv" in formats:
         df.write.mode("overwrite").option("header", "true").csv(f"{path}/csv")
     if "per_symbol_csv" in formats:
         (
             df.withColumn("_symbol", F.col("symbol"))
-            .repartitionByRange("_symbol", "date")
+            .repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_symbol", "date")
             .sortWithinPartitions("_symbol", "date")
             .write.mode("overwrite")
             .option("header", "true")
