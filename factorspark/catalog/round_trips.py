@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from ..operators import metrics as M
 from ..operators import windows as T
 from ..operators.panel import densify
 from ..operators.portfolio import ranked
+from ..operators.scale import spread
 from ..plans.evaluate import factor_table
 from ..plans.formula import FormulaOptions
 from ..session import shared_folder, ship
@@ -85,7 +87,7 @@ def exports(spark, folder):
     path = shared_folder(spark, "exports")
     S.export(bars(spark, folder).select("symbol", "date", "close"), path, ("parquet", "csv", "per_symbol_csv"))
     text = spark.read.option("header", "true").schema("symbol long, date date, close double")
-    read = {"parquet": spark.read.parquet(f"{path}/parquet"), "csv": text.csv(f"{path}/csv"), "per_symbol": text.csv(f"{path}/per_symbol").drop("_symbol")}
+    read = {"parquet": spark.read.parquet(f"{path}/parquet"), "csv": text.csv(f"{path}/csv"), "per_symbol": text.option("recursiveFileLookup", "true").csv(f"{path}/per_symbol")}
     out = None
     for name, df in read.items():
         rows = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("close")).alias("total")).select(F.lit(name).alias("format"), "symbol", "n", "total")
@@ -101,22 +103,34 @@ def round_scores(spark, folder):
     return found[0].unionByName(found[1])
 
 
-def _write_zips(df, folder: str, name, member):
-    """One archive per group, in the store that the folder's address names; ``name`` and ``member`` make the paths from the group's keys."""
-    ship(df.sparkSession)
+def _write_zips(rows, keys, folder: str, name, member) -> None:
+    """One archive per group, in the store that the folder's address names; ``name`` and ``member`` make the paths from the group's keys.
 
-    def write(key, pdf):
-        store, root = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
-        path = f"{root}/{name(*key)}"
-        store.create_dir(path.rpartition("/")[0], recursive=True)
-        data = io.BytesIO()
-        with zipfile.ZipFile(data, "w") as z:
-            z.writestr(member(*key), pdf.drop(columns=["symbol", "day"], errors="ignore").sort_values(pdf.columns[-1]).to_csv(header=False, index=False))
-        with store.open_output_stream(path) as f:
-            f.write(data.getvalue())
-        return pdf[["symbol"]].iloc[:1].assign(n=len(pdf))
+    Spark makes the text of each group; a task writes the archives of all its groups.
+    """
+    ship(rows.sparkSession)
+    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns if c not in keys])
+    texts = spread(rows, *keys).groupBy(*keys).agg(F.concat_ws("\n", F.sort_array(F.collect_list(line))).alias("text"))
 
-    return write
+    def write(batches):
+        store, root = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        made = set()
+        for batch in batches:
+            *groups, text = (c.to_pylist() for c in batch.columns)
+            for key, body in zip(zip(*groups, strict=True), text, strict=True):
+                path = f"{root}/{name(*key)}"
+                parent = path.rpartition("/")[0]
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w") as z:
+                    z.writestr(member(*key), body + "\n")
+                with store.open_output_stream(path) as f:
+                    f.write(data.getvalue())
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, pa.schema([("n", pa.int64())]))
+
+    texts.mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
 MINUTE_SQL = """ticks AS (SELECT 'U' || user_id AS symbol, date_trunc('milliseconds', ts) AS datetime, CAST(ts AS DATE) AS date, value AS price, CAST(props->>'k' AS DOUBLE) AS volume FROM events)"""
@@ -133,8 +147,7 @@ def minute_zip_scan(spark, folder):
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("symbol"), F.date_format("ts", "yyyyMMdd").alias("day"), ms.alias("ms"),
         *[price.alias(c) for c in ("open", "high", "low", "close")], F.get_json_object("props", "$.k").cast("long").alias("volume"),
     )
-    write = _write_zips(rows, path, lambda symbol, day: f"{symbol}/{day}_trade.zip", lambda symbol, day: f"{day}_{symbol}_minute_trade.csv")
-    rows.groupBy("symbol", "day").applyInPandas(write, "symbol string, n long").agg(F.sum("n")).collect()
+    _write_zips(rows, ["symbol", "day"], path, lambda symbol, day: f"{symbol}/{day}_trade.zip", lambda symbol, day: f"{day}_{symbol}_minute_trade.csv")
     got = B.read_minute_zips(spark, path, [f"u{k}" for k in range(10)], "2024-01-08", "2024-01-12")
     return got.select("symbol", F.col("datetime").cast("timestamp_ntz").alias("datetime"), r6("close").alias("close"), "volume")
 
@@ -145,6 +158,5 @@ def daily_zip_scan(spark, folder):
     path = shared_folder(spark, "days")
     fields = [F.round(F.col(c) * 10_000).cast("long").alias(c) for c in ("open", "high", "low", "close")]
     rows = daily(spark, folder).select(F.concat(F.lit("u"), F.col("symbol").cast("string")).alias("symbol"), F.date_format("date", "yyyyMMdd").alias("d"), *fields, "volume")
-    write = _write_zips(rows, path, lambda symbol: f"{symbol}.zip", lambda symbol: f"{symbol}.csv")
-    rows.groupBy("symbol").applyInPandas(write, "symbol string, n long").agg(F.sum("n")).collect()
+    _write_zips(rows, ["symbol"], path, lambda symbol: f"{symbol}.zip", lambda symbol: f"{symbol}.csv")
     return B.read_daily_zips(spark, path, start="2024-01-05", end="2024-01-20").select("symbol", "date", r6("close").alias("close"), "volume")

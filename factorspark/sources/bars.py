@@ -30,8 +30,20 @@ _MINUTE = r"([^/]+)/\d{8}_trade\.zip$"
 _MINUTE_DAY = r"(\d{8})_trade\.zip$"
 
 
+def _any_case(symbol: str) -> str:
+    """The file pattern that a name fulfils in upper and lower case."""
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isascii() and c.isalpha() else c if c.isascii() and (c.isalnum() or c in "._-=") else "?" for c in symbol)
+
+
 def _minute_archives(spark: SparkSession, root: str, symbols: Sequence[str] | None, start, end) -> DataFrame:
-    """(path, content) of the wanted archives. The filters stand on the file's metadata, so other files are not opened."""
+    """(path, content) of the wanted archives. The filters stand on the file's metadata, so other files are not opened.
+
+    With ``symbols`` only their folders are listed, where ``root`` holds any of them; else all below ``root`` are.
+    """
+    if symbols:
+        folders = f"{root.rstrip('/')}/{{{','.join(map(_any_case, symbols))}}}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(folders)
+        root = folders if at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) else root
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*_trade.zip").load(root)
     path = F.col("_metadata.file_path")
     day = F.to_date(F.regexp_extract(path, _MINUTE_DAY, 1), "yyyyMMdd")
