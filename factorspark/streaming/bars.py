@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from ..session import ship
 from ..plans.formula import DEFAULT, FormulaOptions, parse, reach
 
 _FIELDS = ("open", "high", "low", "close", "volume", "vwap")
+HISTORY_BUCKETS = 2_048  # groups of symbols that share a state
 LATENESS = "5 days"  # fixed value: how long an open day waits for late bars
 
 
@@ -64,43 +66,94 @@ def session_bars(minute: DataFrame, ts: str = "datetime", lateness: str = LATENE
 def bounded_history(daily: DataFrame, n: int, min_rows: int = 40, idle_days: int | None = None, lateness: str = LATENESS) -> DataFrame:
     """Per symbol and batch: the last ``n`` daily bars known, oldest first, and whether they are enough.
 
-    The state of a symbol is these bars, so it stays small however long the stream runs. With ``idle_days`` a symbol is
+    The state holds these bars, so it stays small however long the stream runs. With ``idle_days`` a symbol is
     forgotten once the watermark (the newest date less ``lateness``) has passed its newest bar by more than so many days; a row
     with no bars tells so, and a later bar starts its history anew. Bars up to the watermark come too late and are left out.
+
+    Symbols share the state of their bucket, one of ``HISTORY_BUCKETS`` by hash: Python is called once a bucket, not once a symbol.
     """
 
+    width = len(_FIELDS)
+
     def update(key, frames, state: GroupState):
-        dates, values = state.get if state.exists else ([], [])
-        width = len(_FIELDS)
-        if state.hasTimedOut:
+        symbols, sizes, dates, values, deadlines = _held(state, width)
+        touched: set[int] = set()
+        place = {s: i for i, s in enumerate(symbols)}
+        now = state.getCurrentWatermarkMs() if idle_days is not None else None
+        for pdf in () if state.hasTimedOut else frames:
+            new, names = pd.factorize(pdf["symbol"], use_na_sentinel=False)
+            names = [None if pd.isna(s) else s for s in names.tolist()]
+            for s in names:
+                if s not in place:
+                    place[s] = len(symbols)
+                    symbols.append(s)
+            at = np.array([place[s] for s in names], dtype=np.int64)
+            touched.update(at.tolist())
+            # Of equal dates the last row counts, and each symbol keeps its n newest.
+            code = np.concatenate([np.repeat(np.arange(len(sizes)), sizes), at[new]])
+            dates = np.concatenate([dates, pdf["date"].astype(str).to_numpy().astype(str)])
+            values = np.concatenate([values, pdf[list(_FIELDS)].astype(float).to_numpy()])
+            order = np.lexsort((dates, code))
+            code, dates, values = code[order], dates[order], values[order]
+            keep = np.append((code[1:] != code[:-1]) | (dates[1:] != dates[:-1]), True)
+            code, dates, values = code[keep], dates[keep], values[keep]
+            sizes = np.bincount(code, minlength=len(symbols))
+            keep = np.cumsum(sizes)[code] - np.arange(len(code)) <= n
+            dates, values, sizes = dates[keep], values[keep], np.minimum(sizes, n)
+        last = dates[np.cumsum(sizes) - 1]
+        seen = np.zeros(len(symbols), bool)
+        seen[list(touched)] = True
+        gone = np.zeros(len(symbols), bool)
+        if idle_days is not None:
+            idle = last.astype("datetime64[ms]").astype(np.int64) + idle_days * 86_400_000
+            deadlines = np.where(seen, np.maximum(idle, now + 1), np.append(deadlines, np.zeros(len(symbols) - len(deadlines), np.int64)))
+            gone = ~seen & (deadlines < now)
+        ends = np.cumsum(sizes)
+        told = np.flatnonzero(seen | gone)
+        bars = np.where(gone, 0, sizes)[told]
+        yield pd.DataFrame({
+            "symbol": pd.Series([symbols[i] for i in told], dtype=object), "bars": bars, "last_date": last[told].astype(object), "enough": ~gone[told] & (bars >= min_rows),
+            "dates": pd.Series([dates[ends[i] - b : ends[i]].tolist() for i, b in zip(told, bars, strict=True)], dtype=object),
+            "values": pd.Series([values[ends[i] - b : ends[i]].ravel() for i, b in zip(told, bars, strict=True)], dtype=object),
+        })
+        rows = np.repeat(~gone, sizes)
+        if gone.all():
             state.remove()
-            yield pd.DataFrame({"symbol": [key[0]], "bars": [0], "last_date": [dates[-1]], "enough": [False], "history": [[]]})
             return
-        known = {d: values[i * width : (i + 1) * width] for i, d in enumerate(dates)}
-        for pdf in frames:
-            known.update(zip(pdf["date"].astype(str), pdf[list(_FIELDS)].astype(float).to_numpy().tolist(), strict=True))
-        last = sorted(known)[-n:]
-        state.update((last, [v for d in last for v in known[d]]))
+        left = np.flatnonzero(~gone)
+        deadlines = deadlines[left] if idle_days is not None else np.zeros(0, np.int64)
+        state.update(([symbols[i] for i in left], sizes[left].astype(np.int64).tobytes(), dates[rows].tolist(), values[rows].tobytes(), deadlines.tobytes()))
         if idle_days is not None:
-            idle = pd.Timestamp(last[-1]) + pd.Timedelta(days=idle_days)
-            state.setTimeoutTimestamp(max(int(idle.value // 1_000_000), state.getCurrentWatermarkMs() + 1))
-        history = [{"date": d, **dict(zip(_FIELDS, known[d], strict=True))} for d in last]
-        yield pd.DataFrame({"symbol": [key[0]], "bars": [len(last)], "last_date": [last[-1]], "enough": [len(last) >= min_rows], "history": [history]})
+            state.setTimeoutTimestamp(max(int(deadlines.min()), now + 1))
 
     ship(daily.sparkSession)
     symbol = daily.schema["symbol"].dataType.simpleString()
-    rows = daily.select("symbol", "date", *_FIELDS)
+    bucket = F.when(F.col("symbol").isNotNull(), F.pmod(F.xxhash64("symbol"), F.lit(HISTORY_BUCKETS))).otherwise(-1).cast("int")
+    rows = daily.select(bucket.alias("_bucket"), "symbol", "date", *_FIELDS)
     if idle_days is not None:
         midnight = F.timestamp_seconds(F.unix_date("date").cast("long") * 86_400)  # of UTC, as the time-outs are
         rows = rows.withColumn("_t", midnight).withWatermark("_t", lateness)
-    return rows.groupBy("symbol").applyInPandasWithState(
+    out = rows.groupBy("_bucket").applyInPandasWithState(
         update,
-        f"symbol {symbol}, bars long, last_date string, enough boolean, history array<struct<date: string, {', '.join(f'{f}: double' for f in _FIELDS)}>>",
-        "dates array<string>, values array<double>",
+        f"symbol {symbol}, bars long, last_date string, enough boolean, dates array<string>, values array<double>",
+        f"symbols array<{symbol}>, sizes binary, dates array<string>, values binary, deadlines binary",
         "append",
         GroupStateTimeout.NoTimeout if idle_days is None else GroupStateTimeout.EventTimeTimeout,
     )
 
+    def bar(date: Column, i: Column) -> Column:
+        at = [F.get("values", i * width + k) for k in range(width)]
+        return F.struct(date.alias("date"), *[F.when(~F.isnan(v), v).alias(f) for f, v in zip(_FIELDS, at, strict=True)])
+
+    return out.select("symbol", "bars", "last_date", "enough", F.transform("dates", bar).alias("history"))
+
+
+def _held(state: GroupState, width: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, their numbers of bars, dates, values (bars x width) and time-outs of a bucket."""
+    symbols, sizes, dates, values, deadlines = state.get if state.exists else ([], b"", [], b"", b"")
+    dates = np.array(dates, dtype=str) if len(dates) else np.zeros(0, "U10")
+    return list(symbols), np.frombuffer(sizes, np.int64), dates, np.frombuffer(values).reshape(-1, width), np.frombuffer(deadlines, np.int64)
+
 
 def score_new_bars(
     spark: SparkSession, new: DataFrame, store: str, scores: str, pool: Mapping[str, float], options: FormulaOptions = DEFAULT
